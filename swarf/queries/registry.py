@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+MODULES: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
@@ -17,6 +18,7 @@ def query(sql: str | None = None):
         from swarf.sources.tables import Tables
 
         QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        MODULES[fn.__name__] = fn.__module__.rsplit('.', 1)[-1]
         if sql is not None:
             SQL[fn.__name__] = sql
         return fn

@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from swarf.functions.matching import literals, lookup
 from swarf.operators.scan import order_blocks, ordered_index, running
 
 # Fixed word lists from which raw channel names, path segments and labels are composed.
@@ -33,7 +34,7 @@ CONDITION_WORDS = ["feed_rate", "spindle_speed", "material", "depth_of_cut"]
 
 
 def pick(words: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(w) for w in words]), (index % len(words) + 1).cast("int"))
+    return F.element_at(literals(words), (index % len(words) + 1).cast("int"))
 
 
 def _pick_sql(words: list[str], index: str) -> str:
@@ -41,8 +42,7 @@ def _pick_sql(words: list[str], index: str) -> str:
 
 
 def event_channel() -> Column:
-    pairs = [x for raw, name in EVENT_CHANNELS.items() for x in (F.lit(raw), F.lit(name))]
-    return F.element_at(F.create_map(*pairs), F.col("event_type"))
+    return lookup(EVENT_CHANNELS, F.col("event_type"))
 
 
 EVENT_CHANNEL_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_CHANNELS.items()) + " END"

@@ -73,7 +73,9 @@ def main(argv):
     sf_dir = f"/root/testdata/sf{sf}"
     spark, con = build_session(), connect(sf_dir)
     queries, sql = entry.queries(), entry.oracle_sql()
-    names = [n for n in queries if not argv or any(n == a or (a.endswith("*") and n.startswith(a[:-1])) for a in argv)]
+    from swarf.queries.registry import MODULES
+
+    names = [n for n in queries if not argv or any(n == a or f"{MODULES[n]}." == a or (a.endswith("*") and n.startswith(a[:-1])) for a in argv)]
     failed = []
     for name in names:
         start = time.time()
