@@ -25,17 +25,23 @@ BLOCK = "_block"
 def order_blocks(df: DataFrame, keys: Sequence[str], on: Column, rows: int = BLOCK_ROWS) -> DataFrame:
     """Add ``_block``: 0 for keys of at most ``rows`` rows, else an equal-width slice of ``on``.
 
-    ``on`` is a numeric column that is monotone in the wanted order.  The statistics are one row per
+    ``on`` is a numeric column that is monotone in the wanted order; without keys the whole table is one
+    sequence.  The statistics are one row per
     key from a map-side combined aggregate; whether they are broadcast is decided by their size.
     """
     placed = df.withColumn("_on", on.cast("double"))
     stats = placed.groupBy(*keys).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(rows)).alias("_nb"), F.min("_on").alias("_lo"), F.max("_on").alias("_hi")
     )
+    if keys:
+        joined = placed.join(stats, list(keys))
+    else:
+        one = stats.select(F.struct("_nb", "_lo", "_hi")).scalar()
+        joined = placed.withColumn("_one", one).select(*placed.columns, "_one.*")
     width = F.col("_hi") - F.col("_lo")
     slot = F.floor((F.col("_on") - F.col("_lo")) / width * F.col("_nb"))
     block = F.when((F.col("_nb") <= 1) | (width <= 0), F.lit(0)).otherwise(F.least(slot, F.col("_nb") - 1))
-    return placed.join(stats, list(keys)).withColumn(BLOCK, block.cast("long")).drop("_on", "_nb", "_lo", "_hi")
+    return joined.withColumn(BLOCK, block.cast("long")).drop("_on", "_nb", "_lo", "_hi")
 
 
 def seq_blocks(df: DataFrame, seq: str = "seq", rows: int = BLOCK_ROWS) -> DataFrame:
@@ -55,7 +61,8 @@ def running(
     """Prefix results up to and including each row, for a frame that carries ``_block``.
 
     ``index`` names a 0-based position, ``sums`` maps output names to summed expressions and ``lasts``
-    maps output names to expressions whose last non-null value is carried forward.  Keys must not be null.
+    maps output names to expressions whose last non-null value is carried forward.  Keys must not be null;
+    without keys the whole table is one sequence.
     """
     sums, lasts = sums or {}, lasts or {}
     keys = list(keys)
