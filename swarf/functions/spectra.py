@@ -92,3 +92,17 @@ def order_profile(values: pd.Series, rpm: pd.Series, rate: pd.Series, orders: pd
 @F.pandas_udf(DOUBLES)
 def unwrapped_phase(values: pd.Series) -> pd.Series:
     return _rows(values, lambda x: standard(np.unwrap(np.angle(hann_spectrum(x)))))
+
+
+@F.pandas_udf(DOUBLES)
+def stretched(values: pd.Series, length: pd.Series) -> pd.Series:
+    return pd.Series([stretch(np.asarray(v, dtype=float), int(n)) for v, n in zip(values, length)])
+
+
+@F.pandas_udf(DOUBLES)
+def box_profile(values: pd.Series, limit: pd.Series) -> pd.Series:
+    def energies(v, top):
+        x = np.asarray(v, dtype=float)
+        return np.log1p([np.sqrt(np.mean((x - box_means(x, w)) ** 2)) for w in box_widths(x.size, int(top))])
+
+    return pd.Series([energies(v, top) for v, top in zip(values, limit)])

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from swarf.functions.vectors import euclidean, total
 from swarf.operators.evaluate import regression_metrics
+from swarf.operators.lineage import checkpointed
 from swarf.operators.quantile import medians
 
 # Cluster families and their sizes.
@@ -181,6 +182,7 @@ def ablation_study(train: DataFrame, val: DataFrame, test: DataFrame, features:
     fitted per shot count, calibrators per variant and shot count, and blend weights on validation only.
     """
     spark = train.sparkSession
+    train, val, test = checkpointed(train), checkpointed(val), checkpointed(test)
     flags = [(name, backbone, *[p in used for p in PHYSICS]) for name, backbone, used in variants]
     table = spark.createDataFrame(flags, "name string, backbone boolean, use_0 boolean, use_1 boolean, use_2 boolean")
     packed = table.agg(F.collect_list(F.struct("*")).alias("v")).scalar()
@@ -224,7 +226,11 @@ def few_shot_curve(train: DataFrame, val: DataFrame, test: DataFrame, features:
 
 
 def fit_clusters(profile: DataFrame, columns: Sequence[str], families: dict[str, int] = CLUSTER_FAMILIES, seed: int = 42, iterations: int = 50):
-    """Standardised k-means per family; returns (statistics row, {family: centers}, {family: distance scale})."""
+    """Standardised k-means per family; returns (statistics row, {family: centers}, {family: distance scale}).
+
+    The profile is read once per iteration, so it is written to the checkpoint folder first.
+    """
+    profile = checkpointed(profile)
     stats = profile.agg(*[F.avg(c).alias(f"{c}__mean") for c in columns], *[F.greatest(F.stddev_pop(c), F.lit(1e-6)).alias(f"{c}__std") for c in columns]).first()
     held = standardized_profile(profile, columns, stats)
     vectors = held.withColumn("features", array_to_vector("z"))
@@ -237,11 +243,25 @@ def fit_clusters(profile: DataFrame, columns: Sequence[str], families: dict[str,
             centers[family] = [c.tolist() for c in model.clusterCenters()]
         else:
             centers[family] = [[0.0] * len(columns)]
-        nearest = assign_clusters(held, centers[family], 1.0)
-        scales[family] = float(medians(nearest, [], "distance").first()[0]) + 1e-6
+    nearest = assign_families(held, centers, {f: 1.0 for f in centers})
+    for row in medians(nearest, ["family"], "distance").collect():  # one row per family
+        scales[row["family"]] = float(row["median"]) + 1e-6
     return stats, centers, scales
 
 
+def assign_families(df: DataFrame, centers: dict[str, list], scales: dict[str, float], vector: str = "z") -> DataFrame:
+    """One row per input row and family: nearest center, distance and confidence, in one pass."""
+    entries = [
+        f"named_struct('family', '{f}', 'centers', {_vectors(c)}, 'scale', {float(scales[f])!r}D)" for f, c in centers.items()
+    ]
+    each = df.withColumn("_f", F.explode(F.expr("array(" + ", ".join(entries) + ")")))
+    return assign_clusters(each, F.col("_f.centers"), F.col("_f.scale"), vector).withColumn("family", F.col("_f.family")).drop("_f")
+
+
+def _vectors(centers) -> str:
+    return "array(" + ", ".join("array(" + ", ".join(f"{float(v)!r}D" for v in c) + ")" for c in centers) + ")"
+
+
 def standardized_profile(profile: DataFrame, columns: Sequence[str], stats) -> DataFrame:
     return profile.withColumn("z", F.array(*[(F.col(c) - stats[f"{c}__mean"]) / stats[f"{c}__std"] for c in columns]))
 
@@ -252,7 +272,7 @@ def assign_clusters(df: DataFrame, centers, scale, vector: str = "z") -> DataFra
     ``centers`` is a list of vectors or a column holding an array of vectors; ``scale`` a number or column.
     """
     if not isinstance(centers, Column):
-        centers = F.expr("array(" + ", ".join("array(" + ", ".join(f"{float(v)!r}D" for v in c) + ")" for c in centers) + ")")
+        centers = F.expr(_vectors(centers))
     scale = scale if isinstance(scale, Column) else F.lit(float(scale))
     near = F.array_min(F.transform(centers, lambda c, i: F.struct(euclidean(F.col(vector), c).alias("distance"), i.alias("cluster"))))
     level = F.when(F.col("distance") <= scale, "high").when(F.col("distance") <= scale * 2.0, "medium").otherwise("low")

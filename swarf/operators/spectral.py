@@ -132,11 +132,14 @@ def fft_magnitude(df: DataFrame, length: int = GRID, by: Sequence[str] = KEYS) -
     return mags.select(*by, "magnitude", F.transform("magnitude", lambda v: F.log1p(v * v)).alias("log_power"))
 
 
-def band_energy(df: DataFrame, rate: float | None, bands=BANDS, by: Sequence[str] = KEYS) -> DataFrame:
-    """Energy share of each closed band, centroid, peak and the last band's share on a power-of-two grid."""
-    points = F.greatest(F.lit(64), F.least(F.lit(2048), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(8), F.col("n")).cast("double"))))))
-    held = resampled_arrays(df, points, by).withColumn("_m", spectra.hann_magnitude("values"))
-    power = held.withColumns({"_p": F.transform("_m", lambda v: v * v), "_n": F.size("values")}).withColumn("_t", total(F.col("_p")) + 1e-8)
+def _grid_points(n: Column) -> Column:
+    """Power of two covering ``n``, between 64 and 2048."""
+    return F.greatest(F.lit(64), F.least(F.lit(2048), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(8), n).cast("double"))))))
+
+
+def _bands(magnitudes: DataFrame, rate: float | None, bands, keep: Sequence[str]) -> DataFrame:
+    """Band shares, centroid and peak from ``_m`` (Hann magnitudes) of a grid of ``_n`` points."""
+    power = magnitudes.withColumn("_p", F.transform("_m", lambda v: v * v)).withColumn("_t", total(F.col("_p")) + 1e-8)
     known = rate is not None and rate > 0
     freq = (lambda i: i * float(rate) / F.col("_n")) if known else (lambda i: i / (F.size("_p") - 1))
     nyquist = float(rate) / 2.0 if known else 1.0
@@ -145,10 +148,19 @@ def band_energy(df: DataFrame, rate: float | None, bands=BANDS, by: Sequence[str
         top = nyquist if high is None else float(high)
         shares.append((total(F.filter("_p", lambda v, i: (freq(i) >= low) & (freq(i) <= top))) / F.col("_t")).alias(f"{name}_ratio"))
     return power.select(
-        *by, *shares,
+        *keep, *shares,
         (total(F.transform("_p", lambda v, i: v * freq(i))) / F.col("_t")).alias("centroid"),
         freq(F.array_position("_p", F.array_max("_p")) - 1).alias("peak"),
-    ).withColumn("high_ratio", F.col(f"{bands[-1][0]}_ratio"))
+    )
+
+
+def band_energy(df: DataFrame, rate: float | None, bands=BANDS, by: Sequence[str] = KEYS) -> DataFrame:
+    """Energy share of each closed band, centroid and peak on a power-of-two grid.
+
+    As a vector the share of the last band is repeated at the end; ``frequency_view`` adds it there.
+    """
+    held = resampled_arrays(df, _grid_points(F.col("n")), by)
+    return _bands(held.withColumns({"_m": spectra.hann_magnitude("values"), "_n": F.size("values")}), rate, bands, by)
 
 
 def stft_summary(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
@@ -180,29 +192,53 @@ def width_energies(df: DataFrame, limit: int = 64, scales: int = 32, by: Sequenc
     return parts.groupBy(*by, "scale", "width").agg(F.log1p(F.sqrt(F.sum("squares") / F.first("n"))).alias("energy"))
 
 
-def _energy_arrays(df: DataFrame, limit: int, by: Sequence[str]) -> DataFrame:
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("scale", "energy"))), lambda s: s["energy"])
-    return width_energies(df, limit, by=by).groupBy(*by).agg(ordered.alias("_wide"))
-
+def frequency_view(
+    df: DataFrame, rate: float | None, transforms: Sequence[str] = ("fft", "stft", "cwt"), length: int = 512, by: Sequence[str] = KEYS, window: int | None = None
+) -> DataFrame:
+    """Chosen transforms side by side, resampled to ``length`` and standardised.
 
-def frequency_view(df: DataFrame, rate: float | None, transforms: Sequence[str] = ("fft", "stft", "cwt"), length: int = 512, by: Sequence[str] = KEYS) -> DataFrame:
-    """Chosen transforms side by side, resampled to ``length`` and standardised."""
+    With ``window`` only the first ``window`` readings count and each group is one bounded array; without
+    it, series of any length are resampled and smoothed by joins and blocks.
+    """
     by = list(by)
-    grid = min(GRID, length)
-    wanted = {t.lower() for t in transforms}
-    parts, joined = [], fft_magnitude(df, grid, by)
+    grid, wanted = min(GRID, length), {t.lower() for t in transforms}
+    fft = "fft" in wanted or not wanted
+    if window:
+        held = window_arrays(df, window, by)
+        if fft:
+            held = held.withColumn("_g", spectra.hann_magnitude(spectra.stretched("values", F.lit(grid))))
+        if "fft" in wanted:
+            points = _grid_points(F.size("values")).cast("int")
+            fine = held.withColumn("_n", points).withColumn("_m", spectra.hann_magnitude(spectra.stretched("values", F.col("_n"))))
+            held = _bands(fine, rate, BANDS, [c for c in held.columns])
+        if "stft" in wanted:
+            held = held.withColumn("summary", spectra.short_time_summary("values"))
+        if "cwt" in wanted:
+            held = held.withColumn("_wide", spectra.box_profile("values", F.lit(64)))
+    else:
+        held = df.select(*by).distinct()
+        if fft:
+            grids = resampled_arrays(df, grid, by)
+            held = held.join(grids.select(*by, spectra.hann_magnitude("values").alias("_g")), by)
+        if "fft" in wanted:
+            held = held.join(band_energy(df, rate, by=by), by)
+        if "stft" in wanted:
+            held = held.join(stft_summary(df, by), by)
+        if "cwt" in wanted:
+            ordered = F.transform(F.array_sort(F.collect_list(F.struct("scale", "energy"))), lambda s: s["energy"])
+            held = held.join(width_energies(df, 64, by=by).groupBy(*by).agg(ordered.alias("_wide")), by)
+    parts = []
+    if fft:
+        held = held.withColumn("_g", F.transform("_g", lambda v: F.log1p(v)))
+        parts.append(F.col("_g"))
     if "fft" in wanted:
-        bands = band_energy(df, rate, by=by)
-        joined = joined.join(bands.select(*by, F.array(*[c for c in bands.columns if c not in by]).alias("_bands")), by)
-        parts += ["magnitude", "log_power", "_bands"]
+        names = [f"{name}_ratio" for name, _, _ in BANDS]
+        parts += [F.transform("_g", lambda v: F.log1p(v * v)), F.array(*names, "centroid", "peak", names[-1])]
     if "stft" in wanted:
-        joined = joined.join(stft_summary(df, by), by)
-        parts.append("summary")
+        parts.append(F.col("summary"))
     if "cwt" in wanted:
-        joined = joined.join(_energy_arrays(df, 64, by), by)
-        parts.append("_wide")
-    whole = F.concat(*(parts or ["magnitude"]))
-    return joined.select(*by, spectra.stretch_and_scale(whole, F.lit(length)).alias("frequency"))
+        parts.append(F.col("_wide"))
+    return held.select(*by, spectra.stretch_and_scale(F.concat(*parts), F.lit(length)).alias("frequency"))
 
 
 def first_rpm(df: DataFrame, channel_order: DataFrame, by: str = "series_id") -> DataFrame:
@@ -218,30 +254,31 @@ def first_rpm(df: DataFrame, channel_order: DataFrame, by: str = "series_id") ->
 def order_features(df: DataFrame, rpm: DataFrame, rate: float, orders: int = 8, context: int = 4096, by: Sequence[str] = KEYS) -> DataFrame:
     """Standardised amplitudes at multiples of the rotation frequency; zeros without a speed."""
     held = window_arrays(df, context, by).join(rpm, "series_id", "left")
-    return held.select(*by, spectra.order_profile("values", F.col("rpm").cast("double"), F.lit(float(rate)), F.lit(orders)).alias("orders"))
+    return held.select(*by, _orders(rate, orders).alias("orders"))
+
+
+def _orders(rate: float, orders: int) -> Column:
+    return spectra.order_profile("values", F.col("rpm").cast("double"), F.lit(float(rate)), F.lit(orders))
 
 
 def multirate_spectrum(
     df: DataFrame, rpm: DataFrame, rate: float, transforms: Sequence[str] = ("fft", "stft", "cwt"), length: int = 512, context: int = 4096,
     by: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Magnitude, phase, short-time, box-width and order features of a context, resampled and standardised."""
-    by = list(by)
-    window = df.filter(F.col("seq") < context)
-    wanted, parts = {t.lower() for t in transforms}, []
-    joined = order_features(window, rpm, rate, context=context, by=by)
+    """Magnitude, phase, short-time, box-width and order features of a context, resampled and standardised.
+
+    The context is one bounded array per group, so all features come from one grouping.
+    """
+    by, wanted, parts = list(by), {t.lower() for t in transforms}, []
+    held = window_arrays(df, context, by).join(rpm, "series_id", "left").withColumn("orders", _orders(rate, 8))
     if "fft" in wanted:
-        grid = resampled_arrays(window, GRID, by)
-        shaped = grid.select(
-            *by, F.transform(spectra.hann_magnitude("values"), lambda v: F.log1p(v)).alias("_mag"), spectra.unwrapped_phase("values").alias("_phase")
-        )
-        joined = joined.join(shaped, by)
-        parts += ["_mag", "_phase"]
+        held = held.withColumn("_g", spectra.stretched("values", F.lit(GRID)))
+        held = held.withColumns({"_mag": spectra.hann_magnitude("_g"), "_phase": spectra.unwrapped_phase("_g")})
+        parts += [F.transform("_mag", lambda v: F.log1p(v)), F.col("_phase")]
     if "stft" in wanted:
-        joined = joined.join(stft_summary(window, by), by)
-        parts.append("summary")
+        held = held.withColumn("summary", spectra.short_time_summary("values"))
+        parts.append(F.col("summary"))
     if "cwt" in wanted:
-        joined = joined.join(_energy_arrays(window, 96, by), by)
-        parts.append("_wide")
-    whole = F.concat(*parts, "orders")
-    return joined.select(*by, spectra.stretch_and_scale(whole, F.lit(length)).alias("spectral"))
+        held = held.withColumn("_wide", spectra.box_profile("values", F.lit(96)))
+        parts.append(F.col("_wide"))
+    return held.select(*by, spectra.stretch_and_scale(F.concat(*parts, F.col("orders")), F.lit(length)).alias("spectral"))

@@ -95,9 +95,9 @@ def ridge_forecast(t):
     return round_columns(_steps(models.ridge_forecast(*_forecast_frames(t), 3)), ["prediction"])
 
 
-@query(with_tables("predictions", body=f" SELECT l_orderkey, l_linenumber, l_partkey, tool_id, l_shipdate, {r('(1-least(1,greatest(0,log_var)))*predicted + least(1,greatest(0,log_var))*target', 6, 'prediction')} FROM predictions"))
+@query(with_tables("predictions", body=f" SELECT l_orderkey, l_linenumber, l_partkey, tool_id, l_shipdate, {r('(1-least(1,greatest(0,sin(target))))*predicted + least(1,greatest(0,sin(target)))*target', 6, 'prediction')} FROM predictions"))
 def similarity_blend(t):
-    out = fewshot.similarity_blend(t.predictions, "predicted", "target", "log_var")
+    out = fewshot.similarity_blend(t.predictions.withColumn("similarity", F.sin("target")), "predicted", "target", "similarity")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "tool_id", "l_shipdate", rounded("prediction").alias("prediction"))
 
 
@@ -222,8 +222,7 @@ CENTERS = ", c AS (SELECT id, embedding AS m, row_number() OVER (ORDER BY id) -
 @query(with_tables("vectors", body=CENTERS + f" SELECT id, cluster::INTEGER AS cluster, {r('d', 6, 'distance')}, CASE WHEN d <= 0.9 THEN 'high' WHEN d <= 1.8 THEN 'medium' ELSE 'low' END AS confidence FROM n"))
 def assign_clusters(t):
     centers = t.vectors.orderBy("id").limit(8)
-    packed = fewshot.pack_support(centers)
-    held = t.vectors.withColumn("_c", F.transform(packed, lambda s: s["embedding"]))
+    held = t.vectors.withColumn("_s", fewshot.pack_support(centers)).withColumn("_c", F.transform("_s", lambda s: s["embedding"]))
     out = models.assign_clusters(held, F.col("_c"), 0.9, "embedding")
     return out.select("id", "cluster", rounded("distance").alias("distance"), "confidence")
 
@@ -233,14 +232,8 @@ def latent_clusters(t):
     profiles = profile(t)
     stats, centers, scales = models.fit_clusters(profiles, PROFILE_COLUMNS)
     held = models.standardized_profile(profiles, PROFILE_COLUMNS, stats)
-    parts = [
-        models.assign_clusters(held, centers[f], scales[f]).select("series_id", F.lit(f).alias("family"), "cluster", rounded("distance", 4).alias("distance"), "confidence")
-        for f in centers
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    out = models.assign_families(held, centers, scales)
+    return out.select("series_id", "family", "cluster", rounded("distance", 4).alias("distance"), "confidence")
 
 
 # --- augmentation ------------------------------------------------------------------------------------
@@ -353,3 +346,29 @@ def preflight(t):
 def replay_mix(t):
     docs = t.read("documents").select("doc_id")
     return batch.replay_mix(docs.filter("doc_id % 4 = 0"), docs.filter("doc_id % 4 <> 0"), 0.5, "doc_id")
+
+
+@query()
+def training_table(t):
+    from swarf.operators import nc
+    from swarf.plans.corpus import training_table as build
+
+    programs = t.nc_lines.select("program_id", F.concat(F.lit("nc/O"), "program_id", F.lit(".nc")).alias("path")).distinct()
+    samples = t.events.select("series_id").distinct().withColumns(
+        {"dataset_id": F.concat(F.lit("Set "), F.col("series_id") % 4), "file_path": F.concat(F.lit("/data/milling/m1/O"), "series_id", F.lit(".csv"))}
+    )
+    rows = build(samples, t.readings.drop("ts"), nc.program_keys(t.nc_lines, programs), window=16, rate=12800.0)
+    finite = lambda c: F.forall(c, lambda v: ~F.isnan(v)).alias(f"{c}_finite")
+    return rows.select(
+        "series_id", "channel", "channel_id", "context_source", F.size("values").alias("values_size"), finite("values"), F.size("frequency").alias("frequency_size"),
+        finite("frequency"), F.size(F.filter("text_ids", lambda v: v > 0)).alias("text_tokens"),
+    )
+
+
+@query()
+def request_few_shot(t):
+    from swarf.plans.requests import predict_few_shot
+
+    q, s = _support(t)
+    out = predict_few_shot(q, s.withColumn("label", F.concat(F.lit("k"), "label")), "wear_state_classification", "prototype")
+    return out.select("id", "prediction", rounded("distance").alias("distance"))

@@ -125,6 +125,11 @@ def order_features(t):
     return round_columns(listed, ["value"], 5)
 
 
+@query()
+def frequency_view_window(t):
+    return _listed(spectral.frequency_view(t.readings.drop("ts"), 12800.0, window=4096), "frequency")
+
+
 @query()
 def multirate_spectrum(t):
     return _listed(spectral.multirate_spectrum(t.readings.drop("ts"), _rpm(t), 2000.0), "spectral")
