@@ -99,10 +99,21 @@ def stretched(values: pd.Series, length: pd.Series) -> pd.Series:
     return pd.Series([stretch(np.asarray(v, dtype=float), int(n)) for v, n in zip(values, length)])
 
 
+def box_residuals(x: np.ndarray, first: int, last: int, n: int, limit: int) -> np.ndarray:
+    """Sum of squares of ``x`` minus its box mean over ``[first, last)`` for every width of a series of ``n``."""
+    widths, back = np.unique(box_widths(n, limit), return_inverse=True)
+    sums = np.array([np.square((x - box_means(x, w))[first:last]).sum() for w in widths])
+    return sums[back]
+
+
 @F.pandas_udf(DOUBLES)
 def box_profile(values: pd.Series, limit: pd.Series) -> pd.Series:
-    def energies(v, top):
-        x = np.asarray(v, dtype=float)
-        return np.log1p([np.sqrt(np.mean((x - box_means(x, w)) ** 2)) for w in box_widths(x.size, int(top))])
+    whole = lambda v, top: np.log1p(np.sqrt(box_residuals(np.asarray(v, dtype=float), 0, len(v), len(v), int(top)) / len(v)))
+    return pd.Series([whole(v, top) for v, top in zip(values, limit)])
 
-    return pd.Series([energies(v, top) for v, top in zip(values, limit)])
+
+@F.pandas_udf(DOUBLES)
+def box_block(values: pd.Series, first: pd.Series, core: pd.Series, n: pd.Series, limit: pd.Series) -> pd.Series:
+    return pd.Series(
+        [box_residuals(np.asarray(v, dtype=float), int(f), int(f) + int(c), int(k), int(top)) for v, f, c, k, top in zip(values, first, core, n, limit)]
+    )

@@ -137,14 +137,16 @@ def one_shot_predict(query: DataFrame, support: DataFrame) -> DataFrame:
     ).drop("neighbors")
 
 
-def _blend(support: Column, embedding: Column, values: str, size: int) -> Column:
-    """Inverse-distance weighted mean of one array field over all support rows."""
-    weights = F.transform(support, lambda s: F.struct((1.0 / (euclidean(embedding, s["embedding"]) + 1e-8)).alias("w"), s[values].alias("v")))
-    whole = F.aggregate(weights, F.lit(0.0), lambda a, e: a + e["w"])
-    summed = F.aggregate(
-        weights, F.array_repeat(F.lit(0.0), size), lambda acc, e: F.zip_with(acc, e["v"], lambda a, v: a + e["w"] * v)
-    )
-    return F.transform(summed, lambda v: v / whole)
+def _blend(df: DataFrame, values: str, size: int, output: str) -> DataFrame:
+    """Inverse-distance weighted mean of one array field over the support in ``_s``.
+
+    Weights and their sum are columns of their own, because lambdas would evaluate them per element.
+    """
+    weights = F.transform("_s", lambda s: 1.0 / (euclidean(F.col("embedding"), s["embedding"]) + 1e-8))
+    held = df.withColumn("_w", weights).withColumn("_t", total(F.col("_w")))
+    pairs = F.zip_with("_s", "_w", lambda s, w: F.struct(w.alias("w"), s[values].alias("v")))
+    summed = F.aggregate(pairs, F.array_repeat(F.lit(0.0), size), lambda acc, e: F.zip_with(acc, e["v"], lambda a, v: a + e["w"] * v))
+    return held.withColumn("_b", summed).withColumn(output, F.transform("_b", lambda v: v / F.col("_t"))).drop("_w", "_t", "_b")
 
 
 def _mean_abs(values: Column) -> Column:
@@ -158,7 +160,7 @@ def residual_forecast(query: DataFrame, support: DataFrame, size: int) -> DataFr
     """
     held = support.select("id", "embedding", F.zip_with("target", "base", lambda t, b: t - b).alias("residual"))
     packed = query.withColumn("_s", pack_support(held, "residual"))
-    corrected = packed.withColumn("correction", _blend(F.col("_s"), F.col("embedding"), "residual", size))
+    corrected = _blend(packed, "residual", size, "correction")
     return corrected.withColumns(
         {"prediction": F.zip_with("base", "correction", lambda b, c: b + c), "uncertainty": _mean_abs(F.col("correction"))}
     ).drop("_s")
@@ -167,7 +169,7 @@ def residual_forecast(query: DataFrame, support: DataFrame, size: int) -> DataFr
 def knn_forecast(query: DataFrame, support: DataFrame, size: int) -> DataFrame:
     """Weighted mean of all support futures; uncertainty is the mean distance to the base forecast."""
     packed = query.withColumn("_s", pack_support(support.select("id", "embedding", "target"), "target"))
-    blended = packed.withColumn("prediction", _blend(F.col("_s"), F.col("embedding"), "target", size))
+    blended = _blend(packed, "target", size, "prediction")
     return blended.withColumn("uncertainty", _mean_abs(F.zip_with("prediction", "base", lambda p, b: p - b))).drop("_s")
 
 

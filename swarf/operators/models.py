@@ -51,6 +51,9 @@ def fit_ridge(train: DataFrame, features: Sequence[str] | str, label: str, alpha
     ``features`` is a list of columns or one array column.  Spark divides the penalty by the row count and
     the label deviation, which is undone here.
     """
+    # training reads the rows several times
+    names = [features] if isinstance(features, str) else list(features)
+    train = checkpointed(train.select(*names, label))
     shape = train.agg(F.count(label).alias("n"), F.stddev_pop(label).alias("s")).first()
     penalty = alpha / shape["n"] * (shape["s"] or 1.0)
     model = LinearRegression(featuresCol="_x", labelCol=label, predictionCol="prediction", regParam=penalty, elasticNetParam=0.0, standardization=False, solver="normal")
@@ -71,6 +74,8 @@ def apply_ridge(model, df: DataFrame, features: Sequence[str] | str, output: str
 
 def fit_logistic(train: DataFrame, features: Sequence[str] | str, label: str, c: float = 1.0, scale: bool = True, iterations: int = 1000):
     """Multinomial logistic model on standardised features with inverse penalty ``c``."""
+    names = [features] if isinstance(features, str) else list(features)
+    train = checkpointed(train.select(*names, label))
     n = train.count()
     stages = []
     source = "_raw"

@@ -29,9 +29,10 @@ def nc_blocks(lines: DataFrame, comments: str = "strip") -> DataFrame:
     block = F.upper(F.trim(F.regexp_extract(text, "^([^;]*)", 1)))
     skip = "%" if comments == "strip" else "("
     cleaned = lines.withColumn("block", block).filter((F.col("block") != "") & ~F.startswith("block", F.lit(skip)))
-    letters = F.regexp_extract_all("block", F.lit(rules.WORD_PATTERN), F.lit(1))
-    numbers = F.regexp_extract_all("block", F.lit(rules.WORD_PATTERN), F.lit(2))
-    words = F.zip_with(letters, numbers, lambda l, n: F.struct(l.alias("letter"), n.cast("double").alias("value")))
+    found = F.regexp_extract_all("block", F.lit(rules.WORD_PATTERN), F.lit(0))
+    words = F.transform(
+        found, lambda w: F.struct(F.substring(w, 1, 1).alias("letter"), F.trim(F.substr(w, F.lit(2))).cast("double").alias("value"))
+    )
     out = cleaned.withColumn("words", words)
     return out.filter(F.size("words") > 0) if comments == "keep" else out
 

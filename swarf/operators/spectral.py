@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,28 +166,25 @@ def stft_summary(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
     return window_arrays(df, HEAD, by).select(*by, spectra.short_time_summary("values").alias("summary"))
 
 
-def width_energies(df: DataFrame, limit: int = 64, scales: int = 32, by: Sequence[str] = KEYS, rows: int = 65536) -> DataFrame:
+def width_energies(df: DataFrame, limit: int = 64, scales: int = 32, by: Sequence[str] = KEYS, rows: int = 4096) -> DataFrame:
     """log1p rms of the series minus its centred box mean for ``scales`` widths.
 
-    Long series are cut into position blocks with borders; blocks return sums that are added up.
+    Long series are cut into position blocks with borders; each block is one bounded array that yields sums
+    of squares, which are added up per width.
     """
     by = list(by)
-    held = with_neighbours(df.join(group_sizes(df, by), by), limit // 2 + 1, limit // 2 + 1, rows=rows)
-    key_types = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name in by}
-    schema = ", ".join(f"{k} {t}" for k, t in key_types.items()) + ", scale int, width int, n long, squares double"
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        x, core, n = pdf["value"].to_numpy(float), pdf["_core"].to_numpy(bool), int(pdf["n"].iloc[0])
-        widths = spectra.box_widths(n, limit, scales)
-        squares = {w: float(np.square((x - spectra.box_means(x, w))[core]).sum()) for w in set(widths.tolist())}
-        out = pd.DataFrame({"scale": np.arange(scales), "width": widths, "n": n, "squares": [squares[w] for w in widths.tolist()]})
-        for k in by:
-            out[k] = pdf[k].iloc[0]
-        return out[[*key_types, "scale", "width", "n", "squares"]]
-
-    parts = held.groupBy(*by, BLOCK).applyInPandas(block, schema)
-    return parts.groupBy(*by, "scale", "width").agg(F.log1p(F.sqrt(F.sum("squares") / F.first("n"))).alias("energy"))
+    held = with_neighbours(df, limit // 2 + 1, limit // 2 + 1, rows=rows)
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "value", "_core")))
+    blocks = held.groupBy(*by, BLOCK).agg(ordered.alias("_b")).join(group_sizes(df, by), by)
+    sums = spectra.box_block(
+        F.transform("_b", lambda b: b["value"]), F.array_position(F.transform("_b", lambda b: b["_core"]), F.lit(True)) - 1,
+        F.size(F.filter("_b", lambda b: b["_core"])), F.col("n"), F.lit(limit),
+    )
+    widest = F.least(F.lit(limit), F.greatest(F.lit(3), F.floor(F.col("n") / 4)))
+    width = F.greatest(F.lit(2), F.floor(2 + F.col("scale") * ((widest - 2) / float(scales - 1)) + 1e-12)).cast("int")
+    parts = blocks.select(*by, "n", F.posexplode(sums).alias("scale", "_s"))
+    summed = parts.groupBy(*by, "n", "scale").agg(F.sum("_s").alias("_s"))
+    return summed.select(*by, "scale", width.alias("width"), F.log1p(F.sqrt(F.col("_s") / F.col("n"))).alias("energy"))
 
 
 def frequency_view(

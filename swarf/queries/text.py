@@ -17,7 +17,7 @@ TOKENS = f"""WITH tk AS (SELECT doc_id, regexp_extract_all(lower(text), '{rules.
 
 
 def _tokens(t):
-    return text.tokenize(t.read("documents").select("doc_id", "text")).drop("text")
+    return text.tokenize(t.spread("documents").select("doc_id", "text")).drop("text")
 
 
 @query(TOKENS + " SELECT doc_id, len(tokens)::INTEGER AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM tk")
@@ -30,7 +30,7 @@ LEAKY = """WITH d AS (SELECT doc_id, lower(text || ' good WEAR ' || source || '
 
 @query(LEAKY + f" SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '{rules.TOKEN_PATTERN}'), lambda w: NOT list_contains({_list(rules.BLOCKED_WORDS)}, w)), ' ') AS redacted FROM d")
 def redact_tokens(t):
-    docs = t.read("documents").select("doc_id", F.concat("text", F.lit(" good WEAR "), "source", F.lit(" bad target")).alias("text"))
+    docs = t.spread("documents").select("doc_id", F.concat("text", F.lit(" good WEAR "), "source", F.lit(" bad target")).alias("text"))
     return text.redact_tokens(text.tokenize(docs)).select("doc_id", "redacted")
 
 
@@ -92,7 +92,7 @@ def request_context(t):
 
 @query(f"""WITH h AS (SELECT doc_id, sha256(text) AS h, unnest(range(0, 40)) AS pos FROM documents) SELECT doc_id, pos::INTEGER AS pos, {r("('0x' || substr(h, (pos % 32 * 2 + 1)::INTEGER, 2))::BIGINT / 127.5 - 1", 6, 'value')} FROM h""")
 def hash_bytes_vector(t):
-    out = t.read("documents").select("doc_id", F.posexplode(digest_bytes("text", 40)).alias("pos", "value"))
+    out = t.spread("documents").select("doc_id", F.posexplode(digest_bytes("text", 40)).alias("pos", "value"))
     return round_columns(out, ["value"])
 
 
@@ -151,17 +151,17 @@ def nc_program_stats(t):
 
 @query(with_tables("nc_lines", body=BLOCKS + f" SELECT program_id, lower(letter) AS axis, min(value) AS axis_min, max(value) AS axis_max, {r('max(value)-min(value)', 6, 'axis_span')} FROM wc WHERE list_contains({_list(nc_rules.AXIS_LETTERS)}, letter) GROUP BY ALL"))
 def nc_axis_spans(t):
-    return round_columns(nc.nc_axis_spans(t.nc_lines), ["axis_span"])
+    return round_columns(nc.nc_axis_spans(t.nc_unordered), ["axis_span"])
 
 
 @query(with_tables("nc_lines", body=BLOCKS + " SELECT program_id, letter, code, count(*) AS uses FROM wc WHERE letter IN ('G','M') GROUP BY ALL"))
 def nc_code_counts(t):
-    return nc.nc_code_counts(t.nc_lines)
+    return nc.nc_code_counts(t.nc_unordered)
 
 
 @query(with_tables("nc_lines", body=BLOCKS + " SELECT program_id, ('0x' || substr(sha1(letter || code), 1, 8))::BIGINT % 32 AS bucket, count(*) AS uses FROM wc GROUP BY ALL"))
 def nc_buckets(t):
-    return nc.nc_buckets(t.nc_lines)
+    return nc.nc_buckets(t.nc_unordered)
 
 
 def _scalar(name, divisor):

@@ -48,6 +48,22 @@ def event_channel() -> Column:
 EVENT_CHANNEL_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_CHANNELS.items()) + " END"
 
 
+def nc_text() -> Column:
+    """Control-program line of an order line."""
+    whole = lambda c: F.col(c).cast("long").cast("string")
+    key = F.col("l_orderkey")
+    text = F.concat(
+        F.lit("n"), whole("l_linenumber"),
+        F.when(key % 5 == 0, F.lit("")).otherwise(F.concat(F.lit(" G"), F.when(key % 7 == 0, key % 92).otherwise(key % 4))),
+        F.when(key % 3 == 0, F.concat(F.lit(" X-"), whole("l_quantity"), F.lit(".5"))).otherwise(F.concat(F.lit(" Y"), whole("l_quantity"))),
+        F.when(key % 11 == 0, F.concat(F.lit(" F"), key % 300, F.lit(" S"), key % 9000)).otherwise(F.lit("")),
+        F.when(key % 13 == 0, F.concat(F.lit(" M"), key % 10, F.lit(" T"), key % 20)).otherwise(F.lit("")),
+        F.when(key % 17 == 0, F.lit(" (tool X9 note)")).otherwise(F.lit("")),
+        F.when(key % 19 == 0, F.lit("; Z99")).otherwise(F.lit("")),
+    )
+    return F.when(key % 97 == 0, F.concat(F.lit("% O"), key)).otherwise(text)
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
@@ -55,6 +71,12 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """Like ``read``; a table of fewer input splits than cores is dealt out first, for costly row-local work."""
+        table = self.read(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
     @cached_property
     def events(self) -> DataFrame:
         """Unnumbered readings, for operators that need no order."""
@@ -131,22 +153,15 @@ class Tables:
     @cached_property
     def nc_lines(self) -> DataFrame:
         """Control-program lines: one program per supplier, in cut order."""
-        line = self.read("lineitem")
         keys, order = ["l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
+        line = self.read("lineitem").select(*keys, *order, "l_quantity")
         numbered = ordered_index(line, keys, order, F.unix_seconds(F.col("l_shipdate").cast("timestamp")), "line_no")
-        whole = lambda c: F.col(c).cast("long").cast("string")
-        key = F.col("l_orderkey")
-        text = F.concat(
-            F.lit("n"), whole("l_linenumber"),
-            F.when(key % 5 == 0, F.lit("")).otherwise(F.concat(F.lit(" G"), F.when(key % 7 == 0, key % 92).otherwise(key % 4))),
-            F.when(key % 3 == 0, F.concat(F.lit(" X-"), whole("l_quantity"), F.lit(".5"))).otherwise(F.concat(F.lit(" Y"), whole("l_quantity"))),
-            F.when(key % 11 == 0, F.concat(F.lit(" F"), key % 300, F.lit(" S"), key % 9000)).otherwise(F.lit("")),
-            F.when(key % 13 == 0, F.concat(F.lit(" M"), key % 10, F.lit(" T"), key % 20)).otherwise(F.lit("")),
-            F.when(key % 17 == 0, F.lit(" (tool X9 note)")).otherwise(F.lit("")),
-            F.when(key % 19 == 0, F.lit("; Z99")).otherwise(F.lit("")),
-        )
-        text = F.when(key % 97 == 0, F.concat(F.lit("% O"), key)).otherwise(text)
-        return numbered.select(F.col("l_suppkey").alias("program_id"), "line_no", text.alias("text"))
+        return numbered.select(F.col("l_suppkey").alias("program_id"), "line_no", nc_text().alias("text"))
+
+    @cached_property
+    def nc_unordered(self) -> DataFrame:
+        """The same lines without their number, for word statistics."""
+        return self.spread("lineitem").select(F.col("l_suppkey").alias("program_id"), F.lit(0).alias("line_no"), nc_text().alias("text"))
 
     @cached_property
     def vectors(self) -> DataFrame:
