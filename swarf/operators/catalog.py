@@ -293,19 +293,24 @@ def build_manifest(inventory: DataFrame, registry: DataFrame) -> DataFrame:
 def filter_manifest(
     manifest: DataFrame,
     include: Sequence[str] = (),
-    exclude: Sequence[str] = (),
+    exclude: Sequence[str] | DataFrame = (),
     extensions: Sequence[str] = (),
     max_files: int | None = None,
     drop_unpaired: bool = False,
 ) -> DataFrame:
-    """Extension and dataset filters, then at most ``max_files`` records in path order (a feature, off by default)."""
+    """Extension and dataset filters, then at most ``max_files`` records in path order (a feature, off by default).
+
+    Excluded datasets are a short list or a frame with ``dataset_id``.
+    """
     out = manifest
     if extensions:
         dotted = ["" if e in ("", "(none)") else e.lower() if e.startswith(".") else f".{e.lower()}" for e in extensions]
         out = out.filter(extension(F.col("relative_path")).isin(dotted))
     if include:
         out = out.filter(F.col("dataset_id").isin(list(include)))
-    if exclude:
+    if isinstance(exclude, DataFrame):
+        out = out.join(exclude.select("dataset_id").distinct(), "dataset_id", "left_anti")
+    elif exclude:
         out = out.filter(~F.col("dataset_id").isin(list(exclude)))
     if drop_unpaired:
         path = F.concat(F.lit("/"), F.lower("relative_path"), F.lit("/"))
@@ -363,19 +368,17 @@ def common_paths(previous: DataFrame, current: DataFrame, key: str = "path") ->
     return previous.select(key).intersect(current.select(key))
 
 
-def snapshot_hash(files: DataFrame, by: str, columns: Sequence[str], buckets: int = 1024) -> DataFrame:
+def snapshot_hash(files: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
     """Order-free content hash per dataset.
 
-    Row digests are sorted and hashed inside hash buckets first and the bucket digests are hashed again, so
-    no list is longer than a bucket of one dataset.
+    Each row digest is cut into four 60-bit numbers; their exact sums do not depend on row order and are
+    map-side combined, so no list of rows is ever built.
     """
     digest = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
-    rows = files.select(by, digest.alias("_d")).withColumn("_b", F.conv(F.substring("_d", 1, 8), 16, 10).cast("long") % buckets)
-    part = rows.groupBy(by, "_b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("_d")), ""), 256).alias("_h"), F.count(F.lit(1)).alias("_n"))
-    return part.groupBy(by).agg(
-        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_b", "_h"))), lambda s: s["_h"]), ""), 256).alias("snapshot_hash"),
-        F.sum("_n").alias("files"),
-    )
+    part = lambda i: F.conv(F.substring("_d", 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")
+    sums = files.select(by, digest.alias("_d")).groupBy(by).agg(*[F.sum(part(i)).alias(f"_s{i}") for i in range(4)], F.count(F.lit(1)).alias("files"))
+    whole = F.concat_ws("|", F.col("files").cast("string"), *[F.col(f"_s{i}").cast("string") for i in range(4)])
+    return sums.select(by, F.sha2(whole, 256).alias("snapshot_hash"), "files")
 
 
 def version_snapshot(hashes: DataFrame, history: DataFrame, by: str = "dataset_id") -> DataFrame:

@@ -182,7 +182,7 @@ def manifest_flags(t):
 @query(inv_sql(MANIFEST + """ SELECT file_id, relative_path FROM man WHERE file_extension IN ('.csv','.wav','') AND dataset_id NOT LIKE '%example_org' AND NOT contains('/' || lp || '/', '/cnc_data/') ORDER BY relative_path LIMIT 40"""))
 def filter_manifest(t):
     records = manifest(t)
-    excluded = [row[0] for row in records.filter(F.col("dataset_id").like("%example_org")).select("dataset_id").distinct().collect()]
+    excluded = records.filter(F.col("dataset_id").like("%example_org"))
     return catalog.filter_manifest(records, (), excluded, ["csv", ".wav", "(none)"], 40, True).select("file_id", "relative_path")
 
 
@@ -232,8 +232,8 @@ def common_paths(t):
 
 
 HASH = """, dg AS (SELECT source AS dataset_id, sha256(path || '|' || size || '|' || sha256) AS d FROM cur),
- bk AS (SELECT dataset_id, ('0x' || substr(d,1,8))::BIGINT % 1024 AS b, sha256(string_agg(d, '' ORDER BY d)) AS h, count(*) AS n FROM dg GROUP BY ALL),
- hs AS (SELECT dataset_id, sha256(string_agg(h, '' ORDER BY b)) AS snapshot_hash, sum(n)::BIGINT AS files FROM bk GROUP BY ALL)"""
+ sm AS (SELECT dataset_id, count(*) AS files, """ + ", ".join(f"sum(('0x' || substr(d,{15 * i + 1},15))::HUGEINT) AS s{i}" for i in range(4)) + """ FROM dg GROUP BY dataset_id),
+ hs AS (SELECT dataset_id, sha256(files || '|' || s0 || '|' || s1 || '|' || s2 || '|' || s3) AS snapshot_hash, files FROM sm)"""
 
 
 @query(SNAP + HASH + """, hist AS (SELECT dataset_id, n AS version_number, CASE WHEN right(dataset_id,1) IN ('1','2') THEN snapshot_hash ELSE 'stale' END AS snapshot_hash FROM hs, (SELECT unnest(range(1,3)) AS n) WHERE n < 2 OR right(dataset_id,1) <> '5')
@@ -313,3 +313,25 @@ def profile_columns(t):
         ["l_returnflag", "row"], ["qty", "status"], "column", "text"
     )
     return round_columns(catalog.profile_columns(cells, ["l_returnflag", "column"]), ["missing_ratio"])
+
+
+@query(SNAP + " SELECT path FROM prev EXCEPT SELECT path FROM cur")
+def deleted_paths(t):
+    previous, current = _snapshots(t)
+    return catalog.added_paths(current, previous)
+
+
+PATTERNS = [("motion", ["feed", "rpm"]), ("Force", ["FORCE", "load"]), ("vibration", ["vib"])]
+
+
+@query(with_tables("readings", body=" SELECT channel, CASE WHEN contains(channel,'feed') OR contains(channel,'rpm') THEN 'motion' WHEN contains(channel,'force') OR contains(channel,'load') THEN 'Force' WHEN contains(channel,'vib') THEN 'vibration' ELSE 'motion' END AS subgraph, count(*) AS rows FROM readings GROUP BY ALL"))
+def subgraph_of(t):
+    return catalog.subgraph_of(t.events.groupBy("channel").agg(F.count(F.lit(1)).alias("rows")), PATTERNS).select("channel", "subgraph", "rows")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS cell FROM events")
+def json_cells(t):
+    from swarf.sources.records import decode_cells, encode_cells
+
+    parsed = decode_cells(t.read("events").select("event_id", "props"), {"props": "struct<k:bigint>"})
+    return encode_cells(parsed.withColumn("k", F.col("props.k"))).select("event_id", "k", F.col("props").alias("cell"))

@@ -304,3 +304,15 @@ def as_of_join(t):
         "value", F.unix_micros(F.col("time").cast("timestamp")),
     )
     return out.select("series_id", F.col("id").alias("event_id"), "visible_keys", "as_of")
+
+
+@query(with_tables("readings", body=CONTEXT + f""", p AS (SELECT tg.horizon, tg.value AS y, l.value AS b, sinh(greatest(-30, least(30, 0.9*tg.normalized)))*st.scale + st.center AS m FROM tg JOIN readings l USING ({BY}) JOIN st USING ({BY}) WHERE l.seq = 5),
+ h AS (SELECT horizon, sqrt(avg((m-y)**2)) AS mr, sqrt(avg((b-y)**2)) AS br FROM p GROUP BY horizon) SELECT horizon, {r('mr', 5, 'model_rmse')}, {r('br', 5, 'baseline_rmse')}, {r('(br-mr)/br', 5, 'rmse_improvement')},
+ (br-mr)/br >= 0.15 AS reached, bool_and((br-mr)/br >= 0.15) OVER () AS passed FROM h"""))
+def evaluate_forecast(t):
+    from swarf.plans.forecast import evaluate_forecast as evaluate_plan
+
+    readings = t.readings.drop("ts")
+    targets = series.horizon_targets(readings, 6, [2, 4, 8])
+    guesses = targets.select("series_id", "channel", "horizon", "step", (F.col("normalized") * 0.9).alias("predicted"))
+    return round_columns(evaluate_plan(readings, guesses, 6, [2, 4, 8]), ["model_rmse", "baseline_rmse", "rmse_improvement"], 5)

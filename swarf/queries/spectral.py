@@ -172,3 +172,16 @@ def latent_tokens(t):
     quantities = t.events.select("series_id", "channel").distinct().join(dim, "channel").select("series_id", "quantity")
     out = features.latent_tokens(profile(t), quantities)
     return out.withColumn("tokens", F.array_join("tokens", " "))
+
+
+@query(with_tables("readings", body=""", ci AS (SELECT series_id, channel, row_number() OVER (PARTITION BY series_id ORDER BY channel) - 1 AS ci, count(*) OVER (PARTITION BY series_id) AS c FROM (SELECT DISTINCT series_id, channel FROM readings)),
+ wt AS (SELECT series_id, channel AS src, w FROM ci, (SELECT unnest(range(0, 7)) AS w) WHERE ci = least(w, c-1)), l AS (SELECT series_id, channel AS src, list(value ORDER BY seq) AS v, count(*) AS n FROM readings GROUP BY ALL),
+ g AS (SELECT series_id, w, v, n, unnest(range(0, 12)) AS j FROM wt JOIN l USING (series_id, src)), p AS (SELECT *, j*(n-1)/11 AS pos FROM g)
+ SELECT series_id AS id, w::INTEGER AS channel, j AS pos, """ + r("v[floor(pos)::BIGINT+1]*(1-(pos-floor(pos))) + v[least(n-1, floor(pos)::BIGINT+1)+1]*(pos-floor(pos))", 6, "value") + " FROM p"))
+def resize_series(t):
+    from pyspark.sql import Window as W
+
+    names = t.events.select("series_id", "channel").distinct()
+    numbered = names.withColumn("channel_index", F.row_number().over(W.partitionBy("series_id").orderBy("channel")) - 1)
+    rows = t.readings.join(numbered, ["series_id", "channel"]).select(F.col("series_id").alias("id"), "channel_index", "seq", "value")
+    return round_columns(spectral.resize_series(rows, 7, 12), ["value"])

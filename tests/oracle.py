@@ -47,6 +47,12 @@ def compare(df, con, sql: str) -> str:
         return f"oracle types {bad}"
     if sorted(names) != cols:
         return f"columns {cols} vs {sorted(names)}"
+    if os.environ.get("SHOW_TYPES"):
+        short = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+        kinds = dict(df.dtypes)
+        other = [f"{d[0]}: {kinds[d[0]]} vs {d[1]}" for d in cur.description if short.get(kinds[d[0]]) != str(d[1])]
+        if other:
+            print("   types", other)
     pos = [names.index(c) for c in cols]
     want = sorted(tuple(plain(row[i]) for i in pos) for row in cur.fetchall())
     got = sorted(tuple(plain(v) for v in row) for row in df.select(*cols).collect())
