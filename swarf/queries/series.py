@@ -149,7 +149,7 @@ def sliding_windows(t):
 @query(with_tables("readings", body=WINDOW_SQL + f""", s AS (SELECT {BY}, ('0x'||substr(sha1(series_id||'|'||channel||'|42'),1,8))::BIGINT % (greatest(0,n-5)+1) AS start FROM n)
  SELECT series_id, channel, seq, start, value FROM readings JOIN s USING ({BY}) WHERE seq >= start AND seq < start+5"""))
 def sample_window(t):
-    return series.sample_window(t.readings.drop("ts"), 7, "42")
+    return series.sample_window(t.readings.drop("ts"), 5, "42")
 
 
 @query(with_tables("readings", body=WINDOW_SQL + f""", p AS (SELECT {BY}, n, unnest(range(0, ceil(greatest(0,n-6)/4.0)::BIGINT+1)) AS patch FROM n),
@@ -160,7 +160,7 @@ def patchify(t):
 
 
 @query(with_tables("readings", body=WINDOW_SQL + f""", p AS (SELECT {BY}, n, unnest(range(0,10)) AS pos FROM n)
- SELECT p.series_id, p.channel, pos, coalesce(value, 0.0::DOUBLE) AS value FROM p LEFT JOIN readings r ON r.series_id=p.series_id AND r.channel=p.channel AND r.seq=n-10+pos"""))
+ SELECT p.series_id, p.channel, pos::INTEGER AS pos, coalesce(value, 0.0::DOUBLE) AS value FROM p LEFT JOIN readings r ON r.series_id=p.series_id AND r.channel=p.channel AND r.seq=n-10+pos"""))
 def tail_window(t):
     tails = series.tail_window(t.readings.drop("ts"), 10)
     return tails.select("series_id", "channel", F.posexplode("values").alias("pos", "value"))
@@ -287,17 +287,17 @@ def _edges(t):
     return features.channel_graph(corr, nodes, 3, 0.3), nodes
 
 
-@query(with_tables("readings", body=EDGES + f" SELECT series_id, source, target, {r('affinity', 6, 'affinity')}, {r('weight', 7, 'weight')} FROM ed"))
+@query(with_tables("readings", body=EDGES + f" SELECT series_id, source, target, {r('affinity', 6, 'affinity')}, {r('weight', 9, 'weight')} FROM ed"))
 def channel_graph(t):
     edges, _ = _edges(t)
-    return edges.withColumn("weight", rounded("weight", 7)).withColumn("affinity", rounded("affinity", 6))
+    return edges.withColumn("weight", rounded("weight", 9)).withColumn("affinity", rounded("affinity", 6))
 
 
-@query(with_tables("readings", body=EDGES + f""" SELECT series_id, any_value(nodes) AS nodes, count(affinity) AS edge_count, {r('count(affinity)/(any_value(nodes)**2)', 6, 'density')}, {r('coalesce(avg(affinity),0)', 7, 'mean_affinity')}
+@query(with_tables("readings", body=EDGES + f""" SELECT series_id, any_value(nodes) AS nodes, count(affinity) AS edge_count, {r('count(affinity)/(any_value(nodes)**2)', 6, 'density')}, {r('coalesce(avg(affinity),0)', 9, 'mean_affinity')}
  FROM (SELECT series_id, count(*) AS nodes FROM nd GROUP BY series_id) LEFT JOIN ed USING (series_id) GROUP BY series_id"""))
 def graph_summary(t):
     out = features.graph_summary(*_edges(t))
-    return out.withColumn("density", rounded("density")).withColumn("mean_affinity", rounded("mean_affinity", 7))
+    return out.withColumn("density", rounded("density")).withColumn("mean_affinity", rounded("mean_affinity", 9))
 
 
 TAGS = {"vibration_x": "high_frequency_vibration", "force_z": "cutting_condition", "spindle_load": "spindle_dynamics", "rpm": "spindle_dynamics", "feed_rate": "feed_drive"}

@@ -35,7 +35,7 @@ def redact_tokens(t):
 
 
 @query(TOKENS + f""", e AS (SELECT doc_id, unnest(range(0, 64)) AS pos, tokens FROM tk), h AS (SELECT doc_id, pos, pos < len(tokens) AS mask, sha1(coalesce(tokens[pos+1], '')) AS h FROM e)
- SELECT doc_id, pos, CASE WHEN mask THEN 1 + {SWAPPED} % 8191 ELSE 0 END AS id, mask FROM h""")
+ SELECT doc_id, pos::INTEGER AS pos, CASE WHEN mask THEN 1 + {SWAPPED} % 8191 ELSE 0 END AS id, mask FROM h""")
 def encode_tokens(t):
     coded = text.encode_tokens(_tokens(t))
     return coded.select("doc_id", F.posexplode(F.arrays_zip(F.col("text_ids").alias("id"), F.col("text_mask").alias("mask"))).alias("pos", "e")).select(
