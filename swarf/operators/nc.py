@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from swarf.functions.hashing import sha1_head
 from swarf.functions.matching import literals
+from swarf.operators.lineage import checkpointed
 from swarf.operators.scan import BLOCK_ROWS, running, seq_blocks
 from swarf.rules import nc as rules
 
@@ -82,21 +83,29 @@ def nc_block_matrix(lines: DataFrame, max_blocks: int = rules.MATRIX_BLOCKS, row
     return filled.unionByName(padding)
 
 
-def nc_program_stats(lines: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Counts and feed / spindle ranges per program."""
-    blocks = nc_blocks(lines)
+def nc_motion_counts(lines: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Block count and blocks per motion kind; the motion code stays in force until the next one."""
     code = lambda w: F.bround(w["value"]).cast("long")
     g_motion = F.filter("words", lambda w: (w["letter"] == "G") & code(w).between(0, 3))
-    moved = F.when(F.size(g_motion) > 0, code(F.element_at(g_motion, -1)))
     has_axis = F.exists("words", lambda w: F.array_contains(literals(rules.MOTION_LETTERS), w["letter"]))
-    state = running(seq_blocks(blocks, "line_no", rows), [BY], ["line_no"], lasts={"motion": moved})
-    count = lambda letter, test: F.sum(F.size(F.filter("words", lambda w: (w["letter"] == letter) & test(code(w)))).cast("long"))
-    acts = has_axis | (F.size(g_motion) > 0)
-    motions = {n: F.count_if(acts & (F.col("motion") == i)).alias(n) for i, n in enumerate(("rapid", "linear", "cw_arc", "ccw_arc"))}
-    per_line = state.groupBy(BY).agg(
+    # only two small columns per line take part in the scan
+    compact = nc_blocks(lines).select(BY, "line_no", g_motion.alias("_g"), has_axis.alias("_axis")).select(
+        BY, "line_no", F.when(F.size("_g") > 0, code(F.element_at("_g", -1))).alias("_moved"), F.col("_axis")
+    )
+    state = running(seq_blocks(compact, "line_no", rows), [BY], ["line_no"], lasts={"motion": F.col("_moved")})
+    acts = F.col("_axis") | F.col("_moved").isNotNull()
+    return state.groupBy(BY).agg(
         F.count(F.lit(1)).alias("block_count"),
-        F.sum(F.size("words").cast("long")).alias("word_count"),
-        *motions.values(),
+        *[F.count_if(acts & (F.col("motion") == i)).alias(n) for i, n in enumerate(("rapid", "linear", "cw_arc", "ccw_arc"))],
+    )
+
+
+def nc_program_stats(lines: DataFrame, rows: int = BLOCK_ROWS, codes: DataFrame | None = None) -> DataFrame:
+    """Counts and feed / spindle ranges per program; ``codes`` is a ready ``code_table`` of the lines."""
+    count = lambda letter, test: F.sum(F.when((F.col("letter") == letter) & test(F.col("code")), F.col("uses")).otherwise(0))
+    of = lambda letter, column: F.when(F.col("letter") == letter, F.col(column))
+    words = (code_table(lines) if codes is None else codes).groupBy(BY).agg(
+        F.sum("uses").alias("word_count"),
         count("G", lambda c: c.between(80, 89)).alias("cycle_count"),
         count("G", lambda c: c == 90).alias("absolute_count"),
         count("G", lambda c: c == 91).alias("incremental_count"),
@@ -107,42 +116,39 @@ def nc_program_stats(lines: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
         count("M", lambda c: c.isin(7, 8)).alias("coolant_on_count"),
         count("M", lambda c: c == 9).alias("coolant_off_count"),
         count("M", lambda c: c == 1).alias("optional_stop_count"),
-    )
-    of = lambda letter, column: F.when(F.col("letter") == letter, F.col(column))
-    ranges = code_table(lines).filter(F.col("letter").isin("F", "S", "T")).groupBy(BY).agg(
+        F.count_if(F.col("letter") == "T").alias("tool_count"),
         *[
-            agg.alias(f"{name}_{kind}")
+            F.coalesce(agg, F.lit(0.0)).alias(f"{name}_{kind}")
             for letter, name in (("F", "feed"), ("S", "spindle"))
             for kind, agg in (
                 ("min", F.min(of(letter, "low"))), ("max", F.max(of(letter, "high"))),
                 ("mean", F.sum(of(letter, "total")) / F.sum(of(letter, "uses"))),
             )
         ],
-        F.count_if(F.col("letter") == "T").alias("tool_count"),
-    )
-    measured = [c for c in ranges.columns if c not in (BY, "tool_count")]
-    return per_line.join(ranges, BY, "left").withColumns(
-        {**{c: F.coalesce(c, F.lit(0.0)) for c in measured}, "tool_count": F.coalesce("tool_count", F.lit(0))}
     )
+    joined = nc_motion_counts(lines, rows).join(words, BY, "left")
+    zero = {f.name: F.coalesce(f.name, F.lit(0).cast(f.dataType)) for f in words.schema.fields if f.name != BY}
+    return joined.withColumns(zero)
 
 
-def nc_axis_spans(lines: DataFrame) -> DataFrame:
+def nc_axis_spans(lines: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     """Smallest and largest coordinate and their span per program and axis letter."""
-    axes = code_table(lines).filter(F.col("letter").isin(rules.AXIS_LETTERS))
+    axes = (code_table(lines) if codes is None else codes).filter(F.col("letter").isin(rules.AXIS_LETTERS))
     return axes.groupBy(BY, F.lower("letter").alias("axis")).agg(
         F.min("low").alias("axis_min"), F.max("high").alias("axis_max"), (F.max("high") - F.min("low")).alias("axis_span")
     )
 
 
-def nc_code_counts(lines: DataFrame) -> DataFrame:
+def nc_code_counts(lines: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     """Occurrences of every G and M code per program."""
-    return code_table(lines).filter(F.col("letter").isin("G", "M")).select(BY, "letter", "code", "uses")
+    return (code_table(lines) if codes is None else codes).filter(F.col("letter").isin("G", "M")).select(BY, "letter", "code", "uses")
 
 
-def nc_buckets(lines: DataFrame) -> DataFrame:
+def nc_buckets(lines: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     """Occurrences per hash bucket of the letter-code tokens; codes are written out in full."""
     token = F.concat("letter", F.col("code").cast("string"))
-    return code_table(lines).groupBy(BY, (sha1_head(token) % rules.BUCKETS).alias("bucket")).agg(F.sum("uses").alias("uses"))
+    table = code_table(lines) if codes is None else codes
+    return table.groupBy(BY, (sha1_head(token) % rules.BUCKETS).alias("bucket")).agg(F.sum("uses").alias("uses"))
 
 
 def _log_scale(value: Column, divisor: float) -> Column:
@@ -158,18 +164,20 @@ def _unit_entries(entries: Column) -> Column:
 
 def nc_vector(lines: DataFrame, dim: int = rules.CONTEXT_DIM) -> DataFrame:
     """Unit context vector per program as rows (program_id, dim, value), zero entries left out."""
-    stats = nc_program_stats(lines)
+    # the reduced code table feeds four branches and is written once
+    table = checkpointed(code_table(lines))
+    stats = nc_program_stats(lines, codes=table)
     motion = F.greatest(F.lit(1), F.col("rapid") + F.col("linear") + F.col("cw_arc") + F.col("ccw_arc"))
     scalars = [(F.col(n) / motion) if d is None else _log_scale(F.col(n), d) for n, d in rules.VECTOR_SCALARS]
     first = stats.select(BY, F.posexplode(F.array(*scalars)).alias("dim", "value"))
     offset = len(scalars)
     axis_at = F.array_position(literals([a.lower() for a in rules.AXIS_LETTERS]), F.col("axis")) - 1
-    spans = nc_axis_spans(lines).select(BY, (axis_at + offset).cast("int").alias("dim"), F.tanh(F.col("axis_span") / rules.SPAN_SCALE).alias("value"))
+    spans = nc_axis_spans(lines, table).select(BY, (axis_at + offset).cast("int").alias("dim"), F.tanh(F.col("axis_span") / rules.SPAN_SCALE).alias("value"))
     offset += len(rules.AXIS_LETTERS)
-    buckets = nc_buckets(lines).select(BY, (F.col("bucket") + offset).cast("int").alias("dim"), _log_scale(F.col("uses"), rules.BUCKET_DIVISOR).alias("value"))
+    buckets = nc_buckets(lines, table).select(BY, (F.col("bucket") + offset).cast("int").alias("dim"), _log_scale(F.col("uses"), rules.BUCKET_DIVISOR).alias("value"))
     offset += rules.BUCKETS
     group = F.concat(F.lower("letter"), F.lit("_codes:"), F.col("code").cast("string"))
-    codes = nc_code_counts(lines).select(
+    codes = nc_code_counts(lines, table).select(
         BY, (sha1_head(group) % (dim - offset) + offset).cast("int").alias("dim"), _log_scale(F.col("uses"), rules.CODE_DIVISOR).alias("value")
     )
     parts = first.unionByName(spans).unionByName(buckets)

@@ -154,7 +154,7 @@ class Tables:
     def nc_lines(self) -> DataFrame:
         """Control-program lines: one program per supplier, in cut order."""
         keys, order = ["l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
-        line = self.read("lineitem").select(*keys, *order, "l_quantity")
+        line = self.spread("lineitem").select(*keys, *order, "l_quantity")
         numbered = ordered_index(line, keys, order, F.unix_seconds(F.col("l_shipdate").cast("timestamp")), "line_no")
         return numbered.select(F.col("l_suppkey").alias("program_id"), "line_no", nc_text().alias("text"))
 
