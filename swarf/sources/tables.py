@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swarf.functions.matching import literals, lookup
+from swarf.operators.lineage import checkpointed
 from swarf.operators.scan import order_blocks, ordered_index, running
 
 # Fixed word lists from which raw channel names, path segments and labels are composed.
@@ -152,11 +153,15 @@ class Tables:
 
     @cached_property
     def nc_lines(self) -> DataFrame:
-        """Control-program lines: one program per supplier, in cut order."""
+        """Control-program lines: one program per supplier, in cut order.
+
+        Programs arrive as stored, numbered lines; the numbered stand-in is therefore written once and read
+        from there by the branches of a query.
+        """
         keys, order = ["l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
         line = self.spread("lineitem").select(*keys, *order, "l_quantity")
         numbered = ordered_index(line, keys, order, F.unix_seconds(F.col("l_shipdate").cast("timestamp")), "line_no")
-        return numbered.select(F.col("l_suppkey").alias("program_id"), "line_no", nc_text().alias("text"))
+        return checkpointed(numbered.select(F.col("l_suppkey").alias("program_id"), "line_no", nc_text().alias("text")))
 
     @cached_property
     def nc_unordered(self) -> DataFrame:
