@@ -176,49 +176,50 @@ def _merged(pdf: pd.DataFrame) -> tuple[dict[bytes, int], list[list[bytes]]]:
 def _bucket_totals(pdf: pd.DataFrame) -> pd.DataFrame:
     total, _ = _merged(pdf)
     known = [(w, c) for w, c in total.items() if c]
-    return pd.DataFrame({"_bucket": [pdf["_bucket"].iloc[0]], "_known": [b" ".join(w for w, _ in known)], "_counts": [np.array([c for _, c in known], "<i8").tobytes()], "_tokens": [sum(c for _, c in known)], "_distinct": [len(known)]})
+    return pd.DataFrame({"_bucket": [pdf["_bucket"].iloc[0]], "_known": [b" ".join(w for w, _ in known)], "_counts": [np.array([c for _, c in known], "<i8").tobytes()], "_tokens": [sum(c for _, c in known)], "_distinct": [len(known)], "_once": [sum(c == 1 for _, c in known)]})
 
 
-def learn_pieces(totals: DataFrame, path: str, texts: int, rounds: int) -> np.ndarray:
-    """Log probabilities of the vocabulary's pieces and of the end of a text (last), by expectation maximisation.
+def learn_pieces(totals: DataFrame, path: str, rounds: int) -> np.ndarray:
+    """Log probabilities of the vocabulary's pieces by expectation maximisation over the distinct training words.
 
     Scores start from the vocabulary's own order (a piece of rank r weighs 1 / (r + 3)).  Each round sums expected piece
-    counts over all distinct training words in Spark; what comes to the driver is one number per piece of the vocabulary.
+    counts in Spark; every distinct word counts once, because the pieces are there for words not seen.  What comes to the
+    driver is one number per piece of the vocabulary.
     """
     size = load_pieces(path).size
     log_p = -np.log(np.arange(size) + 3.0)
     log_p -= np.logaddexp.reduce(log_p)
-
     for _ in range(rounds):
-        current = log_p[:size]
 
-        def expect(batches, current=current):
+        def expect(batches, current=log_p):
             pieces, sums = load_pieces(path), np.zeros(size)
             for pdf in batches:
-                for known, counts in zip(pdf["_known"], pdf["_counts"]):
+                for known in pdf["_known"]:
                     if known:
-                        sums += expected_counts(pieces, known.split(b" "), np.frombuffer(counts, "<i8"), current)
+                        words = known.split(b" ")
+                        sums += expected_counts(pieces, words, np.ones(len(words)), current)
             used = np.flatnonzero(sums)
             yield pd.DataFrame({"piece": used, "uses": sums[used]})
 
-        rows = totals.select("_known", "_counts").mapInPandas(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
-        uses = np.full(size + 1, LEAST)
+        rows = totals.select("_known").mapInPandas(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
+        uses = np.full(size, LEAST)
         for row in rows:
             uses[row["piece"]] += row["uses"]
-        uses[size] += texts
         log_p = np.log(uses / uses.sum())
     return log_p
 
 
-def score_texts(docs: DataFrame, vocabulary: str, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, vocabulary: str, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Documents are dealt by hash into chunks of about CHUNK_BYTES.  A chunk gives its distinct words once to word buckets;
     a bucket sums the counts of its words over all chunks, so a frequent word is one entry per chunk, and returns count
     and lattice probability of each word to the chunks that asked.  Numbers of chunks and buckets grow with the bytes.
 
-    A text is its words and an end.  Its score is log10 of the product of the words' probabilities, each summed over all
-    segmentations into pieces of which exactly the last is word-final, and of the end.  Null texts are empty and score the
+    A text is its words and an end.  Its score is log10 of the product of their probabilities.  A word's probability sums
+    all its segmentations into pieces of which exactly the last is word-final; a word of the training texts also has an
+    arc over the whole word, weighing its frequency.  Pieces and whole words share by the part of training tokens that
+    occur once, which estimates how much of new text is unseen words; so all texts together have probability 1.  Null texts are empty and score the
     end alone; null ids are not held out; repeated rows count one by one; an empty table gives an empty result; extra
     columns are ignored.
     """
@@ -228,18 +229,23 @@ def score_texts(docs: DataFrame, vocabulary: str, rounds: int = 2, id_col: str =
     chunks = max(1, -(-size // CHUNK_BYTES))
     dealt = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), held.alias("_held"), (~held).cast("int").alias("_learn"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(chunks)).alias("_chunk"))
     asked = checkpointed(dealt.groupBy("_chunk").applyInPandas(_chunk_words("_chunk", chunks), "_chunk long, _bucket long, _words binary, _counts binary"))
-    totals = checkpointed(asked.groupBy("_bucket").applyInPandas(_bucket_totals, "_bucket long, _known binary, _counts binary, _tokens long, _distinct long"))
+    totals = checkpointed(asked.groupBy("_bucket").applyInPandas(_bucket_totals, "_bucket long, _known binary, _counts binary, _tokens long, _distinct long, _once long"))
     texts = docs.filter(~held).count()
-    tokens, distinct = totals.agg(F.coalesce(F.sum("_tokens"), F.lit(0)), F.coalesce(F.sum("_distinct"), F.lit(0))).first()
-    tokens, distinct = tokens + texts, distinct + (texts > 0)
-    log_p = learn_pieces(totals, vocabulary, texts, rounds)
+    words_seen, distinct, once = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("_tokens", "_distinct", "_once")]).first()
+    tokens, distinct = words_seen + texts, distinct + (texts > 0)
+    log_p = learn_pieces(totals, vocabulary, rounds)
     floor = tokens + LEAST * (distinct + 1)
-    to_ten = 1 / np.log(10.0)
+    unseen = (once + 1) / (words_seen + 2)
+    log_end = np.log((texts + 1) / (tokens + 2))
+    log_word = np.log1p(-np.exp(log_end))
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         total, rows = _merged(pdf)
         words = list(total)
-        score = dict(zip(words, word_scores(load_pieces(vocabulary), words, log_p).tolist()))
+        with np.errstate(divide="ignore"):
+            whole = np.log(np.array([total[w] for w in words]) / max(words_seen, 1))
+        both = np.logaddexp(np.log(unseen) + word_scores(load_pieces(vocabulary), words, log_p), np.log1p(-unseen) + whole)
+        score = dict(zip(words, (log_word + both).tolist()))
         return pd.DataFrame({
             "_chunk": pdf["_chunk"], "_words": pdf["_words"],
             "_counts": [np.array([total[w] for w in row], "<i8").tobytes() for row in rows],
@@ -263,7 +269,7 @@ def score_texts(docs: DataFrame, vocabulary: str, rounds: int = 2, id_col: str =
         end = np.log10((texts + LEAST) / floor)
         return pd.DataFrame({
             "doc_id": texts_of["_id"].astype("Int64"), "held_out": texts_of["_held"].astype(bool), "n_tokens": np.array(n, np.int64), "n_known": np.array(known, np.int64), "train_tokens": np.int64(tokens),
-            "base_score": np.array(plain, float) + end, "score": (np.array(model, float) + log_p[-1]) * to_ten,
+            "base_score": np.array(plain, float) + end, "score": (np.array(model, float) + log_end) / np.log(10.0),
         })
 
     answers = asked.groupBy("_bucket").applyInPandas(answer, "_chunk long, _words binary, _counts binary, _scores binary")
