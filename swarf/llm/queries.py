@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from swarf.llm import lattice, mixing, neighbours, sharding, token_files, toxicity, url_filter
+from swarf.llm import decontaminate, lattice, mixing, neighbours, sharding, token_files, toxicity, url_filter
 from swarf.llm.common import table
 
 QUERIES = {
     "op1_mix": lambda spark, sf_dir: mixing.op1_mix(table(spark, sf_dir, "documents")),
     "op2_token_files": lambda spark, sf_dir: token_files.op2_token_files(spark, table(spark, sf_dir, "documents")),
     "op4_url_filter": lambda spark, sf_dir: url_filter.op4_url_filter(table(spark, sf_dir, "pages")),
+    "op6_decontaminate": lambda spark, sf_dir: decontaminate.op6_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op7_toxicity": lambda spark, sf_dir: toxicity.op7_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op8_shard": lambda spark, sf_dir: sharding.op8_shard(table(spark, sf_dir, "documents")),
     "op9_neighbours": lambda spark, sf_dir: neighbours.op9_neighbours(table(spark, sf_dir, "embeddings")),

@@ -8,12 +8,13 @@ text is as toxic as its most toxic window, so a long text is not diluted.  Windo
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from swarf.llm.common import IS_SPACE, Words, pieces, prefix_hash
+from swarf.llm.common import IS_SPACE, LOWER, Words, pieces, prefix_hash
 
 GRAMS = (3, 4, 5)
 BUCKET_BITS = 17
@@ -23,6 +24,29 @@ WINDOW = 16
 TOXIC_PART = 0.3
 
 
+def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, words) of each window, for texts that follow one another with so many words each."""
+    per_doc = -(-counts // WINDOW)
+    docs = np.repeat(np.arange(len(counts)), per_doc)
+    first = np.concatenate([[0], np.cumsum(counts)])
+    begin = first[docs] + (np.arange(len(docs)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)) * WINDOW
+    return docs, begin, np.minimum(WINDOW, first[docs + 1] - begin)
+
+
+def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word number, bucket) of all n-grams of distinct words, and the number of n-grams of each word."""
+    owner, bucket, grams = [], [], []
+    for a, b in pieces(words, 1 << 20):
+        bags = Bags(words[a:b])
+        inside = bags.word_at()
+        for n in GRAMS:
+            at, code = bags.buckets(n)
+            owner.append(inside[at] + np.int32(a))
+            bucket.append(code)
+        grams.append(bags.grams)
+    return np.concatenate(owner), np.concatenate(bucket), np.concatenate(grams)
+
+
 class Bags:
     """Windows, words and n-gram buckets of some texts."""
 
@@ -37,11 +61,13 @@ class Bags:
         self.room = np.zeros(len(buffer) + 1, np.int32)
         inside = np.repeat(words.ends + 1, size - 2) - np.arange(int((size - 2).sum())) - np.repeat(words.starts - 1, size - 2) + np.repeat(np.cumsum(size - 2) - (size - 2), size - 2)
         self.room[np.repeat(words.starts - 1 - (np.cumsum(size - 2) - (size - 2)), size - 2) + np.arange(int((size - 2).sum()))] = inside
-        per_doc = -(-self.counts // WINDOW)
-        self.window_docs = np.repeat(np.arange(len(texts)), per_doc)
-        nth = np.arange(len(self.window_docs)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
-        self.window_first = words.first[self.window_docs] + nth * WINDOW
-        self.window_size = np.minimum(WINDOW, words.first[self.window_docs + 1] - self.window_first)
+        self.window_docs, self.window_first, self.window_size = windows(self.counts)
+
+    def word_at(self) -> np.ndarray:
+        """The word that the byte after each place belongs to."""
+        number = np.zeros(len(self.sums), np.int32)
+        number[self.words.starts[1:] - 1] = 1
+        return np.cumsum(number, dtype=np.int32)
 
     def buckets(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Places where an n-gram begins, and its bucket."""
@@ -90,32 +116,21 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 110, warm: int =
     vectors = rng.normal(0, 0.1, (1 << BUCKET_BITS, WIDTH)).astype(np.float32)
     softmax = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    if len(texts) == 0 or labels.min() == labels.max():
-        return np.zeros(1 << BUCKET_BITS), (-3.0 if len(texts) == 0 or labels.max() == 0 else 3.0)
-    bags = Bags(texts)
-    words = bags.words
-    # words that occur again share their n-grams: keep each distinct word's buckets once
-    _, where, same = np.unique(words.hashes(), return_index=True, return_inverse=True)
-    first = np.full(len(bags.sums), -1, np.int64)
-    size = words.ends[where] - words.starts[where]
-    at = np.repeat(words.starts[where] - 1, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    first[at] = np.repeat(np.arange(len(where)), size)
-    owner, bucket = [], []
-    for n in GRAMS:
-        begins, codes = bags.buckets(n)
-        mine = first[begins] >= 0
-        owner.append(first[begins[mine]].astype(np.int32))
-        bucket.append(codes[mine])
-    owner, bucket = np.concatenate(owner), np.concatenate(bucket)
-    grams = bags.grams[where]
+    if labels.min() == labels.max() or not any(t.split() for t in texts):
+        return np.zeros(1 << BUCKET_BITS), (3.0 if labels.min() == 1 else -3.0)
+    known: dict[bytes, int] = {}
+    spelled = [np.array([known.setdefault(w, len(known)) for w in text.translate(LOWER.tobytes()).split()], np.int32) for text in texts]
+    same = np.concatenate(spelled)
+    counts = np.array([len(x) for x in spelled])
+    docs, window_first, window_size = windows(counts)
+    owner, bucket, grams = grams_of(list(known))
+    del known, spelled
     weight = np.where(labels == 1, TOXIC_PART / labels.sum(), (1 - TOXIC_PART) / (labels == 0).sum()).astype(np.float64)
-    docs, has = bags.window_docs, bags.counts > 0
-    first_window = np.searchsorted(docs, np.arange(len(texts)))
     steps = [Adam(vectors.shape, rate), Adam(softmax.shape, rate), Adam(bias.shape, rate)]
     for epoch in range(epochs):
         value = vectors @ (softmax[:, 1] - softmax[:, 0])
-        scores = (np.bincount(owner, value[bucket], len(where)) / grams)[same]
-        means = bags.window_means(scores)
+        scores = (np.bincount(owner, value[bucket], len(grams)) / grams)[same]
+        means = np.add.reduceat(scores, window_first) / window_size
         if epoch < warm:
             share = 1.0 / np.bincount(docs, minlength=len(texts))[docs]
             used = np.arange(len(docs))
@@ -127,15 +142,11 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 110, warm: int =
             share = np.ones(len(docs))
         logit = np.clip(means[used] + bias[1] - bias[0], -50, 50)
         error = (1 / (1 + np.exp(-logit)) - labels[docs[used]]) * weight[docs[used]] * share[used]
-        per_word = np.repeat(error / bags.window_size[used], bags.window_size[used])
-        place = np.repeat(bags.window_first[used] - np.cumsum(bags.window_size[used]) + bags.window_size[used], bags.window_size[used]) + np.arange(len(per_word))
-        wanted = np.bincount(same[place], per_word, len(where)) / grams
-        moved = np.flatnonzero(wanted)
-        if len(moved) < len(where) // 4:
-            keep = wanted[owner] != 0
-            pull = np.bincount(bucket[keep], wanted[owner[keep]], 1 << BUCKET_BITS).astype(np.float32)
-        else:
-            pull = np.bincount(bucket, wanted[owner], 1 << BUCKET_BITS).astype(np.float32)
+        per_word = np.repeat(error / window_size[used], window_size[used])
+        place = np.repeat(window_first[used] - np.cumsum(window_size[used]) + window_size[used], window_size[used]) + np.arange(len(per_word))
+        wanted = np.bincount(same[place], per_word, len(grams)) / grams
+        keep = np.flatnonzero(wanted[owner])
+        pull = np.bincount(bucket[keep], wanted[owner[keep]], 1 << BUCKET_BITS).astype(np.float32)
         both = np.array([-1, 1], np.float32)
         slopes = (np.outer(pull, softmax @ both) + shrink * vectors, np.outer(vectors.T @ pull, both) + shrink * softmax, error.sum() * both)
         vectors -= steps[0].move(slopes[0])
@@ -144,16 +155,27 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 110, warm: int =
     return (vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float64), float(bias[1] - bias[0])
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int, seed: int = 17) -> tuple[list[bytes], np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, per_class: int, seed: int = 17) -> DataFrame:
     """At most ``per_class`` labelled training texts of either class, by a hash of the id; the bound is this parameter."""
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     usable = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     drawn = [usable.filter(F.col("toxic") == y).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    chosen = drawn[0].unionByName(drawn[1])
     # at most 2 * per_class ids
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return [(r["text"] or "").encode() for r in rows], np.array([r["toxic"] for r in rows], np.int64)
+    return docs.select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
+
+
+def fit(drawn: DataFrame) -> tuple[np.ndarray, float]:
+    """Train in one task on the bounded sample; what comes to the driver is one number per bucket, and the bias."""
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.fillna({"text": ""}).sort_values(["doc_id", "text"])
+        value, bias = train([t.encode() for t in pdf["text"]], pdf["toxic"].to_numpy(np.int64))
+        return pd.DataFrame({"value": [value.astype("<f4").tobytes()], "bias": [bias]})
+
+    row = drawn.groupBy(F.lit(0).alias("_all")).applyInPandas(learn, "value binary, bias double").first()
+    if row is None:
+        return np.zeros(1 << BUCKET_BITS, np.float32), -3.0
+    return np.frombuffer(row["value"], "<f4"), row["bias"]
 
 
 def score(docs: DataFrame, value: np.ndarray, bias: float, text_col: str = "text") -> DataFrame:
@@ -178,7 +200,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> DataF
     texts; nothing but the text enters a score.  Null labels and ids are not learned from; repeated rows score alike; an
     empty table gives an empty result; without labels of both classes all texts get one score.
     """
-    value, bias = train(*sample(docs, labels, per_class))
+    value, bias = fit(sample(docs, labels, per_class))
     return score(docs, value, bias)
 
 
