@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from swarf.llm import decontaminate, jaccard_join, lattice, mixing, neighbours, sharding, token_files, toxicity, url_filter
+from swarf.llm import decontaminate, jaccard_join, lattice, mixing, neighbours, repeats, sharding, token_files, toxicity, url_filter
 from swarf.llm.common import table
 
 QUERIES = {
     "op1_mix": lambda spark, sf_dir: mixing.op1_mix(table(spark, sf_dir, "documents")),
     "op2_token_files": lambda spark, sf_dir: token_files.op2_token_files(spark, table(spark, sf_dir, "documents")),
+    "op3_repeats": lambda spark, sf_dir: repeats.op3_repeats(table(spark, sf_dir, "documents")),
     "op4_url_filter": lambda spark, sf_dir: url_filter.op4_url_filter(table(spark, sf_dir, "pages")),
     "op5_jaccard_join": lambda spark, sf_dir: jaccard_join.op5_jaccard_join(table(spark, sf_dir, "documents")),
     "op6_decontaminate": lambda spark, sf_dir: decontaminate.op6_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
