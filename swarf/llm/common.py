@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from swarf.operators.lineage import checkpointed
 
-__all__ = ["SPACES", "WORD", "Words", "buffer_of", "checkpointed", "mix", "pieces", "powers", "source_key", "table"]
+__all__ = ["SPACES", "WORD", "Words", "buffer_of", "checkpointed", "mix", "pieces", "powers", "shared_folder", "source_key", "table", "unpacked", "with_row"]
 
 #: A word is a run of anything but these (space, and tab to carriage return); bytes.split() uses the same set.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -24,6 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_row(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The named columns, and all columns of the input in one struct _row, where their names meet no others."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(name) for name, c in columns.items()])
+
+
+def unpacked(frame: DataFrame, docs: DataFrame, *added: str) -> DataFrame:
+    """The columns of the input again, then the added ones; an input column of such a name gives way."""
+    taken = {name.lower() for name in added}
+    return frame.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in taken], *added)
+
+
 def source_key(column: str) -> Column:
     """A never-null text that keeps nulls apart from every other value."""
     return F.when(F.col(column).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(column).cast("string")))

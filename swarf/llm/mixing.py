@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from swarf.llm.common import WORD, checkpointed, source_key
+from swarf.llm.common import WORD, checkpointed, source_key, unpacked, with_row
 
 #: Sizes whose documents are given back before the knapsack, so that it has choices.
 RELEASED = 24
@@ -91,8 +91,8 @@ def _fit_source(pdf):
     return pdf[["_source", "_size", "_target", "_source_size"]].assign(_epochs=epochs, _picked=picked)
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 11, salts: int = 256, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents with ``_size`` (words), ``_source_size``, ``_target`` (words) and ``_copies`` in the mix.
+def planned(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 11, salts: int = 256, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """_row (the document) with ``_size`` (words), ``_source_size``, ``_target`` (words) and ``_copies`` in the mix.
 
     Sources in code-point order, null last, take the weights in turn and share as many words as there are; no target
     exceeds ``most`` times its source.  A source gives whole rounds of all its documents and, for the rest of its target,
@@ -103,20 +103,25 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: i
     nor a size is sorted in one task.
 
     Null or empty texts have size 0 and stay with whole rounds of their source (null sources are a source); repeated rows
-    count one by one; an empty table gives an empty result; other columns pass through.
+    count one by one; an empty table gives an empty result.
     """
     mark = F.xxhash64(F.lit(seed), F.col(id_col))
-    keyed = docs.withColumns({"_source": source_key(source_col), "_size": word_count(F.col(text_col)), "_mark": mark, "_slice": F.pmod(mark, F.lit(salts))})
+    keyed = with_row(docs, _source=source_key(source_col), _size=word_count(F.col(text_col)), _mark=mark, _slice=F.pmod(mark, F.lit(salts)))
     cells = checkpointed(keyed.groupBy("_source", "_size", "_slice").agg(F.count(F.lit(1)).alias("_cell")))
     counts = cells.groupBy("_source", "_size").agg(F.sum("_cell").alias("_count"))
     sizes = counts.groupBy("_source").agg(F.sum(F.col("_size") * F.col("_count")).alias("_source_size"))
     fitted = counts.join(source_targets(sizes, weights, most), "_source").groupBy("_source").applyInPandas(_fit_source, FIT_SCHEMA)
     earlier = Window.partitionBy("_source", "_size").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     plan = cells.withColumn("_earlier", F.coalesce(F.sum("_cell").over(earlier), F.lit(0))).join(fitted, ["_source", "_size"])
-    rank = F.row_number().over(Window.partitionBy("_source", "_size", "_slice").orderBy("_mark", id_col))
+    rank = F.row_number().over(Window.partitionBy("_source", "_size", "_slice").orderBy("_mark", f"_row.{id_col}"))
     joined = keyed.withColumn("_rank", rank).join(plan, ["_source", "_size", "_slice"])
     copies = F.col("_epochs") + (F.col("_rank") + F.col("_earlier") <= F.col("_picked")).cast("int")
-    return joined.select(*[F.col(c) for c in docs.columns], "_size", "_source_size", "_target", copies.alias("_copies"))
+    return joined.select("_row", "_size", "_source_size", "_target", copies.alias("_copies"))
+
+
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """The columns of the documents, then _size, _source_size, _target and _copies as :func:`planned` gives them."""
+    return unpacked(planned(docs, **options), docs, "_size", "_source_size", "_target", "_copies")
 
 
 def op1_mix(docs: DataFrame) -> DataFrame:
@@ -126,5 +131,4 @@ def op1_mix(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """Each document as often as the mix takes it, with the columns of the input."""
-    mixed = mix_sources(docs)
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return unpacked(planned(docs).select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))), docs)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from swarf.llm.common import checkpointed
+from swarf.llm.common import checkpointed, unpacked, with_row
 
 LOWEST = -(1 << 63)
 
@@ -75,10 +75,10 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int = 512, draws: int = 32,
     records that begin within its equal part of all bytes.  Slots count from 0 in the same order.
 
     Null and empty texts have size 1 and equal keys but for their ids; repeated rows are neighbours in any order; an empty
-    table gives an empty result; other columns pass through.
+    table gives an empty result; other columns pass through, but those named like an added one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"_size": (F.octet_length(text) + 1).cast("long"), "_crc": F.crc32(text.cast("binary")), "_hash": F.xxhash64(text), "_tie": F.xxhash64(F.col(id_col))})
+    keyed = with_row(docs, _size=(F.octet_length(text) + 1).cast("long"), _crc=F.crc32(text.cast("binary")), _hash=F.xxhash64(text), _tie=F.xxhash64(F.col(id_col)))
     keys = checkpointed(keyed.select("_size", "_crc", "_hash", "_tie"))
     rows, total = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
     weighed = keys.withColumn("_weight", F.col("_size") / F.lit(2.0 * max(total, 1)) + F.lit(0.5 / max(rows, 1)))
@@ -100,7 +100,8 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int = 512, draws: int = 32,
     first = F.lit(0)
     for number, begin in firsts.items():
         first = F.when(F.col("_shard") == number, F.lit(begin)).otherwise(first)
-    return placed(keyed).select(*[F.col(c) for c in docs.columns], "_size", "_crc", "_shard", (F.col("_rank") - first).cast("long").alias("_slot"))
+    slotted = placed(keyed).withColumn("_slot", (F.col("_rank") - first).cast("long"))
+    return unpacked(slotted, docs, "_size", "_crc", "_shard", "_slot")
 
 
 def op8_shard(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from swarf.llm.common import IS_SPACE, LOWER, Words, pieces, prefix_hash
+from swarf.llm.common import IS_SPACE, LOWER, Words, pieces, prefix_hash, unpacked, with_row
 
 GRAMS = (3, 4, 5)
 BUCKET_BITS = 17
@@ -179,22 +179,22 @@ def fit(drawn: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def score(docs: DataFrame, value: np.ndarray, bias: float, text_col: str = "text") -> DataFrame:
-    """The documents with ``_score``; texts without words (null, empty) get 0, other columns pass through."""
+    """_row (the document) and ``_score``; texts without words (null, empty) get 0."""
     small = value.astype(np.float32)
-    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
-    at = docs.columns.index(text_col)
+    packed = with_row(docs, _text=F.col(text_col))
+    schema = StructType([packed.schema["_row"], StructField("_score", DoubleType())])
 
     def scored(batches):
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
+            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             found = [Bags(texts[a:b]).text_scores(small, bias) for a, b in pieces(texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else np.zeros(0))], [*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found) if found else np.zeros(0))], ["_row", "_score"])
 
-    return docs.mapInArrow(scored, schema)
+    return packed.mapInArrow(scored, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> DataFrame:
-    """The documents with ``_score`` in [0, 1].
+    """_row (the document) and ``_score`` in [0, 1].
 
     Learns only from labelled rows whose crc32(doc_id as text) mod 4 is not 2, at most ``per_class`` of either class, whole
     texts; nothing but the text enters a score.  Null labels and ids are not learned from; repeated rows score alike; an
@@ -206,10 +206,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> DataF
 
 def op7_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = toxicity(docs.select("doc_id", "text"), labels)
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
+    held = F.coalesce(F.crc32(F.col("_row.doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return scored.select("_row.doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, limit: float = 0.3) -> DataFrame:
     """The documents that are not predicted toxic, with the columns of the input."""
-    return toxicity(docs, labels).filter(F.col("_score") < limit).select(*docs.columns)
+    return unpacked(toxicity(docs, labels).filter(F.col("_score") < limit), docs)

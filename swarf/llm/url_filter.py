@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swarf.llm.common import checkpointed
+from swarf.llm.common import checkpointed, unpacked, with_row
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)(?:href|src|action)\s*=\s*["']?\s*((?:[a-z][a-z0-9+.\-]*:)?//[^"'\s>]*)"""
@@ -92,18 +92,18 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, most_distrust:
     host is one row of it.  Pages meet their host's masses in an ordinary join that Spark may split when skewed.
 
     Null urls and urls without "://" have an empty host and path, no rule, and are allowed; null html has no links;
-    repeated pages count one by one; an empty table gives an empty result; other columns pass through.
+    repeated pages count one by one; an empty table gives an empty result; other columns pass through, but those named like an added one.
     """
-    host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    parts = pages.drop(html_col).withColumns({"_host": host, "_path": path})
+    kept = pages.drop(html_col)
+    parts = with_row(kept, _host=host_of(F.col(url_col)), _path=path_of(F.col(url_col)))
     ruled = parts.withColumn("_found", rule_of(F.col("_host"), F.col("_path"), rules))
     decided = ruled.filter(F.col("_found").isNotNull()).select("_host", F.col("_found.verdict").alias("_verdict"))
     trust = host_trust(decided, host_edges(pages, url_col, html_col))
     joined = ruled.join(trust, "_host", "left").fillna(0.0, ["_trust", "_distrust"])
     bad = F.col("_distrust") > (F.col("_trust") + F.col("_distrust")) * most_distrust
     verdict = F.coalesce(F.col("_found.verdict"), F.when(bad, F.lit("block")).otherwise(F.lit("allow")))
-    kept = [c for c in pages.columns if c != html_col]
-    return joined.select(*[F.col(c) for c in kept], "_host", "_path", F.col("_found.rule").alias("_rule"), verdict.alias("_verdict"), "_trust", "_distrust")
+    judged = joined.select("_row", "_host", "_path", F.col("_found.rule").alias("_rule"), verdict.alias("_verdict"), "_trust", "_distrust")
+    return unpacked(judged, kept, "_host", "_path", "_rule", "_verdict", "_trust", "_distrust")
 
 
 def op4_url_filter(pages: DataFrame) -> DataFrame:
