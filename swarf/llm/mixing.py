@@ -10,6 +10,7 @@ from swarf.llm.common import WORD, checkpointed, source_key, unpacked, with_row
 
 #: Sizes whose documents are given back before the knapsack, so that it has choices.
 RELEASED = 24
+RELEASED_WORDS = 4096
 FIT_SCHEMA = "_source string, _size long, _target double, _source_size long, _epochs int, _picked long"
 
 
@@ -40,7 +41,8 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     """How many documents of each size (> 0) to take so that their sizes sum to ``budget`` or just below.
 
     Every size first gives its share of documents, the fraction carried on to the next smaller size.  One taken document
-    of the largest size and one of each of the smallest sizes are then given back, and a bounded-knapsack program over the documents left fills the rest: bit b
+    of the largest size, one of each of the smallest sizes and, up to RELEASED_WORDS, more of them are then given back, and
+    a bounded-knapsack program over the documents left fills the rest: bit b
     of a big integer says that b words can be reached; copies of one size are added in doubling bundles.
     """
     take = np.zeros(len(sizes), np.int64)
@@ -60,6 +62,10 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     for i in [*taken[:1].tolist(), *taken[1:][-RELEASED:].tolist()]:
         take[i] -= 1
         owed -= int(sizes[i])
+    for i in taken[::-1].tolist():
+        n = min(int(take[i]), max(0, RELEASED_WORDS - (budget - owed)) // int(sizes[i]))
+        take[i] -= n
+        owed -= n * int(sizes[i])
     rest = budget - owed
     full = (1 << (rest + 1)) - 1
     reached, bundles = 1, []
