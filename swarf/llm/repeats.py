@@ -232,7 +232,7 @@ def repeated_starts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
         number = ((records["owner"].view(np.uint64) if done else records["key"]) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(number, kind="stable")
         records, number = records[order], number[order]
-        edge = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True])
+        edge = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True]) if len(number) else np.zeros(1, np.int64)
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
             yield int(number[a]), done, records[a:b].tobytes()
 

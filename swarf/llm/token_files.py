@@ -48,12 +48,12 @@ def _tokenizer(path: str):
 def _learn(tokenizer, cache: dict, words: list[bytes]) -> None:
     """Add the ids of new lower-case words to the cache.
 
-    A word of ASCII letters is one unit of the vocabulary's splitter and goes to its merge model directly; a full stop or
+    A word of small ASCII letters is one unit of the vocabulary's splitter and goes to its merge model directly; a full stop or
     comma after a letter or digit is a unit of its own; all other words take the whole way.
     """
     rest = []
     for word in words:
-        if word.isalpha():
+        if word.isalpha() and word.islower():
             cache[word] = array("I", [t.id for t in tokenizer.model.tokenize(word.decode())]).tobytes()
         elif word[-1] in b".," and word[-2:-1].isalnum():
             if word[:-1] not in cache:
