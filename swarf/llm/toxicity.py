@@ -22,6 +22,8 @@ WIDTH = 12
 WINDOW = 16
 #: Part of the training weight that toxic texts bear together.
 TOXIC_PART = 0.3
+#: Strength of the log odds that vectors start from, and words of usual odds that are added to each bucket for them.
+START, PRIOR = 20.0, 20.0
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,12 +107,22 @@ class Adam:
         return self.rate * (self.first / (1 - 0.9**self.step)) / (np.sqrt(self.second / (1 - 0.99**self.step)) + 1e-8)
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = 110, warm: int = 15, seed: int = 3, rate: float = 0.05, shrink: float = 2e-5) -> tuple[np.ndarray, float]:
+def _log_odds(same: np.ndarray, counts: np.ndarray, labels: np.ndarray, owner: np.ndarray, bucket: np.ndarray, words: int) -> np.ndarray:
+    """Per bucket, how much likelier than usual a word with it is in a toxic text; each text counts its distinct words."""
+    seen = np.unique(np.repeat(np.arange(len(counts)), counts) * words + same)
+    doc, word = seen // words, seen % words
+    toxic, other = (np.bincount(bucket, np.bincount(word, labels[doc] == y, words)[owner], 1 << BUCKET_BITS) for y in (1, 0))
+    part = toxic.sum() / (toxic.sum() + other.sum())
+    return np.log((toxic + PRIOR * part) / (other + PRIOR * (1 - part))) - np.log(part / (1 - part))
+
+
+def train(texts: list[bytes], labels: np.ndarray, epochs: int = 110, seed: int = 3, rate: float = 0.05, shrink: float = 2e-5) -> tuple[np.ndarray, float]:
     """Value of each bucket (its vector times the difference of the two softmax rows) and bias.
 
-    Vectors and softmax learn together from all texts at once.  In the first ``warm`` epochs every window of a text bears
-    the text's label, later only its most toxic one.  Since both classes see the same mean vector, the slopes of vectors
-    and softmax follow from one number per bucket: how much the error wants it changed.
+    Vectors and softmax learn together from all texts at once, each text through its most toxic window.  Vectors start
+    from chance and from the log odds of their bucket among words of toxic and other texts, along the direction that the
+    softmax tells apart.  Since both classes see the same mean vector, the slopes of vectors and softmax follow from one
+    number per bucket: how much the error wants it changed.
     """
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (1 << BUCKET_BITS, WIDTH)).astype(np.float32)
@@ -125,23 +137,22 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 110, warm: int =
     docs, window_first, window_size = windows(counts)
     owner, bucket, grams = grams_of(list(known))
     del known, spelled
+    across = softmax[:, 1] - softmax[:, 0]
+    odds = START * _log_odds(same, counts, labels, owner, bucket, len(grams))
+    vectors += np.outer(odds, across / (across @ across)).astype(np.float32)
+    bias += np.array([1.5, -1.5], np.float32)
     weight = np.where(labels == 1, TOXIC_PART / labels.sum(), (1 - TOXIC_PART) / (labels == 0).sum()).astype(np.float64)
     steps = [Adam(vectors.shape, rate), Adam(softmax.shape, rate), Adam(bias.shape, rate)]
-    for epoch in range(epochs):
+    for _ in range(epochs):
         value = vectors @ (softmax[:, 1] - softmax[:, 0])
         scores = (np.bincount(owner, value[bucket], len(grams)) / grams)[same]
         means = np.add.reduceat(scores, window_first) / window_size
-        if epoch < warm:
-            share = 1.0 / np.bincount(docs, minlength=len(texts))[docs]
-            used = np.arange(len(docs))
-        else:
-            best = np.full(len(texts), -np.inf)
-            np.maximum.at(best, docs, means)
-            hit = np.flatnonzero(means >= best[docs])
-            used = hit[np.unique(docs[hit], return_index=True)[1]]
-            share = np.ones(len(docs))
+        best = np.full(len(texts), -np.inf)
+        np.maximum.at(best, docs, means)
+        hit = np.flatnonzero(means >= best[docs])
+        used = hit[np.unique(docs[hit], return_index=True)[1]]
         logit = np.clip(means[used] + bias[1] - bias[0], -50, 50)
-        error = (1 / (1 + np.exp(-logit)) - labels[docs[used]]) * weight[docs[used]] * share[used]
+        error = (1 / (1 + np.exp(-logit)) - labels[docs[used]]) * weight[docs[used]]
         per_word = np.repeat(error / window_size[used], window_size[used])
         place = np.repeat(window_first[used] - np.cumsum(window_size[used]) + window_size[used], window_size[used]) + np.arange(len(per_word))
         wanted = np.bincount(same[place], per_word, len(grams)) / grams

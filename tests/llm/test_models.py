@@ -9,7 +9,7 @@ from llm_rows import make
 from swarf.llm import lattice, neighbours, toxicity, url_filter
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-SMALL = "/root/testdata/sf0.01"
+SMALL = "/root/testdata/sf0.1"
 
 
 def held(doc_id, part):
