@@ -19,16 +19,17 @@ from pyspark.sql import functions as F
 from swarf.llm.common import Words, checkpointed, mix, pieces
 
 SHINGLE = 5
-BUCKET_TOKENS = 2_500_000
+BUCKET_TOKENS = 1_500_000
 DEEPEST = 8  # most shared prefix tokens that a class may ask for
 VERIFY_COST = 8.0  # of one candidate, in entries of the prefix index
 ROUNDS = 3
+RARE = 24  # a shingle of more classes is hot
 CODE_BYTES = 6
 WEIGHTS = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 SETS = "doc_id long, n_shingles long, _class long"
 TOKENS = "_bucket long, _owners binary, _codes binary"
 OWNER = np.dtype([("owner", "<i8"), ("n", "<u4"), ("count", "<u4")])
-CANDIDATES = "_class long, _n int, _common int, _matches int, _prefix array<struct<token:long,level:int>>, _bag binary"
+CANDIDATES = "_class long, _n int, _common int, _hot int, _fame double, _matches int, _prefix array<struct<token:long,level:int,hot:boolean>>, _bag binary"
 
 
 def shingle_sets(texts: list[bytes]):
@@ -189,15 +190,27 @@ def _prefixes(pdf: pd.DataFrame) -> pd.DataFrame:
         matches = choose_matches(size, alone, classes[mine])
         used = mine[: prefix_length(size, matches) - alone]
         levels = np.maximum(alone + np.arange(len(used)) + 2 - prefix_length(size, 1), 1)
-        prefix = [{"token": t, "level": v} for t, v in zip(token[used].view(np.int64).tolist(), levels.tolist())]
-        rows.append((int(owner[mine[0]]), size, common, matches, prefix, np.sort(token[mine]).tobytes()))
-    return pd.DataFrame(rows, columns=["_class", "_n", "_common", "_matches", "_prefix", "_bag"])
+        hot = classes[mine] > RARE
+        prefix = [{"token": t, "level": v, "hot": h} for t, v, h in zip(token[used].view(np.int64).tolist(), levels.tolist(), hot.tolist())]
+        rows.append((int(owner[mine[0]]), size, common, int(hot.sum()), float(classes[mine].sum()) / size, matches, prefix, np.sort(token[mine]).tobytes()))
+    return pd.DataFrame(rows, columns=["_class", "_n", "_common", "_hot", "_fame", "_matches", "_prefix", "_bag"])
 
 
 def similar(common: Column, a: Column, b: Column) -> Column:
     return 100 * common >= 80 * (a + b - common)
 
 
+def _can_match(other: str) -> Column:
+    """Whether the row's token lets two classes be similar enough: over hot tokens only when those alone suffice.
+
+    Classes that need more than their hot shingles share a rare one.  Rare tokens come before hot ones in every prefix, so
+    such a pair meets over a rare token, and no pair needs the long list of a hot token without reason.
+    """
+    both = lambda c: F.least(c, other.format(c))
+    enough = lambda c: similar(both(c), F.col("_n"), F.col(other.format("_n")))
+    return enough("_common") & (~F.col("hot") | enough("_hot"))
+
+
 def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     """The pairs (a, b) that share enough, by their common tokens."""
 
@@ -218,29 +231,33 @@ def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
 def _star_round(entries: DataFrame, labels: DataFrame, bags: DataFrame, number: int) -> DataFrame:
     """Verified links (a, b) of classes to the leading class of one of their prefix tokens.
 
-    Each class tries the leader with which it shares most prefix tokens.  In the first round the class with the largest
-    part of common shingles leads, later one chosen by hash.  Only classes with another label are tried, so a group of
+    Each class tries the leader with which it shares most prefix tokens.  In the first round the class whose shingles are
+    in most classes leads, which is the middle of a group of near copies, later one chosen by hash.  Only classes with another label are tried, so a group of
     near copies costs one try per member, not one per pair.
     """
     now = entries.join(labels, "_class")
-    rank = F.struct((F.col("_common") / F.col("_n") if number == 0 else F.xxhash64(F.lit(number), "_class")).alias("r"), F.col("_class").alias("c"))
-    lead = now.groupBy("token").agg(F.max_by(F.struct("_class", "_n", "_common", "_label"), rank).alias("lead"), (F.min("_label") != F.max("_label")).alias("mixed")).filter("mixed")
-    tries = now.join(lead, "token").filter((F.col("_label") != F.col("lead._label")) & similar(F.least("_common", "lead._common"), F.col("_n"), F.col("lead._n")))
+    rank = F.struct((F.col("_fame") if number == 0 else F.xxhash64(F.lit(number), "_class")).alias("r"), F.col("_class").alias("c"))
+    lead = now.groupBy("token").agg(F.max_by(F.struct("_class", "_n", "_common", "_hot", "_label"), rank).alias("lead"), (F.min("_label") != F.max("_label")).alias("mixed")).filter("mixed")
+    tries = now.join(lead, "token").filter((F.col("_label") != F.col("lead._label")) & _can_match("lead.{}"))
     counted = tries.groupBy(F.col("_class").alias("a"), F.col("lead._class").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     best = counted.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
     return _verified(best, bags)
 
 
 def _other_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """All remaining candidates: classes of different labels that share as many prefix tokens as both ask for."""
+    """All remaining candidates: classes of different labels that share as many prefix tokens as both ask for.
+
+    A pair whose hot tokens do not suffice was not met over them, so one shared rare token makes it a candidate.
+    """
     now = entries.join(labels, "_class")
     mixed = now.groupBy("token").agg((F.min("_label") != F.max("_label")).alias("mixed")).filter("mixed").select("token")
     left = checkpointed(now.join(mixed, "token"))
     right = left.select(*[F.col(c).alias(f"r{c}") for c in left.columns])
     close = (F.col("token") == F.col("rtoken")) & (F.col("_class") < F.col("r_class")) & (F.col("_label") != F.col("r_label"))
-    close &= similar(F.least("_common", "r_common"), F.col("_n"), F.col("r_n"))
-    asked = F.least("_matches", "r_matches")
-    close &= F.greatest("level", "rlevel") <= asked
+    close &= _can_match("r{}")
+    over_hot = similar(F.least("_hot", "r_hot"), F.col("_n"), F.col("r_n"))
+    asked = F.when(over_hot, F.least("_matches", "r_matches")).otherwise(1)
+    close &= F.greatest("level", "rlevel") <= F.least("_matches", "r_matches")
     pairs = left.join(right, close).groupBy(F.col("_class").alias("a"), F.col("r_class").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(asked).alias("asked"))
     return pairs.filter("shared >= asked").select("a", "b")
 
@@ -282,7 +299,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     tokens = class_tokens(docs, text_col, buckets)
     common = tokens.groupBy("_bucket").applyInPandas(_common_tokens(buckets), "_slice long, _owners binary, _tokens binary, _classes binary")
     bags = checkpointed(common.groupBy("_slice").applyInPandas(_prefixes, CANDIDATES))
-    entries = bags.select("_class", "_n", "_common", "_matches", F.inline("_prefix"))
+    entries = bags.select("_class", "_n", "_common", "_hot", "_fame", "_matches", F.inline("_prefix"))
     labels = bags.select("_class", F.col("_class").alias("_label"))
     found = []
     for number in range(ROUNDS):
