@@ -1,6 +1,6 @@
 """Arrow-batched Fourier helpers on bounded ``array<double>`` columns.
 
-Spark prepares one short array per series and channel (a resampled grid, a window head, a context); these
+Spark prepares one short array per series and channel (a resampled grid, a window); these
 functions only turn such an array into its transform.
 """
 
@@ -19,11 +19,13 @@ def _rows(arrays: pd.Series, fn) -> pd.Series:
 
 
 def stretch(x: np.ndarray, length: int) -> np.ndarray:
-    if x.size == length:
-        return x
-    if x.size <= 1:
-        return np.full(length, x[0] if x.size else 0.0)
-    return np.interp(np.linspace(0, 1, length), np.linspace(0, 1, x.size), x)
+    """Linear interpolation onto ``length`` places between the first and the last reading; zeros without readings."""
+    if not x.size:
+        return np.zeros(length)
+    place = np.arange(length) * (x.size - 1) / max(length - 1, 1)
+    below = np.floor(place).astype(int)
+    above = np.minimum(below + 1, x.size - 1)
+    return x[below] + (place - below) * (x[above] - x[below])
 
 
 def standard(x: np.ndarray) -> np.ndarray:
@@ -35,9 +37,10 @@ def hann_spectrum(x: np.ndarray) -> np.ndarray:
     return np.fft.rfft(x * np.hanning(x.size))
 
 
-def frame_stats(x: np.ndarray, size: int = 128, hop: int = 64, frames: int = 32) -> np.ndarray:
+def frame_stats(x: np.ndarray, size: int = 128, hop: int = 64) -> np.ndarray:
+    """Mean and deviation of the log magnitudes over all whole frames."""
     x = stretch(x, size) if x.size < size else x
-    cut = np.lib.stride_tricks.sliding_window_view(x, size)[::hop][:frames]
+    cut = np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
     mags = np.log1p(np.abs(np.fft.rfft(cut * np.hanning(size), axis=1)))
     return np.concatenate([mags.mean(axis=0), mags.std(axis=0)])
 

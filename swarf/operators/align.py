@@ -43,14 +43,18 @@ def as_of_join(query: DataFrame, keys: DataFrame, value: str, order: Column, by:
     """For each query row the last key at or before its time and the number of keys it may see.
 
     Visible keys of a query are always a prefix in time order, so the causal mask is given by that count
-    instead of by all pairs.  ``order`` is a numeric form of ``time``.
+    instead of by all pairs.  ``order`` is a numeric form of ``time``.  Of several keys at one time the one with the
+    largest ``tie`` counts, if keys have that column, else the one with the largest value.  All query columns come back.
     """
-    left = query.select(by, time, tie, F.lit(None).cast(keys.schema[value].dataType).alias(value), F.lit(1).alias("_side"))
-    right = keys.select(by, time, F.lit(None).cast(query.schema[tie].dataType).alias(tie), value, F.lit(0).alias("_side"))
+    row = F.struct(*[F.col(f"`{c}`") for c in query.columns])
+    kind = query.schema[tie].dataType
+    own = F.col(tie).cast(kind) if tie in keys.columns else F.lit(None).cast(kind)
+    left = query.select(by, time, F.col(tie).alias("_tie"), F.lit(None).cast(keys.schema[value].dataType).alias("_value"), F.lit(1).alias("_side"), row.alias("_row"))
+    right = keys.select(by, time, own.alias("_tie"), F.col(value).alias("_value"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"))
     both = left.unionByName(right)
     blocked = order_blocks(both, [by], order)
     seen = running(
-        blocked, [by], [time, "_side", tie],
-        sums={"visible_keys": (F.col("_side") == 0).cast("long")}, lasts={"as_of": F.when(F.col("_side") == 0, F.col(value))},
+        blocked, [by], [time, "_side", "_tie", "_value"],
+        sums={"visible_keys": (F.col("_side") == 0).cast("long")}, lasts={"as_of": F.when(F.col("_side") == 0, F.col("_value"))},
     )
-    return seen.filter(F.col("_side") == 1).select(by, time, tie, "as_of", "visible_keys")
+    return seen.filter(F.col("_side") == 1).select(*[F.col(f"_row.`{c}`") for c in query.columns], "as_of", "visible_keys")

@@ -10,10 +10,13 @@ from swarf.operators.scan import order_blocks, running
 
 
 def number_batches(samples: DataFrame, batch: int, order: str = "sample_id") -> DataFrame:
-    """Consecutive batches of ``batch`` samples in sample order, ranked block by block."""
+    """Consecutive batches of ``batch`` samples in sample order, ranked block by block; ids are numbers or text."""
     if batch <= 0:
         raise ValueError("batch must be positive")
-    ranked = running(order_blocks(samples, [], F.col(order).cast("double")), [], [order], index="_i")
+    # the first seven bytes of a text as a number follow its order
+    head = F.conv(F.substring(F.rpad(F.hex(F.encode(F.col(order), "UTF-8")), 14, "0"), 1, 14), 16, 10)
+    place = head if samples.schema[order].dataType.simpleString() == "string" else F.col(order)
+    ranked = running(order_blocks(samples, [], place.cast("double")), [], [order], index="_i")
     return ranked.withColumn("batch", F.floor(F.col("_i") / batch)).drop("_i")
 
 

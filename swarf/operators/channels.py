@@ -28,13 +28,15 @@ def compatibility_form(names: pd.Series) -> pd.Series:
     return names.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
 
 
-def canonicalize_channels(names: DataFrame, column: str = "raw_name", unicode_names: bool = False) -> DataFrame:
+def canonicalize_channels(names: DataFrame, column: str = "raw_name", unicode_names: bool = True) -> DataFrame:
     """One row per distinct raw name with its canonical name and five attributes.
 
-    Set ``unicode_names`` when names may hold non-ASCII spellings of ASCII letters.
+    Non-ASCII spellings of ASCII letters take their compatibility form first; unset ``unicode_names`` to leave them.
     """
     distinct = names.select(F.col(column).alias("raw_name")).distinct()
-    base = compatibility_form("raw_name") if unicode_names else F.col("raw_name")
+    # plain ASCII names do not pass through Python
+    plain = F.col("raw_name").rlike(r"^[\x00-\x7F]*$")
+    base = F.coalesce(compatibility_form(F.when(~plain, F.col("raw_name"))), F.col("raw_name")) if unicode_names else F.col("raw_name")
     named = distinct.withColumn("_base", base).withColumn("normalized", normalize_name(F.col("_base"))).drop("_base")
     text, tokens, raw = F.col("normalized"), F.split("normalized", "_"), F.col("raw_name")
 

@@ -63,11 +63,15 @@ def conformal_threshold(scores: DataFrame, coverage: float = 0.95, by: Sequence[
     """Interpolated coverage quantile of the calibration scores; infinite without scores."""
     q = min(1.0, max(0.0, coverage))
     found = quantiles(scores, by, score, {"threshold": q})
+    if by:
+        found = scores.select(*by).distinct().join(found, list(by), "left")
     return found.withColumn("threshold", F.coalesce("threshold", F.lit(float("inf"))))
 
 
 def flag_anomalies(scores: DataFrame, threshold: DataFrame, by: Sequence[str], score: str = "score") -> DataFrame:
-    return scores.join(threshold, list(by)).withColumn("anomaly", F.col(score) > F.col("threshold"))
+    """Rows above their group's threshold; null scores and groups without a threshold are no anomalies."""
+    limit = F.coalesce(F.col("threshold"), F.lit(float("inf")))
+    return scores.join(threshold, list(by), "left").withColumn("anomaly", F.coalesce(F.col(score) > limit, F.lit(False)))
 
 
 def huber(error: Column) -> Column:

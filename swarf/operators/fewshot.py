@@ -1,8 +1,8 @@
 """Few-shot prediction of query rows from a small support set.
 
 The few-shot interface takes at most twenty support rows, so the support travels as one array value and
-every query row is answered on its own: no join and no shuffle of the queries.  ``knn_join`` also accepts
-larger supports; those are cut into blocks that meet the queries by block number.
+every query row is answered on its own: no join and no shuffle of the queries.  A stated query set can be
+held against a large support with ``knn_join_blocks``, which the caller chooses.
 """
 
 from __future__ import annotations
@@ -55,22 +55,25 @@ def _ranked(embedding: Column, support: Column, payload: list[str]) -> Column:
     return F.array_sort(near)
 
 
-def knn_join(query: DataFrame, support: DataFrame, k: int, payload: tuple[str, ...] = ("label",), block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Each query row with ``neighbors``: its ``k`` nearest support rows by distance, then support id.
+def knn_join(query: DataFrame, support: DataFrame, k: int, payload: tuple[str, ...] = ("label",)) -> DataFrame:
+    """Each query row with ``neighbors``: its ``k`` nearest rows of a few-shot support by distance, then support id."""
+    if k <= 0:
+        raise ValueError("k must be positive")
+    if support.isEmpty():
+        raise ValueError("at least one support row is required")
+    packed = query.withColumn("_s", pack_support(support, *payload))
+    return packed.withColumn("neighbors", F.slice(_ranked(F.col("embedding"), F.col("_s"), list(payload)), 1, k)).drop("_s")
 
-    The support size decides the plan: up to ``block_rows`` rows are one constant array; beyond that,
-    support blocks are joined to one query copy per block and the block results are merged, still exact.
+
+def knn_join_blocks(query: DataFrame, support: DataFrame, k: int, payload: tuple[str, ...] = ("label",), block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """As ``knn_join`` for a stated query set and a support of any size, exact.
+
+    Support blocks of about ``block_rows`` rows meet one query copy per block, and the block results are merged.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    rows = support.count()
-    if rows == 0:
-        raise ValueError("at least one support row is required")
     columns = list(payload)
-    if rows <= block_rows:
-        packed = query.withColumn("_s", pack_support(support, *columns))
-        return packed.withColumn("neighbors", F.slice(_ranked(F.col("embedding"), F.col("_s"), columns), 1, k)).drop("_s")
-    blocks = math.ceil(rows / block_rows)
+    blocks = max(1, math.ceil(support.count() / block_rows))
     held = support.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_b"), F.struct("id", "embedding", *columns).alias("_r"))
     packed = held.groupBy("_b").agg(F.collect_list("_r").alias("_s"))
     # block numbers repeat, so the query key is salted in to keep the join spread over all tasks

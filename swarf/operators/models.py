@@ -15,7 +15,6 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +24,7 @@ from swarf.operators.evaluate import regression_metrics
 from swarf.operators.lineage import checkpointed
 from swarf.operators.quantile import medians
 
-# Cluster families and their sizes.
+# Cluster families and their sizes; blend weights, support sizes and variants of the ablation.
 CLUSTER_FAMILIES = {"latent_tool": 12, "latent_material": 12, "latent_machine": 8, "latent_process": 8}
 ALPHA_GRID = [round(0.1 * i, 1) for i in range(11)]
 SHOTS = [None, 50, 25, 10, 5]
@@ -45,19 +44,42 @@ PHYSICS = ["tool_life_ratio", "force_ratio", "specific_cutting_energy_j_per_mm3"
 # --- single models on Spark ML -----------------------------------------------------------------------
 
 
-def fit_ridge(train: DataFrame, features: Sequence[str] | str, label: str, alpha: float = 1.0):
-    """Least squares with an L2 penalty ``alpha`` on the unscaled features.
+def fit_ridge(train: DataFrame, features: Sequence[str] | str, label: str, alpha: float = 1.0) -> DataFrame:
+    """Least squares with an L2 penalty ``alpha`` on the unscaled features, as one row of weights; nothing runs yet.
 
-    ``features`` is a list of columns or one array column.  Spark divides the penalty by the row count and
-    the label deviation, which is undone here.
+    A list of columns is fitted from one aggregate over any number of rows; one array column (an embedding) from a
+    few-shot support, which travels as one row.
     """
-    # training reads the rows several times
-    names = [features] if isinstance(features, str) else list(features)
-    train = checkpointed(train.select(*names, label))
-    shape = train.agg(F.count(label).alias("n"), F.stddev_pop(label).alias("s")).first()
-    penalty = alpha / shape["n"] * (shape["s"] or 1.0)
-    model = LinearRegression(featuresCol="_x", labelCol=label, predictionCol="prediction", regParam=penalty, elasticNetParam=0.0, standardization=False, solver="normal")
-    return model.fit(_assembled(train, features))
+    if isinstance(features, str):
+        return packed_ridge(train, features, F.array(F.col(label).cast("double")), alpha)
+    return grouped_ridge(train, [], features, label, alpha)
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def _solve_packed(rows: pd.Series, targets: pd.Series, alpha: pd.Series) -> pd.Series:
+    """Per target its weights and intercept, all from one Gram matrix of the few rows (the dual form)."""
+    solved = []
+    for x, y, a in zip(rows, targets, alpha):
+        x, y = np.stack([np.asarray(v, dtype=float) for v in x]), np.stack([np.asarray(v, dtype=float) for v in y])
+        centre, middle = x.mean(axis=0), y.mean(axis=0)
+        free = x - centre
+        gram = free @ free.T + a * np.eye(len(x))
+        weights = free.T @ np.linalg.lstsq(gram, y - middle, rcond=None)[0]
+        solved.append(np.column_stack([weights.T, middle - centre @ weights]).tolist())
+    return pd.Series(solved)
+
+
+def packed_ridge(support: DataFrame, embedding: str, targets: Column, alpha: float = 1.0) -> DataFrame:
+    """One row with ``lines``: for every target of a few-shot support the weights and, last, the intercept."""
+    pairs = support.select(F.col(embedding).alias("x"), targets.alias("y")).filter("x IS NOT NULL AND y IS NOT NULL AND forall(y, v -> v IS NOT NULL)")
+    packed = pairs.agg(F.collect_list("x").alias("x"), F.collect_list("y").alias("y"))
+    return packed.select(_solve_packed("x", "y", F.lit(float(alpha))).alias("lines"))
+
+
+def packed_predictions(df: DataFrame, lines: DataFrame, embedding: str, output: str) -> DataFrame:
+    """The array of all targets' predictions."""
+    one = lambda line: total(F.zip_with(embedding, F.slice(line, 1, F.size(embedding)), lambda v, w: v * w)) + F.element_at(line, -1)
+    return df.withColumn("_lines", lines.scalar()).withColumn(output, F.transform("_lines", one)).drop("_lines")
 
 
 def _assembled(df: DataFrame, features: Sequence[str] | str) -> DataFrame:
@@ -68,7 +90,10 @@ def _assembled(df: DataFrame, features: Sequence[str] | str) -> DataFrame:
 
 def apply_ridge(model, df: DataFrame, features: Sequence[str] | str, output: str = "predicted", floor: float | None = None) -> DataFrame:
     """Predictions as a column; ``floor`` limits them from below (remaining life is never negative)."""
-    found = model.transform(_assembled(df, features)).withColumnRenamed("prediction", output).drop("_x")
+    if isinstance(features, str):
+        found = packed_predictions(df, model, features, "_p").withColumn(output, F.col("_p")[0]).drop("_p")
+    else:
+        found = apply_grouped(df, model, [], features, output)
     return found if floor is None else found.withColumn(output, F.greatest(F.lit(float(floor)), F.col(output)))
 
 
@@ -95,13 +120,9 @@ def apply_logistic(model, df: DataFrame, features: Sequence[str] | str, output:
 
 
 def ridge_forecast(query: DataFrame, support: DataFrame, size: int, alpha: float = 1.0) -> DataFrame:
-    """One ridge model per forecast step from the embedding to a flat future array of ``size``."""
-    out = query
-    for step in range(size):
-        model = fit_ridge(support.withColumn("_y", F.col("target")[step]), "embedding", "_y", alpha)
-        out = apply_ridge(model, out, "embedding", f"_p{step}")
-    steps = [f"_p{i}" for i in range(size)]
-    return out.withColumn("prediction", F.array(*steps)).drop(*steps)
+    """Ridge from the embedding to every step of a flat future array of ``size``: one Gram matrix, many right-hand sides."""
+    lines = packed_ridge(support, "embedding", F.slice("target", 1, size), alpha)
+    return packed_predictions(query, lines, "embedding", "prediction")
 
 
 # --- grouped ridge -----------------------------------------------------------------------------------
@@ -124,6 +145,7 @@ def _solve(covariances: pd.Series, targets: pd.Series, rows: pd.Series, alpha: p
 def grouped_ridge(train: DataFrame, by: Sequence[str], features: Sequence[str], label: str, alpha: float = 1.0, standardize: bool = False) -> DataFrame:
     """Weights and intercept per group: (by…, weights, centers, scales, intercept)."""
     d = len(features)
+    train = train.dropna(subset=[*features, label])  # sums of complete rows only
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     x = [F.col(f).cast("double") for f in features]
     stats = train.groupBy(*by).agg(

@@ -1,4 +1,8 @@
-"""Spectral operators: Spark selects or resamples bounded arrays, NumPy transforms them in Arrow batches."""
+"""Spectral operators: Spark selects or resamples bounded arrays, NumPy transforms them in Arrow batches.
+
+A group of readings is one window and one array.  Series of any length are cut first by ``cut_windows``, which makes the
+window part of the key; no operator looks at a prefix of its group only.
+"""
 
 from __future__ import annotations
 
@@ -15,14 +19,21 @@ from swarf.operators.series import KEYS, group_sizes
 # Band edges in Hz, None = Nyquist.
 BANDS = [("low", 0.0, 100.0), ("mid", 100.0, 1000.0), ("high", 1000.0, None)]
 GRID = 256
-FRAME, HOP, FRAMES = 128, 64, 32
-HEAD = HOP * (FRAMES - 1) + FRAME
+WINDOWED = [*KEYS, "window"]
+
+
+def cut_windows(df: DataFrame, length: int) -> DataFrame:
+    """Add ``window``, the number of each run of ``length`` positions, and count ``seq`` from 0 within it.
+
+    The last window of a series may be shorter; with ``by=WINDOWED`` every operator here takes the windows as groups.
+    """
+    return df.withColumns({"window": F.floor(F.col("seq") / length).cast("long"), "seq": F.col("seq") % length})
 
 
-def window_arrays(df: DataFrame, length: int, by: Sequence[str] = KEYS, name: str = "values") -> DataFrame:
-    """First ``length`` readings of each group as an array in position order."""
+def window_arrays(df: DataFrame, by: Sequence[str] = KEYS, name: str = "values") -> DataFrame:
+    """All readings of each group as an array in position order; groups are windows and so bounded."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda s: s["value"])
-    return df.filter(F.col("seq") < length).groupBy(*by).agg(ordered.alias(name))
+    return df.groupBy(*by).agg(ordered.alias(name))
 
 
 def resample_linear(
@@ -49,7 +60,7 @@ def resample_linear(
 
 
 def resampled_arrays(df: DataFrame, points: Column | int, by: Sequence[str] = KEYS, name: str = "values") -> DataFrame:
-    return window_arrays(resample_linear(df, points, by=by).withColumnRenamed("pos", "seq"), 1 << 30, by, name)
+    return window_arrays(resample_linear(df, points, by=by).withColumnRenamed("pos", "seq"), by, name)
 
 
 def resize_series(df: DataFrame, channels: int, steps: int, by: str = "id") -> DataFrame:
@@ -67,9 +78,9 @@ def _share(values: Column, low: Column, high: Column, whole: Column) -> Column:
     return total(picked) / whole
 
 
-def dft_features(df: DataFrame, rate: float = 1.0, max_points: int = 512, by: Sequence[str] = KEYS) -> DataFrame:
-    """Energy, centroid, dominant frequency and entropy of the first ``max_points`` readings."""
-    held = window_arrays(df, max_points, by).withColumn("_p", spectra.power_spectrum("values")).withColumn("_n", F.size("values"))
+def dft_features(df: DataFrame, rate: float = 1.0, by: Sequence[str] = KEYS) -> DataFrame:
+    """Energy, centroid, dominant frequency and entropy of each window."""
+    held = window_arrays(df, by).withColumn("_p", spectra.power_spectrum("values")).withColumn("_n", F.size("values"))
     energy = total(F.col("_p")) + 1e-12
     freq = lambda i: i * F.lit(float(rate)) / F.col("_n")
     share = F.transform("_p", lambda v: v / F.col("band_energy"))
@@ -83,11 +94,11 @@ def dft_features(df: DataFrame, rate: float = 1.0, max_points: int = 512, by: Se
     )
 
 
-def profile_spectrum(df: DataFrame, by: Sequence[str] = KEYS, max_points: int = 512) -> DataFrame:
-    """Centroid, entropy and quarter-band shares of the mean-free head; zeros below four readings."""
+def profile_spectrum(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
+    """Centroid, entropy and quarter-band shares of the mean-free window; zeros below four readings."""
     by = list(by)
     means = df.groupBy(*by).agg(F.avg("value").alias("_m"), F.count(F.lit(1)).alias("_rows"))
-    held = window_arrays(df, max_points, by).join(means, by).withColumn("_x", F.transform("values", lambda v: v - F.col("_m")))
+    held = window_arrays(df, by).join(means, by).withColumn("_x", F.transform("values", lambda v: v - F.col("_m")))
     power = held.withColumn("_p", spectra.power_spectrum("_x")).withColumn("_t", total(F.col("_p")) + 1e-12)
     share = power.withColumn("_q", F.transform("_p", lambda v: v / F.col("_t"))).withColumn("_k", F.size("_q"))
     q, k = F.col("_q"), F.col("_k")
@@ -104,9 +115,9 @@ def profile_spectrum(df: DataFrame, by: Sequence[str] = KEYS, max_points: int =
     )
 
 
-def band_profile(df: DataFrame, by: Sequence[str] = KEYS, max_points: int = 4096) -> DataFrame:
+def band_profile(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
     """Eighth-band shares, centroid, spread and peak position of a window's power spectrum."""
-    held = window_arrays(df, max_points, by).withColumn("_p", spectra.power_spectrum("values"))
+    held = window_arrays(df, by).withColumn("_p", spectra.power_spectrum("values"))
     power = held.withColumns({"_t": F.greatest(total(F.col("_p")), F.lit(1e-8)), "_k": F.size("_p")})
     p, k, whole = F.col("_p"), F.col("_k"), F.col("_t")
     axis = lambda i: F.when(k > 1, i / (k - 1)).otherwise(0.0)
@@ -130,9 +141,9 @@ def fft_magnitude(df: DataFrame, length: int = GRID, by: Sequence[str] = KEYS) -
     return mags.select(*by, "magnitude", F.transform("magnitude", lambda v: F.log1p(v * v)).alias("log_power"))
 
 
-def _grid_points(n: Column) -> Column:
-    """Power of two covering ``n``, between 64 and 2048."""
-    return F.greatest(F.lit(64), F.least(F.lit(2048), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(8), n).cast("double"))))))
+def _grid_points(n: Column, least: int = 64, most: int = 2048) -> Column:
+    """Power of two covering ``n``, between ``least`` and ``most``: the resolution of the band grid, not a cut of the series."""
+    return F.greatest(F.lit(least), F.least(F.lit(most), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(8), n).cast("double"))))))
 
 
 def _bands(magnitudes: DataFrame, rate: float | None, bands, keep: Sequence[str]) -> DataFrame:
@@ -152,18 +163,18 @@ def _bands(magnitudes: DataFrame, rate: float | None, bands, keep: Sequence[str]
     )
 
 
-def band_energy(df: DataFrame, rate: float | None, bands=BANDS, by: Sequence[str] = KEYS) -> DataFrame:
+def band_energy(df: DataFrame, rate: float | None, bands=BANDS, by: Sequence[str] = KEYS, most_points: int = 2048) -> DataFrame:
     """Energy share of each closed band, centroid and peak on a power-of-two grid.
 
     As a vector the share of the last band is repeated at the end; ``frequency_view`` adds it there.
     """
-    held = resampled_arrays(df, _grid_points(F.col("n")), by)
+    held = resampled_arrays(df, _grid_points(F.col("n"), most=most_points), by)
     return _bands(held.withColumns({"_m": spectra.hann_magnitude("values"), "_n": F.size("values")}), rate, bands, by)
 
 
 def stft_summary(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
-    """Mean and deviation over at most 32 Hann frames of 128 readings, hop 64."""
-    return window_arrays(df, HEAD, by).select(*by, spectra.short_time_summary("values").alias("summary"))
+    """Mean and deviation over all Hann frames of 128 readings, hop 64, of each window."""
+    return window_arrays(df, by).select(*by, spectra.short_time_summary("values").alias("summary"))
 
 
 def width_energies(df: DataFrame, limit: int = 64, scales: int = 32, by: Sequence[str] = KEYS, rows: int = 4096) -> DataFrame:
@@ -187,19 +198,32 @@ def width_energies(df: DataFrame, limit: int = 64, scales: int = 32, by: Sequenc
     return summed.select(*by, "scale", width.alias("width"), F.log1p(F.sqrt(F.col("_s") / F.col("n"))).alias("energy"))
 
 
+def repaired(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Null, NaN and infinite readings replaced by the median of their group's finite ones, 0 without any."""
+    from swarf.operators.quantile import medians
+
+    finite = F.when(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
+    marked = df.withColumn("value", finite)
+    middle = medians(marked, list(by), "value", "_middle")
+    return marked.join(middle, list(by), "left").withColumn("value", F.coalesce("value", "_middle", F.lit(0.0))).drop("_middle")
+
+
 def frequency_view(
     df: DataFrame, rate: float | None, transforms: Sequence[str] = ("fft", "stft", "cwt"), length: int = 512, by: Sequence[str] = KEYS, window: int | None = None
 ) -> DataFrame:
     """Chosen transforms side by side, resampled to ``length`` and standardised.
 
-    With ``window`` only the first ``window`` readings count and each group is one bounded array; without
-    it, series of any length are resampled and smoothed by joins and blocks.
+    Missing and non-finite readings take the median of their group first.  With ``window`` series are cut into windows
+    of so many readings, each one bounded array, and ``window`` joins the keys; without it, series of any length are
+    resampled and smoothed by joins and blocks.
     """
     by = list(by)
+    df = repaired(df, by)
     grid, wanted = min(GRID, length), {t.lower() for t in transforms}
     fft = "fft" in wanted or not wanted
     if window:
-        held = window_arrays(df, window, by)
+        df, by = cut_windows(df, window), [*by, "window"]
+        held = window_arrays(df, by)
         if fft:
             held = held.withColumn("_g", spectra.hann_magnitude(spectra.stretched("values", F.lit(grid))))
         if "fft" in wanted:
@@ -246,9 +270,9 @@ def first_rpm(df: DataFrame, channel_order: DataFrame, by: str = "series_id") ->
     return medians(values, [by], "value", "rpm").withColumn("rpm", F.when(F.col("rpm") > 0, F.col("rpm")))
 
 
-def order_features(df: DataFrame, rpm: DataFrame, rate: float, orders: int = 8, context: int = 4096, by: Sequence[str] = KEYS) -> DataFrame:
+def order_features(df: DataFrame, rpm: DataFrame, rate: float, orders: int = 8, by: Sequence[str] = KEYS) -> DataFrame:
     """Standardised amplitudes at multiples of the rotation frequency; zeros without a speed."""
-    held = window_arrays(df, context, by).join(rpm, "series_id", "left")
+    held = window_arrays(df, by).join(rpm, "series_id", "left")
     return held.select(*by, _orders(rate, orders).alias("orders"))
 
 
@@ -257,15 +281,15 @@ def _orders(rate: float, orders: int) -> Column:
 
 
 def multirate_spectrum(
-    df: DataFrame, rpm: DataFrame, rate: float, transforms: Sequence[str] = ("fft", "stft", "cwt"), length: int = 512, context: int = 4096,
+    df: DataFrame, rpm: DataFrame, rate: float, transforms: Sequence[str] = ("fft", "stft", "cwt"), length: int = 512,
     by: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Magnitude, phase, short-time, box-width and order features of a context, resampled and standardised.
+    """Magnitude, phase, short-time, box-width and order features of a window, resampled and standardised.
 
-    The context is one bounded array per group, so all features come from one grouping.
+    The window is one bounded array per group, so all features come from one grouping.
     """
     by, wanted, parts = list(by), {t.lower() for t in transforms}, []
-    held = window_arrays(df, context, by).join(rpm, "series_id", "left").withColumn("orders", _orders(rate, 8))
+    held = window_arrays(df, by).join(rpm, "series_id", "left").withColumn("orders", _orders(rate, 8))
     if "fft" in wanted:
         held = held.withColumn("_g", spectra.stretched("values", F.lit(GRID)))
         held = held.withColumns({"_mag": spectra.hann_magnitude("_g"), "_phase": spectra.unwrapped_phase("_g")})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swarf.functions.spectra import stretched
 from swarf.operators import catalog, channels, nc, series, spectral, text
 from swarf.operators.lineage import checkpointed
 
@@ -42,8 +43,11 @@ def training_table(
     cut = series.sample_window(kept, window, salt)
     # the sampled windows are a fraction of the readings and feed several branches: written once
     cut = checkpointed(cut.select(*keys, (F.col("seq") - F.col("start")).alias("seq"), "value"))
-    values = spectral.window_arrays(series.clip_standardize(cut).select(*keys, "seq", F.col("scaled").alias("value")), window)
-    views = spectral.frequency_view(cut, rate, length=frequency_length, window=window)
+    cut = spectral.repaired(cut, keys)
+    values = spectral.window_arrays(series.clip_standardize(cut).select(*keys, "seq", F.col("scaled").alias("value")))
+    # rows of one length: shorter series are stretched over the window
+    values = values.withColumn("values", stretched("values", F.lit(window)))
+    views = spectral.frequency_view(cut, rate, length=frequency_length, window=window).drop("window")
     described = cut.select(*keys).distinct().join(dim, "channel").groupBy("series_id").agg(
         F.collect_set("quantity").alias("quantities"), F.collect_set("source").alias("sources")
     )

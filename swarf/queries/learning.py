@@ -32,7 +32,7 @@ def knn_join(t):
  k AS (SELECT q.id, s.id AS support_id, list_distance(q.embedding, s.embedding) AS d, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.embedding, s.embedding), s.id) AS k FROM q, s)
  SELECT id, (k-1)::INTEGER AS pos, support_id, {r('d', 6, 'distance')} FROM k WHERE k <= 3"""))
 def knn_join_blocks(t):
-    near = fewshot.knn_join(t.vectors.filter("label >= 7"), t.vectors.filter("label < 7"), 3, block_rows=64)
+    near = fewshot.knn_join_blocks(t.vectors.filter("label >= 7"), t.vectors.filter("label < 7"), 3, block_rows=64)
     return near.select("id", F.posexplode("neighbors").alias("pos", "n")).select("id", "pos", "n.support_id", rounded("n.distance").alias("distance"))
 
 
@@ -92,7 +92,7 @@ def knn_forecast(t):
 
 @query()
 def ridge_forecast(t):
-    return round_columns(_steps(models.ridge_forecast(*_forecast_frames(t), 3)), ["prediction"])
+    return round_columns(_steps(models.ridge_forecast(*_forecast_frames(t), 8)), ["prediction"])
 
 
 @query(with_tables("predictions", body=f" SELECT l_orderkey, l_linenumber, l_partkey, tool_id, l_shipdate, {r('(1-least(1,greatest(0,sin(target))))*predicted + least(1,greatest(0,sin(target)))*target', 6, 'prediction')} FROM predictions"))
@@ -148,12 +148,11 @@ def rul_ridge(t):
     return out.select("tool_id", "cut", rounded("predicted", 4).alias("predicted"))
 
 
-@query(with_tables("cuts", body=RIDGE.format(y="wear_vb_mm").replace(" FROM cuts WHERE", ", 0 AS z FROM cuts WHERE").replace("FROM tr)", "FROM tr WHERE tool_id % 6 = 0 GROUP BY ALL)") + f" SELECT tool_id, cut, {r('my + w1*(force_n-m1) + w2*(cutting_speed-m2)', 6, 'predicted')} FROM cuts, w WHERE condition_id = 'c1'"))
+@query(with_tables("cuts", body=RIDGE.format(y="wear_vb_mm").replace(" FROM cuts WHERE", ", 0 AS z FROM cuts WHERE").replace("WHERE condition_id NOT IN ('c5','c6')", "").replace("g AS (SELECT ", "g AS (SELECT condition_id, ").replace("FROM tr)", "FROM tr GROUP BY condition_id)").replace("w AS (SELECT ", "w AS (SELECT condition_id, ") + f" SELECT tool_id, cut, {r('my + w1*(force_n-m1) + w2*(cutting_speed-m2)', 6, 'predicted')} FROM cuts JOIN w USING (condition_id)"))
 def grouped_ridge(t):
     cuts, _ = _split_cuts(t)
-    first = cuts.filter("condition_id = 'c1'")
     weights = models.grouped_ridge(cuts, ["condition_id"], ["force_n", "cutting_speed"], "wear_vb_mm")
-    return models.apply_grouped(first, weights, ["condition_id"], ["force_n", "cutting_speed"], "predicted").select("tool_id", "cut", rounded("predicted").alias("predicted"))
+    return models.apply_grouped(cuts, weights, ["condition_id"], ["force_n", "cutting_speed"], "predicted").select("tool_id", "cut", rounded("predicted").alias("predicted"))
 
 
 CALIBRATED = PREPARED + """, b AS (SELECT *, least(1, elapsed_min/pow(taylor_c/(cutting_speed*pow(feed,taylor_m)*pow(axial_depth,taylor_p)), 1/taylor_n)) AS tl, 0.05::DOUBLE + force_n/50000 AS p FROM k),
@@ -205,7 +204,7 @@ def few_shot_curve(t):
 def stage_logistic(t):
     cuts, _ = _split_cuts(t)
     staged = physics.wear_stage(cuts)
-    model = models.fit_logistic(staged.filter(~F.col("condition_id").isin("c5", "c6")), ["force_n", "cutting_speed"], "wear_stage", iterations=50)
+    model = models.fit_logistic(staged.filter(~F.col("condition_id").isin("c5", "c6")), ["force_n", "cutting_speed"], "wear_stage")
     out = models.apply_logistic(model, staged.filter("condition_id = 'c6'"), ["force_n", "cutting_speed"])
     return evaluate.classification_metrics(out.withColumnRenamed("wear_stage", "target"))
 
@@ -324,7 +323,7 @@ SLOTS = """, v AS (SELECT series_id AS sample_id, channel, list(value ORDER BY s
 def _slots(t):
     from pyspark.sql import Window as W
 
-    arrays = spectral.window_arrays(t.readings.drop("ts"), 4096).withColumnRenamed("series_id", "sample_id")
+    arrays = spectral.window_arrays(t.readings.drop("ts")).withColumnRenamed("series_id", "sample_id")
     kept = arrays.filter(~((F.col("sample_id") % 3 == 0) & (F.col("channel") == "rpm")))
     return kept.withColumn("slot", F.row_number().over(W.partitionBy("sample_id").orderBy("channel")) - 1).select("sample_id", "slot", "values")
 

@@ -39,12 +39,11 @@ def tool_life_features(t):
     return out.select("tool_id", "cut", rounded(F.log("tool_life_min")).alias("log_life"), rounded("tool_life_ratio").alias("tool_life_ratio"), rounded(F.log1p("taylor_rul_min")).alias("log_rul"))
 
 
-@query(with_tables("cuts", body=PREPARED + f""", m AS (SELECT tool_id, avg(force_n) AS f FROM cuts GROUP BY tool_id), x AS (SELECT *, feed*sqrt(engagement) AS h FROM k JOIN m USING (tool_id) WHERE kc11 IS NOT NULL)
+@query(with_tables("cuts", body=PREPARED + f""", m AS (SELECT tool_id, cut, avg(force_n) AS f FROM cuts GROUP BY tool_id, cut), x AS (SELECT *, feed*sqrt(engagement) AS h FROM k JOIN m USING (tool_id, cut))
  SELECT tool_id, cut, {r('h', 6, 'chip_thickness_mm')}, {r('kc11*pow(h,-mc)', 5, 'specific_force')}, {r('f/(kc11*cutting_width*pow(h,1-mc))', 6, 'force_ratio')}, {r('f-kc11*cutting_width*pow(h,1-mc)', 5, 'force_delta_n')} FROM x"""))
 def force_features(t):
-    cuts = prepared(t).filter(F.col("kc11").isNotNull())
-    measured = physics.mean_force(t.read("lineitem").select(F.col("l_suppkey").alias("tool_id"), (F.col("l_extendedprice") / 50.0).alias("force_n")), ["tool_id"])
-    out = physics.force_features(cuts.join(measured, "tool_id")).select("tool_id", "cut", "chip_thickness_mm", "specific_force", "force_ratio", "force_delta_n")
+    measured = physics.mean_force(t.cuts.select("tool_id", "cut", "force_n"), ["tool_id", "cut"])
+    out = physics.force_features(prepared(t).join(measured, ["tool_id", "cut"])).select("tool_id", "cut", "chip_thickness_mm", "specific_force", "force_ratio", "force_delta_n")
     return round_columns(round_columns(out, ["chip_thickness_mm", "force_ratio"]), ["specific_force", "force_delta_n"], 5)
 
 
@@ -56,9 +55,9 @@ def energy_features(t):
 
 
 @query(with_tables("cuts", body=PREPARED + f""" SELECT tool_id, cut, CASE WHEN tool_id % 2 = 0 THEN {r('archard_k*force_n*cutting_speed/hardness', 8)} END AS wear_volume_mm3,
- CASE WHEN tool_id % 2 = 1 THEN {r('1e6*usui_b1*force_n*cutting_speed*exp(-usui_b2/(900+feed*100))', 7)} END AS wear_rate FROM k WHERE kc11 IS NOT NULL"""))
+ CASE WHEN tool_id % 2 = 1 THEN {r('1e6*usui_b1*force_n*cutting_speed*exp(-usui_b2/(900+feed*100))', 7)} END AS wear_rate FROM k"""))
 def wear_models(t):
-    cuts = prepared(t).filter(F.col("kc11").isNotNull()).withColumns(
+    cuts = prepared(t).withColumns(
         {
             "archard_available": F.col("tool_id") % 2 == 0, "usui_available": F.col("tool_id") % 2 == 1, "normal_force_n": F.col("force_n"),
             "sliding_distance_mm": F.col("cutting_speed"), "contact_stress": F.col("force_n"), "sliding_velocity": F.col("cutting_speed"),

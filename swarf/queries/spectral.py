@@ -96,6 +96,46 @@ def width_energies(t):
     return round_columns(spectral.width_energies(t.readings.drop("ts")), ["energy"])
 
 
+# series of hundreds of readings, cut into windows: all of them count
+LONG = with_tables("cuts", body=", readings AS (SELECT tool_id AS series_id, 'w' || (cut // {n}) AS channel, cut % {n} AS seq, force_n / 1000 AS value FROM cuts)")
+
+
+def _long(t, n):
+    cuts = t.cuts.select(F.col("tool_id").alias("series_id"), F.lit("force").alias("channel"), F.col("cut").alias("seq"), (F.col("force_n") / 1000).alias("value"))
+    return spectral.cut_windows(cuts, n)
+
+
+def _window_names(df):
+    return df.withColumn("channel", F.concat(F.lit("w"), "window")).drop("window")
+
+
+@query(LONG.format(n=128) + HEADS + dft("x") + f""", t AS (SELECT *, sum(p) OVER (PARTITION BY {BY}) + 1e-12 AS tot FROM sp)
+ SELECT series_id, channel, {r('any_value(tot)', 3, 'band_energy')}, {r('sum(k*50.0/n*p/tot)', 5, 'spectral_centroid')}, {r('-sum(p/tot*ln(p/tot+1e-12))', 5, 'spectral_entropy')} FROM t GROUP BY ALL""")
+def dft_features_windows(t):
+    out = _window_names(spectral.dft_features(_long(t, 128), 50.0, by=spectral.WINDOWED).drop("dominant_frequency"))
+    return round_columns(round_columns(out, ["spectral_centroid", "spectral_entropy"], 5), ["band_energy"], 3)
+
+
+@query(LONG.format(n=96) + HEADS + dft("x") + f""", t AS (SELECT *, greatest(sum(p) OVER (PARTITION BY {BY}), 1e-8) AS tot, n//2+1 AS m, CASE WHEN n > 1 THEN k/(n//2) ELSE 0 END AS ax FROM sp),
+ u AS (SELECT *, sum(p*ax) OVER (PARTITION BY {BY})/tot AS cen FROM t)
+ SELECT series_id, channel, {r('coalesce(sum(p/tot) FILTER (k < greatest(1, m//8)), 0)', 5, 'low')}, {r('coalesce(sum(p/tot) FILTER (k >= m//8 AND k < greatest(m//2, m//8+1)), 0)', 5, 'mid')},
+ {r('coalesce(sum(p/tot) FILTER (k >= greatest(1, m//2)), 0)', 5, 'high')}, {r('any_value(cen)', 5, 'centroid')}, {r('sqrt(sum(p*(ax-cen)**2/tot))', 5, 'spread')} FROM u GROUP BY ALL""")
+def band_profile_windows(t):
+    out = _window_names(spectral.band_profile(_long(t, 96), by=spectral.WINDOWED).drop("peak"))
+    return round_columns(out, ["low", "mid", "high", "centroid", "spread"], 5)
+
+
+@query(LONG.format(n=512) + f""", c AS (SELECT series_id, channel, count(*) AS n FROM readings GROUP BY ALL), f AS (SELECT series_id, channel, unnest(range(0, (n-128)//64+1)) AS fr FROM c WHERE n >= 128),
+ x AS (SELECT f.series_id, f.channel, fr, seq - fr*64 AS j, value*(0.5-0.5*cos(2*pi()*(seq - fr*64)/127)) AS x FROM f JOIN readings USING (series_id, channel) WHERE seq BETWEEN fr*64 AND fr*64+127),
+ s AS (SELECT series_id, channel, fr, k, ln(1+sqrt(sum(x*cos(2*pi()*k*j/128))**2 + sum(x*sin(2*pi()*k*j/128))**2)) AS v FROM (SELECT *, unnest(range(0, 65)) AS k FROM x) GROUP BY ALL)
+ SELECT series_id, channel, k::INTEGER AS bin, {r('avg(v)', 5, 'value')} FROM s GROUP BY series_id, channel, k UNION ALL SELECT series_id, channel, (k+65)::INTEGER, {r('stddev_pop(v)', 5)} FROM s GROUP BY series_id, channel, k""")
+def stft_summary_windows(t):
+    whole = _long(t, 512)
+    enough = whole.groupBy(*spectral.WINDOWED).count().filter("count >= 128").drop("count")
+    out = _window_names(spectral.stft_summary(whole.join(enough, spectral.WINDOWED), by=spectral.WINDOWED))
+    return round_columns(out.select("series_id", "channel", F.posexplode("summary").alias("bin", "value")), ["value"], 5)
+
+
 def _listed(df, column):
     return round_columns(df.select("series_id", "channel", F.posexplode(column).alias("pos", "value")), ["value"])
 
@@ -114,20 +154,19 @@ ORDERS = dft("w", "n") + f""", rp AS (SELECT series_id, median(value)*60 AS rpm
 
 
 @query(with_tables("readings", body=HEADS + """, w AS (SELECT series_id, channel, j, n, x*(CASE WHEN n = 1 THEN 1 ELSE 0.5-0.5*cos(2*pi()*j/(n-1)) END) AS x FROM x)""" + ORDERS + f""",
- o AS (SELECT series_id, channel, unnest(range(1,9)) AS ord, any_value(rpm) AS rpm FROM sp JOIN rp USING (series_id) GROUP BY series_id, channel),
- a AS (SELECT o.series_id, o.channel, ord, arg_min(sqrt(p), (round(abs(k*2000.0/n - rpm/60*ord), 9), k)) AS amp FROM o JOIN sp USING (series_id, channel) GROUP BY ALL)
- SELECT series_id, channel, (ord-1)::INTEGER AS pos, CASE WHEN stddev_pop(amp) OVER w < 1e-6 THEN 0.0::DOUBLE ELSE {r('greatest(-10, least(10, (amp - avg(amp) OVER w) / stddev_pop(amp) OVER w))', 5)} END AS value
+ o AS (SELECT series_id, channel, unnest(range(1,9)) AS ord, any_value(rpm) AS rpm FROM sp LEFT JOIN rp USING (series_id) GROUP BY series_id, channel),
+ a AS (SELECT o.series_id, o.channel, ord, any_value(rpm) AS rpm, arg_min(sqrt(p), (round(abs(k*2000.0/n - rpm/60*ord), 9), k)) AS amp FROM o JOIN sp USING (series_id, channel) GROUP BY ALL)
+ SELECT series_id, channel, (ord-1)::INTEGER AS pos, CASE WHEN coalesce(any_value(rpm) OVER w, 0) <= 0 OR stddev_pop(amp) OVER w < 1e-6 THEN 0.0::DOUBLE ELSE {r('greatest(-10, least(10, (amp - avg(amp) OVER w) / stddev_pop(amp) OVER w))', 5)} END AS value
  FROM a WINDOW w AS (PARTITION BY series_id, channel)"""))
 def order_features(t):
     rpm = _rpm(t).withColumn("rpm", F.col("rpm") * 60.0)
     out = spectral.order_features(t.readings.drop("ts"), rpm, 2000.0)
-    listed = out.join(rpm.select("series_id"), "series_id").select("series_id", "channel", F.posexplode("orders").alias("pos", "value"))
-    return round_columns(listed, ["value"], 5)
+    return round_columns(out.select("series_id", "channel", F.posexplode("orders").alias("pos", "value")), ["value"], 5)
 
 
 @query()
 def frequency_view_window(t):
-    return _listed(spectral.frequency_view(t.readings.drop("ts"), 12800.0, window=4096), "frequency")
+    return _listed(spectral.frequency_view(t.readings.drop("ts"), 12800.0, window=4096).drop("window"), "frequency")
 
 
 @query()

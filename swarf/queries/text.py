@@ -79,10 +79,10 @@ def record_context(t):
     return text.record_context(records, "conditions", "quantities", "sources").select("page_id", "text_context")
 
 
-@query("""SELECT conv_id, turn, trim('context: ' || text || CASE WHEN turn % 2 = 0 THEN ' tool: T' || conv_id ELSE '' END || ' operation: ' || role || CASE WHEN turn % 3 = 0 THEN '' ELSE ' process conditions rpm ' || turn END || ' sensors: a.b c.d') AS request_context
- FROM conversations WHERE text <> ''""")
+@query("""SELECT conv_id, turn, trim(CASE WHEN text <> '' THEN 'context: ' || text ELSE '' END || CASE WHEN turn % 2 = 0 THEN ' tool: T' || conv_id ELSE '' END || ' operation: ' || role || CASE WHEN turn % 3 = 0 THEN '' ELSE ' process conditions rpm ' || turn END || ' sensors: a.b c.d') AS request_context
+ FROM conversations""")
 def request_context(t):
-    requests = t.read("conversations").filter(F.col("text") != "").select(
+    requests = t.read("conversations").select(
         "conv_id", "turn", F.col("text").alias("text_context"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("T"), "conv_id")).alias("tool_info"),
         F.col("role").alias("operation_info"), F.create_map(F.lit("rpm"), F.when(F.col("turn") % 3 != 0, F.col("turn").cast("string"))).alias("c"),
         F.expr("array('a.b', 'c.d')").alias("s"),

@@ -81,7 +81,7 @@ def main(argv):
     queries, sql = entry.queries(), entry.oracle_sql()
     from swarf.queries.registry import MODULES
 
-    names = [n for n in queries if not argv or any(n == a or f"{MODULES[n]}." == a or (a.endswith("*") and n.startswith(a[:-1])) for a in argv)]
+    names = [n for n in queries if not argv or any(n == a or f"{MODULES.get(n, '')}." == a or (a.endswith("*") and n.startswith(a[:-1])) for a in argv)]
     failed = []
     for name in names:
         start = time.time()

@@ -74,7 +74,7 @@ def test_knn_is_exact_for_both_plans(spark, block):
     v = rng.normal(size=(60, 4))
     df = spark.createDataFrame([(i, [float(a) for a in r], i % 3) for i, r in enumerate(v)], "id int, embedding array<double>, label int")
     support, query = df.filter("id < 40"), df.filter("id >= 40")
-    for row in fewshot.knn_join(query, support, 3, block_rows=block).collect():
+    for row in fewshot.knn_join_blocks(query, support, 3, block_rows=block).collect():
         d = np.linalg.norm(v[:40] - v[row["id"]], axis=1)
         assert [n["support_id"] for n in row["neighbors"]] == np.argsort(d, kind="stable")[:3].tolist()
 
