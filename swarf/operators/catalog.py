@@ -435,18 +435,16 @@ def numeric_conditions(samples: DataFrame, column: str) -> DataFrame:
     return samples.withColumn("numeric_keys", F.array_sort(F.map_keys(kept)))
 
 
-def profile_columns(cells: DataFrame, by: Sequence[str], head: int = 30) -> DataFrame:
-    """Numeric or categorical verdict and missing ratio per column.
+def profile_columns(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Numeric or categorical verdict and missing ratio per column of ``cells(..., column, row, text)``.
 
-    ``cells(..., column, row, text)``; the verdict looks at the first ``head`` present values, found with a
-    rank filter so that long columns are pruned early.
+    A column is numeric when all its present values are numbers, also without any.
     """
     by = list(by)
     text = F.trim("text")
     absent = (text == "") | F.lower(text).isin("nan", "null", "none")
     marked = cells.withColumn("_absent", F.coalesce(absent, F.lit(True)))
-    missing = marked.groupBy(*by).agg(F.avg(F.col("_absent").cast("double")).alias("missing_ratio"))
-    order = W.partitionBy(*by).orderBy("row")
-    first = marked.filter(~F.col("_absent")).withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= head)
-    verdict = first.groupBy(*by).agg(F.bool_and(text.try_cast("double").isNotNull()).alias("_num"))
-    return missing.join(verdict, by, "left").withColumn("numeric", F.coalesce("_num", F.lit(True))).drop("_num")
+    return marked.groupBy(*by).agg(
+        F.avg(F.col("_absent").cast("double")).alias("missing_ratio"),
+        F.bool_and(F.col("_absent") | text.try_cast("double").isNotNull()).alias("numeric"),
+    )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -54,36 +53,20 @@ def features_wide(features: DataFrame, channels: Sequence[str], by: Sequence[str
 
 
 def channel_corr(
-    df: DataFrame, channels: Sequence[str], series: str = "series_id", seq: str = "seq", value: str = "value"
+    df: DataFrame, channels: Sequence[str] | None = None, series: str = "series_id", seq: str = "seq", value: str = "value"
 ) -> DataFrame:
     """Pearson correlation of every channel pair of a series, aligned on the position.
 
-    Channels are laid side by side first, so a position is one wide row whatever the number of pairs,
-    and every pair is one mergeable aggregate.  Pairs with a nearly constant member are left out.
+    All channels present take part, or those listed.  Channels meet by an equi-join on (series, position), one row per
+    pair of readings, and every pair is one mergeable aggregate.  Pairs with a nearly constant member are left out.
     """
-    if len(channels) > 64:
-        raise ValueError("channel_corr takes a closed list of at most 64 channels")
-    wide = df.groupBy(series, seq).pivot("channel", list(channels)).agg(F.first(value))
-    pairs = list(combinations(sorted(channels), 2))
-    col = lambda c: F.col(f"`{c}`")
-    stats = wide.groupBy(series).agg(
-        *[F.stddev_pop(col(c)).alias(f"s_{i}") for i, c in enumerate(sorted(channels))],
-        *[F.corr(col(a), col(b)).alias(f"r_{i}") for i, (a, b) in enumerate(pairs)],
-    )
-    position = {c: i for i, c in enumerate(sorted(channels))}
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("channel_a"),
-                F.lit(b).alias("channel_b"),
-                F.when((F.col(f"s_{position[a]}") > 1e-6) & (F.col(f"s_{position[b]}") > 1e-6), F.col(f"r_{i}")).alias("r"),
-            )
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    return stats.select(series, F.explode(entries).alias("e")).select(series, "e.*").filter(
-        F.col("r").isNotNull() & ~F.isnan("r")
-    )
+    held = df if channels is None else df.filter(F.col("channel").isin(list(channels)))
+    spread = held.groupBy(series, "channel").agg(F.stddev_pop(value).alias("_s"))
+    moving = held.join(spread.filter(F.col("_s") > 1e-6).drop("_s"), [series, "channel"], "left_semi")
+    side = lambda name: moving.select(series, seq, F.col("channel").alias(f"channel_{name}"), F.col(value).alias(f"_{name}"))
+    pairs = side("a").join(side("b"), [series, seq]).filter(F.col("channel_a") < F.col("channel_b"))
+    found = pairs.groupBy(series, "channel_a", "channel_b").agg(F.corr("_a", "_b").alias("r"))
+    return found.filter(F.col("r").isNotNull() & ~F.isnan("r"))
 
 
 def mean_abs_corr(corr: DataFrame, series: DataFrame, by: str = "series_id") -> DataFrame:
@@ -176,8 +159,8 @@ TOKEN_LEVELS = [
 ]
 
 
-def latent_tokens(profile: DataFrame, quantities: DataFrame, by: str = "series_id") -> DataFrame:
-    """Level tokens of the profile after up to eight sorted quantity tokens.
+def latent_tokens(profile: DataFrame, quantities: DataFrame, by: str = "series_id", most: int | None = None) -> DataFrame:
+    """Level tokens of the profile after its sorted quantity tokens (the first ``most`` if given).
 
     ``quantities(series_id, quantity)`` holds the channel quantities seen in a series.
     """
@@ -189,5 +172,6 @@ def latent_tokens(profile: DataFrame, quantities: DataFrame, by: str = "series_i
         )
         for prefix, c, cut in TOKEN_LEVELS
     ]
-    lead = F.transform(F.slice(F.coalesce("_q", F.array().cast("array<string>")), 1, 8), lambda q: F.concat(F.lit("latent_quantity_"), q))
+    listed = F.coalesce("_q", F.array().cast("array<string>"))
+    lead = F.transform(listed if most is None else F.slice(listed, 1, most), lambda q: F.concat(F.lit("latent_quantity_"), q))
     return profile.join(named, by, "left").select(by, F.concat(lead, F.array(*levels)).alias("tokens"))

@@ -66,18 +66,22 @@ def modal_state(lines: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     return carried.drop("text")
 
 
-def nc_block_matrix(lines: DataFrame, max_blocks: int = rules.MATRIX_BLOCKS, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Scaled 14-column rows of the first ``max_blocks`` blocks of each program, zero rows included."""
-    state = running(seq_blocks(modal_state(lines, rows), "line_no", rows), [BY], ["line_no"], index="row").filter(F.col("row") < max_blocks)
+def nc_block_matrix(lines: DataFrame, blocks: int | None = None, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Scaled 14-column rows of all blocks of each program; with ``blocks``, so many rows, cut or filled with zeros."""
+    state = running(seq_blocks(modal_state(lines, rows), "line_no", rows), [BY], ["line_no"], index="row")
+    if blocks is not None:
+        state = state.filter(F.col("row") < blocks)
     columns = []
     for letter, scale in rules.MATRIX_SCALES.items():
         value = F.col(f"modal_{letter}") if letter in rules.MODAL_LETTERS else _last_of(letter)
         scaled = F.coalesce(value, F.lit(0.0)) / float(scale)
         columns.append(F.greatest(F.lit(-10.0), F.least(F.lit(10.0), scaled)))
     filled = state.select(BY, "row", F.array(*columns).alias("values"))
-    counts = filled.groupBy(BY).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") < max_blocks)
+    if blocks is None:
+        return filled
+    counts = filled.groupBy(BY).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") < blocks)
     padding = counts.select(
-        BY, F.explode(F.sequence("_n", F.lit(max_blocks - 1).cast("long"))).alias("row"),
+        BY, F.explode(F.sequence("_n", F.lit(blocks - 1).cast("long"))).alias("row"),
         F.array_repeat(F.lit(0.0), len(columns)).alias("values"),
     )
     return filled.unionByName(padding)

@@ -124,12 +124,12 @@ def fill_missing(df: DataFrame, mode: str = "constant", by: Sequence[str] = KEYS
     return clean.join(stats, list(by), "left").withColumn("value", F.coalesce("value", "_fill", F.lit(0.0))).drop("_fill")
 
 
-def estimate_rate(df: DataFrame, by: Sequence[str] = KEYS, time: str = "time_s", rows: int = 100) -> DataFrame:
-    """1 / median positive step over the first ``rows`` readings (a bounded head per group)."""
-    head = df.filter(F.col("seq") < rows)
-    step = F.col(time) - F.lag(time).over(W.partitionBy(*by).orderBy("seq"))
-    med = head.withColumn("_d", step).filter(F.col("_d") > 0).groupBy(*by).agg(F.median("_d").alias("_m"))
-    return med.select(*by, (1.0 / F.col("_m")).alias("rate"))
+def estimate_rate(df: DataFrame, by: Sequence[str] = KEYS, time: str = "time_s") -> DataFrame:
+    """1 / median positive step over all readings."""
+    held = with_neighbours(df.select(*by, "seq", time), 1, 0)
+    step = F.col(time) - F.lag(time).over(W.partitionBy(*by, BLOCK).orderBy("seq"))
+    steps = core_rows(held.withColumn("_d", step)).filter(F.col("_d") > 0)
+    return medians(steps, list(by), "_d", "_m").select(*by, (1.0 / F.col("_m")).alias("rate"))
 
 
 # --- windows -----------------------------------------------------------------------------------------

@@ -41,10 +41,10 @@ def redact_tokens(docs: DataFrame, tokens: str = "tokens", output: str = "redact
     return docs.withColumn(output, F.array_join(_allowed(F.col(tokens)), " "))
 
 
-def encode_tokens(docs: DataFrame, tokens: str = "tokens", max_tokens: int = rules.MAX_TOKENS, vocabulary: int = rules.VOCABULARY) -> DataFrame:
-    """Stable ids of the first ``max_tokens`` tokens, zero-padded, and their mask."""
-    head = F.slice(tokens, 1, max_tokens)
-    gap = F.greatest(F.lit(0), F.lit(max_tokens) - F.size(head))
+def encode_tokens(docs: DataFrame, tokens: str = "tokens", length: int | None = None, vocabulary: int = rules.VOCABULARY) -> DataFrame:
+    """Stable ids of all tokens and their mask; with ``length``, a row of so many, cut or zero-padded."""
+    head = F.col(tokens) if length is None else F.slice(tokens, 1, length)
+    gap = F.lit(0) if length is None else F.greatest(F.lit(0), F.lit(length) - F.size(head))
     ids = F.transform(head, lambda w: vocabulary_id(w, vocabulary))
     return docs.withColumns(
         {

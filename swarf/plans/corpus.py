@@ -26,7 +26,7 @@ def prepare_corpus(files: DataFrame) -> dict[str, DataFrame]:
 
 def training_table(
     samples: DataFrame, readings: DataFrame, programs: DataFrame | None = None, window: int = 4096, vocabulary: int = 4096, rate: float | None = None,
-    frequency_length: int = 512, salt: str = "0",
+    frequency_length: int = 512, text_length: int = 64, salt: str = "0",
 ) -> DataFrame:
     """One row per sample and channel: window, ids, frequency view, text ids and program match.
 
@@ -55,7 +55,7 @@ def training_table(
     empty = F.expr("cast(array() AS array<string>)")
     named = named.withColumns({c: F.coalesce(c, empty) for c in ("quantities", "sources")})
     contexts = text.record_context(named, "_none", "quantities", "sources")
-    coded = text.encode_tokens(text.tokenize(contexts, "text_context")).drop("tokens", "_none", "quantities", "sources")
+    coded = text.encode_tokens(text.tokenize(contexts, "text_context"), length=text_length).drop("tokens", "_none", "quantities", "sources")
     if programs is not None:
         fields = [c for c in ("file_path", "sample_id", "dataset_id") if c in coded.columns]
         coded = nc.match_context(coded, programs, fields, "series_id")

@@ -123,7 +123,7 @@ def fill_missing_median(t):
     return round_columns(series.fill_missing(_with_holes(t.readings), "median"), ["value"])
 
 
-@query(with_tables("readings", body=f""", d AS (SELECT {BY}, epoch_us(ts)/1e6 - lag(epoch_us(ts)/1e6) OVER (PARTITION BY {BY} ORDER BY seq) AS d FROM readings WHERE seq < 100)
+@query(with_tables("readings", body=f""", d AS (SELECT {BY}, epoch_us(ts)/1e6 - lag(epoch_us(ts)/1e6) OVER (PARTITION BY {BY} ORDER BY seq) AS d FROM readings)
  SELECT {BY}, {r('1e6/median(d)', 4, 'rate_per_ms')} FROM d WHERE d > 0 GROUP BY {BY}"""))
 def estimate_rate(t):
     timed = t.readings.withColumn("time_s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
@@ -264,12 +264,12 @@ ALIGNED = f""", g AS (SELECT series_id, channel, seq, value, stddev_pop(value) O
 
 @query(with_tables("readings", body=ALIGNED + f" SELECT series_id, channel_a, channel_b, {r('r', 7, 'r')} FROM cr"))
 def channel_corr(t):
-    return round_columns(features.channel_corr(t.readings, CHANNELS), ["r"], 7)
+    return round_columns(features.channel_corr(t.readings), ["r"], 7)
 
 
 @query(with_tables("readings", body=ALIGNED + f""" SELECT series_id, {r('coalesce(avg(abs(r)),0)', 7, 'mean_abs_corr')} FROM (SELECT DISTINCT series_id FROM readings) LEFT JOIN cr USING (series_id) GROUP BY series_id"""))
 def mean_abs_corr(t):
-    return round_columns(features.mean_abs_corr(features.channel_corr(t.readings, CHANNELS), t.events), ["mean_abs_corr"], 7)
+    return round_columns(features.mean_abs_corr(features.channel_corr(t.readings), t.events), ["mean_abs_corr"], 7)
 
 
 EDGES = ALIGNED + """, nd AS (SELECT DISTINCT series_id, channel FROM readings),
@@ -280,7 +280,7 @@ EDGES = ALIGNED + """, nd AS (SELECT DISTINCT series_id, channel FROM readings),
 
 
 def _edges(t):
-    corr = features.channel_corr(t.readings, CHANNELS).withColumn("r", rounded("r", 6))
+    corr = features.channel_corr(t.readings).withColumn("r", rounded("r", 6))
     nodes = t.events.select("series_id", "channel").distinct()
     return features.channel_graph(corr, nodes, 3, 0.3), nodes
 

@@ -10,7 +10,7 @@ from swarf.operators.channels import canonicalize_channels
 from swarf.queries.channels import dimension_ctes
 from swarf.queries.registry import query, r
 from swarf.queries.series import ALIGNED, BY
-from swarf.sources.tables import CHANNELS, with_tables
+from swarf.sources.tables import with_tables
 
 
 def dft(source: str, n: str = "n", out: str = "sp") -> str:
@@ -194,7 +194,7 @@ def profile(t):
     s4 = F.pow("std", F.lit(4))
     stats = stats.withColumn("m4", F.col("kurtosis") * (s4 + 1e-12))
     dim = canonicalize_channels(t.events, "channel").withColumnRenamed("raw_name", "channel")
-    return features.signal_profile(stats, spectral.profile_spectrum(readings), features.channel_corr(readings, CHANNELS), dim)
+    return features.signal_profile(stats, spectral.profile_spectrum(readings), features.channel_corr(readings), dim)
 
 
 @query(PROFILE + f" SELECT series_id, {', '.join(r(c, 5, c) for c in PROFILE_COLUMNS)} FROM pf")
@@ -203,7 +203,7 @@ def signal_profile(t):
 
 
 @query(PROFILE + """, rq AS (SELECT series_id, list_sort(list_distinct(list(quantity))) AS q FROM ch JOIN dim ON raw_name = channel GROUP BY ALL)
- SELECT series_id, array_to_string(list_concat(list_transform(q[1:8], lambda x: 'latent_quantity_' || x), [""" + ", ".join(
+ SELECT series_id, array_to_string(list_concat(list_transform(q, lambda x: 'latent_quantity_' || x), [""" + ", ".join(
     f"'{p}_' || CASE WHEN {c} < {a} THEN 'low' WHEN {c} < {b} THEN 'medium' WHEN {c} < {d} THEN 'high' ELSE 'very_high' END" for p, c, (a, b, d) in features.TOKEN_LEVELS
 ) + "]), ' ') AS tokens FROM pf JOIN rq USING (series_id)")
 def latent_tokens(t):

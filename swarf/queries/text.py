@@ -34,7 +34,7 @@ def redact_tokens(t):
     return text.redact_tokens(text.tokenize(docs)).select("doc_id", "redacted")
 
 
-@query(TOKENS + f""", e AS (SELECT doc_id, unnest(range(0, 64)) AS pos, tokens FROM tk), h AS (SELECT doc_id, pos, pos < len(tokens) AS mask, sha1(coalesce(tokens[pos+1], '')) AS h FROM e)
+@query(TOKENS + f""", e AS (SELECT doc_id, unnest(range(0, len(tokens))) AS pos, tokens FROM tk), h AS (SELECT doc_id, pos, pos < len(tokens) AS mask, sha1(coalesce(tokens[pos+1], '')) AS h FROM e)
  SELECT doc_id, pos::INTEGER AS pos, CASE WHEN mask THEN 1 + {SWAPPED} % 8191 ELSE 0 END AS id, mask FROM h""")
 def encode_tokens(t):
     coded = text.encode_tokens(_tokens(t))
@@ -120,8 +120,7 @@ def modal_state(t):
     return nc.modal_state(t.nc_lines).select("program_id", "line_no", *[f"modal_{l}" for l in nc_rules.MODAL_LETTERS])
 
 
-@query(with_tables("nc_lines", body=KEPT + f""", z AS (SELECT program_id, unnest(range(0, 512)) AS row FROM (SELECT DISTINCT program_id FROM ms))
- SELECT z.program_id, z.row, {', '.join(r(f'greatest(-10, least(10, coalesce({l}, 0) / {s}.0))', 6, l.lower()) for l, s in nc_rules.MATRIX_SCALES.items())} FROM z LEFT JOIN ms USING (program_id, row)"""))
+@query(with_tables("nc_lines", body=KEPT + f""" SELECT program_id, row, {', '.join(r(f'greatest(-10, least(10, coalesce({l}, 0) / {s}.0))', 6, l.lower()) for l, s in nc_rules.MATRIX_SCALES.items())} FROM ms"""))
 def nc_block_matrix(t):
     out = nc.nc_block_matrix(t.nc_lines)
     return out.select("program_id", "row", *[rounded(F.col("values")[i]).alias(l.lower()) for i, l in enumerate(nc_rules.MATRIX_SCALES)])

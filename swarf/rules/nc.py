@@ -7,7 +7,6 @@ PROGRAM_PATTERN = r"(?i)\bO\s*(\d{3,6})\b"
 AXIS_LETTERS = ["X", "Y", "Z", "A", "B", "C", "I", "J", "K", "R"]
 MOTION_LETTERS = ["X", "Y", "Z", "A", "B", "C"]
 MODAL_LETTERS = ["G", "M", "S", "F", "T"]
-MATRIX_BLOCKS = 512
 MATRIX_SCALES = {
     "G": 100, "M": 100, "T": 100, "S": 20000, "F": 20000, "X": 1000, "Y": 1000, "Z": 1000, "I": 1000, "J": 1000,
     "K": 1000, "R": 1000, "Q": 1000, "P": 1000,

@@ -2,7 +2,6 @@
 
 TOKEN_PATTERN = "[0-9a-zA-Z가-힣]+"
 SEPARATOR_PATTERN = "[^0-9a-zA-Z가-힣]+"
-MAX_TOKENS = 64
 VOCABULARY = 8192
 BLOCKED_WORDS = [
     "anomaly", "bad", "chatter", "fault", "good", "label", "labels", "roughness", "surface", "target", "vb", "wear",
