@@ -1,9 +1,10 @@
 """Exact grouped quantiles, also for groups too large for one task.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer, so it is used only after a
-count has shown that every group is small.  Otherwise values are reduced to (value, count) pairs, a
+Spark's ``percentile`` keeps every distinct value of a group in one buffer, so it is used only where the
+caller declares groups bounded (windows).  Otherwise values are reduced to (value, count) pairs, a
 bounded sketch per group proposes split points, and only the slices that contain a wanted rank are
-sorted.  The sketch only steers the slicing; the result is exact either way.
+sorted.  The sketch only steers the slicing; the result is exact either way, and no job runs while the
+plan is built.
 """
 
 from __future__ import annotations
@@ -18,12 +19,6 @@ SLICES = 256
 GROUP_ROWS = 1_000_000
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest group: one map-side combined count, one number to the driver."""
-    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return int(top or 0)
-
-
 def quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -32,17 +27,18 @@ def quantiles(
     method: str = "linear",
     group_rows: int = GROUP_ROWS,
     slices: int = SLICES,
+    bounded: bool = False,
 ) -> DataFrame:
     """One row per key with the named quantiles; null values are ignored, keys must not be null.
 
     ``method`` is ``linear`` (interpolated between the two neighbouring ranks) or ``floor`` (the value at
-    rank ``int(q * (n - 1))``).  Groups above ``group_rows`` rows take the sliced way.
+    rank ``int(q * (n - 1))``).  Groups of more than ``group_rows`` distinct values are sorted in slices.
     """
     if method not in ("linear", "floor"):
         raise ValueError(f"unknown quantile method {method!r}")
     keys = list(keys)
     present = df.filter(F.col(value).isNotNull())
-    if largest_group(present, keys) > group_rows:
+    if not bounded:
         return _sliced(present, keys, value, wanted, method, group_rows, slices)
     if method == "linear":
         return present.groupBy(*keys).agg(*[F.percentile(value, F.lit(float(q))).alias(n) for n, q in wanted.items()])

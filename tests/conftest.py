@@ -10,7 +10,7 @@ from swarf.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[8]", 4, "tests")
+    session = build_session("local[8]", 4, "tests", small_partitions=True)
     yield session
     session.stop()
 

@@ -77,7 +77,7 @@ def main(argv):
         sf = argv[i + 1]
         del argv[i : i + 2]
     sf_dir = f"/root/testdata/sf{sf}"
-    spark, con = build_session(), connect(sf_dir)
+    spark, con = build_session(shuffle_partitions=8, small_partitions=True), connect(sf_dir)
     queries, sql = entry.queries(), entry.oracle_sql()
     from swarf.queries.registry import MODULES
 

@@ -39,6 +39,17 @@ def test_cut_lake_and_benchmark(spark, lake):
     assert set(found) == {"train", "val", "test"} and found["train"]["mae"] < 0.1
 
 
+def test_cut_files_keep_their_own_columns(spark, tmp_path):
+    folder = tmp_path / "train" / "c1"
+    folder.mkdir(parents=True)
+    (folder / "c1_001.csv").write_text("time,Force X,force_y\n0,1,2\n1,3,4\nbroken\n")
+    (folder / "c1_002.csv").write_text("force_y,time,force_x,extra\n20,0,10,\n40,1,30,\n")
+    labels = spark.createDataFrame([("c1", 1, 0.1), ("c1", 2, 0.2)], "condition string, cut int, average_wear_mm double")
+    rows = files.read_cut_lake(spark, str(tmp_path / "train"), labels).select("cut", "force_x", "force_y").collect()
+    assert sorted(map(tuple, rows)) == [(1, 1, 2), (1, 3, 4), (2, 10, 20), (2, 30, 40)]
+    assert [r["line"] for r in files.cut_lake_rejects(spark, str(tmp_path / "train")).collect()] == ["broken"]
+
+
 def test_inventory_of_a_folder(spark, lake):
     listed = catalog.classify_files(files.file_inventory(spark, str(lake)))
     assert listed.count() == 29
@@ -55,6 +66,7 @@ def test_delimited_files(spark, tmp_path):
     assert pick("a.csv", "force_x") == [1.5, 2.5, 3.5] and pick("a.csv", "note") == []
     assert pick("b.txt", "vibration_x") == [7, 8]
     assert pick("c.txt", "1") == [2, 4]
+    assert pick("a.csv", "time") == [] and [r["line"] for r in files.rejected_lines(spark, str(tmp_path)).collect()] == ["broken"]
     codes = {r["file"].rsplit("/", 1)[1]: r["encoding"] for r in files.read_lines(spark, str(tmp_path)).select("file", "encoding").distinct().collect()}
     assert codes == {"a.csv": "UTF-8", "b.txt": "cp949", "c.txt": "UTF-8"}
 
