@@ -9,6 +9,7 @@ from swarf.operators import fewshot, models
 from swarf.operators.splits import cap_support
 
 METHODS = ("prototype", "knn", "ridge", "linear_probe", "one_shot")
+FORECASTS = ("residual", "knn", "ridge")
 
 
 def predict_few_shot(query: DataFrame, support: DataFrame, task: str, method: str = "prototype", limit: int = 20) -> DataFrame:
@@ -19,7 +20,7 @@ def predict_few_shot(query: DataFrame, support: DataFrame, task: str, method: st
     """
     if method not in METHODS:
         raise ValueError(f"unknown few-shot method {method!r}")
-    taken = cap_support(support.filter(F.col("label").isNotNull()), "id", limit)
+    taken = cap_support(support, "id", limit).filter(F.col("label").isNotNull())
     checked = taken.select(F.col("label").cast("string").alias("label_value"))
     numeric = fewshot.is_regression(checked).first()["regression"]
     if numeric is None:
@@ -39,3 +40,19 @@ def predict_few_shot(query: DataFrame, support: DataFrame, task: str, method: st
     if numeric or method == "knn":
         return fewshot.knn_predict(query, taken, 3, bool(numeric))
     return fewshot.prototype_predict(query, taken)
+
+
+def forecast_few_shot(query: DataFrame, support: DataFrame, size: int, method: str = "residual", limit: int = 20) -> DataFrame:
+    """Forecast ``size`` values (channels laid end to end) of every query row from the first ``limit`` support rows.
+
+    ``support(id, embedding, target, base)``, ``query(id, embedding, base)``; support rows without a target of that size
+    do not take part.
+    """
+    if method not in FORECASTS:
+        raise ValueError(f"unknown forecast method {method!r}")
+    taken = cap_support(support, "id", limit).filter(F.size("target") == size)
+    if method == "residual":
+        return fewshot.residual_forecast(query, taken, size)
+    if method == "knn":
+        return fewshot.knn_forecast(query, taken, size)
+    return models.ridge_forecast(query, taken, size)

@@ -90,3 +90,29 @@ def test_few_shot_methods(spark):
         predict_few_shot(df, df, "rul_prediction", "svr")
     with pytest.raises(ValueError):
         fewshot.knn_join(df, df.filter("id < 0"), 3)
+
+
+def test_forecast_requests(spark):
+    from swarf.plans.requests import forecast_few_shot
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(12, 3))
+    y = np.column_stack([x @ [1.0, 2.0, 0.5] + 1, x @ [0.0, -1.0, 1.0]])
+    rows = [(i, x[i].tolist(), y[i].tolist(), [0.0, 0.0]) for i in range(12)] + [(12, [0.0] * 3, None, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id int, embedding array<double>, target array<double>, base array<double>")
+    for method in ("residual", "knn", "ridge"):
+        found = forecast_few_shot(df.select("id", "embedding", "base"), df, 2, method).collect()
+        assert len(found) == 13 and all(len(r["prediction"]) == 2 for r in found)
+    free = x - x.mean(0)
+    w = np.linalg.solve(free.T @ free + np.eye(3), free.T @ (y - y.mean(0)))
+    want = (x - x.mean(0)) @ w + y.mean(0)
+    got = {r["id"]: r["prediction"] for r in found}
+    assert np.allclose([got[i] for i in range(12)], want)
+
+
+def test_grouped_ridge_uses_complete_rows(spark):
+    rows = [(1, 1.0, 1.0), (1, 2.0, 3.0), (1, 4.0, 4.0), (1, None, 9.0), (1, 7.0, None)]
+    df = spark.createDataFrame(rows, "g int, a double, y double")
+    full = spark.createDataFrame(rows[:3], "g int, a double, y double")
+    fit = lambda d: models.grouped_ridge(d, ["g"], ["a"], "y").first()
+    assert np.isclose(fit(df)["weights"][0], fit(full)["weights"][0]) and np.isclose(fit(df)["intercept"], fit(full)["intercept"])

@@ -116,3 +116,25 @@ def test_metric_identities(spark):
     row = evaluate.classification_metrics(same).first()
     assert row["accuracy"] == 1 and row["macro_f1"] == 1
     assert evaluate.confusion_matrix(same, [0, 1, 2]).count() == 9
+
+
+def test_spectral_augment_keeps_all_readings_and_moves_channels_together(spark):
+    n = 5000
+    wave = np.zeros(n)
+    wave[100] = 1.0
+    rows = spark.createDataFrame([(1, c, i, float(wave[i])) for c in ("a", "b") for i in range(n)], "series_id int, channel string, seq long, value double")
+    moved = augment.spectral_augment(rows, "s", shift=0.02).toPandas().sort_values(["channel", "seq"])
+    a, b = (moved[moved["channel"] == c]["value"].to_numpy() for c in ("a", "b"))
+    assert len(a) == len(b) == n and np.allclose(a, b) and np.isclose(a.max(), 1.0)
+    cut = augment.spectral_augment(spectral.cut_windows(rows, 512), "s", 0.1, 0.1, 0.02, 0.9, by=spectral.WINDOWED)
+    assert cut.count() == 2 * n
+
+
+def test_frequency_view_repairs_missing_readings(spark):
+    rows = [(1, "a", i, float(np.sin(i))) for i in range(40)]
+    clean = spark.createDataFrame(rows, "series_id int, channel string, seq long, value double")
+    middle = float(np.median([r[3] for r in rows if r[2] not in (3, 9)]))
+    holed = spark.createDataFrame([(s, c, i, None if i == 3 else float("nan") if i == 9 else v) for s, c, i, v in rows], clean.schema)
+    filled = spark.createDataFrame([(s, c, i, middle if i in (3, 9) else v) for s, c, i, v in rows], clean.schema)
+    view = lambda d: spectral.frequency_view(d, 100.0, window=64).first()["frequency"]
+    assert np.allclose(view(holed), view(filled))
