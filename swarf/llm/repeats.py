@@ -20,7 +20,7 @@ MIN_BYTES = 400
 GRAM = 32
 SPREAD = 128  # string starts that share a core
 BUCKET_RECORDS = 150_000
-TRANSFORM_BYTES = 3 << 20
+TRANSFORM_BYTES = 3 << 19
 SEGMENT = 8 << 20
 PLACE_BITS = np.uint64(24)
 RECORD = np.dtype([("key", "<u8"), ("text", "<u8"), ("owner", "<i8"), ("start", "<i8"), ("n", "<u2"), ("sure", "u1")])
