@@ -24,12 +24,13 @@ DEEPEST = 8  # most shared prefix tokens that a class may ask for
 VERIFY_COST = 8.0  # of one candidate, in entries of the prefix index
 ROUNDS = 3
 RARE = 24  # a shingle of more classes is hot
+BITS = 512  # of the mark that bounds how much two classes can share
 CODE_BYTES = 6
 WEIGHTS = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 SETS = "doc_id long, n_shingles long, _class long"
 TOKENS = "_bucket long, _owners binary, _codes binary"
 OWNER = np.dtype([("owner", "<i8"), ("n", "<u4"), ("count", "<u4")])
-CANDIDATES = "_class long, _n int, _common int, _hot int, _fame double, _matches int, _prefix array<struct<token:long,level:int,hot:boolean>>, _bag binary"
+CANDIDATES = "_class long, _n int, _common int, _hot int, _fame double, _matches int, _bits array<long>, _prefix array<struct<token:long,level:int,hot:boolean>>, _bag binary"
 
 
 def shingle_sets(texts: list[bytes]):
@@ -192,8 +193,11 @@ def _prefixes(pdf: pd.DataFrame) -> pd.DataFrame:
         levels = np.maximum(alone + np.arange(len(used)) + 2 - prefix_length(size, 1), 1)
         hot = classes[mine] > RARE
         prefix = [{"token": t, "level": v, "hot": h} for t, v, h in zip(token[used].view(np.int64).tolist(), levels.tolist(), hot.tolist())]
-        rows.append((int(owner[mine[0]]), size, common, int(hot.sum()), float(classes[mine].sum()) / size, matches, prefix, np.sort(token[mine]).tobytes()))
-    return pd.DataFrame(rows, columns=["_class", "_n", "_common", "_hot", "_fame", "_matches", "_prefix", "_bag"])
+        mark = np.zeros(BITS, np.uint8)
+        mark[(token[mine] % np.uint64(BITS)).astype(np.int64)] = 1
+        bits = np.packbits(mark).view(np.int64).tolist()
+        rows.append((int(owner[mine[0]]), size, common, int(hot.sum()), float(classes[mine].sum()) / size, matches, bits, prefix, np.sort(token[mine]).tobytes()))
+    return pd.DataFrame(rows, columns=["_class", "_n", "_common", "_hot", "_fame", "_matches", "_bits", "_prefix", "_bag"])
 
 
 def similar(common: Column, a: Column, b: Column) -> Column:
@@ -244,17 +248,23 @@ def _star_round(entries: DataFrame, labels: DataFrame, bags: DataFrame, number:
     return _verified(best, bags)
 
 
-def _other_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame:
+def _at_most_shared() -> Column:
+    """A bound on the shared shingles of two classes: each bit that only one has stands for one that the other lacks."""
+    lacking = lambda a, b: sum((F.bit_count(F.col(a)[k].bitwiseAND(F.bitwise_not(F.col(b)[k]))) for k in range(BITS // 64)), F.lit(0))
+    return F.least(F.col("_common") - lacking("_bits", "r_bits"), F.col("r_common") - lacking("r_bits", "_bits"))
+
+
+def _other_pairs(entries: DataFrame, labels: DataFrame, bags: DataFrame) -> DataFrame:
     """All remaining candidates: classes of different labels that share as many prefix tokens as both ask for.
 
     A pair whose hot tokens do not suffice was not met over them, so one shared rare token makes it a candidate.
     """
     now = entries.join(labels, "_class")
     mixed = now.groupBy("token").agg((F.min("_label") != F.max("_label")).alias("mixed")).filter("mixed").select("token")
-    left = checkpointed(now.join(mixed, "token"))
+    left = checkpointed(now.join(mixed, "token").join(bags.select("_class", "_bits"), "_class"))
     right = left.select(*[F.col(c).alias(f"r{c}") for c in left.columns])
     close = (F.col("token") == F.col("rtoken")) & (F.col("_class") < F.col("r_class")) & (F.col("_label") != F.col("r_label"))
-    close &= _can_match("r{}")
+    close &= _can_match("r{}") & similar(_at_most_shared(), F.col("_n"), F.col("r_n"))
     over_hot = similar(F.least("_hot", "r_hot"), F.col("_n"), F.col("r_n"))
     asked = F.when(over_hot, F.least("_matches", "r_matches")).otherwise(1)
     close &= F.greatest("level", "rlevel") <= F.least("_matches", "r_matches")
@@ -307,7 +317,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         found.append(links)
         lead = links.select(F.col("a").alias("_class"), F.col("b").alias("_to")).join(labels.select(F.col("_class").alias("_to"), F.col("_label").alias("_lead")), "_to").drop("_to")
         labels = checkpointed(labels.join(lead, "_class", "left").select("_class", F.coalesce("_lead", "_label").alias("_label")))
-    found.append(_verified(_other_pairs(entries, labels), bags))
+    found.append(_verified(_other_pairs(entries, labels, bags), bags))
     # a label is a class that its bearer is linked with, over however many links
     names = components(reduce(DataFrame.unionByName, found))
     named = sets.join(names, sets["_class"] == names["_class"], "left").select("doc_id", "n_shingles", F.coalesce("_component", sets["_class"]).alias("_component"))
