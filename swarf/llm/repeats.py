@@ -3,7 +3,8 @@
 Equal strings of MIN_BYTES bytes have the same smallest 32-gram at the same place.  That anchor, and a core that all
 strings at nearby distances from it contain, is the key by which contexts meet; strings without a partner never travel.
 Contexts that agree entirely are decided at once; those that agree in the core and differ outside go, a few megabytes at
-a time, into a transform whose common prefixes are derived by increasing length up to MIN_BYTES.
+a time, into a transform whose common prefixes are derived by increasing length up to MIN_BYTES.  A core with more
+contexts than a transform should hold is first made longer by the bytes around it, until its contexts are few enough.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +23,15 @@ GRAM = 32
 SPREAD = 128  # string starts that share a core
 BUCKET_RECORDS = 150_000
 TRANSFORM_BYTES = 3 << 19
+KEY_BYTES = TRANSFORM_BYTES // 8  # most context bytes of one key in a transform
+NARROWER = 4  # parts into which the starts of a larger key are cut per round
 SEGMENT = 8 << 20
 PLACE_BITS = np.uint64(24)
-RECORD = np.dtype([("key", "<u8"), ("text", "<u8"), ("owner", "<i8"), ("start", "<i8"), ("n", "<u2"), ("sure", "u1")])
-FOUND = "_owner long, _start long, _n int, _key long, _open boolean"
+RECORD = np.dtype([("key", "<u8"), ("text", "<u8"), ("owner", "<i8"), ("start", "<i8"), ("n", "<u2"), ("core", "u1"), ("sure", "u1")])
+FOUND = "_owner long, _start long, _n int, _core int, _key long, _sure boolean, _open boolean, _hot boolean"
+#: _core is the distance from the start to the core; _sure contexts are known to be repeated.
+TEXTS = "_owner long, _start long, _n int, _core int, _key long, _sure boolean, _text binary"
+CHILDREN = "_owner long, _from long, _start long, _n int, _core int, _key long, _kind long, _sure boolean"
 
 
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -35,6 +42,10 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
 
 
+def spread_of(least: int) -> int:
+    return max(1, min(SPREAD, least - GRAM))
+
+
 def contexts(texts: list[bytes], owners: np.ndarray, least: int = MIN_BYTES) -> np.ndarray:
     """Records of all strings of ``least`` bytes: runs of starts with one anchor and one core."""
     found = []
@@ -57,7 +68,7 @@ def contexts(texts: list[bytes], owners: np.ndarray, least: int = MIN_BYTES) ->
         inside[end - least + 1] -= 1
         first = np.flatnonzero(np.cumsum(inside)[: len(place)] > 0)
         anchor = place[first].astype(np.int64)
-        spread = max(1, min(SPREAD, least - GRAM))
+        spread = spread_of(least)
         block = (anchor - first) // spread
         edge = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1]) | (first[1:] != first[:-1] + 1)])
         run, n = first[edge], np.diff(np.r_[edge, len(first)])
@@ -66,7 +77,7 @@ def contexts(texts: list[bytes], owners: np.ndarray, least: int = MIN_BYTES) ->
         records["key"] = mix(of(core, core + least - spread + 1) ^ mix(block[edge].astype(np.uint64) + gram[anchor[edge]]))
         records["text"] = mix(of(run, run + n + least - 1) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (core - run).astype(np.uint64))
         doc = np.searchsorted(begin, run, "right") - 1
-        records["owner"], records["n"] = np.array(who[a:b], np.int64)[doc], n
+        records["owner"], records["n"], records["core"] = np.array(who[a:b], np.int64)[doc], n, core - run
         records["start"] = run - begin[doc] + np.array(shift[a:b], np.int64)[doc]
         found.append(records)
     return np.concatenate(found) if found else np.zeros(0, RECORD)
@@ -92,22 +103,82 @@ def settle(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return decided, left
 
 
-def _rows(records: np.ndarray, opened: bool) -> pd.DataFrame:
-    return pd.DataFrame({"_owner": records["owner"], "_start": records["start"], "_n": records["n"].astype(np.int32), "_key": records["key"].view(np.int64) if len(records) else np.zeros(0, np.int64), "_open": opened})
+def _rows(records: np.ndarray, opened: bool, hot: np.ndarray | bool = False) -> pd.DataFrame:
+    key = records["key"].view(np.int64) if len(records) else np.zeros(0, np.int64)
+    core = records["core"].astype(np.int32) if opened else np.int32(0)
+    return pd.DataFrame({"_owner": records["owner"], "_start": records["start"], "_n": records["n"].astype(np.int32), "_core": core, "_key": key, "_sure": records["sure"] == 1, "_open": opened, "_hot": hot})
 
 
-def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
+def _meet(least: int, key_bytes: int):
     """Decided contexts of a bucket, and one of each kind of those whose core is shared but not all else."""
-    records = np.frombuffer(b"".join(pdf["_records"][~pdf["_done"]]), RECORD)
-    passed = np.frombuffer(b"".join(pdf["_records"][pdf["_done"]]), RECORD)
-    decided, left = settle(records)
-    parts = [_rows(np.ascontiguousarray(passed), False), _rows(decided, False)]
-    if len(left):
-        begin = np.flatnonzero(np.r_[True, left["key"][1:] != left["key"][:-1]])
-        kinds = np.diff(np.r_[begin, len(left)])
-        unsure = np.add.reduceat((left["sure"] == 0).astype(np.int64), begin)
-        parts.append(_rows(left[np.repeat((kinds > 1) & (unsure > 0), kinds)], True))
-    return pd.concat([p for p in parts if len(p)] or parts[:1])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        records = np.frombuffer(b"".join(pdf["_records"][~pdf["_done"]]), RECORD)
+        passed = np.frombuffer(b"".join(pdf["_records"][pdf["_done"]]), RECORD)
+        decided, left = settle(records)
+        parts = [_rows(np.ascontiguousarray(passed), False), _rows(decided, False)]
+        if len(left):
+            begin = np.flatnonzero(np.r_[True, left["key"][1:] != left["key"][:-1]])
+            kinds = np.diff(np.r_[begin, len(left)])
+            unsure = np.add.reduceat((left["sure"] == 0).astype(np.int64), begin)
+            size = np.add.reduceat(left["n"].astype(np.int64) + least - 1, begin)
+            asked = np.repeat((kinds > 1) & (unsure > 0), kinds)
+            parts.append(_rows(left[asked], True, np.repeat(size > key_bytes, kinds)[asked]))
+        return pd.concat([p for p in parts if len(p)] or parts[:1])
+
+    return run
+
+
+def _narrowed(least: int, sub: int):
+    """Each context cut into runs of starts whose distance from the core is in the same ``sub`` distances.
+
+    All strings of such a run also contain the bytes just left and right of the core, which make its own, longer core.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                far, near, text = r["_core"], r["_core"] - r["_n"] + 1, r["_text"]
+                for block in range(near // sub, far // sub + 1):
+                    high, low = min(far, block * sub + sub - 1), max(near, block * sub)
+                    begin, n, core = far - high, high - low + 1, high - block * sub
+                    key = xxhash.xxh64_intdigest(text[begin + core : begin + core + least - sub + 1], (r["_key"] + (block + 1) * 0x9E3779B97F4A7C15) % (1 << 64))
+                    kind = xxhash.xxh64_intdigest(text[begin : begin + n + least - 1], n * 256 + core)
+                    rows.append((r["_owner"], r["_start"], r["_start"] + begin, n, core, key, kind, r["_sure"]))
+            columns = list(zip(*rows)) if rows else [()] * 8
+            columns[5], columns[6] = (np.array(c, np.uint64).view(np.int64) for c in columns[5:7])
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [c.split()[0] for c in CHILDREN.split(", ")])
+
+    return run
+
+
+def subdivided(texts: DataFrame, least: int, key_bytes: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Over contexts (TEXTS) of keys that are too large: decided ranges, and contexts of keys of at most ``key_bytes``.
+
+    Two contexts of a key that share a string share it at the same distance from the core, so they meet again under one
+    of the longer cores.  A core of all ``least`` bytes leaves nothing outside, so the rounds end.
+    """
+    decided, small = [], []
+    sub = spread_of(least)
+    while sub > 1:
+        sub = -(-sub // NARROWER)
+        children = checkpointed(texts.mapInArrow(_narrowed(least, sub), CHILDREN).dropDuplicates(["_owner", "_start"]))
+        one = F.struct("_owner", "_from", "_start", "_n", "_core")
+        kinds = children.groupBy("_key", "_kind").agg((F.max("_sure") | (F.count(F.lit(1)) > 1)).alias("_known"), F.min(one).alias("_one"))
+        decided.append(children.filter("NOT _sure").join(kinds.filter("_known").select("_key", "_kind"), ["_key", "_kind"]).select("_owner", "_start", "_n"))
+        keys = kinds.groupBy("_key").agg(F.count(F.lit(1)).alias("_kinds"), F.min("_known").alias("_settled"), F.sum(F.col("_one._n") + F.lit(least - 1)).alias("_size"))
+        keys = keys.filter("_kinds > 1 AND NOT _settled").select("_key", (F.col("_size") > key_bytes).alias("_hot"))
+        left = kinds.join(keys, "_key").select("_one.*", "_key", F.col("_known").alias("_sure"), "_hot")
+        whole = texts.select("_owner", F.col("_start").alias("_from"), F.col("_text").alias("_whole"))
+        piece = F.expr(f"substring(_whole, CAST(_start - _from AS INT) + 1, _n + {least - 1})")
+        left = checkpointed(left.join(whole, ["_owner", "_from"]).select("_owner", "_start", "_n", "_core", "_key", "_sure", piece.alias("_text"), "_hot"))
+        small.append(left.filter("NOT _hot").drop("_hot"))
+        texts = left.filter("_hot").drop("_hot")
+        if not texts.limit(1).count():
+            break
+    return decided, small
 
 
 def sorted_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -221,9 +292,10 @@ def _transform(least: int):
     return run
 
 
-def repeated_starts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Over documents (_id, _text, _class): ranges of starts per class that are repeated (_owner, _start, _n), and the
-    documents per class (_class, _copies, _chosen)."""
+def candidates(docs: DataFrame, least: int, key_bytes: int = KEY_BYTES) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Over documents (_id, _text, _class): ranges of starts per class that are decided (_owner, _start, _n), contexts to
+    compare (TEXTS, no key with more than ``key_bytes``), the documents per class (_class, _copies, _chosen), and the
+    bytes of the contexts."""
     classes = checkpointed(docs.groupBy("_class").agg(F.count(F.lit(1)).alias("_copies"), F.min("_id").alias("_chosen")))
     total = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = max(8, -(-total // (80 * BUCKET_RECORDS)))
@@ -256,45 +328,72 @@ def repeated_starts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
                     yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(done), pa.array(blob, pa.binary())], ["_bucket", "_done", "_records"])
 
     packed = docs.select("_class", "_text").mapInArrow(send, "_bucket long, _done boolean, _records binary")
-    met = checkpointed(packed.groupBy("_bucket").applyInPandas(_meet, FOUND))
-    asked = met.filter("_open").drop("_open")
-    size = asked.agg(F.sum(F.col("_n") + least - 1)).first()[0] or 0
-    parts = max(1, -(-size // TRANSFORM_BYTES))
-    grouped = asked.groupBy(F.col("_owner").alias("_class")).agg(F.collect_set(F.struct("_key", "_start", "_n")).alias("_asked"))
-    wanted = grouped.join(classes, "_class").select("_class", F.col("_chosen").alias("_id"), "_asked")
+    met = checkpointed(packed.groupBy("_bucket").applyInPandas(_meet(least, key_bytes), FOUND))
 
     def cut(batches):
+        seen: set[int] = set()  # rows that repeat an id and a text ask once
         for batch in batches:
-            rows = {"_owner": [], "_start": [], "_n": [], "_part": [], "_text": []}
+            rows = {c.split()[0]: [] for c in f"{TEXTS}, _hot boolean".split(", ")}
             for name, text, requests in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if name in seen:
+                    continue
+                seen.add(name)
                 raw = (text.as_py() or "").encode()
                 for r in requests.as_py():
                     rows["_owner"].append(name)
-                    rows["_start"].append(r["_start"])
-                    rows["_n"].append(r["_n"])
-                    rows["_part"].append(r["_key"] % parts)
+                    for c in ("_start", "_n", "_core", "_key", "_sure", "_hot"):
+                        rows[c].append(r[c])
                     rows["_text"].append(raw[r["_start"] : r["_start"] + r["_n"] + least - 1])
-            yield pa.RecordBatch.from_pydict(rows, pa.schema([("_owner", pa.int64()), ("_start", pa.int64()), ("_n", pa.int32()), ("_part", pa.int64()), ("_text", pa.binary())]))
-
-    texts = docs.join(wanted, ["_class", "_id"]).select("_class", "_text", "_asked").mapInArrow(cut, "_owner long, _start long, _n int, _part long, _text binary")
-    compared = texts.groupBy("_part").applyInPandas(_transform(least), "_owner long, _start long, _n int")
-    return met.filter("NOT _open").select("_owner", "_start", "_n").unionByName(compared), classes
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.bool_()]
+            yield pa.RecordBatch.from_pydict(rows, pa.schema(list(zip(rows, types))))
+
+    def fetched(asked: DataFrame) -> DataFrame:
+        grouped = asked.groupBy(F.col("_owner").alias("_class")).agg(F.collect_set(F.struct("_start", "_n", "_core", "_key", "_sure", "_hot")).alias("_asked"))
+        wanted = grouped.join(classes, "_class").select("_class", F.col("_chosen").alias("_id"), "_asked")
+        return docs.join(wanted, ["_class", "_id"]).select("_class", "_text", "_asked").mapInArrow(cut, f"{TEXTS}, _hot boolean")
+
+    asked = met.filter("_open")
+    size = asked.filter("NOT _hot").agg(F.sum(F.col("_n") + least - 1)).first()[0] or 0
+    decided, texts = met.filter("NOT _open").select("_owner", "_start", "_n"), fetched(asked)
+    if asked.filter("_hot").limit(1).count():
+        texts = checkpointed(texts)  # read by every round, while the documents are read once
+        hot = texts.filter("_hot").drop("_hot")
+        texts = texts.filter("NOT _hot").drop("_hot")
+        more, small = subdivided(hot, least, key_bytes)
+        for found in more:
+            decided = decided.unionByName(found)
+        for some in small:
+            size += some.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+            texts = texts.unionByName(some)
+    else:
+        texts = texts.drop("_hot")
+    return decided, texts, classes, size
+
+
+def repeated_starts(docs: DataFrame, least: int, key_bytes: int = KEY_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Over documents (_id, _text, _class): ranges of starts per class that are repeated (_owner, _start, _n), and the
+    documents per class (_class, _copies, _chosen)."""
+    decided, texts, classes, size = candidates(docs, least, key_bytes)
+    parts = max(1, -(-size // TRANSFORM_BYTES))
+    dealt = texts.select("_owner", "_start", "_n", F.pmod("_key", F.lit(parts)).alias("_part"), "_text")
+    compared = dealt.groupBy("_part").applyInPandas(_transform(least), "_owner long, _start long, _n int")
+    return decided.unionByName(compared), classes
 
 
-def remove_repeats(docs: DataFrame, least: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text", key_bytes: int = KEY_BYTES) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, _spans (begin and end of removed runs), _kept (bytes).
 
     Every byte covered by a string of ``least`` bytes that also starts elsewhere, in another document or the same one, is
     removed; strings are judged on the input.  Texts that occur as a whole more than once are removed whole, and only one
     of them per task is searched further.  Contexts decided within a task pass on one of their kind, so copies do not
-    gather; others meet by a key of nearly 300 bytes of content.
+    gather; others meet by a key of nearly 300 bytes of content, or of more where contexts of a key exceed ``key_bytes``.
 
     Null and empty texts have 0 bytes and one empty rest; repeated rows repeat each other; an empty table gives an empty
     result; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = docs.select(F.col(id_col).alias("_doc"), text.alias("_text"), F.xxhash64(text).alias("_class"), F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("string")).alias("_id"))
-    starts, classes = repeated_starts(named, least)
+    starts, classes = repeated_starts(named, least, key_bytes)
     ranges = starts.groupBy(F.col("_owner").alias("_class")).agg(F.collect_set(F.struct("_start", "_n")).alias("_ranges"))
     known = classes.filter("_copies > 1").select("_class", "_copies").join(ranges, "_class", "full")
 

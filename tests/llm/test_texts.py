@@ -113,6 +113,35 @@ def test_repeats(spark, edge_docs, edge_rows, no_docs, least):
     assert repeats.op3_repeats(no_docs).count() == 0
 
 
+def test_shared_passage_with_own_text_around(spark):
+    """One passage in many documents, the text around it different from its first byte on, or only after some bytes."""
+    from llm_rows import make as make_llm
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    around = ["".join(rng.choice("ijkl") for _ in range(k)) for k in (3, 20, 70)]
+    rows = []
+    for k in range(400):
+        own = lambda: "".join(rng.choice("mnop") for _ in range(200))
+        rows.append((k, own() + rng.choice(["", *around]) + passage + rng.choice(["", *around]) + own(), "a"))
+    rows.append((400, "alone " + rows[0][1][150:700] + "z" * 300, "a"))
+    docs, bound = make_llm(spark, rows), 20_000
+    named = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.xxhash64("text").alias("_class"))
+    largest = lambda most: max((r[0] for r in repeats.candidates(named, 400, most)[1].groupBy("_key").agg(F.sum(F.octet_length("_text")).alias("size")).select("size").collect()), default=0)
+    assert largest(1 << 40) > 100_000 and largest(bound) <= bound
+    got = repeats.remove_repeats(docs, 400, key_bytes=bound).select("n_bytes", "n_removed", "n_spans", F.sha2("_kept", 256)).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(brute_repeats([t.encode() for _, t, _ in rows], 400))
+
+
+@pytest.mark.parametrize("least", [60, 400])
+def test_repeats_in_small_keys(spark, edge_docs, edge_rows, least):
+    from pyspark.sql import functions as F
+
+    got = repeats.remove_repeats(edge_docs, least, key_bytes=1).select("n_bytes", "n_removed", "n_spans", F.sha2("_kept", 256)).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(brute_repeats([(t or "").encode() for _, t, _ in edge_rows], least))
+
+
 def shingle_set(text):
     w = words(text)
     return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)])
