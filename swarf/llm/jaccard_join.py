@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swarf.llm.common import Words, checkpointed, mix, pieces
+from swarf.llm.common import Words, checkpointed, mix, pieces, unpacked, with_row
 
 SHINGLE = 5
 BUCKET_TOKENS = 1_500_000
@@ -60,16 +60,22 @@ def _texts(column) -> list[bytes]:
     return [(t or "").encode() for t in column.to_pylist()]
 
 
-def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, _class) per document."""
+def row_key(id_col: str, text_col: str) -> Column:
+    """64-bit name of all rows with one id and text."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("string"), F.col(text_col))
+
+
+def document_sets(docs: DataFrame, id_col: str, text_col: str, keyed: bool) -> DataFrame:
+    """(doc_id, n_shingles, _class) per document, and its row key as _row if ``keyed``."""
+    also = [row_key(id_col, text_col).alias("_row")] if keyed else []
 
     def name(batches):
         for batch in batches:
             sets = [(len(s), class_of(s)) for s in shingle_sets(_texts(batch.column(1)))]
             n, names = zip(*sets) if sets else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64())], ["doc_id", "n_shingles", "_class"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), *batch.columns[2:]], ["doc_id", "n_shingles", "_class", "_row"][: 3 + keyed])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(name, SETS)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col), *also).mapInArrow(name, SETS + ", _row long" * keyed)
 
 
 def class_tokens(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
@@ -290,22 +296,11 @@ def components(links: DataFrame) -> DataFrame:
             return names
 
 
-def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, the smallest id reachable over links of similarity 0.8 or more.
-
-    * Shingles are 64-bit hashes of five lower-case words; classes of equal sets are named by a 64-bit hash of the set.
-    * Packed shingles meet by hash bucket; the number of buckets follows the bytes, and copies are sent once per task.
-    * A class asks for 1 to 8 shared prefix tokens, whichever costs least by the numbers of classes per token, and its
-      prefix is longer by as many.  Two classes are candidates when they share as many as the less demanding one asks.
-    * Leaders of tokens are tried first, one per class and round; what then has other labels is tried pair by pair, so no
-      link between different components is lost.  Links are decided on the whole sets.
-
-    Null or empty texts have no shingles and are their own component; null ids never name a component unless all are
-    null; repeated rows and ids stay separate rows; an empty table gives an empty result; other columns are ignored.
-    """
+def classified(docs: DataFrame, id_col: str, text_col: str, keyed: bool = False) -> DataFrame:
+    """Per document: doc_id, n_shingles, _component (a class of its component), and _row if ``keyed``; see joined."""
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     buckets = max(8, -(-size // (6 * BUCKET_TOKENS)))
-    sets = checkpointed(document_sets(docs, id_col, text_col))
+    sets = checkpointed(document_sets(docs, id_col, text_col, keyed))
     tokens = class_tokens(docs, text_col, buckets)
     common = tokens.groupBy("_bucket").applyInPandas(_common_tokens(buckets), "_slice long, _owners binary, _tokens binary, _classes binary")
     bags = checkpointed(common.groupBy("_slice").applyInPandas(_prefixes, CANDIDATES))
@@ -320,7 +315,24 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     found.append(_verified(_other_pairs(entries, labels, bags), bags))
     # a label is a class that its bearer is linked with, over however many links
     names = components(reduce(DataFrame.unionByName, found))
-    named = sets.join(names, sets["_class"] == names["_class"], "left").select("doc_id", "n_shingles", F.coalesce("_component", sets["_class"]).alias("_component"))
+    also = ["_row"] if keyed else []
+    return sets.join(names, sets["_class"] == names["_class"], "left").select("doc_id", "n_shingles", *also, F.coalesce("_component", sets["_class"]).alias("_component"))
+
+
+def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, the smallest id reachable over links of similarity 0.8 or more.
+
+    * Shingles are 64-bit hashes of five lower-case words; classes of equal sets are named by a 64-bit hash of the set.
+    * Packed shingles meet by hash bucket; the number of buckets follows the bytes, and copies are sent once per task.
+    * A class asks for 1 to 8 shared prefix tokens, whichever costs least by the numbers of classes per token, and its
+      prefix is longer by as many.  Two classes are candidates when they share as many as the less demanding one asks.
+    * Leaders of tokens are tried first, one per class and round; what then has other labels is tried pair by pair, so no
+      link between different components is lost.  Links are decided on the whole sets.
+
+    Null or empty texts have no shingles and are their own component; null ids never name a component unless all are
+    null; repeated rows and ids stay separate rows; an empty table gives an empty result; other columns are ignored.
+    """
+    named = classified(docs, id_col, text_col)
     named = named.withColumn("_empty", F.col("n_shingles") == 0)
     firsts = named.filter("NOT _empty").groupBy("_component").agg(F.min("doc_id").alias("_first"))
     full = named.filter("NOT _empty").join(firsts, "_component").select("doc_id", "n_shingles", F.col("_first").alias("component_id"))
@@ -332,9 +344,20 @@ def op5_jaccard_join(docs: DataFrame) -> DataFrame:
 
 
 def first_documents(docs: DataFrame) -> DataFrame:
-    """One document of each component (that with the smallest id), with the columns of the input.
+    """One row of each component (of the smallest id, nulls last), with the columns of the input.
 
-    Documents with null ids or without words stay; of rows that repeat an id all or none stay.
+    Rows are told apart by id and text together, so of rows that repeat an id each is judged by its own text; of rows with
+    one id and one text a single one stays.  Rows without words have no partner and all stay.
     """
-    extra = joined(docs).filter("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    named = classified(docs, "doc_id", "text", keyed=True).filter("n_shingles > 0")
+    named = checkpointed(named)
+    firsts = named.groupBy("_component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_first")).select(F.col("_first._row").alias("_row"), F.lit(True).alias("_stays"))
+    keys = named.groupBy("_row").agg(F.count(F.lit(1)).alias("_rows")).join(firsts, "_row", "left")
+    judged = checkpointed(keys.filter("_stays IS NULL OR _rows > 1").select(F.col("_row").alias("_judged"), F.col("_stays").isNotNull().alias("_again")))
+    rows = with_row(docs, _judged=row_key("doc_id", "text"))
+    kept = rows.join(judged, "_judged", "left_anti").select("_row")
+    again = judged.filter("_again").select("_judged")
+    if again.limit(1).count():
+        one = rows.join(again, "_judged").groupBy("_judged").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+        kept = kept.unionByName(one.select("_row"))
+    return unpacked(kept, docs)

@@ -190,6 +190,21 @@ def test_jaccard_components(spark, edge_docs, edge_rows, no_docs):
     assert jaccard_join.op5_jaccard_join(no_docs).count() == 0 and jaccard_join.first_documents(no_docs).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    from llm_rows import make as make_llm
+
+    rng = random.Random(3)
+    prose = lambda: " ".join(f"p{rng.randrange(5000)}" for _ in range(100))
+    base, nameless, lone, clean, mixed = (prose() for _ in range(5))
+    near = lambda t: t.replace(" ", " changed ", 1)
+    rows = [(1, base, "a"), (1, base, "a"), (1, base, "b"), (2, near(base), "a"), (None, base, "a"), (2, clean, "a")]
+    rows += [(None, nameless, "a"), (None, nameless, "a"), (None, near(nameless), "b"), (3, lone, "a"), (4, mixed, "a"), (4, near(mixed), "a"), (5, "", "a"), (5, None, "a"), (None, " ", "a")]
+    got = [(r.doc_id, r.text) for r in jaccard_join.first_documents(make_llm(spark, rows)).collect()]
+    assert {(1, base), (2, clean), (3, lone), (5, ""), (5, None), (None, " ")} <= set(got)
+    assert sum(t in (nameless, near(nameless)) for _, t in got) == 1 and sum(t in (mixed, near(mixed)) for _, t in got) == 1
+    assert len(got) == 8
+
+
 def test_jaccard_on_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
