@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from swarf.llm import decontaminate, jaccard_join, lattice, mixing, neighbours, repeats, sharding, token_files, toxicity, url_filter
+from swarf.llm import alignment, decontaminate, jaccard_join, lattice, lexical, mixing, neighbours, packing, repeats, sharding, token_files, toxicity, url_filter
 from swarf.llm.common import table
 
 QUERIES = {
@@ -16,5 +16,8 @@ QUERIES = {
     "op8_shard": lambda spark, sf_dir: sharding.op8_shard(table(spark, sf_dir, "documents")),
     "op9_neighbours": lambda spark, sf_dir: neighbours.op9_neighbours(table(spark, sf_dir, "embeddings")),
     "op10_lm_score": lambda spark, sf_dir: lattice.op10_lm_score(table(spark, sf_dir, "documents")),
+    "op11_search": lambda spark, sf_dir: lexical.op11_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op12_pack": lambda spark, sf_dir: packing.op12_pack(table(spark, sf_dir, "documents")),
+    "op13_align": lambda spark, sf_dir: alignment.op13_align(table(spark, sf_dir, "documents")),
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_search": lexical.OP11_SQL}

@@ -9,6 +9,7 @@ the tail of the file and decompresses only frames that can hold a requested docu
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -37,24 +38,38 @@ SEEK = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
 MANIFEST = "part int, file string, n_docs long, n_ids long"
 
 
+# Steps of the tokenizer whose words may be encoded one by one.
+WORD_NORMALIZER = ["NFC", "Replace", "Lowercase"]
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 @lru_cache(maxsize=1)
 def _tokenizer(path: str):
+    """(tokenizer, whether a text's ids are those of its words in turn, cache of words)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    setup = json.loads(tokenizer.to_str())
+    steps = (setup["normalizer"] or {}).get("normalizers", [])
+    split = ((setup["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+    lower = [s["type"] for s in steps] == WORD_NORMALIZER and (steps[1]["pattern"], steps[1]["content"]) == ({"Regex": r"\s+"}, " ")
+    apart = split.get("pattern") == {"Regex": WORD_SPLIT} and split["behavior"] == "Removed" and split["invert"]
+    # special strings are found before words are, so none may hold white space
+    solid = not any(set(t["content"]) & set(" \t\n\r\v\f") or t["normalized"] or t["single_word"] for t in setup["added_tokens"])
+    return tokenizer, lower and apart and solid and setup["post_processor"] is None, {}
 
 
 def _learn(tokenizer, cache: dict, words: list[bytes]) -> None:
-    """Add the ids of new lower-case words to the cache.
+    """Add the ids of new words to the cache.
 
-    A word of small ASCII letters is one unit of the vocabulary's splitter and goes to its merge model directly; a full stop or
-    comma after a letter or digit is a unit of its own; all other words take the whole way.
+    A word of ASCII letters is one unit of the vocabulary's splitter and goes to its merge model directly, in small letters; a
+    full stop or comma after an ASCII letter or digit is a unit of its own; all other words take the whole way as written.
     """
     rest = []
     for word in words:
-        if word.isalpha() and word.islower():
-            cache[word] = array("I", [t.id for t in tokenizer.model.tokenize(word.decode())]).tobytes()
+        if word.isalpha():
+            cache[word] = array("I", [t.id for t in tokenizer.model.tokenize(word.lower().decode())]).tobytes()
         elif word[-1] in b".," and word[-2:-1].isalnum():
             if word[:-1] not in cache:
                 _learn(tokenizer, cache, [word[:-1]])
@@ -69,15 +84,18 @@ def _learn(tokenizer, cache: dict, words: list[bytes]) -> None:
 
 
 def encode(texts: list[bytes], path: str) -> list[bytes]:
-    """Token ids of whole texts as little-endian bytes.
+    """Token ids of whole texts as little-endian bytes, as the tokenizers library gives them.
 
-    The vocabulary lower-cases, drops white space and never joins across it, so a text's ids are those of its words in
-    turn.  Words are encoded once and kept in a bounded cache of the worker.
+    A vocabulary that drops white space and never joins across it gives a text the ids of its words in turn: such words are
+    encoded once, as written, and kept in a bounded cache of the worker.  Any other tokenizer encodes whole texts.
     """
-    tokenizer, cache = _tokenizer(path)
+    tokenizer, by_words, cache = _tokenizer(path)
+    if not by_words:
+        coded = tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in coded]
     found = []
     for text in texts:
-        words = (text if b"<|" in text else text.lower()).split()  # special strings are matched as written
+        words = text.split()
         missing = {w for w in words if w not in cache}
         if missing:
             if len(cache) + 2 * len(missing) > CACHED_WORDS:
