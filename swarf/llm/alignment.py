@@ -189,7 +189,7 @@ class Aligner:
         return counts, groups, np.repeat(doc, n), self.codes[entry], self.times[entry] * np.repeat(often, n)
 
 
-def _blocks(batches, most: int = BLOCK_BYTES):
+def _blocks(batches, most: int):
     """Lists of (id, text) holding about ``most`` characters."""
     rows, size = [], 0
     for batch in batches:
@@ -213,7 +213,7 @@ def link_documents(docs: DataFrame, a_path: str, b_path: str, with_groups: bool
         from pyspark import TaskContext
 
         task, packer = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
-        for number, rows in enumerate(_blocks(batches)):
+        for number, rows in enumerate(_blocks(batches, BLOCK_BYTES)):
             counts, groups, doc, code, times = _aligner(a_path, b_path).documents([t for _, t in rows])
             codes, local = np.unique(code, return_inverse=True)
             kinds, inverse = np.unique((doc << 32) | local, return_inverse=True)

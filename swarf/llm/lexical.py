@@ -44,10 +44,10 @@ class Tree:
     """A prefix tree of documents given as term lists (most frequent term first).
 
     Documents are sorted by their paths, so a node is a range of them: ``low`` and ``high``.  Nodes are numbered so that
-    children follow each other; chains without a branch and ranges of at most LEAF_DOCS documents are one leaf.
+    children follow each other; chains without a branch and ranges of at most ``leaf`` documents are one leaf.
     """
 
-    def __init__(self, ids: np.ndarray, m: np.ndarray, ends: np.ndarray, terms: np.ndarray, tfs: np.ndarray, rank: np.ndarray):
+    def __init__(self, ids: np.ndarray, m: np.ndarray, ends: np.ndarray, terms: np.ndarray, tfs: np.ndarray, rank: np.ndarray, leaf: int = LEAF_DOCS):
         number = np.diff(ends, prepend=0)
         owner = np.repeat(np.arange(len(ids)), number)
         path = rank[terms]
@@ -74,16 +74,16 @@ class Tree:
         tfs = tfs[take]
         self.ids, self.m = ids[order], m[order]
         self.scores = term_scores(tfs, np.repeat(self.m, number))
-        self._divide(np.array(shared))
+        self._divide(np.array(shared), leaf)
         self._bound(tfs, number)
 
-    def _divide(self, shared: np.ndarray) -> None:
+    def _divide(self, shared: np.ndarray, leaf: int) -> None:
         low, high, child = [0], [len(self.ids)], []
         for node in iter(range(1 << 62)):
             if node == len(low):
                 break
             x, y = low[node], high[node]
-            if y - x <= LEAF_DOCS:
+            if y - x <= leaf:
                 child.append((0, 0))
                 continue
             inner = shared[x + 1 : y]
@@ -91,7 +91,7 @@ class Tree:
             edges, start = [x], x
             for a, b in zip(at.tolist(), [*at[1:].tolist(), y]):
                 # small neighbours share a leaf
-                if b - start > LEAF_DOCS and a > start:
+                if b - start > leaf and a > start:
                     edges.append(a)
                     start = a
             child.append((len(low), len(low) + len(edges)))
@@ -213,13 +213,13 @@ def _search_block(docs: DataFrame, items: list[tuple[int, str]], k: int, columns
         def run(parts):
             ids, n, ends, terms, tfs = (np.concatenate(c) for c in zip(*parts))
             m = np.array([75 + 25 * x * many // length for x in n.tolist()], np.int64)
-            tree = Tree(ids, m, np.cumsum(ends), terms, tfs, rank)
+            tree = Tree(ids, m, np.cumsum(ends), terms, tfs, rank, LEAF_DOCS)
             for (_, ts, ws), kept in zip(queries, best):
                 tree.search(ts, ws, kept, k)
 
-        waiting, held = [], 0
+        waiting, held, step = [], 0, max(1, TREE_DOCS // 4)
         for batch in batches:
-            for part in (batch.slice(s, TREE_DOCS // 4) for s in range(0, batch.num_rows, TREE_DOCS // 4)):
+            for part in (batch.slice(s, step) for s in range(0, batch.num_rows, step)):
                 ids = part.column(0).fill_null(LAST).to_numpy()
                 lists = part.column(2), part.column(3)
                 waiting.append((ids, part.column(1).to_numpy(), lists[0].value_lengths().to_numpy(), *(x.flatten().to_numpy() for x in lists)))
