@@ -4,14 +4,17 @@ A text is cut by two tokenizers.  All tokens of both are sorted by their first b
 says where a group closes: a token that starts at or after it opens the next group, so groups end exactly where tokens of
 both sides end.  Within a group every A token is linked with the B tokens whose bytes overlap it.
 
-Both tokenizers here never join across a single space or line feed between other characters, so a text's tokens are
-those of its units (a word with the space or line feed before it) in turn.  Distinct units are aligned once per task and
-documents are put together from them; a pair's count is the number of documents that hold it, over the whole corpus.
+Tokenizers that never join across a single space or line feed between other characters give a text the tokens of its units
+in turn: words with the space or line feed before them, a closing full stop or comma apart.  Whether they do is read from
+the vocabularies; if not, a whole text is one unit.  Distinct units are aligned once per worker and documents are put
+together from them; a pair's count is the number of documents that hold it, over the whole corpus.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 import os
 import re
 from functools import lru_cache
@@ -24,12 +27,14 @@ from pyspark.sql import functions as F
 
 from swarf.llm.common import checkpointed
 
-#: Text bytes of the documents that share one dictionary of linked pairs, and units a worker keeps at most.
-BLOCK_BYTES = 8 << 20
-CACHED_UNITS = 400_000
-# A single space or line feed that both tokenizers cut before, and the texts where each of these characters is one.
+#: Text bytes of the documents that share one dictionary of linked pairs, units a worker keeps at most, units aligned at once.
+BLOCK_BYTES = 4 << 20
+CACHED_UNITS = 250_000
+LEARNED_UNITS = 8192
+# Where units begin; texts with other white space or with a closing stop after anything but a letter are cut by UNIT alone.
 UNIT = re.compile(r"(?<=[^ ]) (?=\S)|(?<=\S)(?=\n\S)")
-UNEVEN = re.compile(r"[ \n](?!\S)|\A[ \n]|\s\n")
+STOP = re.compile(r"[.,](?!\S)(?<![A-Za-zÀ-ÖØ-öø-ÿ].)", re.S)
+ACROSS = re.compile(r"[^▁]▁|\n|[A-Za-zÀ-ÖØ-öø-ÿ][.,]")
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 PACKED = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, pairs binary, times binary, codes array<long>, documents array<long>"
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string"
@@ -85,108 +90,121 @@ class Aligner:
             self.a_bytes[k] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         piece = lambda k: bytes([int(self.b.id_to_piece(k)[3:-1], 16)]) if self.b.is_byte(k) else self.b.id_to_piece(k).replace("▁", " ").encode()
         self.b_bytes = [piece(k) for k in range(self.b.get_piece_size())]
-        self.b_space = self.b.piece_to_id("▁")
+        self.a_width, self.b_width = (np.array([len(t) for t in table], np.int64) for table in (self.a_bytes, self.b_bytes))
+        # ids as text with the mark that follows: the next id of a side, the other side, the next group, nothing
+        text = lambda size, *marks: np.array([[f"{k}{mark}" for k in range(size)] for mark in marks], object)
+        self.a_text, self.b_text = text(len(self.a_bytes), ",", "|"), text(len(self.b_bytes), ",", ";", "")
+        split = json.loads(self.a.to_str())
+        byte_level = (split["normalizer"], split["pre_tokenizer"] and split["pre_tokenizer"]["type"]) == (None, "ByteLevel") and split["pre_tokenizer"]["use_regex"] and not split["pre_tokenizer"]["add_prefix_space"]
+        normal = [k for k in range(self.b.get_piece_size()) if not (self.b.is_byte(k) or self.b.is_control(k) or self.b.is_unknown(k))]
+        lead = [self.b.id_to_piece(k) for k in self.b.encode("\n")]
+        self.by_units = bool(byte_level and lead == ["▁", "<0x0A>"] and not any(ACROSS.search(self.b.id_to_piece(k)) for k in normal))
         self.clear()
 
     def clear(self) -> None:
         self.at: dict = {}
         self.groups: list[str] = []
-        self.counts = np.zeros((0, 4), np.int64)
-        self.whole = np.zeros(0, bool)
-        self.ends = np.zeros(1, np.int64)
-        self.codes, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.parts: list = [(np.zeros((0, 4), np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def units(self, text: str) -> list:
+        """Units of a text as keys: a word stands for a space and the word, one that starts with a line feed for itself, a stop
+        after a zero character for the stop alone, and a tuple for a space and whatever it holds."""
+        if not self.by_units:
+            return [(text,)]
+        if " ".join(text.split()) == text.replace("\n", " ") and "\0" not in text and STOP.search(text) is None:
+            end = [f"\0{text[-1]}"] if text[-1] in ".," else []
+            text = text[:-1] if end else text
+            return text.replace("\n", " \n").replace(". ", " \0. ").replace(", ", " \0, ").split(" ") + end
+        found = UNIT.split(text)
+        return [(u,) if k == 0 or u[:1] == "\0" else u for k, u in enumerate(found)]
 
-    @staticmethod
-    def units(text: str) -> list:
-        """Units of a text: a word stands for a space and the word, one that starts with a line feed for itself.
+    def _encoded(self, units: list) -> tuple[list, list, list]:
+        """(bytes, A ids, B ids) of units.
 
-        A text that itself starts with a line feed still has the space that stands before every text: a tuple.
+        The piece library puts a space of its own before a text.  Before a line feed it is a token of its own, and so is the
+        line feed itself, so units without a space are read after it.
         """
-        if UNEVEN.search(text) is None:
-            return text.replace("\n", " \n").split(" ")
-        found = UNIT.split(text)
-        if found[0].startswith("\n"):
-            found[0] = (found[0],)
-        return found
+        words = [u[0] if isinstance(u, tuple) else u for u in units]
+        bare = [0 if isinstance(u, tuple) else 1 if u[:1] == "\n" else 2 if u[:1] == "\0" else 0 for u in units]
+        full = [w[1:] if b == 2 else w if b else " " + w for w, b in zip(words, bare)]
+        a_ids = [e.ids for e in self.a.encode_batch_fast(full, add_special_tokens=False)]
+        b_ids = [ids[b:] for ids, b in zip(self.b.encode(["\n" + w[1:] if b == 2 else w for w, b in zip(words, bare)], num_threads=1), bare)]
+        full = [w.encode() for w in full]
+        joined = lambda ids, table: b"".join([table[t] for t in ids])
+        whole = [joined(x, self.a_bytes) == f == joined(y, self.b_bytes) for f, x, y in zip(full, a_ids, b_ids)]
+        if not all(whole):
+            a_ids, b_ids = ([x if w else [] for x, w in zip(ids, whole)] for ids in (a_ids, b_ids))
+        return whole, a_ids, b_ids
 
     def learn(self, units: list) -> None:
         """Encode and align new units."""
-        words = [u[0] if isinstance(u, tuple) else u for u in units]
-        bare = [not isinstance(u, tuple) and u.startswith("\n") for u in units]
-        full = [w if b else " " + w for w, b in zip(words, bare)]
-        a_ids = [e.ids for e in self.a.encode_batch_fast(full, add_special_tokens=False)]
-        # the library puts its own space before; before a line feed it is a token of its own
-        b_ids = [ids[1:] if b and ids[0] == self.b_space else ids for ids, b in zip(self.b.encode(words, num_threads=1), bare)]
-        whole = []
-        for k, text in enumerate(full):
-            raw = text.encode()
-            whole.append(b"".join([self.a_bytes[t] for t in a_ids[k]]) == raw == b"".join([self.b_bytes[t] for t in b_ids[k]]))
-            if not whole[-1]:
-                a_ids[k] = b_ids[k] = []
-        numbers = np.arange(len(units))
-        sides = []
-        for ids, table in ((a_ids, self.a_bytes), (b_ids, self.b_bytes)):
-            per = np.array([len(x) for x in ids], np.int64)
-            flat = np.array([t for x in ids for t in x], np.int64)
-            width = np.array([len(table[t]) for x in ids for t in x], np.int64)
-            ends = np.cumsum(width)
-            first = np.cumsum(per) - per
-            before = np.concatenate([[0], ends])[first]
+        whole, a_ids, b_ids = self._encoded(units)
+        numbers, sides = np.arange(len(units)), []
+        for ids, width in ((a_ids, self.a_width), (b_ids, self.b_width)):
+            per = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(per.sum()))
+            ends = np.cumsum(width[flat])
+            before = np.concatenate([[0], ends])[np.cumsum(per) - per]
             text = np.repeat(numbers, per)
-            sides.append((text, flat, ends - width - before[text], ends - before[text]))
+            sides.append((text, flat, ends - width[flat] - before[text], ends - before[text]))
         (at, a, a_start, a_end), (bt, b, b_start, b_end) = sides
         texts, ids = np.concatenate([at, bt]), np.concatenate([a, b])
         is_b = np.repeat([0, 1], [len(a), len(b)])
         order, group = coalesced(texts, np.concatenate([a_start, b_start]), np.concatenate([a_end, b_end]), is_b)
-        counts = np.zeros((len(units), 4), np.int64)
-        counts[:, 0], counts[:, 1] = np.bincount(at, minlength=len(units)), np.bincount(bt, minlength=len(units))
-        n_groups = int(group[-1]) + 1 if len(group) else 0
-        owner = np.zeros(n_groups, np.int64)
-        owner[group] = texts[order]
-        counts[:, 2] = np.bincount(owner, minlength=len(units))
-        sided = [[[] for _ in range(n_groups)], [[] for _ in range(n_groups)]]
-        for g, k, side in zip(group.tolist(), ids[order].tolist(), is_b[order].tolist()):
-            sided[side][g].append(str(k))
-        written = [[] for _ in units]
-        for g, u in enumerate(owner.tolist()):
-            written[u].append(",".join(sided[0][g]) + "|" + ",".join(sided[1][g]))
-        size = np.array([len(t.encode()) for t in full], np.int64)
-        shift = np.cumsum(size) - size
+        # groups as text: A ids of a group, then its B ids, each with the mark that follows it
+        sided = np.lexsort((is_b[order], group))
+        group, tokens = group[sided], order[sided]
+        side, owner = is_b[tokens], texts[tokens]
+        ends_side, ends_group, ends_text = (np.append(x[1:] != x[:-1], True)[: len(x)] for x in (group * 2 + side, group, owner))
+        written = np.where(side == 0, self.a_text[ends_side.astype(np.int64), np.where(side == 0, ids[tokens], 0)],
+                           self.b_text[ends_group.astype(np.int64) + ends_text, np.where(side == 1, ids[tokens], 0)]).tolist()
+        counts = np.stack([np.bincount(x, minlength=len(units)) for x in (at, bt, owner[ends_group])], 1)
+        cuts = np.concatenate([[0], np.cumsum(counts[:, 0] + counts[:, 1])]).tolist()
+        # the bytes of a unit are as many on both sides, so shifted places stay apart
+        size = np.zeros(len(units) + 1, np.int64)
+        np.maximum.at(size, at + 1, a_end)
+        shift = np.cumsum(size)
         i, j = overlaps(a_start + shift[at], a_end + shift[at], b_start + shift[bt], b_end + shift[bt])
-        counts[:, 3] = np.bincount(at[i], minlength=len(units))
-        linked, first, times = np.unique(np.stack([at[i], (a[i] << 32) | b[j]]), axis=1, return_index=True, return_counts=True) if len(i) else (np.zeros((2, 0), np.int64), None, np.zeros(0, np.int64))
+        kinds, times = np.unique((at[i] << 48) | (a[i] << 24) | b[j], return_counts=True)
+        links = np.bincount(at[i], minlength=len(units))
         self.at.update(zip(units, range(len(self.groups), len(self.groups) + len(units))))
-        self.groups += [";".join(w) for w in written]
-        self.counts = np.concatenate([self.counts, counts])
-        self.whole = np.concatenate([self.whole, whole])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.bincount(linked[0], minlength=len(units)))])
-        self.codes, self.times = np.concatenate([self.codes, linked[1]]), np.concatenate([self.times, times])
+        self.groups += ["".join(written[x:y]) for x, y in zip(cuts, cuts[1:])]
+        codes = ((kinds >> 24 & 0xFFFFFF) << 32) | (kinds & 0xFFFFFF)
+        self.parts.append((np.column_stack([counts, links]), np.array(whole, bool), np.bincount(kinds >> 48, minlength=len(units)), codes, times))
 
-    def documents(self, texts: list[str]):
-        """(counts, groups, document of each link kind, code of the pair, occurrences); codes are ``A id << 32 | B id``."""
-        parts = [self.units(t) if t else [] for t in texts]
-        new = {u for p in parts for u in p if u not in self.at}
+    def known(self, units: list[list]) -> list[list[int]]:
+        """Numbers of the units of some texts; new ones are learnt."""
+        new = {u for part in units for u in part if u not in self.at}
         if len(self.at) + len(new) > CACHED_UNITS:
             self.clear()
-            new = {u for p in parts for u in p}
+            new = {u for part in units for u in part}
+        new = list(new)
+        for k in range(0, len(new), LEARNED_UNITS):
+            self.learn(new[k : k + LEARNED_UNITS])
         if new:
-            self.learn(sorted(new, key=str))
-        places = [[self.at[u] for u in p] for p in parts]
+            self.parts = [tuple(np.concatenate(x) for x in zip(*self.parts))]
+        return [[self.at[u] for u in part] for part in units]
+
+    def documents(self, texts: list[str]):
+        """(counts, groups, document of each link kind, code of the pair, occurrences); codes are ``A id << 32 | B id``."""
+        places = self.known([self.units(t) if t else [] for t in texts])
+        table, usable, links, codes, often_in = self.parts[0]
+        ends = np.concatenate([[0], np.cumsum(links)])
         number = np.array([len(p) for p in places], np.int64)
-        unit = np.array([u for p in places for u in p], np.int64)
+        unit = np.fromiter(itertools.chain.from_iterable(places), np.int64, int(number.sum()))
         owner = np.repeat(np.arange(len(texts)), number)
-        whole = np.bincount(owner[~self.whole[unit]], minlength=len(texts)) == 0
+        whole = np.bincount(owner[~usable[unit]], minlength=len(texts)) == 0
         counts = np.zeros((len(texts), 4), np.int64)
         for c in range(4):
-            counts[:, c] = np.bincount(owner, self.counts[unit, c], len(texts))
+            counts[:, c] = np.bincount(owner, table[unit, c], len(texts))
         counts[~whole] = 0
         groups = [";".join([self.groups[u] for u in p]) if w else "" for p, w in zip(places, whole.tolist())]
         kept = whole[owner]
         kinds, often = np.unique((owner[kept] << 32) | unit[kept], return_counts=True)
         doc, unit = kinds >> 32, kinds & 0xFFFFFFFF
-        begin, n = self.ends[unit], self.ends[unit + 1] - self.ends[unit]
+        begin, n = ends[unit], links[unit]
         entry = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
-        return counts, groups, np.repeat(doc, n), self.codes[entry], self.times[entry] * np.repeat(often, n)
+        return counts, groups, np.repeat(doc, n), codes[entry], often_in[entry] * np.repeat(often, n)
 
 
 def _blocks(batches, most: int):
