@@ -39,11 +39,11 @@ def overlap_range(df: DataFrame, by: Sequence[str] = ("series_id",), channel: st
     return common.select(*by, keep("start").alias("start"), keep("end").alias("end"))
 
 
-def as_of_join(query: DataFrame, keys: DataFrame, value: str, order: Column, by: str = "series_id", time: str = "time", tie: str = "id") -> DataFrame:
+def as_of_join(query: DataFrame, keys: DataFrame, value: str, by: str = "series_id", time: str = "time", tie: str = "id") -> DataFrame:
     """For each query row the last key at or before its time and the number of keys it may see.
 
     Visible keys of a query are always a prefix in time order, so the causal mask is given by that count
-    instead of by all pairs.  ``order`` is a numeric form of ``time``.  Of several keys at one time the one with the
+    instead of by all pairs.  Of several keys at one time the one with the
     largest ``tie`` counts, if keys have that column, else the one with the largest value.  All query columns come back.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in query.columns])
@@ -52,9 +52,9 @@ def as_of_join(query: DataFrame, keys: DataFrame, value: str, order: Column, by:
     left = query.select(by, time, F.col(tie).alias("_tie"), F.lit(None).cast(keys.schema[value].dataType).alias("_value"), F.lit(1).alias("_side"), row.alias("_row"))
     right = keys.select(by, time, own.alias("_tie"), F.col(value).alias("_value"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"))
     both = left.unionByName(right)
-    blocked = order_blocks(both, [by], order)
+    order = [time, "_side", "_tie", "_value"]
     seen = running(
-        blocked, [by], [time, "_side", "_tie", "_value"],
+        order_blocks(both, [by], order), [by], order,
         sums={"visible_keys": (F.col("_side") == 0).cast("long")}, lasts={"as_of": F.when(F.col("_side") == 0, F.col("_value"))},
     )
     return seen.filter(F.col("_side") == 1).select(*[F.col(f"_row.`{c}`") for c in query.columns], "as_of", "visible_keys")

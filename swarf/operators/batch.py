@@ -13,10 +13,7 @@ def number_batches(samples: DataFrame, batch: int, order: str = "sample_id") ->
     """Consecutive batches of ``batch`` samples in sample order, ranked block by block; ids are numbers or text."""
     if batch <= 0:
         raise ValueError("batch must be positive")
-    # the first seven bytes of a text as a number follow its order
-    head = F.conv(F.substring(F.rpad(F.hex(F.encode(F.col(order), "UTF-8")), 14, "0"), 1, 14), 16, 10)
-    place = head if samples.schema[order].dataType.simpleString() == "string" else F.col(order)
-    ranked = running(order_blocks(samples, [], place.cast("double")), [], [order], index="_i")
+    ranked = running(order_blocks(samples, [], [order]), [], [order], index="_i")
     return ranked.withColumn("batch", F.floor(F.col("_i") / batch)).drop("_i")
 
 
@@ -47,6 +44,5 @@ def replay_mix(new: DataFrame, old: DataFrame, ratio: float, key: str, seed: int
         raise ValueError("ratio must be in [0, 1)")
     quota = F.round(new.agg(F.count(F.lit(1))).scalar() * F.lit(ratio / (1.0 - ratio)))
     placed = old.withColumn("_h", F.sha1(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))))
-    on = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long")
-    ranked = running(order_blocks(placed, [], on), [], ["_h", key], index="_i").filter(F.col("_i") < quota).drop("_h", "_i")
+    ranked = running(order_blocks(placed, [], ["_h", key]), [], ["_h", key], index="_i").filter(F.col("_i") < quota).drop("_h", "_i")
     return new.withColumn("origin", F.lit("new")).unionByName(ranked.withColumn("origin", F.lit("replay")))

@@ -3,7 +3,7 @@
 A plain ``Window.partitionBy(key)`` sorts a whole key inside one task.  The functions here split every
 key into *blocks* of consecutive rows first:
 
-* ``order_blocks``  gives large keys several equal-width blocks of the order column, small keys one;
+* ``order_blocks``  cuts large keys into blocks at sampled quantiles of their order, small keys keep one;
 * ``running``       does prefix work (row index, running sums, last known values) in two levels: inside
   each block, and over one summary row per block;
 * ``with_neighbours`` copies the rows next to a block border into the neighbouring block, so that
@@ -19,29 +19,49 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1_000_000
+#: Drawn rows per block, and blocks per slice of a large key.
+SAMPLES, SLICES = 64, 256
 BLOCK = "_block"
 
 
-def order_blocks(df: DataFrame, keys: Sequence[str], on: Column, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add ``_block``: 0 for keys of at most ``rows`` rows, else an equal-width slice of ``on``.
+def _drawn(df: DataFrame, keys: Sequence[str], chance: float) -> DataFrame:
+    """Rows whose hash of key and place falls below ``chance``; the same rows whenever they are read."""
+    draw = F.pmod(F.xxhash64(F.lit(41), *keys, "_on"), F.lit(1 << 40))
+    return df if chance >= 1 else df.filter(draw < int(chance * (1 << 40)))
 
-    ``on`` is a numeric column that is monotone in the wanted order; without keys the whole table is one
-    sequence.  The statistics are one row per
-    key from a map-side combined aggregate; whether they are broadcast is decided by their size.
+
+def _cuts(drawn: DataFrame, by: Sequence[str], step: int) -> DataFrame:
+    """Every ``step``-th drawn place of each group, in order."""
+    places = drawn.groupBy(*by).agg(F.sort_array(F.collect_list("_on")).alias("_cuts"))
+    return places.withColumn("_cuts", F.filter("_cuts", lambda _, i: (i + 1) % step == 0))
+
+
+def _passed(cuts: Column, place: Column) -> Column:
+    """How many cuts are not above the place, by halving."""
+    widths = F.array(*[F.lit(1 << k) for k in reversed(range(20))])
+    step = lambda at, width: F.when(F.coalesce(F.get(cuts, at + width - 1) <= place, F.lit(False)), at + width).otherwise(at)
+    return F.when(F.size(cuts) > 0, F.aggregate(widths, F.lit(0), step)).otherwise(0).cast("long")
+
+
+def order_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add ``_block``: consecutive stretches of about ``rows`` rows of each key, in the order of the columns ``order``.
+
+    Blocks are cut at sampled quantiles of the whole order, ties included, so neither a burst at one time nor a
+    constant order value makes a large block; only rows equal in all of ``order`` stay together.  A first, coarse draw
+    cuts a key into slices of about SLICES blocks, a second one cuts slices into blocks, so no sample of one group grows
+    beyond some SAMPLES * SLICES places until a key holds SLICES * SLICES blocks.  Keys far below ``rows`` rows are
+    rarely drawn and keep one block.  Order columns may be numbers, dates or text; without keys the table is one sequence.
     """
-    placed = df.withColumn("_on", on.cast("double"))
-    stats = placed.groupBy(*keys).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(rows)).alias("_nb"), F.min("_on").alias("_lo"), F.max("_on").alias("_hi")
-    )
-    if keys:
-        joined = placed.join(stats, list(keys))
-    else:
-        one = stats.select(F.struct("_nb", "_lo", "_hi")).scalar()
-        joined = placed.withColumn("_one", one).select(*placed.columns, "_one.*")
-    width = F.col("_hi") - F.col("_lo")
-    slot = F.floor((F.col("_on") - F.col("_lo")) / width * F.col("_nb"))
-    block = F.when((F.col("_nb") <= 1) | (width <= 0), F.lit(0)).otherwise(F.least(slot, F.col("_nb") - 1))
-    return joined.withColumn(BLOCK, block.cast("long")).drop("_on", "_nb", "_lo", "_hi")
+    keys = list(keys)
+    placed = df.withColumn("_on", F.struct(*order))
+    coarse = _cuts(_drawn(placed, keys, SAMPLES / (rows * SLICES)), keys, SAMPLES)
+    cut = placed.join(coarse, keys, "left") if keys else placed.withColumn("_cuts", coarse.select("_cuts").scalar())
+    sliced = cut.withColumn("_slice", _passed(F.col("_cuts"), F.col("_on"))).drop("_cuts")
+    chance = SAMPLES / rows
+    fine = _cuts(_drawn(sliced, keys, chance), [*keys, "_slice"], rows if chance >= 1 else SAMPLES)
+    inside = sliced.join(fine, [*keys, "_slice"], "left")
+    block = F.col("_slice") * (1 << 20) + _passed(F.col("_cuts"), F.col("_on"))
+    return inside.withColumn(BLOCK, block).select(*df.columns, BLOCK)
 
 
 def seq_blocks(df: DataFrame, seq: str = "seq", rows: int = BLOCK_ROWS) -> DataFrame:
@@ -96,11 +116,9 @@ def running(
     return joined.select(*kept, *[c.alias(n) for n, c in final.items()])
 
 
-def ordered_index(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], on: Column, name: str = "seq", rows: int = BLOCK_ROWS
-) -> DataFrame:
+def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "seq", rows: int = BLOCK_ROWS) -> DataFrame:
     """0-based position of each row inside its key."""
-    return running(order_blocks(df, keys, on, rows), keys, order, index=name)
+    return running(order_blocks(df, keys, order, rows), keys, order, index=name)
 
 
 def with_neighbours(df: DataFrame, before: int, after: int, seq: str = "seq", rows: int = BLOCK_ROWS) -> DataFrame:

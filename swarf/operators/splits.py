@@ -28,9 +28,9 @@ def leave_one_out(records: DataFrame, field: str, order: str, value=None) -> Dat
     return records.withColumn("split", F.when(F.col(field) == chosen, "holdout").otherwise("train"))
 
 
-def _cut_by_rank(records: DataFrame, on: Column, order: Sequence[str], ratio: float) -> DataFrame:
+def _cut_by_rank(records: DataFrame, order: Sequence[str], ratio: float) -> DataFrame:
     """First max(1, int(n (1 - ratio))) rows in order are train; ranks come from blocks, not one global sort."""
-    ranked = running(order_blocks(records, [], on), [], order, index="_rank")
+    ranked = running(order_blocks(records, [], order), [], order, index="_rank")
     n = records.agg(F.count(F.lit(1))).scalar()
     cut = F.greatest(F.lit(1), F.floor(n * F.lit(1.0 - ratio)))
     return ranked.withColumn("split", F.when(F.col("_rank") < cut, "train").otherwise("holdout")).drop("_rank")
@@ -38,13 +38,13 @@ def _cut_by_rank(records: DataFrame, on: Column, order: Sequence[str], ratio: fl
 
 def chronological_split(records: DataFrame, time: str, ratio: float = 0.2, tie: Sequence[str] = ()) -> DataFrame:
     """Earliest share for training."""
-    return _cut_by_rank(records, F.unix_micros(F.col(time).cast("timestamp")), [time, *tie], ratio)
+    return _cut_by_rank(records, [time, *tie], ratio)
 
 
 def random_split(records: DataFrame, key: str, ratio: float = 0.2, seed: int = 42) -> DataFrame:
     """Hash order in place of a shuffle; stable for a key and seed."""
     placed = records.withColumn("_h", F.sha1(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))))
-    return _cut_by_rank(placed, F.conv(F.substring("_h", 1, 8), 16, 10).cast("long"), ["_h", key], ratio).drop("_h")
+    return _cut_by_rank(placed, ["_h", key], ratio).drop("_h")
 
 
 def group_hash_split(records: DataFrame, column: str | None = None, val: float = 0.1, test: float = 0.1, path: str = "file_path") -> DataFrame:
@@ -63,14 +63,12 @@ def parent_dir_split(files: DataFrame, ratio: float, path: str = "file_path") ->
     parent = F.lower(F.regexp_replace(path, "/[^/]*$", ""))
     at = hash_fraction(parent)
     placed = files.withColumns({"_val": at < ratio, "_h": F.sha1(path)})
-    shape = placed.agg(F.bool_or("_val").alias("any"), F.bool_and("_val").alias("all"), F.count(F.lit(1)).alias("n")).first()
-    if shape["any"] and not shape["all"]:
-        return placed.withColumn("split", F.when(F.col("_val"), "val").otherwise("train")).drop("_val", "_h")
-    n = int(shape["n"])
-    wanted = min(n - 1, max(1, round(n * ratio)))
-    on = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long")
-    ranked = running(order_blocks(placed, [], on), [], ["_h", path], index="_rank")
-    return ranked.withColumn("split", F.when(F.col("_rank") < wanted, "val").otherwise("train")).drop("_val", "_h", "_rank")
+    shape = placed.agg(F.struct((F.bool_or("_val") & ~F.bool_and("_val")).alias("both"), F.count(F.lit(1)).alias("n"))).scalar()
+    ranked = running(order_blocks(placed, [], ["_h", path]), [], ["_h", path], index="_rank").withColumn("_shape", shape)
+    n = F.col("_shape.n")
+    wanted = F.least(n - 1, F.greatest(F.lit(1), F.bround(n * F.lit(ratio)).cast("long")))
+    val = F.when(F.col("_shape.both"), F.col("_val")).otherwise(F.col("_rank") < wanted)
+    return ranked.withColumn("split", F.when(val, "val").otherwise("train")).drop("_val", "_h", "_rank", "_shape")
 
 
 def leaking_groups(split: DataFrame, group: str, column: str = "split") -> DataFrame:

@@ -300,7 +300,7 @@ def as_of_join(t):
     events = t.read("events").select(F.col("user_id").alias("series_id"), F.col("ts").alias("time"), F.col("event_id").alias("id"), "event_type", "value")
     out = align.as_of_join(
         events.filter(F.col("event_type") == "purchase").drop("value", "event_type"), events.filter(F.col("event_type") == "view"),
-        "value", F.unix_micros(F.col("time").cast("timestamp")),
+        "value",
     )
     return out.select("series_id", F.col("id").alias("event_id"), "visible_keys", "as_of")
 

@@ -91,8 +91,7 @@ class Tables:
         raw = self.read("events").select(
             F.col("user_id").alias("series_id"), event_channel().alias("channel"), "event_id", "ts", "value"
         )
-        on = F.unix_micros(F.col("ts").cast("timestamp"))
-        return ordered_index(raw, ["series_id", "channel"], ["ts", "event_id"], on).drop("event_id")
+        return ordered_index(raw, ["series_id", "channel"], ["ts", "event_id"]).drop("event_id")
 
     @cached_property
     def grid(self) -> DataFrame:
@@ -104,7 +103,7 @@ class Tables:
         """One row per cut: tool, condition, position, running wear and cutting conditions."""
         line = self.read("lineitem").withColumn("cents", F.round(F.col("l_discount") * 100).cast("long"))
         keys, order = ["l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
-        blocked = order_blocks(line, keys, F.unix_seconds(F.col("l_shipdate").cast("timestamp")))
+        blocked = order_blocks(line, keys, order)
         numbered = running(blocked, keys, order, index="cut", sums={"wear_units": F.col("cents")})
         return numbered.select(
             F.col("l_suppkey").alias("tool_id"),
@@ -160,7 +159,7 @@ class Tables:
         """
         keys, order = ["l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
         line = self.spread("lineitem").select(*keys, *order, "l_quantity")
-        numbered = ordered_index(line, keys, order, F.unix_seconds(F.col("l_shipdate").cast("timestamp")), "line_no")
+        numbered = ordered_index(line, keys, order, "line_no")
         return checkpointed(numbered.select(F.col("l_suppkey").alias("program_id"), "line_no", nc_text().alias("text")))
 
     @cached_property

@@ -31,9 +31,3 @@ def arrays(readings):
 
     pdf = readings.toPandas().sort_values(["series_id", "channel", "seq"])
     return {k: np.asarray(g["value"]) for k, g in pdf.groupby(["series_id", "channel"])}
-
-
-def by_key(df, column):
-    """{(series_id, channel): values in seq order} of a small result."""
-    pdf = df.toPandas().sort_values(["series_id", "channel", "seq"])
-    return {k: g[column].to_numpy() for k, g in pdf.groupby(["series_id", "channel"])}

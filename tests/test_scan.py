@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import by_key
-from swarf.operators import series
+from series_rows import by_key
+from swarf.operators import scan, series
 from swarf.operators.quantile import quantiles
 from swarf.operators.scan import order_blocks, ordered_index, running, seq_blocks
 
@@ -29,7 +29,7 @@ def test_running_matches_prefix_results(readings, arrays, rows):
 
 @pytest.mark.parametrize("keys", [KEYS, []])
 def test_index_over_several_blocks(readings, keys):
-    out = ordered_index(readings, keys, ["seq", *KEYS], F.col("seq"), "i", rows=5).toPandas()
+    out = ordered_index(readings, keys, ["seq", *KEYS], "i", rows=5).toPandas()
     groups = out.groupby(keys) if keys else [((), out)]
     for _, g in groups:
         assert sorted(g["i"]) == list(range(len(g)))
@@ -37,10 +37,30 @@ def test_index_over_several_blocks(readings, keys):
 
 
 def test_blocks_split_only_large_keys(readings):
-    found = {r["series_id"]: r["b"] for r in order_blocks(readings, ["series_id"], F.col("seq"), rows=10).groupBy("series_id").agg(F.countDistinct("_block").alias("b")).collect()}
+    found = {r["series_id"]: r["b"] for r in order_blocks(readings, ["series_id"], ["seq"], rows=10).groupBy("series_id").agg(F.countDistinct("_block").alias("b")).collect()}
     assert found[1] > 5 and found[2] == 1
 
 
+def test_bursts_constants_and_texts_give_bounded_blocks(spark):
+    burst = spark.range(10_000).selectExpr("id", "cast(if(id < 10, id * 1000000, 500) AS long) AS at", "7 AS same", "concat('sample-', lpad(id, 7, '0')) AS name")
+    for order in (["at", "id"], ["same", "id"], ["name"]):
+        for keys in ([], ["same"]):
+            sizes = [r["count"] for r in order_blocks(burst, keys, order, rows=100).groupBy("_block").count().collect()]
+            assert sum(sizes) == 10_000 and max(sizes) < 250 and len(sizes) > 70
+        placed = ordered_index(burst, [], order, "i", rows=100).toPandas().sort_values(order)
+        assert (placed["i"].to_numpy() == np.arange(10_000)).all()
+
+
+def test_two_levels_of_cuts(spark, monkeypatch):
+    monkeypatch.setattr(scan, "SLICES", 4)
+    rows = spark.range(20_000).selectExpr("id", "cast(null AS int) AS k", "cast(id % 3 AS string) AS text")
+    blocks = order_blocks(rows, [], ["k", "text", "id"], rows=70)
+    sizes = [r["count"] for r in blocks.groupBy("_block").count().collect()]
+    assert blocks.selectExpr("_block div 1048576 AS s").distinct().count() > 30 and max(sizes) < 250
+    spans = blocks.groupBy("_block").agg(F.min(F.struct("text", "id")).alias("lo"), F.max(F.struct("text", "id")).alias("hi")).orderBy("_block").collect()
+    assert all(x["hi"] < y["lo"] for x, y in zip(spans, spans[1:]))
+
+
 @pytest.mark.parametrize("rows", [4, 8, 1000])
 @pytest.mark.parametrize("width", [1, 3, 4, 5])
 def test_moving_average_over_block_borders(readings, arrays, rows, width):

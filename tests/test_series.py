@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import by_key
+from series_rows import by_key
 from swarf.functions import spectra
 from swarf.operators import augment, evaluate, features, series, spectral
 
