@@ -24,16 +24,8 @@ SAMPLES, SLICES = 64, 256
 BLOCK = "_block"
 
 
-def _drawn(df: DataFrame, keys: Sequence[str], chance: float) -> DataFrame:
-    """Rows whose hash of key and place falls below ``chance``; the same rows whenever they are read."""
-    draw = F.pmod(F.xxhash64(F.lit(41), *keys, "_on"), F.lit(1 << 40))
-    return df if chance >= 1 else df.filter(draw < int(chance * (1 << 40)))
-
-
-def _cuts(drawn: DataFrame, by: Sequence[str], step: int) -> DataFrame:
-    """Every ``step``-th drawn place of each group, in order."""
-    places = drawn.groupBy(*by).agg(F.sort_array(F.collect_list("_on")).alias("_cuts"))
-    return places.withColumn("_cuts", F.filter("_cuts", lambda _, i: (i + 1) % step == 0))
+def _cuts(picked: DataFrame, by: Sequence[str]) -> DataFrame:
+    return picked.groupBy(*by).agg(F.sort_array(F.collect_list("_on")).alias("_cuts"))
 
 
 def _passed(cuts: Column, place: Column) -> Column:
@@ -47,19 +39,24 @@ def order_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows:
     """Add ``_block``: consecutive stretches of about ``rows`` rows of each key, in the order of the columns ``order``.
 
     Blocks are cut at sampled quantiles of the whole order, ties included, so neither a burst at one time nor a
-    constant order value makes a large block; only rows equal in all of ``order`` stay together.  A first, coarse draw
-    cuts a key into slices of about SLICES blocks, a second one cuts slices into blocks, so no sample of one group grows
-    beyond some SAMPLES * SLICES places until a key holds SLICES * SLICES blocks.  Keys far below ``rows`` rows are
-    rarely drawn and keep one block.  Order columns may be numbers, dates or text; without keys the table is one sequence.
+    constant order value makes a large block; only rows equal in all of ``order`` stay together.  Rows are drawn by a hash
+    of key and place, SAMPLES for each block, and ranked within their key; every SAMPLES-th is a cut.  Cuts form slices of
+    SLICES blocks, so a row meets the few cuts between slices first and then those of its slice.  Keys far below
+    ``rows`` rows are rarely drawn and keep one block.  Order columns may be numbers, dates or text; without keys the
+    table is one sequence.
     """
-    keys = list(keys)
+    keys, chance = list(keys), SAMPLES / rows
+    step = rows if chance >= 1 else SAMPLES
     placed = df.withColumn("_on", F.struct(*order))
-    coarse = _cuts(_drawn(placed, keys, SAMPLES / (rows * SLICES)), keys, SAMPLES)
-    cut = placed.join(coarse, keys, "left") if keys else placed.withColumn("_cuts", coarse.select("_cuts").scalar())
-    sliced = cut.withColumn("_slice", _passed(F.col("_cuts"), F.col("_on"))).drop("_cuts")
-    chance = SAMPLES / rows
-    fine = _cuts(_drawn(sliced, keys, chance), [*keys, "_slice"], rows if chance >= 1 else SAMPLES)
-    inside = sliced.join(fine, [*keys, "_slice"], "left")
+    draw = F.pmod(F.xxhash64(F.lit(41), *keys, "_on"), F.lit(1 << 40))
+    drawn = placed.select(*keys, "_on").filter(draw < int(min(chance, 1.0) * (1 << 40)))
+    ranked = drawn.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy("_on")) - 1)
+    picked = ranked.filter((F.col("_r") > 0) & (F.col("_r") % step == 0)).withColumns({"_slice": F.expr(f"_r div {step * SLICES}"), "_edge": F.col("_r") % (step * SLICES) == 0})
+    coarse = _cuts(picked.filter("_edge"), keys)
+    # one cut per SLICES blocks, so this side stays small at any size; without keys it is one value
+    near = placed.join(F.broadcast(coarse), keys, "left") if keys else placed.withColumn("_cuts", coarse.select("_cuts").scalar())
+    sliced = near.withColumn("_slice", _passed(F.col("_cuts"), F.col("_on"))).drop("_cuts")
+    inside = sliced.join(_cuts(picked.filter("NOT _edge"), [*keys, "_slice"]), [*keys, "_slice"], "left")
     block = F.col("_slice") * (1 << 20) + _passed(F.col("_cuts"), F.col("_on"))
     return inside.withColumn(BLOCK, block).select(*df.columns, BLOCK)
 
