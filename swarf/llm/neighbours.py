@@ -154,10 +154,16 @@ def _packed(**arrays) -> bytes:
     return out.getvalue()
 
 
+def halved(vectors: np.ndarray) -> np.ndarray:
+    """Vectors scaled together by a power of two so that the largest component lies near 1; order of nearness stays."""
+    most = np.abs(vectors).max(initial=0.0)
+    return np.ldexp(vectors, -int(np.frexp(most)[1])) if most else vectors
+
+
 def _index_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("_id")
-    plain = np.stack(pdf["_vector"].to_numpy()).astype(np.float32)
-    vectors = lifted(plain)
+    plain = np.stack(pdf["_vector"].to_numpy()).astype(np.float64)
+    vectors = lifted(halved(plain))
     links, entries = build_graph(vectors)
     members = pdf["_ids"].map(len).to_numpy()
     blob = _packed(plain=plain, vectors=vectors, links=links, entries=entries, members=members, ids=np.concatenate(pdf["_ids"].to_list()))
@@ -171,23 +177,25 @@ def _search_shard(k: int, width: int):
             index = np.load(io.BytesIO(graphs["_graph"].iloc[0]))
             plain, vectors, links, members, ids = (index[x] for x in ("plain", "vectors", "links", "members", "ids"))
             begin = np.cumsum(members) - members
-            asked, points = queries["_id"].to_numpy(np.int64), np.stack(queries["_vector"].to_numpy()).astype(np.float32)
-            level = np.column_stack([points, np.zeros(len(points), np.float32)])
+            asked, numbers, points = queries["_id"].to_numpy(np.int64), queries["_q"].to_numpy(np.int64), np.stack(queries["_vector"].to_numpy()).astype(np.float64)
+            level = np.column_stack([np.stack([halved(p) for p in points]), np.zeros(len(points))]).astype(np.float32)
             for a in range(0, len(asked), BATCH):
                 found, _ = beam_search(links, vectors, index["entries"], level[a : a + BATCH], width)
                 found = found[:, : 2 * k]
-                score = np.where(found >= 0, np.matmul(plain[found].astype(np.float64), points[a : a + BATCH].astype(np.float64)[:, :, None])[:, :, 0], -np.inf)
+                score = np.where(found >= 0, np.matmul(plain[found], points[a : a + BATCH][:, :, None])[:, :, 0], -np.inf)
+                own = (plain[found] == points[a : a + BATCH][:, None, :]).all(-1) & (found >= 0)
                 for i in range(len(found)):
                     rows = found[i][found[i] >= 0]
                     size = members[rows]
                     each = np.repeat(begin[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())
                     near, value = ids[each], np.repeat(score[i, : len(rows)], size)
-                    other = near != asked[a + i]
-                    near, value = near[other], value[other]
+                    # the query itself is one row of the node with its vector; equal ids elsewhere are other rows
+                    mine = np.flatnonzero((near == asked[a + i]) & np.repeat(own[i, : len(rows)], size))[:1]
+                    near, value = np.delete(near, mine), np.delete(value, mine)
                     best = np.lexsort((near, -value))[:k]
-                    parts.append((np.full(len(best), asked[a + i]), near[best], value[best]))
-        columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
+                    parts.append((np.full(len(best), numbers[a + i]), np.full(len(best), asked[a + i]), near[best], value[best]))
+        columns = [np.concatenate(x) for x in zip(*parts)] if parts else [*[np.zeros(0, np.int64)] * 3, np.zeros(0)]
+        return pd.DataFrame(dict(zip(("_q", "query_id", "vec_id", "score"), columns)))
 
     return search
 
@@ -195,7 +203,7 @@ def _search_shard(k: int, width: int):
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(_id, _vector) of the rows that take part."""
     good = F.expr(f"`{vector_col}` IS NOT NULL AND `{id_col}` IS NOT NULL AND forall(`{vector_col}`, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(`{vector_col}`, x -> x != 0)")
-    return vectors.filter(good).select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<float>").alias("_vector"))
+    return vectors.filter(good).select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_vector"))
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, width: int = SEARCH_BEAM, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -207,7 +215,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, width: int = SEARCH
     block searches each shard.  Answers of all shards are merged by exact score, ties to the smaller id.
 
     Rows with null id or vector, without any component other than 0, or with a null, NaN or infinite component take no
-    part; vectors of another length form shards of their own; repeated ids are separate rows; an empty table gives an
+    part; vectors of another length form shards of their own; repeated ids are separate rows, each with ``k`` answers
+    among all others, those of its id included; scores are double-precision products of the vectors as given; an empty table gives an
     empty result; other columns are ignored.
     """
     rows = usable(vectors, id_col, vector_col)
@@ -219,15 +228,17 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, width: int = SEARCH
     shards = max(1, -(-nodes.count() // SHARD_ROWS))
     placed = nodes.withColumn("_shard", F.concat_ws(":", F.size("_vector"), F.pmod(F.xxhash64("_id"), F.lit(shards))))
     graphs = checkpointed(placed.groupBy("_shard").applyInPandas(_index_shard, "_shard string, _graph binary"))
-    asked = rows.filter(F.col("_id") % every == 0)
+    # every query row has a number of its own, so repeated ids are answered one by one
+    asked = checkpointed(rows.filter(F.col("_id") % every == 0)).withColumn("_q", F.monotonically_increasing_id())
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("_id"), F.lit(blocks)).alias("_block")
-    spread = asked.select("_id", "_vector", block, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_s")).withColumn("_shard", F.concat_ws(":", F.size("_vector"), F.col("_s"))).drop("_s")
+    block = F.pmod(F.xxhash64("_q"), F.lit(blocks)).alias("_block")
+    spread = asked.select("_id", "_q", "_vector", block, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_s")).withColumn("_shard", F.concat_ws(":", F.size("_vector"), F.col("_s"))).drop("_s")
     copies = graphs.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = copies.groupBy("_shard", "_block").cogroup(spread.groupBy("_shard", "_block")).applyInPandas(_search_shard(k, width), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = copies.groupBy("_shard", "_block").cogroup(spread.groupBy("_shard", "_block")).applyInPandas(_search_shard(k, width), "_q long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_neighbours(vectors: DataFrame) -> DataFrame:
+    """The 20 nearest of every 20th vector."""
     return search(vectors.select("vec_id", "embedding"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from swarf.llm.common import checkpointed, unpacked, with_row
+from swarf.llm.common import checkpointed, unpacked
+from swarf.operators.scan import order_blocks, running
 
 LOWEST = -(1 << 63)
 
@@ -66,20 +67,23 @@ def splitters(keys: DataFrame, ranges: int, draws: int, seed: int, rounds: int =
     return found
 
 
-def shard(docs: DataFrame, shards: int = 8, ranges: int = 512, draws: int = 32, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with ``_size`` (UTF-8 bytes and 1), ``_crc``, ``_shard`` and ``_slot``; law ``bytes``.
+def shard(docs: DataFrame, shards: int = 8, ranges: int = 512, draws: int = 32, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The documents (or their columns ``keep``) with ``_size`` (UTF-8 bytes and 1), ``_crc``, ``_shard`` and ``_slot``; law ``bytes``.
 
     The key is (hash of the text, hash of the id), so equal texts are neighbours and share a shard unless a boundary falls
     within them.  Ranges bound both bytes and rows: a record weighs half its part of the bytes and half its part of the
-    rows.  Within its range a record's place is a running sum; ranges add the bytes before them, and a shard takes the
-    records that begin within its equal part of all bytes.  Slots count from 0 in the same order.
+    rows.  Within its range a record's place is a running sum over blocks of bounded length, whatever the size of the
+    range; ranges add the bytes before them, and a shard takes the records that begin within its equal part of all bytes.
+    Slots count from 0 in the same order.
 
     Null and empty texts have size 1 and equal keys but for their ids; repeated rows are neighbours in any order; an empty
     table gives an empty result; other columns pass through, but those named like an added one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = with_row(docs, _size=(F.octet_length(text) + 1).cast("long"), _crc=F.crc32(text.cast("binary")), _hash=F.xxhash64(text), _tie=F.xxhash64(F.col(id_col)))
-    keys = checkpointed(keyed.select("_size", "_crc", "_hash", "_tie"))
+    carried = docs.select(*keep) if keep is not None else docs
+    row = F.struct(*[F.col(f"`{c}`") for c in carried.columns]).alias("_row")
+    keyed = docs.select(row, (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc"), F.xxhash64(text).alias("_hash"), F.xxhash64(F.col(id_col)).alias("_tie"))
+    keys = checkpointed(keyed.select("_size", "_hash", "_tie"))
     rows, total = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
     weighed = keys.withColumn("_weight", F.col("_size") / F.lit(2.0 * max(total, 1)) + F.lit(0.5 / max(rows, 1)))
     where = _range_of(splitters(weighed, ranges, draws, seed))
@@ -87,26 +91,27 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int = 512, draws: int = 32,
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select("_range", F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_bytes_before"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"))
     offsets = checkpointed(offsets)
-    inside = Window.partitionBy("_range").orderBy("_hash", "_tie", "_size")
+    order = ["_hash", "_tie", "_size"]
 
     def placed(frame: DataFrame) -> DataFrame:
-        running = frame.withColumn("_range", where).withColumns({"_begin": F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size"), "_rank": F.row_number().over(inside)})
+        blocks = order_blocks(frame.withColumn("_range", where), ["_range"], order)
+        ran = running(blocks, ["_range"], order, index="_rank", sums={"_end": F.col("_size")})
         # one row per range: bounded by the parameters of splitters()
-        at = running.join(F.broadcast(offsets), "_range")
-        begin = F.col("_begin") + F.col("_bytes_before")
-        return at.withColumns({"_shard": F.floor(begin * F.lit(shards) / F.lit(max(total, 1))).cast("int"), "_rank": F.col("_rank") + F.col("_rows_before") - 1})
+        at = ran.join(F.broadcast(offsets), "_range")
+        begin = F.col("_end") - F.col("_size") + F.col("_bytes_before")
+        return at.withColumns({"_shard": F.floor(begin * F.lit(shards) / F.lit(max(total, 1))).cast("int"), "_rank": F.col("_rank") + F.col("_rows_before")})
 
     firsts = {r["_shard"]: r["_first"] for r in placed(keys).groupBy("_shard").agg(F.min("_rank").alias("_first")).collect()}
     first = F.lit(0)
     for number, begin in firsts.items():
         first = F.when(F.col("_shard") == number, F.lit(begin)).otherwise(first)
     slotted = placed(keyed).withColumn("_slot", (F.col("_rank") - first).cast("long"))
-    return unpacked(slotted, docs, "_size", "_crc", "_shard", "_slot")
+    return unpacked(slotted, carried, "_size", "_crc", "_shard", "_slot")
 
 
 def op8_shard(docs: DataFrame) -> DataFrame:
-    placed = shard(docs.select("doc_id", "text"))
-    return digest(placed)
+    """Shard and slot of every document."""
+    return digest(shard(docs, keep=["doc_id"]))
 
 
 def digest(placed: DataFrame) -> DataFrame:

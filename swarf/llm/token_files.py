@@ -31,6 +31,7 @@ from swarf.llm.common import checkpointed, shared_folder
 SEEK_MAGIC, DIRECTORY_MAGIC, FOOTER_MAGIC, CHECKSUMS = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80
 
 FRAME_BYTES = 1 << 20
+FILE_BYTES = 128 << 20
 CACHED_WORDS = 700_000
 HEAD = np.dtype([("known", "u1"), ("id", "<i8"), ("n", "<u4")])
 PLACE = np.dtype([("docs_before", "<u8"), ("ids_before", "<u8"), ("lowest", "<i8"), ("highest", "<i8"), ("nulls", "u1")])
@@ -188,7 +189,8 @@ class FrameReader:
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text and write files in ascending id order; one row per file, in the order of the files.
 
-    Documents are range-partitioned by id and sorted within a task; each task streams into one file, which takes its
+    Documents are range-partitioned by id, about FILE_BYTES of text to a file and one file to a shuffle partition at least, and
+    sorted within a task; each task streams into one file, which takes its
     final name when complete, so a repeated task replaces it.  Null texts are empty and hold the end id alone; null ids
     come first; repeated ids stay side by side; an empty table writes files without documents or none.  The row set is
     written to the shared folder once, so files are not written again by later actions.
@@ -214,7 +216,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_col:
         fs.move(draft, final)
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [final], "n_docs": [out.docs], "n_ids": [out.tokens]})
 
-    ordered = docs.select(F.col(id_col).cast("long"), F.col(text_col)).repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col)
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    ordered = docs.select(F.col(id_col).cast("long"), F.col(text_col)).repartitionByRange(files, F.col(id_col)).sortWithinPartitions(id_col)
     return checkpointed(ordered.mapInArrow(to_file, MANIFEST))
 
 
@@ -245,10 +249,12 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     # one row per file, so a single ordered window is small
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)))
-    return files.select("file", "before").repartition("file").mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # one row per file is little data, but each stands for a whole file: as many tasks as files
+    return files.select("file", "before").repartition(max(1, manifest.count()), "file").mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_token_files(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Files of all documents in the shared folder, read back."""
     if tokenizer is None:
         import public_tokenizers
 

@@ -167,12 +167,16 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 110, seed: int =
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int, seed: int = 17) -> DataFrame:
-    """At most ``per_class`` labelled training texts of either class, by a hash of the id; the bound is this parameter."""
+    """At most ``per_class`` labelled training texts of either class, by a hash of the id; the bound is this parameter.
+
+    Of documents that repeat a drawn id one is learnt from: the one whose text has the smallest hash.
+    """
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     usable = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     drawn = [usable.filter(F.col("toxic") == y).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    # at most 2 * per_class ids
-    return docs.select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
+    # at most 2 * per_class ids, and one text for each
+    found = docs.select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic"))
 
 
 def fit(drawn: DataFrame) -> tuple[np.ndarray, float]:
@@ -216,6 +220,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> DataF
 
 
 def op7_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Score and decision of every document."""
     scored = toxicity(docs.select("doc_id", "text"), labels)
     held = F.coalesce(F.crc32(F.col("_row.doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return scored.select("_row.doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
