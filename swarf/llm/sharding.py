@@ -86,26 +86,22 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int = 512, draws: int = 32,
     keys = checkpointed(keyed.select("_size", "_hash", "_tie"))
     rows, total = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
     weighed = keys.withColumn("_weight", F.col("_size") / F.lit(2.0 * max(total, 1)) + F.lit(0.5 / max(rows, 1)))
-    where = _range_of(splitters(weighed, ranges, draws, seed))
-    per_range = keys.groupBy(where.alias("_range")).agg(F.sum("_size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
+    # written with its range, so that the text is read for it once
+    ranged = checkpointed(keyed.withColumn("_range", _range_of(splitters(weighed, ranges, draws, seed))))
+    per_range = ranged.groupBy("_range").agg(F.sum("_size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select("_range", F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_bytes_before"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"))
-    offsets = checkpointed(offsets)
     order = ["_hash", "_tie", "_size"]
-
-    def placed(frame: DataFrame) -> DataFrame:
-        blocks = order_blocks(frame.withColumn("_range", where), ["_range"], order)
-        ran = running(blocks, ["_range"], order, index="_rank", sums={"_end": F.col("_size")})
-        # one row per range: bounded by the parameters of splitters()
-        at = ran.join(F.broadcast(offsets), "_range")
-        begin = F.col("_end") - F.col("_size") + F.col("_bytes_before")
-        return at.withColumns({"_shard": F.floor(begin * F.lit(shards) / F.lit(max(total, 1))).cast("int"), "_rank": F.col("_rank") + F.col("_rows_before")})
-
-    firsts = {r["_shard"]: r["_first"] for r in placed(keys).groupBy("_shard").agg(F.min("_rank").alias("_first")).collect()}
+    ran = running(order_blocks(ranged, ["_range"], order), ["_range"], order, index="_rank", sums={"_end": F.col("_size")})
+    # one row per range: bounded by the parameters of splitters()
+    at = ran.join(F.broadcast(offsets), "_range")
+    begin = F.col("_end") - F.col("_size") + F.col("_bytes_before")
+    placed = checkpointed(at.withColumns({"_shard": F.floor(begin * F.lit(shards) / F.lit(max(total, 1))).cast("int"), "_rank": F.col("_rank") + F.col("_rows_before")}))
+    firsts = {r["_shard"]: r["_first"] for r in placed.groupBy("_shard").agg(F.min("_rank").alias("_first")).collect()}
     first = F.lit(0)
     for number, begin in firsts.items():
         first = F.when(F.col("_shard") == number, F.lit(begin)).otherwise(first)
-    slotted = placed(keyed).withColumn("_slot", (F.col("_rank") - first).cast("long"))
+    slotted = placed.withColumn("_slot", (F.col("_rank") - first).cast("long"))
     return unpacked(slotted, carried, "_size", "_crc", "_shard", "_slot")
 
 
