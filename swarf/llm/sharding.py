@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from swarf.llm.common import checkpointed, unpacked
+from swarf.llm.common import checkpointed, shared_folder, unpacked
 from swarf.operators.scan import order_blocks, running
 
 LOWEST = -(1 << 63)
@@ -86,8 +88,10 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int = 512, draws: int = 32,
     keys = checkpointed(keyed.select("_size", "_hash", "_tie"))
     rows, total = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
     weighed = keys.withColumn("_weight", F.col("_size") / F.lit(2.0 * max(total, 1)) + F.lit(0.5 / max(rows, 1)))
-    # written with its range, so that the text is read for it once
-    ranged = checkpointed(keyed.withColumn("_range", _range_of(splitters(weighed, ranges, draws, seed))))
+    # written with its range as a table, so that the text is read for it once and the plan forgets how ranges come about
+    folder = f"{shared_folder(docs.sparkSession)}/ranged-{uuid.uuid4().hex}"
+    keyed.withColumn("_range", _range_of(splitters(weighed, ranges, draws, seed))).write.parquet(folder)
+    ranged = docs.sparkSession.read.parquet(folder)
     per_range = ranged.groupBy("_range").agg(F.sum("_size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select("_range", F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_bytes_before"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"))
