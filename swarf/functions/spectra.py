@@ -45,6 +45,23 @@ def frame_stats(x: np.ndarray, size: int = 128, hop: int = 64) -> np.ndarray:
     return np.concatenate([mags.mean(axis=0), mags.std(axis=0)])
 
 
+def frame_moments(x: np.ndarray, frames: int | None = None, size: int = 128, hop: int = 64) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, mean and summed squared deviations of the log magnitudes over the whole frames, at most the first ``frames``."""
+    cut = np.lib.stride_tricks.sliding_window_view(x, size)[::hop][:frames] if x.size >= size else np.zeros((0, size))
+    if not len(cut):
+        return 0, np.zeros(size // 2 + 1), np.zeros(size // 2 + 1)
+    mags = np.log1p(np.abs(np.fft.rfft(cut * np.hanning(size), axis=1)))
+    mean = mags.mean(axis=0)
+    return len(cut), mean, np.square(mags - mean).sum(axis=0)
+
+
+@F.pandas_udf(T.StructType().add("frames", T.LongType()).add("bins", T.ArrayType(T.StructType().add("mean", T.DoubleType()).add("spread", T.DoubleType()))))
+def frame_block(values: pd.Series, n: pd.Series, frames: pd.Series) -> pd.DataFrame:
+    """Moments of the frames that start in a block; a series shorter than a frame is stretched to one."""
+    found = [frame_moments(stretch(np.asarray(v, dtype=float), 128) if k < 128 else np.asarray(v, dtype=float), int(f)) for v, k, f in zip(values, n, frames)]
+    return pd.DataFrame({"frames": [c for c, _, _ in found], "bins": [[{"mean": m, "spread": s} for m, s in zip(mean.tolist(), spread.tolist())] for _, mean, spread in found]})
+
+
 def box_widths(n: int, limit: int, count: int = 32) -> np.ndarray:
     return np.maximum(2, np.linspace(2, min(limit, max(3, n // 4)), count).astype(int))
 

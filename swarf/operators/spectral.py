@@ -172,9 +172,31 @@ def band_energy(df: DataFrame, rate: float | None, bands=BANDS, by: Sequence[str
     return _bands(held.withColumns({"_m": spectra.hann_magnitude("values"), "_n": F.size("values")}), rate, bands, by)
 
 
-def stft_summary(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
-    """Mean and deviation over all Hann frames of 128 readings, hop 64, of each window."""
-    return window_arrays(df, by).select(*by, spectra.short_time_summary("values").alias("summary"))
+def frame_moments(df: DataFrame, by: Sequence[str] = KEYS, rows: int = 4096) -> DataFrame:
+    """(by, bin, frames, mean, deviation) of the log magnitudes over all Hann frames of 128 readings, hop 64, of whole series.
+
+    Series are cut into blocks of ``rows`` positions (a multiple of 64) that also see the next 64 readings.  A block gives
+    number, mean and squared deviations of the frames starting in it; these add up over blocks, so no task holds a series.
+    """
+    by = list(by)
+    if rows % 64:
+        raise ValueError("a block holds whole hops of 64 readings")
+    held = with_neighbours(df, 0, 64, rows=rows)
+    blocks = held.groupBy(*by, BLOCK).agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("_b")).join(group_sizes(df, by), by)
+    parts = blocks.select(*by, spectra.frame_block(F.transform("_b", lambda b: b["value"]), F.col("n"), F.lit(rows // 64)).alias("_m")).filter("_m.frames > 0")
+    bins = parts.select(*by, "_m.frames", F.posexplode("_m.bins").alias("bin", "_s"))
+    count, mean = F.col("frames"), F.col("_s.mean")
+    merged = bins.groupBy(*by, "bin").agg(F.sum(count).alias("frames"), F.sum(count * mean).alias("_a"), F.sum(F.col("_s.spread")).alias("_in"), F.sum(count * mean * mean).alias("_sq"))
+    centre = F.col("_a") / F.col("frames")
+    between = F.greatest(F.col("_sq") - F.col("_a") * centre, F.lit(0.0))
+    return merged.select(*by, "bin", "frames", centre.alias("mean"), F.sqrt((F.col("_in") + between) / F.col("frames")).alias("deviation"))
+
+
+def stft_summary(df: DataFrame, by: Sequence[str] = KEYS, rows: int = 4096) -> DataFrame:
+    """Mean and deviation over all Hann frames of 128 readings, hop 64, of each series, however long."""
+    ordered = F.array_sort(F.collect_list(F.struct("bin", "mean", "deviation")))
+    held = frame_moments(df, by, rows).groupBy(*by).agg(ordered.alias("_b"))
+    return held.select(*by, F.concat(F.transform("_b", lambda b: b["mean"]), F.transform("_b", lambda b: b["deviation"])).alias("summary"))
 
 
 def width_energies(df: DataFrame, limit: int = 64, scales: int = 32, by: Sequence[str] = KEYS, rows: int = 4096) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from swarf.functions.rounding import round_columns, rounded
-from swarf.operators import features, spectral
+from swarf.operators import features, fourier, spectral
 from swarf.operators.channels import canonicalize_channels
 from swarf.queries.channels import dimension_ctes
 from swarf.queries.registry import query, r
@@ -136,6 +136,31 @@ def stft_summary_windows(t):
     return round_columns(out.select("series_id", "channel", F.posexplode("summary").alias("bin", "value")), ["value"], 5)
 
 
+WHOLE = with_tables("cuts", body=", readings AS (SELECT tool_id AS series_id, 'force' AS channel, cut AS seq, force_n / 1000 AS value FROM cuts)")
+
+
+def _whole(t):
+    """The force of every cut of a tool as one long series."""
+    return t.cuts.select(F.col("tool_id").alias("series_id"), F.lit("force").alias("channel"), F.col("cut").alias("seq"), (F.col("force_n") / 1000).alias("value"))
+
+
+@query(WHOLE + HEADS + dft("x") + f""", t AS (SELECT *, sum(p) OVER (PARTITION BY {BY}) + 1e-12 AS tot FROM sp)
+ SELECT series_id, channel, {r('any_value(tot)', 4, 'band_energy')}, {r('sum(k*50.0/n*p/tot)', 5, 'spectral_centroid')}, {r('arg_max(k*50.0/n, (p, -k))', 6, 'dominant_frequency')},
+ {r('-sum(p/tot*ln(p/tot+1e-12))', 5, 'spectral_entropy')} FROM t GROUP BY ALL""")
+def dft_features_long(t):
+    out = fourier.spectrum_features(_whole(t), 50.0)
+    out = round_columns(out, ["spectral_centroid", "spectral_entropy"], 5)
+    return out.withColumns({"band_energy": rounded("band_energy", 4), "dominant_frequency": rounded("dominant_frequency")})
+
+
+@query(WHOLE + f""", c AS (SELECT series_id, channel, count(*) AS n FROM readings GROUP BY ALL), f AS (SELECT series_id, channel, unnest(range(0, (n-128)//64+1)) AS fr FROM c WHERE n >= 128),
+ x AS (SELECT f.series_id, f.channel, fr, seq - fr*64 AS j, value*(0.5-0.5*cos(2*pi()*(seq - fr*64)/127)) AS x FROM f JOIN readings USING (series_id, channel) WHERE seq BETWEEN fr*64 AND fr*64+127),
+ s AS (SELECT series_id, channel, fr, k, ln(1+sqrt(sum(x*cos(2*pi()*k*j/128))**2 + sum(x*sin(2*pi()*k*j/128))**2)) AS v FROM (SELECT *, unnest(range(0, 65)) AS k FROM x) GROUP BY ALL)
+ SELECT series_id, channel, k::INTEGER AS bin, count(*) AS frames, {r('avg(v)', 5, 'mean')}, {r('stddev_pop(v)', 5, 'deviation')} FROM s GROUP BY series_id, channel, k""")
+def frame_moments_long(t):
+    return round_columns(spectral.frame_moments(_whole(t), rows=256), ["mean", "deviation"], 5)
+
+
 def _listed(df, column):
     return round_columns(df.select("series_id", "channel", F.posexplode(column).alias("pos", "value")), ["value"])
 
