@@ -1,20 +1,18 @@
-"""Few-shot prediction of query rows from a small support set.
+"""Few-shot prediction of query rows from a support set.
 
-The few-shot interface takes at most twenty support rows, so the support travels as one array value and
-every query row is answered on its own: no join and no shuffle of the queries.  A stated query set can be
-held against a large support with ``knn_join_blocks``, which the caller chooses.
+Class methods take a few-shot support of at most twenty rows, which travels as one array value, so every query row is
+answered on its own: no join and no shuffle of the queries.  Regression and forecasts take a support of any size, held
+against the query set in bounded blocks (``swarf.operators.metric``).
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swarf.functions.vectors import euclidean, total
+from swarf.operators.metric import nearest, weighted_means
 
-BLOCK_ROWS = 512
 # Label columns of each task in the order they are tried.
 TASK_LABELS = {
     "toolwear_regression": ["tool_wear_vb", "tool_wear", "wear", "vb", "value", "target", "label", "y"],
@@ -65,35 +63,16 @@ def knn_join(query: DataFrame, support: DataFrame, k: int, payload: tuple[str, .
     return packed.withColumn("neighbors", F.slice(_ranked(F.col("embedding"), F.col("_s"), list(payload)), 1, k)).drop("_s")
 
 
-def knn_join_blocks(query: DataFrame, support: DataFrame, k: int, payload: tuple[str, ...] = ("label",), block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """As ``knn_join`` for a stated query set and a support of any size, exact.
-
-    Support blocks of about ``block_rows`` rows meet one query copy per block, and the block results are merged.
-    """
-    if k <= 0:
-        raise ValueError("k must be positive")
-    columns = list(payload)
-    blocks = max(1, math.ceil(support.count() / block_rows))
-    held = support.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_b"), F.struct("id", "embedding", *columns).alias("_r"))
-    packed = held.groupBy("_b").agg(F.collect_list("_r").alias("_s"))
-    # block numbers repeat, so the query key is salted in to keep the join spread over all tasks
-    salts = 64
-    packed = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    asked = query.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumn(
-        "_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
-    )
-    local = asked.join(packed, ["_b", "_salt"]).withColumn("_n", F.slice(_ranked(F.col("embedding"), F.col("_s"), columns), 1, k))
-    merged = local.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_n"))), 1, k).alias("neighbors"))
-    return query.join(merged, "id")
-
-
 def _weights(distances: Column) -> Column:
     return F.transform(distances, lambda d: 1.0 / (d + 1e-8))
 
 
 def knn_predict(query: DataFrame, support: DataFrame, k: int = 3, regression: bool = True) -> DataFrame:
-    """Distance-weighted mean and range, or majority class (earliest neighbour on ties) with its share."""
-    near = knn_join(query, support, k)
+    """Distance-weighted mean and range, or majority class (earliest neighbour on ties) with its share.
+
+    Regression finds its neighbours in a support of any size, classes in a few-shot support.
+    """
+    near = nearest(query, support, k, ("label",)).drop("measured") if regression else knn_join(query, support, k)
     labels = F.transform("neighbors", lambda n: n["label"])
     if regression:
         numbers = F.transform(labels, lambda v: v.cast("double"))
@@ -140,18 +119,6 @@ def one_shot_predict(query: DataFrame, support: DataFrame) -> DataFrame:
     ).drop("neighbors")
 
 
-def _blend(df: DataFrame, values: str, size: int, output: str) -> DataFrame:
-    """Inverse-distance weighted mean of one array field over the support in ``_s``.
-
-    Weights and their sum are columns of their own, because lambdas would evaluate them per element.
-    """
-    weights = F.transform("_s", lambda s: 1.0 / (euclidean(F.col("embedding"), s["embedding"]) + 1e-8))
-    held = df.withColumn("_w", weights).withColumn("_t", total(F.col("_w")))
-    pairs = F.zip_with("_s", "_w", lambda s, w: F.struct(w.alias("w"), s[values].alias("v")))
-    summed = F.aggregate(pairs, F.array_repeat(F.lit(0.0), size), lambda acc, e: F.zip_with(acc, e["v"], lambda a, v: a + e["w"] * v))
-    return held.withColumn("_b", summed).withColumn(output, F.transform("_b", lambda v: v / F.col("_t"))).drop("_w", "_t", "_b")
-
-
 def _mean_abs(values: Column) -> Column:
     return total(F.transform(values, lambda v: F.abs(v))) / F.size(values)
 
@@ -161,19 +128,18 @@ def residual_forecast(query: DataFrame, support: DataFrame, size: int) -> DataFr
 
     ``support(id, embedding, target, base)`` and ``query(id, embedding, base)``.
     """
-    held = support.select("id", "embedding", F.zip_with("target", "base", lambda t, b: t - b).alias("residual"))
-    packed = query.withColumn("_s", pack_support(held, "residual"))
-    corrected = _blend(packed, "residual", size, "correction")
+    whole = support.filter((F.size("target") == size) & (F.size("base") == size))
+    held = whole.select("id", "embedding", F.zip_with("target", "base", lambda t, b: t - b).alias("residual"))
+    corrected = weighted_means(query, held, "residual", "correction")
     return corrected.withColumns(
         {"prediction": F.zip_with("base", "correction", lambda b, c: b + c), "uncertainty": _mean_abs(F.col("correction"))}
-    ).drop("_s")
+    )
 
 
 def knn_forecast(query: DataFrame, support: DataFrame, size: int) -> DataFrame:
     """Weighted mean of all support futures; uncertainty is the mean distance to the base forecast."""
-    packed = query.withColumn("_s", pack_support(support.select("id", "embedding", "target"), "target"))
-    blended = _blend(packed, "target", size, "prediction")
-    return blended.withColumn("uncertainty", _mean_abs(F.zip_with("prediction", "base", lambda p, b: p - b))).drop("_s")
+    blended = weighted_means(query, support.filter(F.size("target") == size), "target", "prediction")
+    return blended.withColumn("uncertainty", _mean_abs(F.zip_with("prediction", "base", lambda p, b: p - b)))
 
 
 def similarity_blend(df: DataFrame, base: str, label: str, similarity: str) -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swarf.functions.vectors import euclidean, total
+from swarf.functions.vectors import as_doubles, euclidean, total
 from swarf.operators.evaluate import regression_metrics
 from swarf.operators.lineage import checkpointed
 from swarf.operators.quantile import medians
@@ -47,36 +49,74 @@ PHYSICS = ["tool_life_ratio", "force_ratio", "specific_cutting_energy_j_per_mm3"
 def fit_ridge(train: DataFrame, features: Sequence[str] | str, label: str, alpha: float = 1.0) -> DataFrame:
     """Least squares with an L2 penalty ``alpha`` on the unscaled features, as one row of weights; nothing runs yet.
 
-    A list of columns is fitted from one aggregate over any number of rows; one array column (an embedding) from a
-    few-shot support, which travels as one row.
+    Any number of rows: a list of columns is fitted from one aggregate, one array column (an embedding) from matrix sums.
     """
     if isinstance(features, str):
-        return packed_ridge(train, features, F.array(F.col(label).cast("double")), alpha)
+        return array_ridge(train, features, F.array(F.col(label)), alpha)
     return grouped_ridge(train, [], features, label, alpha)
 
 
+def _task_products(batches):
+    """Task code: the products of the first ``d`` entries of each row with all of it, summed over the task's rows."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if len(set(zip(batch.column("d").to_pylist(), pc.list_value_length(batch.column("z")).to_pylist()))) > 1:
+            raise ValueError("embeddings and targets must each have one length")
+        z = batch.column("z").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        part = z[:, : batch.column("d")[0].as_py()].T @ z
+        if held is not None and held.shape != part.shape:
+            raise ValueError("embeddings and targets must each have one length")
+        held = part if held is None else held + part
+    if held is not None:
+        yield pa.RecordBatch.from_pydict({"at": np.arange(held.size, dtype=np.int64), "value": held.ravel()})
+
+
+def summed_products(rows: DataFrame) -> Column:
+    """Sum over all rows ``(d, z)`` of the products of the first ``d`` entries of ``z`` with all entries, row by row.
+
+    A task hands on one matrix however many rows it reads; matrices are added cell by cell with map-side combine.
+    """
+    cells = rows.select(F.col("d").cast("int").alias("d"), "z").mapInArrow(_task_products, "at long, value double")
+    added = cells.groupBy("at").agg(F.sum("value").alias("value"))
+    return added.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda e: e["value"]).alias("cells")).scalar()
+
+
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
-def _solve_packed(rows: pd.Series, targets: pd.Series, alpha: pd.Series) -> pd.Series:
-    """Per target its weights and intercept, all from one Gram matrix of the few rows (the dual form)."""
+def _solve_products(cells: pd.Series, means: pd.Series, width: pd.Series, alpha: pd.Series) -> pd.Series:
+    """Per target its weights and intercept from the centred products X'[X Y]."""
     solved = []
-    for x, y, a in zip(rows, targets, alpha):
-        x, y = np.stack([np.asarray(v, dtype=float) for v in x]), np.stack([np.asarray(v, dtype=float) for v in y])
-        centre, middle = x.mean(axis=0), y.mean(axis=0)
-        free = x - centre
-        gram = free @ free.T + a * np.eye(len(x))
-        weights = free.T @ np.linalg.lstsq(gram, y - middle, rcond=None)[0]
-        solved.append(np.column_stack([weights.T, middle - centre @ weights]).tolist())
+    for flat, centre, d, a in zip(cells, means, width, alpha):
+        if flat is None or not len(flat):
+            solved.append(None)
+            continue
+        products, centre, d = np.asarray(flat, dtype=float).reshape(int(d), -1), np.asarray(centre, dtype=float), int(d)
+        weights = np.linalg.lstsq(products[:, :d] + a * np.eye(d), products[:, d:], rcond=None)[0]
+        solved.append(np.column_stack([weights.T, centre[d:] - centre[:d] @ weights]).tolist())
     return pd.Series(solved)
 
 
-def packed_ridge(support: DataFrame, embedding: str, targets: Column, alpha: float = 1.0) -> DataFrame:
-    """One row with ``lines``: for every target of a few-shot support the weights and, last, the intercept."""
-    pairs = support.select(F.col(embedding).alias("x"), targets.alias("y")).filter("x IS NOT NULL AND y IS NOT NULL AND forall(y, v -> v IS NOT NULL)")
-    packed = pairs.agg(F.collect_list("x").alias("x"), F.collect_list("y").alias("y"))
-    return packed.select(_solve_packed("x", "y", F.lit(float(alpha))).alias("lines"))
+def array_ridge(train: DataFrame, embedding: str, targets: Column, alpha: float = 1.0) -> DataFrame:
+    """One row with ``lines``: for every target the weights and, last, the intercept, from any number of rows.
 
-
-def packed_predictions(df: DataFrame, lines: DataFrame, embedding: str, output: str) -> DataFrame:
+    Two passes: means first, then products of the centred values, so large means cost no digits.  Rows with a null in
+    embedding or targets take no part; without rows ``lines`` is null.  Only one matrix of embedding size squared meets
+    in one place.
+    """
+    whole = "x IS NOT NULL AND y IS NOT NULL AND forall(x, v -> v IS NOT NULL) AND forall(y, v -> v IS NOT NULL)"
+    pairs = train.select(as_doubles(embedding).alias("x"), as_doubles(targets).alias("y")).filter(whole)
+    joint = pairs.select(F.size("x").alias("d"), F.concat("x", "y").alias("z"))
+    # a leading one makes the same sums give the row count and the totals
+    sums = summed_products(joint.select(F.lit(1).alias("d"), F.concat(F.array(F.lit(1.0)), "z").alias("z")))
+    centred = joint.withColumn("_t", sums).select("d", F.zip_with("z", F.slice("_t", 2, F.size("_t") - 1), lambda v, t: v - t / F.col("_t")[0]).alias("z"))
+    widths = joint.agg(F.max("d").alias("_d"))
+    held = widths.withColumns({"_t": sums, "_g": summed_products(centred)})
+    means = F.transform(F.slice("_t", 2, F.greatest(F.lit(0), F.size("_t") - 1)), lambda t: t / F.col("_t")[0])
+    return held.select(_solve_products("_g", means, F.col("_d"), F.lit(float(alpha))).alias("lines"))
+
+
+def array_predictions(df: DataFrame, lines: DataFrame, embedding: str, output: str) -> DataFrame:
     """The array of all targets' predictions."""
     one = lambda line: total(F.zip_with(embedding, F.slice(line, 1, F.size(embedding)), lambda v, w: v * w)) + F.element_at(line, -1)
     return df.withColumn("_lines", lines.scalar()).withColumn(output, F.transform("_lines", one)).drop("_lines")
@@ -91,7 +131,7 @@ def _assembled(df: DataFrame, features: Sequence[str] | str) -> DataFrame:
 def apply_ridge(model, df: DataFrame, features: Sequence[str] | str, output: str = "predicted", floor: float | None = None) -> DataFrame:
     """Predictions as a column; ``floor`` limits them from below (remaining life is never negative)."""
     if isinstance(features, str):
-        found = packed_predictions(df, model, features, "_p").withColumn(output, F.col("_p")[0]).drop("_p")
+        found = array_predictions(df, model, features, "_p").withColumn(output, F.col("_p")[0]).drop("_p")
     else:
         found = apply_grouped(df, model, [], features, output)
     return found if floor is None else found.withColumn(output, F.greatest(F.lit(float(floor)), F.col(output)))
@@ -120,9 +160,9 @@ def apply_logistic(model, df: DataFrame, features: Sequence[str] | str, output:
 
 
 def ridge_forecast(query: DataFrame, support: DataFrame, size: int, alpha: float = 1.0) -> DataFrame:
-    """Ridge from the embedding to every step of a flat future array of ``size``: one Gram matrix, many right-hand sides."""
-    lines = packed_ridge(support, "embedding", F.slice("target", 1, size), alpha)
-    return packed_predictions(query, lines, "embedding", "prediction")
+    """Ridge from the embedding to every step of a flat future array of ``size``: one matrix sum, many right-hand sides."""
+    lines = array_ridge(support, "embedding", F.slice("target", 1, size), alpha)
+    return array_predictions(query, lines, "embedding", "prediction")
 
 
 # --- grouped ridge -----------------------------------------------------------------------------------

@@ -13,19 +13,21 @@ FORECASTS = ("residual", "knn", "ridge")
 
 
 def predict_few_shot(query: DataFrame, support: DataFrame, task: str, method: str = "prototype", limit: int = 20) -> DataFrame:
-    """Answer every query row with the chosen method; the request takes the first ``limit`` support rows.
+    """Answer every query row with the chosen method.
 
-    Numeric labels make prototypes fall back to neighbours and allow ridge; other labels are classes.
+    Numeric labels make prototypes fall back to neighbours and allow ridge, over the whole support; other labels are
+    classes, for which the request takes the first ``limit`` support rows.  One-shot takes the first row.
     ``support(id, embedding, label)``, ``query(id, embedding)``.
     """
     if method not in METHODS:
         raise ValueError(f"unknown few-shot method {method!r}")
-    taken = cap_support(support, "id", limit).filter(F.col("label").isNotNull())
-    checked = taken.select(F.col("label").cast("string").alias("label_value"))
+    labelled = support.filter(F.col("label").isNotNull())
+    checked = labelled.select(F.col("label").cast("string").alias("label_value"))
     numeric = fewshot.is_regression(checked).first()["regression"]
     if numeric is None:
         raise ValueError(f"no labelled support row for task {task!r}")
     query = query.select("id", "embedding")
+    taken = labelled if numeric else cap_support(support, "id", limit).filter(F.col("label").isNotNull())
     if method == "one_shot":
         return fewshot.one_shot_predict(query, taken)
     if numeric and method in ("ridge", "linear_probe"):
@@ -42,15 +44,15 @@ def predict_few_shot(query: DataFrame, support: DataFrame, task: str, method: st
     return fewshot.prototype_predict(query, taken)
 
 
-def forecast_few_shot(query: DataFrame, support: DataFrame, size: int, method: str = "residual", limit: int = 20) -> DataFrame:
-    """Forecast ``size`` values (channels laid end to end) of every query row from the first ``limit`` support rows.
+def forecast_few_shot(query: DataFrame, support: DataFrame, size: int, method: str = "residual") -> DataFrame:
+    """Forecast ``size`` values (channels laid end to end) of every query row from the whole support.
 
     ``support(id, embedding, target, base)``, ``query(id, embedding, base)``; support rows without a target of that size
     do not take part.
     """
     if method not in FORECASTS:
         raise ValueError(f"unknown forecast method {method!r}")
-    taken = cap_support(support, "id", limit).filter(F.size("target") == size)
+    taken = support.filter(F.size("target") == size)
     if method == "residual":
         return fewshot.residual_forecast(query, taken, size)
     if method == "knn":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from swarf.functions.rounding import round_columns, rounded
-from swarf.operators import augment, batch, evaluate, fewshot, models, physics, series, spectral, splits
+from swarf.operators import augment, batch, evaluate, fewshot, metric, models, physics, series, spectral, splits
 from swarf.queries.physics import PREPARED, prepared
 from swarf.queries.registry import query, r
 from swarf.queries.series import BY
@@ -16,6 +16,13 @@ SUPPORT = """, s AS (SELECT * FROM vectors ORDER BY id LIMIT 20), q AS (SELECT *
  p AS (SELECT q.id, s.id AS support_id, s.label, q.label AS truth, list_distance(q.embedding, s.embedding) AS d FROM q, s),
  k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, support_id) AS k FROM p)"""
 
+# regression and forecasts: a stated query set against all other rows
+WHOLE = SUPPORT.replace("SELECT * FROM vectors ORDER BY id LIMIT 20", "SELECT * FROM vectors WHERE id % 20 <> 0").replace("WHERE id NOT IN (SELECT id FROM s)", "WHERE id % 20 = 0")
+
+
+def _whole(t):
+    return t.vectors.filter("id % 20 = 0"), t.vectors.filter("id % 20 <> 0")
+
 
 def _support(t):
     support = splits.cap_support(t.vectors, "id")
@@ -32,13 +39,13 @@ def knn_join(t):
  k AS (SELECT q.id, s.id AS support_id, list_distance(q.embedding, s.embedding) AS d, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.embedding, s.embedding), s.id) AS k FROM q, s)
  SELECT id, (k-1)::INTEGER AS pos, support_id, {r('d', 6, 'distance')} FROM k WHERE k <= 3"""))
 def knn_join_blocks(t):
-    near = fewshot.knn_join_blocks(t.vectors.filter("label >= 7"), t.vectors.filter("label < 7"), 3, block_rows=64)
+    near = metric.nearest(t.vectors.filter("label >= 7"), t.vectors.filter("label < 7"), 3)
     return near.select("id", F.posexplode("neighbors").alias("pos", "n")).select("id", "pos", "n.support_id", rounded("n.distance").alias("distance"))
 
 
-@query(with_tables("vectors", body=SUPPORT + f" SELECT id, {r('sum(label/(d+1e-8))/sum(1/(d+1e-8))', 6, 'prediction')}, {r('max(label)-min(label)', 6, 'uncertainty')} FROM k WHERE k <= 3 GROUP BY id"))
+@query(with_tables("vectors", body=WHOLE + f" SELECT id, {r('sum(label/(d+1e-8))/sum(1/(d+1e-8))', 6, 'prediction')}, {r('max(label)-min(label)', 6, 'uncertainty')} FROM k WHERE k <= 3 GROUP BY id"))
 def knn_regression(t):
-    return round_columns(fewshot.knn_predict(*_support(t), 3).select("id", "prediction", "uncertainty"), ["prediction", "uncertainty"])
+    return round_columns(fewshot.knn_predict(*_whole(t), 3).select("id", "prediction", "uncertainty"), ["prediction", "uncertainty"])
 
 
 @query(with_tables("vectors", body=SUPPORT + f""", v AS (SELECT id, label, count(*) AS n, min(k) AS f FROM k WHERE k <= 5 GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, f) AS o FROM v)
@@ -67,7 +74,7 @@ def one_shot_predict(t):
 
 
 def _forecast_frames(t):
-    q, s = _support(t)
+    q, s = _whole(t)
     both = lambda df: df.withColumns({"target": F.slice("embedding", 1, 8), "base": F.slice("embedding", 9, 8)})
     return both(q), both(s)
 
@@ -80,12 +87,12 @@ def _steps(df, *extra):
     return df.select("id", F.posexplode("prediction").alias("pos", "prediction"), *extra)
 
 
-@query(with_tables("vectors", body=SUPPORT + BLEND + f" SELECT id, (i-1)::INTEGER AS pos, {r('base+cor', 6, 'prediction')}, {r('avg(abs(cor)) OVER (PARTITION BY id)', 6, 'uncertainty')} FROM st"))
+@query(with_tables("vectors", body=WHOLE + BLEND + f" SELECT id, (i-1)::INTEGER AS pos, {r('base+cor', 6, 'prediction')}, {r('avg(abs(cor)) OVER (PARTITION BY id)', 6, 'uncertainty')} FROM st"))
 def residual_forecast(t):
     return round_columns(_steps(fewshot.residual_forecast(*_forecast_frames(t), 8), "uncertainty"), ["prediction", "uncertainty"])
 
 
-@query(with_tables("vectors", body=SUPPORT + BLEND + f" SELECT id, (i-1)::INTEGER AS pos, {r('fut', 6, 'prediction')}, {r('avg(abs(fut-base)) OVER (PARTITION BY id)', 6, 'uncertainty')} FROM st"))
+@query(with_tables("vectors", body=WHOLE + BLEND + f" SELECT id, (i-1)::INTEGER AS pos, {r('fut', 6, 'prediction')}, {r('avg(abs(fut-base)) OVER (PARTITION BY id)', 6, 'uncertainty')} FROM st"))
 def knn_forecast(t):
     return round_columns(_steps(fewshot.knn_forecast(*_forecast_frames(t), 8), "uncertainty"), ["prediction", "uncertainty"])
 
@@ -211,7 +218,7 @@ def stage_logistic(t):
 
 @query()
 def linear_probe(t):
-    q, s = _support(t)
+    q, s = _whole(t)
     return models.apply_ridge(models.fit_ridge(s, "embedding", "label"), q, "embedding").select("id", rounded("predicted", 4).alias("predicted"))
 
 

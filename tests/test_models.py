@@ -68,17 +68,6 @@ def test_calibrator(data):
     assert best["alpha"] == models.ALPHA_GRID[int(np.argmin(errors))]
 
 
-@pytest.mark.parametrize("block", [512, 7])
-def test_knn_is_exact_for_both_plans(spark, block):
-    rng = np.random.default_rng(5)
-    v = rng.normal(size=(60, 4))
-    df = spark.createDataFrame([(i, [float(a) for a in r], i % 3) for i, r in enumerate(v)], "id int, embedding array<double>, label int")
-    support, query = df.filter("id < 40"), df.filter("id >= 40")
-    for row in fewshot.knn_join_blocks(query, support, 3, block_rows=block).collect():
-        d = np.linalg.norm(v[:40] - v[row["id"]], axis=1)
-        assert [n["support_id"] for n in row["neighbors"]] == np.argsort(d, kind="stable")[:3].tolist()
-
-
 def test_few_shot_methods(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0], float(i)) for i in range(10)], "id int, embedding array<double>, label double")
     named = df.withColumn("label", F.when(F.col("id") < 5, "low").otherwise("high"))
@@ -110,6 +99,23 @@ def test_forecast_requests(spark):
     assert np.allclose([got[i] for i in range(12)], want)
 
 
+def test_ridge_on_arrays_uses_every_row(spark):
+    """Many rows over many tasks, means far from zero, several targets, rows with nulls, and no rows at all."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(5000, 6)) + 1e6
+    y = np.column_stack([x @ rng.normal(size=6), rng.normal(size=5000)])
+    rows = [(x[i].tolist(), y[i].tolist()) for i in range(5000)] + [(None, [1.0, 1.0]), ([None] * 6, [1.0, 1.0]), ([0.0] * 6, None), ([0.0] * 6, [None, 1.0])]
+    df = spark.createDataFrame(rows, "embedding array<double>, y array<double>").repartition(13)
+    lines = np.array(models.array_ridge(df, "embedding", F.col("y"), 2.0).first()["lines"])
+    free = x - x.mean(0)
+    w = np.linalg.solve(free.T @ free + 2 * np.eye(6), free.T @ (y - y.mean(0)))
+    assert np.allclose(lines[:, :-1], w.T, atol=1e-7) and np.allclose(lines[:, -1], y.mean(0) - x.mean(0) @ w, rtol=1e-6)
+    assert models.array_ridge(df.limit(0), "embedding", F.col("y")).first()["lines"] is None
+    mixed = spark.createDataFrame([([1.0], [1.0]), ([1.0, 2.0], [1.0])], "embedding array<double>, y array<double>").coalesce(1)
+    with pytest.raises(Exception, match="one length"):
+        models.array_ridge(mixed, "embedding", F.col("y")).collect()
+
+
 def test_grouped_ridge_uses_complete_rows(spark):
     rows = [(1, 1.0, 1.0), (1, 2.0, 3.0), (1, 4.0, 4.0), (1, None, 9.0), (1, 7.0, None)]
     df = spark.createDataFrame(rows, "g int, a double, y double")
