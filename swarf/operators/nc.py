@@ -219,20 +219,41 @@ def program_keys(lines: DataFrame, programs: DataFrame) -> DataFrame:
     return names.unionByName(numbers).filter(F.col("key") != "").groupBy("key").agg(F.max_by(BY, "path").alias(BY))
 
 
-def match_context(records: DataFrame, keys: DataFrame, fields: list[str], by: str = "record_id") -> DataFrame:
+def match_context(records: DataFrame, keys: DataFrame, fields: list[str]) -> DataFrame:
     """First program matched by the record's keys in field order, else the corpus context.
 
-    Every field offers the full value, its name and its stem.
+    Every field offers the full value, its name and its stem.  Each spelling is resolved once and joined back, so a value
+    that many records share is one row of its field's dictionary.
     """
     stem = lambda c: F.regexp_replace(c, r"^(.+)\.[^.]+$", "$1")
     name = lambda c: F.element_at(F.split(c, "/"), -1)
-    tried = []
-    for f in fields:
-        value = F.col(f).cast("string")
-        tried += [normalize_key(value), normalize_key(name(value)), normalize_key(stem(name(value)))]
-    offered = records.select(by, F.posexplode(F.array(*tried)).alias("_p", "key")).filter(F.col("key") != "")
-    hits = offered.join(keys, "key").groupBy(by).agg(
-        F.min_by(BY, "_p").alias(BY), F.min_by("key", "_p").alias("matching_key")
-    )
+    found, value = records, F.col("_value")
+    for i, field in enumerate(fields):
+        spelled = records.select(F.col(field).cast("string").alias("_value")).filter("_value IS NOT NULL").distinct()
+        tried = F.array(normalize_key(value), normalize_key(name(value)), normalize_key(stem(name(value))))
+        offered = spelled.select("_value", F.posexplode(tried).alias("_p", "key")).filter(F.col("key") != "")
+        hits = offered.join(keys, "key").groupBy("_value").agg(F.min_by(F.struct(BY, "key"), "_p").alias(f"_hit{i}"))
+        found = found.withColumn("_value", F.col(field).cast("string")).join(hits, "_value", "left").drop("_value")
+    hit = F.coalesce(*[F.col(f"_hit{i}") for i in range(len(fields))])
     source = F.when(F.col(BY).isNotNull(), "matched_program").otherwise("global_nc_corpus")
-    return records.join(hits, by, "left").withColumn("context_source", source)
+    named = found.withColumns({BY: hit[BY], "matching_key": hit["key"]}).drop(*[f"_hit{i}" for i in range(len(fields))])
+    return named.withColumn("context_source", source)
+
+
+def dense_vectors(vectors: DataFrame, dim: int = rules.CONTEXT_DIM, by: tuple[str, ...] = (BY,), output: str = "nc_context") -> DataFrame:
+    """Rows (key, dim, value) as one array of ``dim`` entries per key, missing entries zero; without keys one row."""
+    packed = vectors.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("_m"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.coalesce(F.try_element_at("_m", d), F.lit(0.0)))
+    return packed.select(*by, F.when(F.size("_m") > 0, filled).alias(output))
+
+
+def attach_context(records: DataFrame, vectors: DataFrame, dim: int = rules.CONTEXT_DIM) -> DataFrame:
+    """Add ``nc_context``, the matched program's vector or else the corpus vector, and ``nc_context_mask``.
+
+    ``records`` come from ``match_context``, ``vectors`` from ``nc_vector``.  A matched program without a vector takes the
+    corpus vector; without any program the vector is null and the mask false.
+    """
+    corpus = dense_vectors(nc_corpus_vector(vectors), dim, (), "v").select("v")
+    held = records.join(dense_vectors(vectors, dim), BY, "left")
+    held = held.withColumn("nc_context", F.coalesce("nc_context", corpus.scalar()))
+    return held.withColumn("nc_context_mask", F.col("nc_context").isNotNull())

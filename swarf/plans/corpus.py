@@ -26,12 +26,13 @@ def prepare_corpus(files: DataFrame) -> dict[str, DataFrame]:
 
 def training_table(
     samples: DataFrame, readings: DataFrame, programs: DataFrame | None = None, window: int = 4096, vocabulary: int = 4096, rate: float | None = None,
-    frequency_length: int = 512, text_length: int = 64, salt: str = "0",
+    frequency_length: int = 512, text_length: int | None = None, salt: str = "0", vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per sample and channel: window, ids, frequency view, text ids and program match.
+    """One row per sample and channel: window, ids, frequency view, text ids, program match and program vector.
 
     ``samples(series_id, dataset_id, file_path, …)``, ``readings(series_id, channel, seq, value)`` and, if given,
-    ``programs`` as returned by ``nc.program_keys``.
+    ``programs`` as returned by ``nc.program_keys`` and ``vectors`` by ``nc.nc_vector``.  All words of a text context are
+    coded unless ``text_length`` is given.
     """
     keys = ["series_id", "channel"]
     dim = channels.channel_ids(channels.signal_channels(channels.canonicalize_channels(readings, "channel")), vocabulary)
@@ -58,5 +59,7 @@ def training_table(
     coded = text.encode_tokens(text.tokenize(contexts, "text_context"), length=text_length).drop("tokens", "_none", "quantities", "sources")
     if programs is not None:
         fields = [c for c in ("file_path", "sample_id", "dataset_id") if c in coded.columns]
-        coded = nc.match_context(coded, programs, fields, "series_id")
+        coded = nc.match_context(coded, programs, fields)
+        if vectors is not None:
+            coded = nc.attach_context(coded, vectors)
     return values.join(views, keys).join(dim.drop("quantity", "source"), "channel").join(coded, "series_id")

@@ -363,11 +363,12 @@ def training_table(t):
     samples = t.events.select("series_id").distinct().withColumns(
         {"dataset_id": F.concat(F.lit("Set "), F.col("series_id") % 4), "file_path": F.concat(F.lit("/data/milling/m1/O"), "series_id", F.lit(".csv"))}
     )
-    rows = build(samples, t.readings.drop("ts"), nc.program_keys(t.nc_lines, programs), window=16, rate=12800.0)
+    rows = build(samples, t.readings.drop("ts"), nc.program_keys(t.nc_lines, programs), window=16, rate=12800.0, vectors=nc.nc_vector(t.nc_lines))
     finite = lambda c: F.forall(c, lambda v: ~F.isnan(v)).alias(f"{c}_finite")
     return rows.select(
         "series_id", "channel", "channel_id", "context_source", F.size("values").alias("values_size"), finite("values"), F.size("frequency").alias("frequency_size"),
         finite("frequency"), F.size(F.filter("text_ids", lambda v: v > 0)).alias("text_tokens"),
+        "nc_context_mask", F.size("nc_context").alias("nc_context_size"), finite("nc_context"),
     )
 
 
