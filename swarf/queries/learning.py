@@ -321,6 +321,16 @@ def modality_dropout(t):
     return out.select("event_id", "value_mask", "value", "props_mask")
 
 
+@query(f"""WITH c AS (SELECT event_id, 'value' AS name, value FROM events UNION ALL SELECT event_id, 'user', user_id::DOUBLE FROM events UNION ALL SELECT event_id, 'day', date_part('day', ts)::DOUBLE FROM events)
+ SELECT event_id, name, {U('event_id, name', 'c')} >= 0.3 AS kept, CASE WHEN {U('event_id, name', 'c')} >= 0.3 THEN value END AS value FROM c""")
+def condition_dropout(t):
+    entries = {"value": F.col("value"), "user": F.col("user_id").cast("double"), "day": F.dayofmonth("ts").cast("double")}
+    events = t.read("events").select("event_id", F.create_map(*[c for n, v in entries.items() for c in (F.lit(n), v)]).alias("conditions"))
+    out = augment.condition_dropout(events, ["event_id"], 0.3, "c")
+    flat = out.select("event_id", "conditions_mask", F.explode("conditions").alias("name", "value"))
+    return flat.select("event_id", "name", F.element_at("conditions_mask", F.col("name")).alias("kept"), "value")
+
+
 # --- batches -----------------------------------------------------------------------------------------
 
 SLOTS = """, v AS (SELECT series_id AS sample_id, channel, list(value ORDER BY seq) AS values FROM readings GROUP BY ALL), sl AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY channel) - 1 AS slot FROM v WHERE NOT (sample_id % 3 = 0 AND channel = 'rpm')),

@@ -1,10 +1,10 @@
-"""Program vectors of training records, by hand."""
+"""Program vectors and condition maps of training records, by hand."""
 
 import math
 
 from pyspark.sql import functions as F
 
-from swarf.operators import nc
+from swarf.operators import augment, nc
 
 KEYS = [("o1001", 1), ("partb", 2)]
 VECTORS = [(1, 0, 0.6), (1, 3, 0.8), (2, 1, 1.0)]
@@ -39,3 +39,15 @@ def test_vectors_and_mask(spark):
     assert all(math.isclose(a, b) for a, b in zip(found[2].nc_context, [0.6 / length, 1 / length, 0.0, 0.8 / length])) and found[2].nc_context_mask
     none = nc.attach_context(records, vectors.limit(0), 4).collect()
     assert len(none) == 2 and all(r.nc_context is None and not r.nc_context_mask for r in none)
+
+
+def test_condition_entries_drop_one_by_one(spark):
+    rows = [(k, {"speed": float(k), "feed": 1.0, "none": None}) for k in range(400)] + [(400, None), (401, {})]
+    df = spark.createDataFrame(rows, "id long, conditions map<string,double>")
+    found = {r.id: r for r in augment.condition_dropout(df, ["id"], 0.25, "s").collect()}
+    kept = [found[k].conditions_mask[name] for k in range(400) for name in ("speed", "feed")]
+    assert 0.7 < sum(kept) / len(kept) < 0.8
+    assert any(found[k].conditions_mask["speed"] != found[k].conditions_mask["feed"] for k in range(400))
+    for k in range(400):
+        assert found[k].conditions["speed"] == (float(k) if found[k].conditions_mask["speed"] else None) and set(found[k].conditions) == {"speed", "feed", "none"}
+    assert found[400].conditions is None and found[400].conditions_mask == {} and found[401].conditions == {}
