@@ -12,6 +12,8 @@ from swarf.llm.common import checkpointed, unpacked, with_row
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)(?:href|src|action)\s*=\s*["']?\s*((?:[a-z][a-z0-9+.\-]*:)?//[^"'\s>]*)"""
 
+#: Rounds of propagation between two comparisons.
+ROUNDS = 3
 #: (rule, verdict) of the registered query; a rule is a host and a path prefix.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
@@ -51,23 +53,30 @@ def host_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     return pairs.groupBy("_from", "_to").agg(F.count(F.lit(1)).alias("_links"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float) -> DataFrame:
     """Personalised PageRank per kind: seeds (_kind, _host, _seed) over edges (_kind, _from, _to, _share).
 
     Mass that reaches a host without outgoing edges ends there.  Each round is one join and one combined sum; the frame
-    of ranks has at most one row per kind and host.
+    of ranks has at most one row per kind and host.  After every ROUNDS rounds the ranks are written and compared with
+    those before; it ends when all masses together moved by at most ``tolerance``.  The moving mass shrinks by
+    ``damping`` a round, so that takes at most log(tolerance) / log(damping) rounds and a few more; without edges two
+    comparisons suffice.
     """
     ranks = seeds.select("_kind", "_host", F.col("_seed").alias("_mass"))
     base = seeds.select("_kind", "_host", (F.col("_seed") * (1 - damping)).alias("_mass"))
-    for k in range(rounds):
-        flow = ranks.withColumnRenamed("_host", "_from").join(edges, ["_kind", "_from"]).select("_kind", F.col("_to").alias("_host"), (F.col("_mass") * F.col("_share") * damping).alias("_mass"))
-        ranks = base.unionByName(flow).groupBy("_kind", "_host").agg(F.sum("_mass").alias("_mass"))
-        if k % 3 == 2 or k == rounds - 1:
-            ranks = checkpointed(ranks)
-    return ranks
-
-
-def host_trust(ruled: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+    while True:
+        before = ranks
+        for _ in range(ROUNDS):
+            flow = ranks.withColumnRenamed("_host", "_from").join(edges, ["_kind", "_from"]).select("_kind", F.col("_to").alias("_host"), (F.col("_mass") * F.col("_share") * damping).alias("_mass"))
+            ranks = base.unionByName(flow).groupBy("_kind", "_host").agg(F.sum("_mass").alias("_mass"))
+        ranks = checkpointed(ranks)
+        both = ranks.unionByName(before.withColumn("_mass", -F.col("_mass")))
+        moved = both.groupBy("_kind", "_host").agg(F.abs(F.sum("_mass")).alias("_moved")).agg(F.sum("_moved")).first()[0]
+        if not moved or moved <= tolerance:
+            return ranks
+
+
+def host_trust(ruled: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """Per host: _trust from hosts with allowed pages along links, _distrust from hosts with blocked pages against them.
 
     ``ruled`` has _host and _verdict of the pages that a rule decided; a host's seed is its part of those pages, so the two
@@ -79,7 +88,7 @@ def host_trust(ruled: DataFrame, edges: DataFrame, damping: float = 0.85, rounds
     both = reduce(DataFrame.unionByName, [edges.select(F.lit("trust").alias("_kind"), "_from", "_to", "_links"), edges.select(F.lit("distrust").alias("_kind"), F.col("_to").alias("_from"), F.col("_from").alias("_to"), "_links")])
     leaving = both.groupBy("_kind", "_from").agg(F.sum("_links").alias("_all"))
     shares = checkpointed(both.join(leaving, ["_kind", "_from"]).select("_kind", "_from", "_to", (F.col("_links") / F.col("_all")).alias("_share")))
-    ranks = propagate(seeds, shares, damping, rounds)
+    ranks = propagate(seeds, shares, damping, tolerance)
     mass = lambda kind: F.coalesce(F.sum(F.when(F.col("_kind") == kind, F.col("_mass"))), F.lit(0.0))
     return ranks.groupBy("_host").agg(mass("trust").alias("_trust"), mass("distrust").alias("_distrust"))
 

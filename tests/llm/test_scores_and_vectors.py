@@ -84,14 +84,23 @@ def test_trust_like_a_dense_iteration(spark):
         for k, v in seed.items():
             start[k] = v
         mass = start
-        for _ in range(12):
+        for _ in range(400):  # the limit of the iteration
             mass = 0.15 * start + 0.85 * share.T @ mass
         for r in got.itertuples():
-            assert abs(got[column][r.Index] - mass[hosts.index(got["_host"][r.Index])]) < 1e-9
+            assert abs(got[column][r.Index] - mass[hosts.index(got["_host"][r.Index])]) < 1e-5
     free = got[got["_rule"].isna()]
     assert ((free["_verdict"] == "block") == (free["_distrust"] > (free["_trust"] + free["_distrust"]) * 2 / 3)).all()
 
 
+def test_distrust_reaches_far_hosts(spark):
+    """Twenty hosts link in a row to a blocked one: distrust passes against the links to the first of them."""
+    rows = [(k, f"http://h{k}.net/p", f'<a href="//h{k + 1}.net/">') for k in range(20)] + [(20, "http://h20.net/bad", ""), (21, "http://alone.net/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.judge(pages, [("h20.net/bad", "block")]).collect()}
+    assert {k for k, r in got.items() if r._verdict == "block"} == set(range(21)) and got[21]._distrust == 0
+    assert all(abs(got[20 - k]._distrust - 0.15 * 0.85**k) < 1e-5 for k in range(21))
+
+
 def brute_neighbours(rows, k=20):
     good = [(i, np.array(v, np.float64)) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     for q, x in good:
