@@ -25,7 +25,6 @@ VERIFY_COST = 8.0  # of one candidate, in entries of the prefix index
 ROUNDS = 3
 RARE = 24  # a shingle of more classes is hot
 BITS = 512  # of the mark that bounds how much two classes can share
-CODE_BYTES = 6
 WEIGHTS = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 SETS = "doc_id long, n_shingles long, _class long"
 TOKENS = "_bucket long, _owners binary, _codes binary"
@@ -88,7 +87,7 @@ def class_tokens(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
         owner = np.repeat(np.arange(len(sets)), size)
         order = np.argsort(bucket, kind="stable")
         bucket, owner = bucket[order], owner[order]
-        short = np.ascontiguousarray((codes[order] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :CODE_BYTES])
+        codes = codes[order]
         edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
         names_of = np.array(names, np.int64)
         rows = {"_bucket": [], "_owners": [], "_codes": []}
@@ -98,7 +97,7 @@ def class_tokens(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
             head["owner"], head["n"], head["count"] = names_of[who], size[who], count
             rows["_bucket"].append(int(bucket[begin]))
             rows["_owners"].append(head.tobytes())
-            rows["_codes"].append(short[begin:end].tobytes())
+            rows["_codes"].append(codes[begin:end].tobytes())
         return pa.RecordBatch.from_pydict(rows, pa.schema([("_bucket", pa.int64()), ("_owners", pa.binary()), ("_codes", pa.binary())]))
 
     def send(batches):
@@ -126,10 +125,7 @@ def _common_tokens(slices: int):
 
     def common(pdf: pd.DataFrame) -> pd.DataFrame:
         heads = np.frombuffer(b"".join(pdf["_owners"]), OWNER)
-        raw = np.frombuffer(b"".join(pdf["_codes"]), np.uint8).reshape(-1, CODE_BYTES)
-        codes = np.zeros((len(raw), 8), np.uint8)
-        codes[:, :CODE_BYTES] = raw
-        codes = codes.view(np.uint64)[:, 0]
+        codes = np.frombuffer(b"".join(pdf["_codes"]), np.uint64)
         order = np.argsort(codes)
         sorted_codes = codes[order]
         same = sorted_codes[1:] == sorted_codes[:-1]
@@ -145,7 +141,7 @@ def _common_tokens(slices: int):
         classes = classes[place]
         keep = classes > 1
         owner, n, classes = owner[keep], n[keep], classes[keep].astype(np.uint32)
-        token = mix(code[keep] + np.uint64(int(pdf["_bucket"].iloc[0]) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        token = code[keep]
         piece = (owner % slices).astype(np.int64)
         order = np.lexsort((owner, piece))
         owner, n, classes, token, piece = owner[order], n[order], classes[order], token[order], piece[order]
@@ -322,12 +318,12 @@ def classified(docs: DataFrame, id_col: str, text_col: str, keyed: bool = False)
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, the smallest id reachable over links of similarity 0.8 or more.
 
-    * Shingles are 64-bit hashes of five lower-case words; classes of equal sets are named by a 64-bit hash of the set.
+    * Shingles are 64-bit hashes of five lower-case words, compared on all 64 bits; classes of equal sets are named by a 64-bit hash of the set.
     * Packed shingles meet by hash bucket; the number of buckets follows the bytes, and copies are sent once per task.
     * A class asks for 1 to 8 shared prefix tokens, whichever costs least by the numbers of classes per token, and its
       prefix is longer by as many.  Two classes are candidates when they share as many as the less demanding one asks.
     * Leaders of tokens are tried first, one per class and round; what then has other labels is tried pair by pair, so no
-      link between different components is lost.  Links are decided on the whole sets.
+      link between different components is lost.  Links are decided on all shingles of both sets.
 
     Null or empty texts have no shingles and are their own component; null ids never name a component unless all are
     null; repeated rows and ids stay separate rows; an empty table gives an empty result; other columns are ignored.

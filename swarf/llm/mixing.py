@@ -108,18 +108,19 @@ def planned(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int =
     of its size is its rank in one of ``salts`` hash slices plus the documents of earlier slices, so that neither a source
     nor a size is sorted in one task.
 
+    Rows of one id and size are ordered by a hash of their text, so reruns choose the same texts.
     Null or empty texts have size 0 and stay with whole rounds of their source (null sources are a source); repeated rows
     count one by one; an empty table gives an empty result.
     """
     mark = F.xxhash64(F.lit(seed), F.col(id_col))
-    keyed = with_row(docs, _source=source_key(source_col), _size=word_count(F.col(text_col)), _mark=mark, _slice=F.pmod(mark, F.lit(salts)))
+    keyed = with_row(docs, _source=source_key(source_col), _size=word_count(F.col(text_col)), _mark=mark, _slice=F.pmod(mark, F.lit(salts)), _tie=F.xxhash64(F.col(text_col)))
     cells = checkpointed(keyed.groupBy("_source", "_size", "_slice").agg(F.count(F.lit(1)).alias("_cell")))
     counts = cells.groupBy("_source", "_size").agg(F.sum("_cell").alias("_count"))
     sizes = counts.groupBy("_source").agg(F.sum(F.col("_size") * F.col("_count")).alias("_source_size"))
     fitted = counts.join(source_targets(sizes, weights, most), "_source").groupBy("_source").applyInPandas(_fit_source, FIT_SCHEMA)
     earlier = Window.partitionBy("_source", "_size").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     plan = cells.withColumn("_earlier", F.coalesce(F.sum("_cell").over(earlier), F.lit(0))).join(fitted, ["_source", "_size"])
-    rank = F.row_number().over(Window.partitionBy("_source", "_size", "_slice").orderBy("_mark", f"_row.{id_col}"))
+    rank = F.row_number().over(Window.partitionBy("_source", "_size", "_slice").orderBy("_mark", f"_row.{id_col}", "_tie"))
     joined = keyed.withColumn("_rank", rank).join(plan, ["_source", "_size", "_slice"])
     copies = F.col("_epochs") + (F.col("_rank") + F.col("_earlier") <= F.col("_picked")).cast("int")
     return joined.select("_row", "_size", "_source_size", "_target", copies.alias("_copies"))

@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+from llm_rows import make
 
 from swarf.llm import mixing, sharding
 
@@ -69,6 +70,12 @@ def test_mixed_documents(spark, edge_docs, no_docs):
     assert mixing.op1_mix(no_docs).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
 
 
+def test_rows_of_one_id_are_chosen_by_text(spark):
+    rows = [(1, f"t{k} same size", "a") for k in range(30)] + [(2, "other words of another source " * 9, "b")]
+    chosen = lambda parts: sorted(r.text for r in mixing.mixed_documents(make(spark, rows).repartition(parts)).collect())
+    assert len({str(chosen(parts)) for parts in (1, 3, 7)}) == 1
+
+
 def test_shards(spark, edge_docs, edge_rows, no_docs):
     got = sharding.op8_shard(edge_docs).toPandas()
     want = sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t, _ in edge_rows)
