@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from swarf.operators import catalog
 from swarf.plans.wear import wear_benchmark
-from swarf.sources import files, records
+from swarf.sources import cut_files, files, records
 from swarf.streaming.features import stream_time_features
 
 
@@ -50,6 +50,41 @@ def test_cut_files_keep_their_own_columns(spark, tmp_path):
     assert [r["line"] for r in files.cut_lake_rejects(spark, str(tmp_path / "train")).collect()] == ["broken"]
 
 
+def test_written_cut_lake(spark, tmp_path):
+    import csv
+
+    rows = [("c1", 1, k, k + 0.1, f'a "{k}", b') for k in range(200)] + [("c2", 1, 0, None, None), ("c2", 12, 0, 1e-17, "x")]
+    cuts = spark.createDataFrame(rows, "condition_id string, cut int, seq int, force_x double, note string").repartition(7)
+    root = tmp_path / "lake"
+    cut_files.write_cut_lake(cuts, f"file:{root}", ["seq"], ["note", "force_x"], rows=16)
+    found = sorted(p.relative_to(root).as_posix() for p in root.rglob("*") if p.is_file())
+    parts = [p for p in found if p.startswith("c1/cut_001_")]
+    # a large cut is split, its parts follow each other, and nothing else is left below the root
+    assert len(parts) > 3 and found == [*parts, "c2/cut_001_00000.csv", "c2/cut_012_00000.csv"] and {p.name for p in root.iterdir()} == {"c1", "c2"}
+    read = [r for p in parts for r in csv.DictReader(open(root / p, newline=""))]
+    assert [(r["note"], float(r["force_x"])) for r in read] == [(n, v) for c, _, _, v, n in rows if c == "c1"]
+    labels = spark.createDataFrame([("c1", 1, 0.1), ("c2", 12, 0.2), ("c2", 1, 0.3)], "condition string, cut int, average_wear_mm double")
+    back = files.read_cut_lake(spark, str(root), labels).select("condition_id", "cut", "force_x").collect()
+    assert sorted(map(str, map(tuple, back))) == sorted(str((c, n, v)) for c, n, _, v, _ in rows) and files.cut_lake_rejects(spark, str(root)).count() == 0
+    cut_files.write_cut_lake(cuts.limit(0), str(tmp_path / "none"), ["seq"], ["force_x"])
+    assert not list((tmp_path / "none").rglob("*.csv"))
+    for name in (None, "a/b", "..", ""):
+        with pytest.raises(Exception, match="cannot name a file"):
+            cut_files.write_cut_lake(cuts.withColumn("condition_id", F.lit(name).cast("string")), str(tmp_path / "bad"), ["seq"], ["force_x"])
+    assert not list((tmp_path / "bad").rglob("*")) and pytest.raises(ValueError, cut_files.write_cut_lake, cuts, "x", ["seq"], ["force_x"], "a_1")
+
+
+def test_failed_attempts_leave_nothing(tmp_path):
+    import pyarrow as pa
+
+    writer = cut_files.CutFileWriter(str(tmp_path), "cut")
+    batch = pa.RecordBatch.from_pydict({"_condition": ["c", "c", "d"], "_cut": [1, 1, 2], "_part": [0, 0, 0], "force_x": [1.0, 2.0, 3.0]})
+    writer.write(iter([batch]))  # an attempt whose message is lost
+    writer.commit([writer.write(iter([batch, batch.slice(2)])), None, writer.write(iter([]))])
+    assert sorted(p.relative_to(tmp_path).as_posix() for p in tmp_path.rglob("*.csv")) == ["c/cut_001_00000.csv", "d/cut_002_00000.csv"]
+    assert (tmp_path / "d/cut_002_00000.csv").read_text().split() == ['"force_x"', "3", "3"] and len(list(tmp_path.iterdir())) == 2
+
+
 def test_inventory_of_a_folder(spark, lake):
     listed = catalog.classify_files(files.file_inventory(spark, str(lake)))
     assert listed.count() == 29
