@@ -42,7 +42,7 @@ def profile_spectrum(t):
     return round_columns(spectral.profile_spectrum(t.readings.drop("ts")), ["centroid", "entropy", "high", "mid", "low"], 5)
 
 
-@query(with_tables("readings", body=HEADS + dft("x") + f""", t AS (SELECT *, greatest(sum(p) OVER (PARTITION BY {BY}), 1e-8) AS tot, n//2+1 AS m, k/(n//2) AS ax FROM sp),
+@query(with_tables("readings", body=HEADS + dft("x") + f""", t AS (SELECT *, greatest(sum(p) OVER (PARTITION BY {BY}), 1e-8) AS tot, n//2+1 AS m, CASE WHEN n > 1 THEN k/(n//2) ELSE 0 END AS ax FROM sp),
  u AS (SELECT *, sum(p*ax) OVER (PARTITION BY {BY})/tot AS cen FROM t)
  SELECT series_id, channel, {r('coalesce(sum(p/tot) FILTER (k < greatest(1, m//8)), 0)', 5, 'low')}, {r('coalesce(sum(p/tot) FILTER (k >= m//8 AND k < greatest(m//2, m//8+1)), 0)', 5, 'mid')},
  {r('coalesce(sum(p/tot) FILTER (k >= greatest(1, m//2)), 0)', 5, 'high')}, {r('any_value(cen)', 5, 'centroid')}, {r('sqrt(sum(p*(ax-cen)**2/tot))', 5, 'spread')}, {r('arg_max(ax, (p, -k))', 5, 'peak')} FROM u GROUP BY ALL"""))
