@@ -81,7 +81,8 @@ def order_amplitudes(x: np.ndarray, rpm: float, rate: float, orders: int) -> np.
     mags = np.abs(hann_spectrum(x))
     freqs = np.fft.rfftfreq(x.size, 1.0 / rate)
     wanted = rpm / 60.0 * np.arange(1, orders + 1)
-    return standard(mags[np.abs(freqs[None, :] - wanted[:, None]).argmin(axis=1)])
+    # distances equal to nine digits are equal, and the lower frequency counts
+    return standard(mags[np.round(np.abs(freqs[None, :] - wanted[:, None]), 9).argmin(axis=1)])
 
 
 @F.pandas_udf(DOUBLES)

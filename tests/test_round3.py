@@ -1,7 +1,10 @@
 """Single readings and equal distances to an order: the query and its SQL, or a stated rule, must agree."""
 
+import numpy as np
 import pytest
 
+from swarf.functions import spectra
+
 
 @pytest.fixture(scope="module")
 def short_series(spark, tmp_path_factory):
@@ -26,3 +29,21 @@ def agree(spark, folder, name):
 
 def test_band_profile_of_a_single_reading(spark, short_series):
     assert agree(spark, short_series, "band_profile") == ""
+
+
+def test_orders_midway_between_two_bins_take_the_lower():
+    # a speed of 11,666.666... Hz * k / 14 and the like lies between bins only up to rounding
+    rng = np.random.default_rng(3)
+    found = 0
+    for n in range(3, 40):
+        x = rng.normal(size=n)
+        freqs, mags = np.fft.rfftfreq(n, 1 / 2000.0), np.abs(spectra.hann_spectrum(x))
+        for low in range(len(freqs) - 1):
+            rpm = (freqs[low] + freqs[low + 1]) / 2 * 60.0
+            for order in (1, 2, 4, 8):
+                got = spectra.order_amplitudes(x, rpm / order, 2000.0, 8)
+                gaps = np.abs(freqs[None, :] - rpm / order / 60.0 * np.arange(1, 9)[:, None])
+                first = [int(np.flatnonzero(g <= g.min() + 1e-7)[0]) for g in gaps]
+                assert np.allclose(got, spectra.standard(mags[first]))
+                found += first != gaps.argmin(axis=1).tolist()
+    assert found > 0  # the plain comparison decides some of these by rounding errors
