@@ -208,7 +208,8 @@ def grouped_ridge(train: DataFrame, by: Sequence[str], features: Sequence[str],
 def apply_grouped(df: DataFrame, weights: DataFrame, by: Sequence[str], features: Sequence[str], output: str) -> DataFrame:
     """Predictions of the group's model; one weight row per group."""
     x = F.array(*[F.col(f).cast("double") for f in features])
-    held = df.join(weights, list(by)) if by else df.withColumn("_w", weights.select(F.struct("*")).scalar()).select(*df.columns, "_w.*")
+    # models are few, and a shuffle by their keys would gather the rows of each in one task
+    held = df.join(F.broadcast(weights), list(by)) if by else df.withColumn("_w", weights.select(F.struct("*")).scalar()).select(*df.columns, "_w.*")
     z = F.zip_with(F.zip_with(x, "centers", lambda v, c: v - c), "scales", lambda v, s: v / s)
     return held.withColumn(output, F.col("intercept") + total(F.zip_with(z, "weights", lambda v, w: v * w))).drop("weights", "centers", "scales", "intercept")
 
@@ -270,7 +271,7 @@ def ablation_study(train: DataFrame, val: DataFrame, test: DataFrame, features:
     checked, held = spread(val), spread(test)
     chosen = select_alpha(checked, "predicted", "corrected", label, key)
     used = F.col("use_0") | F.col("use_1") | F.col("use_2")
-    final = lambda rows: rows.join(chosen.select(*key, "alpha"), key).withColumn(
+    final = lambda rows: rows.join(F.broadcast(chosen.select(*key, "alpha")), key).withColumn(
         "final", F.when(used, blend(F.col("alpha"), F.col("predicted"), F.col("corrected"))).otherwise(F.col("predicted"))
     )
     metric = lambda rows, prefix: regression_metrics(final(rows), key, label, "final").select(

@@ -47,3 +47,18 @@ def test_orders_midway_between_two_bins_take_the_lower():
                 assert np.allclose(got, spectra.standard(mags[first]))
                 found += first != gaps.argmin(axis=1).tolist()
     assert found > 0  # the plain comparison decides some of these by rounding errors
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_do_not_gather_by_material_model_or_slice(spark):
+    from pyspark.sql import functions as F
+
+    from swarf.operators import models, physics, scan
+
+    cuts = spark.range(1000).withColumns({"material": F.lit("Ti6Al4V"), "x": F.rand(1), "y": F.rand(2), "shots": F.col("id") % 2})
+    assert "SortMergeJoin" not in _plan(physics.join_params(cuts, physics.material_parameters(spark)))
+    assert "SortMergeJoin" not in _plan(models.apply_grouped(cuts, models.grouped_ridge(cuts, ["shots"], ["x"], "y"), ["shots"], ["x"], "p"))
+    assert "SortMergeJoin" not in _plan(scan.order_blocks(cuts, [], ["x", "id"], rows=10))
