@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from swarf.functions import spectra
 from swarf.functions.vectors import total
+from swarf.operators.lineage import checkpointed
 from swarf.operators.scan import BLOCK, with_neighbours
 from swarf.operators.series import KEYS, group_sizes
 
@@ -59,8 +60,21 @@ def resample_linear(
     return needs.join(df.select(*by, "seq", "value"), by + ["seq"]).groupBy(*by, "pos").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
-def resampled_arrays(df: DataFrame, points: Column | int, by: Sequence[str] = KEYS, name: str = "values") -> DataFrame:
-    return window_arrays(resample_linear(df, points, by=by).withColumnRenamed("pos", "seq"), by, name)
+def resampled_arrays(df: DataFrame, points: Column | int, by: Sequence[str] = KEYS, name: str = "values", rows: int = 4096) -> DataFrame:
+    """The grid of ``points`` places of each group as one array.
+
+    Blocks of ``rows`` readings, with the reading after them, give the places that fall into them; only the grid itself
+    meets in one place.
+    """
+    by = list(by)
+    held = with_neighbours(df.select(*by, "seq", "value"), 0, 1, rows=rows)
+    blocks = held.groupBy(*by, BLOCK).agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("_b")).join(group_sizes(df, by), by)
+    start = F.col(BLOCK) * rows
+    count = (F.lit(points) if isinstance(points, int) else points).cast("long")
+    part = spectra.stretched_part(F.transform("_b", lambda b: b["value"].cast("double")), start, start + rows, F.col("n"), count)
+    parts = blocks.select(*by, F.struct(BLOCK, part.alias("part")).alias("_p"))
+    ordered = F.flatten(F.transform(F.array_sort(F.collect_list("_p")), lambda p: p["part"]))
+    return parts.groupBy(*by).agg(ordered.alias(name))
 
 
 def resize_series(df: DataFrame, channels: int, steps: int, by: str = "id") -> DataFrame:
@@ -184,7 +198,7 @@ def frame_moments(df: DataFrame, by: Sequence[str] = KEYS, rows: int = 4096) ->
     held = with_neighbours(df, 0, 64, rows=rows)
     blocks = held.groupBy(*by, BLOCK).agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("_b")).join(group_sizes(df, by), by)
     parts = blocks.select(*by, spectra.frame_block(F.transform("_b", lambda b: b["value"]), F.col("n"), F.lit(rows // 64)).alias("_m")).filter("_m.frames > 0")
-    bins = parts.select(*by, "_m.frames", F.posexplode("_m.bins").alias("bin", "_s"))
+    bins = parts.select(*by, "_m.frames", F.posexplode(F.arrays_zip("_m.mean", "_m.spread")).alias("bin", "_s"))
     count, mean = F.col("frames"), F.col("_s.mean")
     merged = bins.groupBy(*by, "bin").agg(F.sum(count).alias("frames"), F.sum(count * mean).alias("_a"), F.sum(F.col("_s.spread")).alias("_in"), F.sum(count * mean * mean).alias("_sq"))
     centre = F.col("_a") / F.col("frames")
@@ -194,9 +208,13 @@ def frame_moments(df: DataFrame, by: Sequence[str] = KEYS, rows: int = 4096) ->
 
 def stft_summary(df: DataFrame, by: Sequence[str] = KEYS, rows: int = 4096) -> DataFrame:
     """Mean and deviation over all Hann frames of 128 readings, hop 64, of each series, however long."""
+    by = list(by)
+    sizes = group_sizes(df, by)
+    # a series of one block is one array; only longer ones add up moments of blocks
+    short = window_arrays(df.join(sizes.filter(F.col("n") <= rows), by, "left_semi"), by).select(*by, spectra.short_time_summary("values").alias("summary"))
     ordered = F.array_sort(F.collect_list(F.struct("bin", "mean", "deviation")))
-    held = frame_moments(df, by, rows).groupBy(*by).agg(ordered.alias("_b"))
-    return held.select(*by, F.concat(F.transform("_b", lambda b: b["mean"]), F.transform("_b", lambda b: b["deviation"])).alias("summary"))
+    held = frame_moments(df.join(sizes.filter(F.col("n") > rows), by, "left_semi"), by, rows).groupBy(*by).agg(ordered.alias("_b"))
+    return short.unionByName(held.select(*by, F.concat(F.transform("_b", lambda b: b["mean"]), F.transform("_b", lambda b: b["deviation"])).alias("summary")))
 
 
 def width_energies(df: DataFrame, limit: int = 64, scales: int = 32, by: Sequence[str] = KEYS, rows: int = 4096) -> DataFrame:
@@ -231,45 +249,62 @@ def repaired(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def frequency_view(
-    df: DataFrame, rate: float | None, transforms: Sequence[str] = ("fft", "stft", "cwt"), length: int = 512, by: Sequence[str] = KEYS, window: int | None = None
+    df: DataFrame, rate: float | None, transforms: Sequence[str] = ("fft", "stft", "cwt"), length: int = 512, by: Sequence[str] = KEYS, window: int | None = None,
+    rows: int = 4096,
 ) -> DataFrame:
     """Chosen transforms side by side, resampled to ``length`` and standardised.
 
     Missing and non-finite readings take the median of their group first.  With ``window`` series are cut into windows
-    of so many readings, each one bounded array, and ``window`` joins the keys; without it, series of any length are
-    resampled and smoothed by joins and blocks.
+    of so many readings, each one bounded array, and ``window`` joins the keys; without it, series of up to ``rows``
+    readings are one array each, and longer ones are resampled and smoothed by blocks.
     """
     by = list(by)
     df = repaired(df, by)
-    grid, wanted = min(GRID, length), {t.lower() for t in transforms}
-    fft = "fft" in wanted or not wanted
+    wanted = {t.lower() for t in transforms}
     if window:
-        df, by = cut_windows(df, window), [*by, "window"]
-        held = window_arrays(df, by)
-        if fft:
-            held = held.withColumn("_g", spectra.hann_magnitude(spectra.stretched("values", F.lit(grid))))
-        if "fft" in wanted:
-            points = _grid_points(F.size("values")).cast("int")
-            fine = held.withColumn("_n", points).withColumn("_m", spectra.hann_magnitude(spectra.stretched("values", F.col("_n"))))
-            held = _bands(fine, rate, BANDS, [c for c in held.columns])
-        if "stft" in wanted:
-            held = held.withColumn("summary", spectra.short_time_summary("values"))
-        if "cwt" in wanted:
-            held = held.withColumn("_wide", spectra.box_profile("values", F.lit(64)))
-    else:
-        held = df.select(*by).distinct()
-        if fft:
-            grids = resampled_arrays(df, grid, by)
-            held = held.join(grids.select(*by, spectra.hann_magnitude("values").alias("_g")), by)
-        if "fft" in wanted:
-            held = held.join(band_energy(df, rate, by=by), by)
-        if "stft" in wanted:
-            held = held.join(stft_summary(df, by), by)
-        if "cwt" in wanted:
-            ordered = F.transform(F.array_sort(F.collect_list(F.struct("scale", "energy"))), lambda s: s["energy"])
-            held = held.join(width_energies(df, 64, by=by).groupBy(*by).agg(ordered.alias("_wide")), by)
-    parts = []
+        return _array_view(cut_windows(df, window), rate, wanted, length, [*by, "window"])
+    df = checkpointed(df.select(*by, "seq", "value"))  # read by both kinds of series
+    sizes = group_sizes(df, by)
+    kind = lambda which: df.join(sizes.filter(which), by, "left_semi")
+    short = _array_view(kind(F.col("n") <= rows), rate, wanted, length, by)
+    return short.unionByName(_block_view(kind(F.col("n") > rows), rate, wanted, length, by))
+
+
+def _array_view(df: DataFrame, rate: float | None, wanted: set[str], length: int, by: list[str]) -> DataFrame:
+    """The view of groups that are one bounded array each: one grouping for all transforms."""
+    grid, fft, held = min(GRID, length), "fft" in wanted or not wanted, window_arrays(df, by)
     if fft:
+        held = held.withColumn("_g", spectra.hann_magnitude(spectra.stretched("values", F.lit(grid))))
+    if "fft" in wanted:
+        points = _grid_points(F.size("values")).cast("int")
+        fine = held.withColumn("_n", points).withColumn("_m", spectra.hann_magnitude(spectra.stretched("values", F.col("_n"))))
+        held = _bands(fine, rate, BANDS, [c for c in held.columns])
+    if "stft" in wanted:
+        held = held.withColumn("summary", spectra.short_time_summary("values"))
+    if "cwt" in wanted:
+        held = held.withColumn("_wide", spectra.box_profile("values", F.lit(64)))
+    return _view(held, wanted, length, by)
+
+
+def _block_view(df: DataFrame, rate: float | None, wanted: set[str], length: int, by: list[str]) -> DataFrame:
+    """The view of groups of any size, from blocks."""
+    grid, held = min(GRID, length), df.select(*by).distinct()
+    if "fft" in wanted or not wanted:
+        grids = resampled_arrays(df, grid, by)
+        held = held.join(grids.select(*by, spectra.hann_magnitude("values").alias("_g")), by)
+    if "fft" in wanted:
+        held = held.join(band_energy(df, rate, by=by), by)
+    if "stft" in wanted:
+        held = held.join(stft_summary(df, by), by)
+    if "cwt" in wanted:
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("scale", "energy"))), lambda s: s["energy"])
+        held = held.join(width_energies(df, 64, by=by).groupBy(*by).agg(ordered.alias("_wide")), by)
+    return _view(held, wanted, length, by)
+
+
+def _view(held: DataFrame, wanted: set[str], length: int, by: list[str]) -> DataFrame:
+    parts = []
+    if "fft" in wanted or not wanted:
         held = held.withColumn("_g", F.transform("_g", lambda v: F.log1p(v)))
         parts.append(F.col("_g"))
     if "fft" in wanted:

@@ -62,3 +62,27 @@ def test_rows_do_not_gather_by_material_model_or_slice(spark):
     assert "SortMergeJoin" not in _plan(physics.join_params(cuts, physics.material_parameters(spark)))
     assert "SortMergeJoin" not in _plan(models.apply_grouped(cuts, models.grouped_ridge(cuts, ["shots"], ["x"], "y"), ["shots"], ["x"], "p"))
     assert "SortMergeJoin" not in _plan(scan.order_blocks(cuts, [], ["x", "id"], rows=10))
+
+
+@pytest.mark.parametrize("rows", [4, 16, 4096])
+def test_grids_from_blocks_of_readings(readings, arrays, rows):
+    from swarf.operators import spectral
+
+    got = {(r["series_id"], r["channel"]): r["values"] for r in spectral.resampled_arrays(readings, 64, rows=rows).collect()}
+    assert got.keys() == arrays.keys()
+    for key, x in arrays.items():
+        assert np.allclose(got[key], spectra.stretch(x, 64), atol=1e-12)
+
+
+def test_views_of_short_and_long_series_agree(readings):
+    from swarf.operators import spectral
+
+    both = [{(r["series_id"], r["channel"]): r["frequency"] for r in spectral.frequency_view(readings, 100.0, rows=n).collect()} for n in (4096, 40)]
+    assert both[0].keys() == both[1].keys() and all(np.allclose(v, both[1][k], atol=1e-9) for k, v in both[0].items())
+
+
+def test_resampling_sends_arrays_not_one_row_per_place(readings):
+    from swarf.operators import spectral
+
+    plan = _plan(spectral.fft_magnitude(readings))
+    assert "sequence(0" not in plan.lower()
