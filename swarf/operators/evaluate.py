@@ -71,7 +71,8 @@ def conformal_threshold(scores: DataFrame, coverage: float = 0.95, by: Sequence[
 def flag_anomalies(scores: DataFrame, threshold: DataFrame, by: Sequence[str], score: str = "score") -> DataFrame:
     """Rows above their group's threshold; null scores and groups without a threshold are no anomalies."""
     limit = F.coalesce(F.col("threshold"), F.lit(float("inf")))
-    return scores.join(threshold, list(by), "left").withColumn("anomaly", F.coalesce(F.col(score) > limit, F.lit(False)))
+    # one threshold per group; a shuffle by group would gather all its scores in one task
+    return scores.join(F.broadcast(threshold), list(by), "left").withColumn("anomaly", F.coalesce(F.col(score) > limit, F.lit(False)))
 
 
 def huber(error: Column) -> Column:

@@ -53,19 +53,20 @@ def _sliced(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]
     )
     cuts = [i / slices for i in range(1, slices)]
     shape = counted.groupBy(*keys).agg(
-        F.sum("_n").alias("_total"),
         F.count(F.lit(1)).alias("_distinct"),
         F.percentile_approx("_v", cuts, 4 * slices).alias("_cuts"),
     )
-    shape = shape.withColumn("_cuts", F.when(F.col("_distinct") > group_rows, F.col("_cuts")))
+    # only groups above ``group_rows`` distinct values are cut, so this side has few rows; a shuffle by key would gather a
+    # large group in one task
+    large = shape.filter(F.col("_distinct") > group_rows).select(*keys, "_cuts")
     if keys:
-        sliced = counted.join(shape, keys)
+        cut = counted.join(F.broadcast(large), keys, "left")
     else:
-        one = shape.select(F.struct("_total", "_cuts").alias("s")).scalar()
-        sliced = counted.withColumn("_one", one).select("*", "_one._total", "_one._cuts")
+        cut = counted.withColumn("_cuts", large.select("_cuts").scalar())
     slot = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))), F.lit(0))
-    sliced = sliced.select(*keys, "_v", "_n", "_total", F.greatest(slot, F.lit(0)).alias("_slice"))
-    per_slice = sliced.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_in"), F.first("_total").alias("_total"))
+    sliced = cut.select(*keys, "_v", "_n", F.greatest(slot, F.lit(0)).alias("_slice"))
+    per_slice = sliced.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_in"))
+    per_slice = per_slice.withColumn("_total", F.sum("_in").over(W.partitionBy(*keys)))
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     ranks = []
     for name, q in wanted.items():
@@ -77,7 +78,7 @@ def _sliced(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]
         per_slice.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
         .withColumn("_want", F.filter(F.array(*ranks), lambda r: (r.rank >= F.col("_before")) & (r.rank < F.col("_before") + F.col("_in"))))
         .filter(F.size("_want") > 0)
-        .select(*[F.col(k) for k in keys], "_slice", "_before", "_want")
+        .select(*[F.col(k) for k in keys], "_slice", "_total", "_before", "_want")
     )
     hits = sliced.join(targets, keys + ["_slice"])
     inside = W.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
