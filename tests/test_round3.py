@@ -86,3 +86,27 @@ def test_resampling_sends_arrays_not_one_row_per_place(readings):
 
     plan = _plan(spectral.fft_magnitude(readings))
     assert "sequence(0" not in plan.lower()
+
+
+def test_quantiles_and_flags_do_not_gather_by_group(spark):
+    from pyspark.sql import functions as F
+
+    from swarf.operators import evaluate, quantile
+
+    scores = spark.range(2000).select((F.col("id") % 2).alias("task"), (F.col("id") * 7919 % 2000).cast("double").alias("score"))
+    flagged = evaluate.flag_anomalies(scores, scores.groupBy("task").agg(F.max("score").alias("threshold")), ["task"])
+    assert "SortMergeJoin" not in _plan(flagged)
+    cut = quantile.quantiles(scores, ["task"], "score", {"m": 0.5, "q": 0.95}, group_rows=100, slices=16)
+    assert "BroadcastHashJoin" in _plan(cut)
+    for row in cut.collect():
+        values = np.array([r["score"] for r in scores.filter(F.col("task") == row["task"]).collect()])
+        assert np.isclose(row["m"], np.quantile(values, 0.5)) and np.isclose(row["q"], np.quantile(values, 0.95))
+
+
+def test_files_of_a_lake_are_opened_once(spark, tmp_path):
+    from swarf.sources import files
+
+    for k in range(3):
+        (tmp_path / f"m{k}.csv").write_text("time;force_x\n0;1.5\n1;2.5\n")
+    readings = files.read_delimited(spark, str(tmp_path))
+    assert "FileScan text" not in _plan(readings) and readings.count() == 6
