@@ -32,7 +32,6 @@ def test_band_profile_of_a_single_reading(spark, short_series):
 
 
 def test_orders_midway_between_two_bins_take_the_lower():
-    # a speed of 11,666.666... Hz * k / 14 and the like lies between bins only up to rounding
     rng = np.random.default_rng(3)
     found = 0
     for n in range(3, 40):
