@@ -207,11 +207,11 @@ def grouped_ridge(train: DataFrame, by: Sequence[str], features: Sequence[str],
 
 def apply_grouped(df: DataFrame, weights: DataFrame, by: Sequence[str], features: Sequence[str], output: str) -> DataFrame:
     """Predictions of the group's model; one weight row per group."""
-    x = F.array(*[F.col(f).cast("double") for f in features])
     # models are few, and a shuffle by their keys would gather the rows of each in one task
     held = df.join(F.broadcast(weights), list(by)) if by else df.withColumn("_w", weights.select(F.struct("*")).scalar()).select(*df.columns, "_w.*")
-    z = F.zip_with(F.zip_with(x, "centers", lambda v, c: v - c), "scales", lambda v, s: v / s)
-    return held.withColumn(output, F.col("intercept") + total(F.zip_with(z, "weights", lambda v, w: v * w))).drop("weights", "centers", "scales", "intercept")
+    # written out term by term, which compiles; functions over arrays are interpreted for every row
+    terms = [(F.col(f).cast("double") - F.get("centers", F.lit(i))) / F.get("scales", F.lit(i)) * F.get("weights", F.lit(i)) for i, f in enumerate(features)]
+    return held.withColumn(output, F.col("intercept") + sum(terms, F.lit(0.0))).drop("weights", "centers", "scales", "intercept")
 
 
 # --- calibration -------------------------------------------------------------------------------------
@@ -247,17 +247,19 @@ def ablation_study(train: DataFrame, val: DataFrame, test: DataFrame, features:
     """Validation and test metrics of every variant and shot count.
 
     ``train`` carries ``shots`` (see ``few_shot_grid``).  Rows keep their own physics values, base models are
-    fitted per shot count, calibrators per variant and shot count, and blend weights on validation only.
+    fitted per shot count, calibrators per variant and shot count, and blend weights on validation only.  The three
+    frames are read several times and not written here: give stored ones (see ``stored``).  Models are a few rows each
+    and are checkpointed, so no pass over the rows is repeated.
     """
     spark = train.sparkSession
-    train, val, test = checkpointed(train), checkpointed(val), checkpointed(test)
+    train = train.select("shots", *dict.fromkeys([*features, label, *PHYSICS]))
+    val, test = (rows.select(*train.columns[1:]) for rows in (val, test))
     flags = [(name, backbone, *[p in used for p in PHYSICS]) for name, backbone, used in variants]
     table = spark.createDataFrame(flags, "name string, backbone boolean, use_0 boolean, use_1 boolean, use_2 boolean")
     packed = table.agg(F.collect_list(F.struct("*")).alias("v")).scalar()
-    sensor = grouped_ridge(train, ["shots"], features, label, alpha)
-    physics = grouped_ridge(train, ["shots"], ["tool_life_ratio"], label, alpha)
-    shots = train.select("shots").distinct()
-    shot_list = shots.agg(F.collect_set("shots").alias("s")).scalar()
+    sensor = checkpointed(grouped_ridge(train, ["shots"], features, label, alpha))
+    physics = checkpointed(grouped_ridge(train, ["shots"], ["tool_life_ratio"], label, alpha))
+    shot_list = F.lit([row["shots"] for row in train.select("shots").distinct().collect()])
 
     def scored(rows: DataFrame) -> DataFrame:
         base = apply_grouped(apply_grouped(rows, sensor, ["shots"], features, "_sensor"), physics, ["shots"], ["tool_life_ratio"], "_physics")
@@ -266,10 +268,10 @@ def ablation_study(train: DataFrame, val: DataFrame, test: DataFrame, features:
         return each.withColumn("predicted", F.when(F.col("backbone"), F.col("_sensor")).otherwise(F.col("_physics"))).withColumns(masked)
 
     columns, key = ["m_0", "m_1", "m_2"], ["name", "shots"]
-    calibrator = fit_calibrator(scored(train), "predicted", columns, label, "ridge", alpha, key)
+    calibrator = checkpointed(fit_calibrator(scored(train), "predicted", columns, label, "ridge", alpha, key))
     spread = lambda rows: apply_calibrator(scored(rows.withColumn("shots", F.explode(shot_list))), calibrator, "predicted", columns, key)
     checked, held = spread(val), spread(test)
-    chosen = select_alpha(checked, "predicted", "corrected", label, key)
+    chosen = checkpointed(select_alpha(checked, "predicted", "corrected", label, key))
     used = F.col("use_0") | F.col("use_1") | F.col("use_2")
     final = lambda rows: rows.join(F.broadcast(chosen.select(*key, "alpha")), key).withColumn(
         "final", F.when(used, blend(F.col("alpha"), F.col("predicted"), F.col("corrected"))).otherwise(F.col("predicted"))
@@ -284,8 +286,9 @@ def few_shot_curve(train: DataFrame, val: DataFrame, test: DataFrame, features:
     """Test errors without and with physics calibration per shot count, and the improvement in percent."""
     pair = [v for v in VARIANTS if v[0] in ("backbone_only", "backbone_taylor")]
     rows = ablation_study(train, val, test, features, label, pair)
-    pick = lambda name, prefix: rows.filter(F.col("name") == name).select("shots", *[F.col(f"test_{m}").alias(f"{prefix}_{m}") for m in ("mae", "rmse", "r2")])
-    joined = pick("backbone_only", "without_physics").join(pick("backbone_taylor", "with_physics"), "shots")
+    # one row per variant and shot count: an aggregate, where a join of two selections would score every row twice
+    pick = lambda name, prefix: [F.max(F.when(F.col("name") == name, F.col(f"test_{m}"))).alias(f"{prefix}_{m}") for m in ("mae", "rmse", "r2")]
+    joined = rows.groupBy("shots").agg(*pick("backbone_only", "without_physics"), *pick("backbone_taylor", "with_physics"))
     gain = (F.col("without_physics_mae") - F.col("with_physics_mae")) / (F.col("without_physics_mae") + 1e-9) * 100
     return joined.withColumn("mae_improvement_pct", gain)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from swarf.functions.rounding import round_columns, rounded
 from swarf.operators import augment, batch, evaluate, fewshot, metric, models, physics, series, spectral, splits
+from swarf.operators.lineage import checkpointed, stored
 from swarf.queries.physics import PREPARED, prepared
 from swarf.queries.registry import query, r
 from swarf.queries.series import BY
@@ -186,24 +187,29 @@ def select_alpha(t):
     return round_columns(out, ["alpha", "val_mae"])
 
 
+STUDY_FEATURES = ["force_n", "cutting_speed", "axial_depth"]
+
+
 def _study_frames(t):
     cuts = physics.energy_features(physics.tool_life_features(prepared(t)))
     cuts = cuts.withColumns({"kc11": F.coalesce("kc11", F.lit(1800.0)), "mc": F.coalesce("mc", F.lit(0.26)), "measured_force_n": F.col("force_n")})
-    cuts = physics.force_features(cuts).withColumn("key", F.concat_ws("-", "tool_id", "cut"))
-    parts = splits.condition_split(cuts)
-    train = splits.few_shot_grid(parts.filter("split = 'train'"), "key", models.SHOTS)
-    return train, parts.filter("split = 'val'"), parts.filter("split = 'test'")
+    # every model and score reads these columns again, so they are derived and written once
+    narrow = splits.condition_split(physics.force_features(cuts)).select("split", "tool_id", "cut", *STUDY_FEATURES, "wear_vb_mm", *models.PHYSICS)
+    parts = stored(narrow).withColumn("key", F.concat_ws("-", "tool_id", "cut"))
+    train = parts.filter("split = 'train'")
+    few = checkpointed(splits.few_shot_grid(train, "key", [s for s in models.SHOTS if s is not None]))
+    return few.unionByName(splits.few_shot_grid(train, "key", [None])), parts.filter("split = 'val'"), parts.filter("split = 'test'")
 
 
 @query()
 def ablation_study(t):
-    out = models.ablation_study(*_study_frames(t), ["force_n", "cutting_speed", "axial_depth"], "wear_vb_mm")
+    out = models.ablation_study(*_study_frames(t), STUDY_FEATURES, "wear_vb_mm")
     return round_columns(out, ["val_mae", "val_rmse", "val_r2", "test_mae", "test_rmse", "test_r2"], 5)
 
 
 @query()
 def few_shot_curve(t):
-    out = models.few_shot_curve(*_study_frames(t), ["force_n", "cutting_speed", "axial_depth"], "wear_vb_mm")
+    out = models.few_shot_curve(*_study_frames(t), STUDY_FEATURES, "wear_vb_mm")
     return round_columns(out, [c for c in out.columns if c != "shots"], 4)
 
 
