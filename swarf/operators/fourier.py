@@ -3,7 +3,8 @@
 A transform of length L = P * M takes the readings of each remainder modulo P apart, transforms these parts (length M) in
 tasks of their own, multiplies by twiddle factors, and transforms across the remainders (length P) for runs of frequencies.
 No task holds more than about ``block`` readings of a series.  Lengths that are no power of two go through a convolution
-with a chirp of the next sufficient power of two, so every length is exact.
+with a chirp of the next sufficient power of two, so every length is exact.  Features of a series of at most ``block``
+readings come from its array, many series to a batch: dealing out a series that fits a task costs far more than it.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swarf.operators.lineage import checkpointed, stored
 from swarf.operators.series import KEYS, group_sizes
+from swarf.operators.spectral import dft_features
 
 BLOCK = 1 << 16
 
@@ -100,8 +103,16 @@ def spectrum(df: DataFrame, by: Sequence[str] = KEYS, block: int = BLOCK) -> Dat
 
 
 def spectrum_features(df: DataFrame, rate: float = 1.0, by: Sequence[str] = KEYS, block: int = BLOCK) -> DataFrame:
-    """Energy, centroid, dominant frequency and entropy of whole series of any length, without an array of one."""
+    """Energy, centroid, dominant frequency and entropy of whole series of any length, no array holding over ``block`` readings."""
     by = list(by)
+    held = stored(df.select(*by, "seq", "value"))
+    # a series of over ``block`` readings has that many rows, so this side is small at any size
+    large = checkpointed(group_sizes(held, by).filter(F.col("n") > block).select(*by))
+    short = dft_features(held.join(F.broadcast(large), by, "left_anti"), rate, by)
+    return short if large.isEmpty() else short.unionByName(_large_features(held.join(F.broadcast(large), by, "left_semi"), rate, by, block))
+
+
+def _large_features(df: DataFrame, rate: float, by: list[str], block: int) -> DataFrame:
     power = spectrum(df, by, block).select(*by, F.col("pos"), (F.col("pos") * F.lit(float(rate)) / F.col("n")).alias("_f"), (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("_p"))
     whole = power.groupBy(*by).agg((F.sum("_p") + 1e-12).alias("band_energy"), F.max_by("_f", F.struct("_p", -F.col("pos"))).alias("dominant_frequency"))
     shares = power.join(whole, by).withColumn("_q", F.col("_p") / F.col("band_energy"))

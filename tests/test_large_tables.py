@@ -1,5 +1,7 @@
 """Plans and pieces that decide whether a query grows with its input."""
 
+import numpy as np
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -16,3 +18,15 @@ def test_study_rows_are_derived_and_written_once(spark):
         assert "Window" not in _plan(rows) and "lineitem" not in _plan(rows) and len(rows.columns) < 15
     scored = models.apply_grouped(spark.range(9).selectExpr("id", "id * 2.0D AS x"), spark.sql("SELECT array(3.0D) AS weights, array(1.0D) AS centers, array(2.0D) AS scales, 5.0D AS intercept"), [], ["x"], "p")
     assert "lambda" not in _plan(scored) and [r["p"] for r in scored.orderBy("id").collect()] == [5 + (2 * i - 1) / 2 * 3 for i in range(9)]
+
+
+def test_short_series_are_not_dealt_out(spark):
+    from swarf.operators import fourier
+
+    df = spark.range(3000).selectExpr("id % 30 AS series_id", "'a' AS channel", "id div 30 AS seq", "sin(id) AS value")
+    whole = fourier.spectrum_features(df, 50.0)
+    assert "FlatMapGroupsInPandas" not in _plan(whole) and whole.count() == 30
+    mixed = df.filter("series_id % 3 = 0 OR seq < 50")  # series of 100 and of 50 readings, on both sides of the limit
+    key, both = ["series_id", "channel"], [fourier.spectrum_features(mixed, 50.0, block=b).toPandas() for b in (64, 1 << 16)]
+    dealt, arrays = (f.sort_values(key).set_index(key) for f in both)
+    assert len(dealt) == 30 and np.allclose(dealt[arrays.columns].to_numpy(), arrays.to_numpy())
