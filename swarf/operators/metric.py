@@ -6,7 +6,8 @@ null answer as a query.  No side is packed into one value: support and queries m
 Neighbours use a metric index.  A few support rows serve as pivots; each support row belongs to the cell of its nearest
 pivot, and cells are cut into blocks at quantiles of the distance to it.  By the triangle inequality a block, and then a
 single row, whose pivot distances differ from the query's by more than the k-th best distance so far cannot hold a
-neighbour and is not measured.
+neighbour and is not measured.  Where these bounds leave most rows of a block open, as with random vectors, whole blocks are
+measured by a matrix product, and only rows it puts within rounding of the k best are measured again, one by one.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from swarf.operators.scan import BLOCK, order_blocks
 PIVOTS, BLOCK_ROWS, CHUNK_ROWS = 16, 4096, 4096
 #: Copies of the block table, so that the few cells spread over many tasks.
 SALTS = 64
-STEP = 64
+#: Queries of a chunk taken at a time, and every how manieth row of a block tells whether row bounds pay.
+STEP, SAMPLED = 256, 32
 
 
 def _matrix(rows: pd.Series) -> np.ndarray:
@@ -45,6 +47,37 @@ def _usable(df: DataFrame, *extra: str) -> DataFrame:
     return held.filter("id IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, v -> v IS NOT NULL)")
 
 
+def _open(query_pivots: np.ndarray, to_pivots: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """Per query and row, whether their pivot distances leave room for a distance within the query's limit."""
+    low = np.zeros((len(query_pivots), len(to_pivots)))
+    for j in range(to_pivots.shape[1]):
+        np.maximum(low, np.abs(query_pivots[:, j, None] - to_pivots[None, :, j]), out=low)
+    return low <= limits[:, None]
+
+
+def _candidates(wanted: np.ndarray, points: np.ndarray, limits: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) among which are the ``k`` nearest open rows of each query that lie within its limit.
+
+    One matrix product gives all squared distances up to rounding; what lies beyond the k-th by more than the rounding can
+    make is left out.  Values too large for the product, or not finite, leave all open rows.
+    """
+    rows = np.flatnonzero(near.any(axis=0))
+    with np.errstate(over="ignore"):
+        left, right = (wanted**2).sum(axis=1), (points[rows] ** 2).sum(axis=1)
+    if not len(rows) or not np.isfinite(left.max() + right.max()) or left.max() + right.max() > 1e300:
+        return np.nonzero(near)
+    square = left[:, None] + right - 2.0 * (wanted @ points[rows].T)
+    square[~near[:, rows]] = np.inf
+    slack = 8.0 * (points.shape[1] + 8) * np.finfo(float).eps * (left + right.max())
+    reach = limits**2 + slack
+    found = square <= reach[:, None]
+    if found.sum() > 4 * k * len(wanted):
+        kth = np.partition(square, min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1]
+        found &= square <= (kth + 2 * slack)[:, None]
+    i, j = np.nonzero(found & np.isfinite(square))
+    return i, rows[j]
+
+
 def _measure(k: int, payload: Sequence[str]):
     """Task code: the ``k`` nearest rows of one block for each query of a chunk, within the query's limit."""
 
@@ -56,23 +89,32 @@ def _measure(k: int, payload: Sequence[str]):
         points, to_pivots = _matrix(held["embedding"]), _matrix(held["_d"])
         wanted, query_pivots, limits = _matrix(asked["embedding"]), _matrix(asked["_d"]), asked["_limit"].to_numpy(float)
         who, chosen, distances, measured = [], [], [], []
+        some = np.arange(0, len(points), SAMPLED)
         for start in range(0, len(asked), STEP):
             part = slice(start, start + STEP)
-            low = np.zeros((len(wanted[part]), len(points)))
-            for j in range(to_pivots.shape[1]):
-                np.maximum(low, np.abs(query_pivots[part, j, None] - to_pivots[None, :, j]), out=low)
-            near = low <= limits[part, None]
-            for i in range(len(low)):
-                open_rows = np.flatnonzero(near[i])
-                far = np.sqrt(((points[open_rows] - wanted[start + i]) ** 2).sum(axis=1))
-                best = np.argsort(far, kind="stable")[:k]
-                # a query that meets no open row still reports that it measured none
-                who += [start + i] * max(1, len(best))
-                measured += [len(open_rows)] + [0] * (max(1, len(best)) - 1)
-                chosen += open_rows[best].tolist() or [-1]
-                distances += far[best].tolist() or [None]
-        found = held[["id", *payload]].rename(columns={"id": "support_id"}).reset_index(drop=True).reindex(chosen).reset_index(drop=True)
-        found.insert(0, "distance", np.array(distances, dtype=float))
+            limit = limits[part]
+            near = _open(query_pivots[part], to_pivots[some], limit)
+            # bounds that save little cost more than the products they would save
+            near = np.ones((len(limit), len(points)), bool) if near.mean() > 0.5 else _open(query_pivots[part], to_pivots, limit)
+            i, j = _candidates(wanted[part], points, limit, near, k)
+            far = np.sqrt(((points[j] - wanted[part][i]) ** 2).sum(axis=1))
+            order = np.lexsort((j, far, i))
+            i, j, far = i[order], j[order], far[order]
+            counts = np.bincount(i, minlength=len(limit))
+            rank = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
+            i, j, far, rank = (v[rank < k] for v in (i, j, far, rank))
+            # a query without a row still reports how many it measured
+            none = np.flatnonzero(counts == 0)
+            opened = near.sum(axis=1)
+            who += [start + i, start + none]
+            measured += [np.where(rank == 0, opened[i], 0), opened[none]]
+            chosen += [j, np.full(len(none), -1)]
+            distances += [far, np.full(len(none), np.nan)]
+        who, measured, chosen, distances = (np.concatenate(v) for v in (who, measured, chosen, distances))
+        # whole numbers and nulls in one column, without a detour over floating point
+        found = held[["id", *payload]].rename(columns={"id": "support_id"}).iloc[np.maximum(chosen, 0)].reset_index(drop=True).astype(object)
+        found[chosen < 0] = None
+        found.insert(0, "distance", distances)
         found.insert(0, "measured", measured)
         found.insert(0, "id", asked["id"].to_numpy()[who])
         return found[columns]

@@ -1,6 +1,7 @@
 """Plans and pieces that decide whether a query grows with its input."""
 
 import numpy as np
+import pytest
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +31,35 @@ def test_short_series_are_not_dealt_out(spark):
     key, both = ["series_id", "channel"], [fourier.spectrum_features(mixed, 50.0, block=b).toPandas() for b in (64, 1 << 16)]
     dealt, arrays = (f.sort_values(key).set_index(key) for f in both)
     assert len(dealt) == 30 and np.allclose(dealt[arrays.columns].to_numpy(), arrays.to_numpy())
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e160])
+def test_blocks_measured_by_products_are_exact(scale):
+    """Random vectors on a grid of few values (many ties), far from zero, and ids beyond the whole numbers a double holds."""
+    import pandas as pd
+
+    from swarf.operators import metric
+
+    rng = np.random.default_rng(5)
+    points, wanted = ((rng.integers(0, 3, (n, 6)) + 1000.0) * scale for n in (300, 70))
+    ids = (1 << 60) + rng.permutation(300)
+    far = np.sqrt(((wanted[:, None] - points) ** 2).sum(axis=2))
+    frame = lambda x, **more: pd.DataFrame({"embedding": list(x), "_d": [np.zeros(1)] * len(x), **more})
+    found = metric._measure(4, [])(frame(wanted, id=np.arange(70), _limit=np.inf), frame(points, id=ids))
+    for q in range(70):
+        mine = found[found["id"] == q]
+        best = np.lexsort((ids, far[q]))[:4]
+        assert mine["support_id"].tolist() == ids[best].tolist() and mine["distance"].tolist() == far[q][best].tolist()
+    assert found["measured"].sum() == 70 * 300
+    closed = metric._measure(4, [])(frame(wanted, id=np.arange(70), _limit=-1.0), frame(points, id=ids))
+    assert len(closed) == 70 and closed["support_id"].isna().all() and closed["measured"].sum() == 0
+
+
+def test_a_block_is_measured_at_once():
+    """Rows measured one by one are the few that a product puts near the best."""
+    from swarf.operators import metric
+
+    rng = np.random.default_rng(6)
+    points, wanted = rng.normal(size=(4000, 64)), rng.normal(size=(50, 64))
+    i, _ = metric._candidates(wanted, points, np.full(50, np.inf), np.ones((50, 4000), bool), 3)
+    assert len(i) == 150
