@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from swarf.functions.hashing import sha1_head
 from swarf.functions.matching import literals
-from swarf.operators.lineage import checkpointed
+from swarf.operators.lineage import checkpointed, stored
 from swarf.operators.scan import BLOCK_ROWS, running, seq_blocks
 from swarf.rules import nc as rules
 
@@ -26,8 +26,9 @@ def nc_blocks(lines: DataFrame, comments: str = "strip") -> DataFrame:
     """
     if comments not in ("strip", "keep"):
         raise ValueError(f"unknown comment mode {comments!r}")
-    text = F.regexp_replace("text", r"\([^)]*\)", " ") if comments == "strip" else F.col("text")
-    block = F.upper(F.trim(F.regexp_extract(text, "^([^;]*)", 1)))
+    # the pattern runs on lines that hold a comment only
+    bare = F.when(F.contains("text", F.lit("(")), F.regexp_replace("text", r"\([^)]*\)", " ")).otherwise(F.col("text"))
+    block = F.upper(F.trim(F.substring_index(bare if comments == "strip" else F.col("text"), ";", 1)))
     skip = "%" if comments == "strip" else "("
     cleaned = lines.withColumn("block", block).filter((F.col("block") != "") & ~F.startswith("block", F.lit(skip)))
     found = F.regexp_extract_all("block", F.lit(rules.WORD_PATTERN), F.lit(0))
@@ -38,18 +39,18 @@ def nc_blocks(lines: DataFrame, comments: str = "strip") -> DataFrame:
     return out.filter(F.size("words") > 0) if comments == "keep" else out
 
 
-def nc_words(lines: DataFrame) -> DataFrame:
-    """One row per word: position, letter, numeric value and rounded code."""
-    exploded = nc_blocks(lines).select(BY, "line_no", F.posexplode("words").alias("pos", "w"))
+def nc_words(lines: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """One row per word: position, letter, numeric value and rounded code; ``blocks`` are ready ``nc_blocks`` of the lines."""
+    exploded = (nc_blocks(lines) if blocks is None else blocks).select(BY, "line_no", F.posexplode("words").alias("pos", "w"))
     return exploded.select(BY, "line_no", "pos", "w.letter", "w.value", F.bround("w.value").cast("long").alias("code"))
 
 
-def code_table(lines: DataFrame) -> DataFrame:
+def code_table(lines: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """Use count, range and sum of the values per program, letter and rounded code.
 
     This is the one pass over all words; every word statistic below is a small aggregate of it.
     """
-    return nc_words(lines).groupBy(BY, "letter", "code").agg(
+    return nc_words(lines, blocks).groupBy(BY, "letter", "code").agg(
         F.count(F.lit(1)).alias("uses"), F.min("value").alias("low"), F.max("value").alias("high"), F.sum("value").alias("total")
     )
 
@@ -68,12 +69,14 @@ def modal_state(lines: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
 
 def nc_block_matrix(lines: DataFrame, blocks: int | None = None, rows: int = BLOCK_ROWS) -> DataFrame:
     """Scaled 14-column rows of all blocks of each program; with ``blocks``, so many rows, cut or filled with zeros."""
-    state = running(seq_blocks(modal_state(lines, rows), "line_no", rows), [BY], ["line_no"], index="row")
+    # words are found once per line; values carried forward and row numbers come from one scan of these columns
+    own = stored(nc_blocks(lines, "keep").select(BY, "line_no", *[_last_of(l).alias(f"own_{l}") for l in rules.MATRIX_SCALES]))
+    state = running(seq_blocks(own, "line_no", rows), [BY], ["line_no"], index="row", lasts={f"modal_{l}": F.col(f"own_{l}") for l in rules.MODAL_LETTERS})
     if blocks is not None:
         state = state.filter(F.col("row") < blocks)
     columns = []
     for letter, scale in rules.MATRIX_SCALES.items():
-        value = F.col(f"modal_{letter}") if letter in rules.MODAL_LETTERS else _last_of(letter)
+        value = F.col(f"modal_{letter}") if letter in rules.MODAL_LETTERS else F.col(f"own_{letter}")
         scaled = F.coalesce(value, F.lit(0.0)) / float(scale)
         columns.append(F.greatest(F.lit(-10.0), F.least(F.lit(10.0), scaled)))
     filled = state.select(BY, "row", F.array(*columns).alias("values"))
@@ -87,13 +90,13 @@ def nc_block_matrix(lines: DataFrame, blocks: int | None = None, rows: int = BLO
     return filled.unionByName(padding)
 
 
-def nc_motion_counts(lines: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+def nc_motion_counts(lines: DataFrame, rows: int = BLOCK_ROWS, blocks: DataFrame | None = None) -> DataFrame:
     """Block count and blocks per motion kind; the motion code stays in force until the next one."""
     code = lambda w: F.bround(w["value"]).cast("long")
     g_motion = F.filter("words", lambda w: (w["letter"] == "G") & code(w).between(0, 3))
     has_axis = F.exists("words", lambda w: F.array_contains(literals(rules.MOTION_LETTERS), w["letter"]))
     # only two small columns per line take part in the scan
-    compact = nc_blocks(lines).select(BY, "line_no", g_motion.alias("_g"), has_axis.alias("_axis")).select(
+    compact = (nc_blocks(lines) if blocks is None else blocks).select(BY, "line_no", g_motion.alias("_g"), has_axis.alias("_axis")).select(
         BY, "line_no", F.when(F.size("_g") > 0, code(F.element_at("_g", -1))).alias("_moved"), F.col("_axis")
     )
     state = running(seq_blocks(compact, "line_no", rows), [BY], ["line_no"], lasts={"motion": F.col("_moved")})
@@ -104,8 +107,8 @@ def nc_motion_counts(lines: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     )
 
 
-def nc_program_stats(lines: DataFrame, rows: int = BLOCK_ROWS, codes: DataFrame | None = None) -> DataFrame:
-    """Counts and feed / spindle ranges per program; ``codes`` is a ready ``code_table`` of the lines."""
+def nc_program_stats(lines: DataFrame, rows: int = BLOCK_ROWS, codes: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
+    """Counts and feed / spindle ranges per program; ``codes`` is a ready ``code_table`` and ``blocks`` ready ``nc_blocks`` of the lines."""
     count = lambda letter, test: F.sum(F.when((F.col("letter") == letter) & test(F.col("code")), F.col("uses")).otherwise(0))
     of = lambda letter, column: F.when(F.col("letter") == letter, F.col(column))
     words = (code_table(lines) if codes is None else codes).groupBy(BY).agg(
@@ -130,7 +133,7 @@ def nc_program_stats(lines: DataFrame, rows: int = BLOCK_ROWS, codes: DataFrame
             )
         ],
     )
-    joined = nc_motion_counts(lines, rows).join(words, BY, "left")
+    joined = nc_motion_counts(lines, rows, blocks).join(words, BY, "left")
     zero = {f.name: F.coalesce(f.name, F.lit(0).cast(f.dataType)) for f in words.schema.fields if f.name != BY}
     return joined.withColumns(zero)
 
@@ -168,9 +171,10 @@ def _unit_entries(entries: Column) -> Column:
 
 def nc_vector(lines: DataFrame, dim: int = rules.CONTEXT_DIM) -> DataFrame:
     """Unit context vector per program as rows (program_id, dim, value), zero entries left out."""
-    # the reduced code table feeds four branches and is written once
-    table = checkpointed(code_table(lines))
-    stats = nc_program_stats(lines, codes=table)
+    # words are found once per line; the reduced code table feeds four branches and is written once too
+    blocks = stored(nc_blocks(lines).select(BY, "line_no", "words"))
+    table = checkpointed(code_table(lines, blocks))
+    stats = nc_program_stats(lines, codes=table, blocks=blocks)
     motion = F.greatest(F.lit(1), F.col("rapid") + F.col("linear") + F.col("cw_arc") + F.col("ccw_arc"))
     scalars = [(F.col(n) / motion) if d is None else _log_scale(F.col(n), d) for n, d in rules.VECTOR_SCALARS]
     first = stats.select(BY, F.posexplode(F.array(*scalars)).alias("dim", "value"))
