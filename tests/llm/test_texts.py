@@ -214,5 +214,24 @@ def test_leak_search_is_native(spark):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_leaks_take_up_few_texts_and_each_item_once(spark, monkeypatch):
+    """Items that read alike are looked up once, and only texts with a window of an item are read as words again."""
+    rng = random.Random(6)
+    prose = lambda n: " ".join(f"q{rng.randrange(3000)}" for _ in range(n))
+    texts = [prose(20 + k) for k in range(4)]
+    docs = [(k, prose(40) + (" " + texts[k] if k < 4 else ""), "a") for k in range(60)]
+    from llm_rows import make as make_llm
+
+    bench = spark.createDataFrame([(k + 100 * r, t.upper() if r % 2 else t) for k, t in enumerate(texts) for r in range(30)], "item_id long, text string")
+    worded, kept = [], []
+    words, store = decontaminate.with_words, decontaminate.stored
+    monkeypatch.setattr(decontaminate, "with_words", lambda frame, *a: worded.append(frame) or words(frame, *a))
+    monkeypatch.setattr(decontaminate, "stored", lambda frame: kept.append(store(frame)) or kept[-1])
+    got = {(r.doc_id, r.item_id) for r in decontaminate.op6_decontaminate(make_llm(spark, docs), bench).collect()}
+    assert got == {(k, k + 100 * r) for k in range(4) for r in range(30)}
+    assert [f.count() for f in worded if "_key" in f.columns] == [60, 4]
+    assert [f.count() for f in kept if "_bag" in f.columns] == [4]
+
+
 def test_shared_folder_follows_the_session(spark):
     assert shared_folder(spark)
