@@ -18,12 +18,15 @@ from pyspark.sql import types as T
 DOUBLES = T.ArrayType(T.DoubleType())
 #: Values of one matrix of a batch.
 CELLS = 1 << 18
+#: Rows that go back to Spark at a time from steps whose results are much larger than their input.
+ROWS = 512
 
 
-def _grouped(arrays: pa.Array, params: Sequence[pa.Array], fn: Callable, spare: int = 1) -> list[np.ndarray | None]:
+def _grouped(arrays: pa.Array, params: Sequence[pa.Array], fn: Callable, spare: int = 1, least: int = 1) -> list[np.ndarray | None]:
     """``fn(matrix, rows, *whole-number params)`` over the rows of equal length and parameters; one result per row, null arrays none.
 
-    ``fn`` may return a tuple of matrices; ``spare`` is how many times larger than the matrix its own work is.
+    ``fn`` may return a tuple of matrices; ``spare`` is how many times larger than the matrix its own work is, and ``least``
+    how many values that work has for a row at least.
     """
     lengths = pc.fill_null(pc.list_value_length(arrays), -1).to_numpy(zero_copy_only=False)
     flat = arrays.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
@@ -36,7 +39,7 @@ def _grouped(arrays: pa.Array, params: Sequence[pa.Array], fn: Callable, spare:
     for kind, begin, end in zip(kinds.tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
         if kind[0] < 0:
             continue
-        some = max(1, CELLS // max(1, kind[0] * spare))
+        some = max(1, CELLS // max(1, kind[0] * spare, least))
         for at in range(begin, end, some):
             rows = order[at : min(end, at + some)]
             matrix = flat[starts[rows][:, None] + np.arange(kind[0])]
@@ -204,3 +207,45 @@ def box_profile(values: pa.Array, limit: pa.Array) -> pa.Array:
 @F.arrow_udf(DOUBLES)
 def box_block(values: pa.Array, first: pa.Array, core: pa.Array, n: pa.Array, limit: pa.Array) -> pa.Array:
     return _lists(_grouped(values, [first, core, n, limit], lambda x, rows, f, c, k, top: box_residuals(x, f, f + c, k, top), spare=4))
+
+
+def band_values(magnitudes: np.ndarray, n: int, rate: float | None, bands: Sequence[tuple]) -> np.ndarray:
+    """Energy shares of the closed bands, centroid, peak and the last share again, from the Hann magnitudes of ``n`` points."""
+    power = magnitudes**2
+    known = rate is not None and rate > 0
+    freq = np.arange(power.shape[-1]) * (rate / n) if known else np.arange(power.shape[-1]) / (power.shape[-1] - 1)
+    nyquist, whole = rate / 2.0 if known else 1.0, power.sum(axis=-1) + 1e-8
+    inside = [(freq >= low) & (freq <= (nyquist if high is None else high)) for _, low, high in bands]
+    shares = [power[..., i].sum(axis=-1) / whole for i in inside]
+    return np.stack([*shares, (power * freq).sum(axis=-1) / whole, freq[power.argmax(axis=-1)], shares[-1]], axis=-1)
+
+
+def grid_points(n: int, least: int = 64, most: int = 2048) -> int:
+    """Power of two covering ``n``, between ``least`` and ``most``."""
+    return max(least, min(most, 1 << (max(8, n) - 1).bit_length()))
+
+
+def frequency_rows(x: np.ndarray, rate: float | None, wanted: set[str], length: int, grid: int, bands: Sequence[tuple]) -> np.ndarray:
+    """The wanted transforms of each row side by side, resampled to ``length`` and standardised."""
+    parts, n = [], x.shape[-1]
+    if "fft" in wanted or not wanted:
+        parts.append(np.log1p(np.abs(hann_spectrum(stretch(x, grid)))))
+    if "fft" in wanted:
+        points = grid_points(n)
+        parts += [np.log1p(parts[0] * parts[0]), band_values(np.abs(hann_spectrum(stretch(x, points))), points, rate, bands)]
+    if "stft" in wanted:
+        parts.append(frame_stats(x))
+    if "cwt" in wanted:
+        parts.append(np.log1p(np.sqrt(box_residuals(x, 0, n, n, 64) / n)))
+    return standard(stretch(np.concatenate(parts, axis=-1), length))
+
+
+def frequency_batches(batches, rate: float | None, wanted: set[str], length: int, grid: int, bands: Sequence[tuple]):
+    """Arrow batches (keys, ``values``) to batches (keys, ``frequency``) of at most ROWS rows."""
+    for batch in batches:
+        at = batch.schema.get_field_index("values")
+        for begin in range(0, batch.num_rows, ROWS):
+            part = batch.slice(begin, ROWS)
+            found = _grouped(part.column(at), [], lambda x, rows: frequency_rows(x, rate, wanted, length, grid, bands), spare=4, least=max(length, 2048))
+            keys = [k for k in range(part.num_columns) if k != at]
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), _lists(found)], [*(part.schema.names[k] for k in keys), "frequency"])

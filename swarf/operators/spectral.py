@@ -10,10 +10,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from swarf.functions import spectra
 from swarf.functions.vectors import total
-from swarf.operators.lineage import checkpointed
+from swarf.operators.lineage import stored
 from swarf.operators.scan import BLOCK, with_neighbours
 from swarf.operators.series import KEYS, group_sizes
 
@@ -244,7 +245,8 @@ def repaired(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
     finite = F.when(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
     marked = df.withColumn("value", finite)
-    middle = medians(marked, list(by), "value", "_middle")
+    holed = stored(marked.filter(F.col("value").isNull()).select(*by).distinct())  # other groups need no median
+    middle = medians(marked.join(holed, list(by), "left_semi"), list(by), "value", "_middle")
     return marked.join(middle, list(by), "left").withColumn("value", F.coalesce("value", "_middle", F.lit(0.0))).drop("_middle")
 
 
@@ -263,7 +265,7 @@ def frequency_view(
     wanted = {t.lower() for t in transforms}
     if window:
         return _array_view(cut_windows(df, window), rate, wanted, length, [*by, "window"])
-    df = checkpointed(df.select(*by, "seq", "value"))  # read by both kinds of series
+    df = stored(df.select(*by, "seq", "value"))  # read by both kinds of series
     sizes = group_sizes(df, by)
     kind = lambda which: df.join(sizes.filter(which), by, "left_semi")
     short = _array_view(kind(F.col("n") <= rows), rate, wanted, length, by)
@@ -271,19 +273,13 @@ def frequency_view(
 
 
 def _array_view(df: DataFrame, rate: float | None, wanted: set[str], length: int, by: list[str]) -> DataFrame:
-    """The view of groups that are one bounded array each: one grouping for all transforms."""
-    grid, fft, held = min(GRID, length), "fft" in wanted or not wanted, window_arrays(df, by)
-    if fft:
-        held = held.withColumn("_g", spectra.hann_magnitude(spectra.stretched("values", F.lit(grid))))
-    if "fft" in wanted:
-        points = _grid_points(F.size("values")).cast("int")
-        fine = held.withColumn("_n", points).withColumn("_m", spectra.hann_magnitude(spectra.stretched("values", F.col("_n"))))
-        held = _bands(fine, rate, BANDS, [c for c in held.columns])
-    if "stft" in wanted:
-        held = held.withColumn("summary", spectra.short_time_summary("values"))
-    if "cwt" in wanted:
-        held = held.withColumn("_wide", spectra.box_profile("values", F.lit(64)))
-    return _view(held, wanted, length, by)
+    """The view of groups that are one bounded array each: one grouping and one pass for all transforms.
+
+    Transforms are up to 40 times larger than a short series, so they never go back and forth between Spark and Python.
+    """
+    held, grid = window_arrays(df, by), min(GRID, length)
+    kinds = T.StructType([*(held.schema[c] for c in by), T.StructField("frequency", spectra.DOUBLES)])
+    return held.mapInArrow(lambda batches: spectra.frequency_batches(batches, rate, wanted, length, grid, BANDS), kinds)
 
 
 def _block_view(df: DataFrame, rate: float | None, wanted: set[str], length: int, by: list[str]) -> DataFrame:

@@ -80,6 +80,30 @@ def test_views_of_short_and_long_series_agree(readings):
     assert both[0].keys() == both[1].keys() and all(np.allclose(v, both[1][k], atol=1e-9) for k, v in both[0].items())
 
 
+@pytest.mark.parametrize("window", [None, 64])
+def test_views_pass_through_python_once(readings, window):
+    """Each further pass would hold another worker per task, and batches of wide arrays on both sides."""
+    from swarf.operators import spectral
+
+    plan = _plan(spectral.frequency_view(readings, 100.0, window=window, rows=1 << 20))
+    branches = 1 if window else 2  # long series have a branch of their own
+    assert plan.count("MapInArrow") == 1 and (branches == 2 or "ArrowEvalPython" not in plan)
+
+
+def test_batches_of_views_stay_small(monkeypatch):
+    import pyarrow as pa
+
+    from swarf.functions import spectra
+
+    series = pa.array([[float(k), 1.0, 2.0 + k] for k in range(1300)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1300)), series], ["id", "values"])
+    parts = list(spectra.frequency_batches([batch], 100.0, {"fft", "stft", "cwt"}, 512, 256, [("all", 0.0, None)]))
+    assert max(p.num_rows for p in parts) == spectra.ROWS and sum(p.num_rows for p in parts) == 1300
+    assert [k for p in parts for k in p.column(0).to_pylist()] == list(range(1300))
+    one = spectra.frequency_rows(np.array([[700.0, 1.0, 702.0]]), 100.0, {"fft", "stft", "cwt"}, 512, 256, [("all", 0.0, None)])[0]
+    assert np.allclose(parts[700 // spectra.ROWS].column(1)[700 % spectra.ROWS].as_py(), one)
+
+
 def test_resampling_sends_arrays_not_one_row_per_place(readings):
     from swarf.operators import spectral
 
