@@ -1,12 +1,16 @@
 """File sources and sinks, the wear benchmark on a generated lake, and the streaming job."""
 
+import pickle
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from swarf.operators import catalog
 from swarf.plans.wear import wear_benchmark
 from swarf.sources import cut_files, files, records
+from swarf.sources import lake as lakes
 from swarf.streaming.features import stream_time_features
 
 
@@ -106,6 +110,37 @@ def test_delimited_files(spark, tmp_path):
     assert codes == {"a.csv": "UTF-8", "b.txt": "cp949", "c.txt": "UTF-8"}
 
 
+@pytest.mark.parametrize("text", [b"", b"\n", b"one", b"a\r\nbb\r\r\n\nccc\rd", b"\xef\xbb\xbfx\ny\n\n", b"\r\n\r\n", b"abc\r\n" * 4 + b"\r"])
+def test_chunks_of_a_file_hold_each_line_once(tmp_path, text):
+    (tmp_path / "f").write_bytes(text)
+    want = text.removeprefix(b"\xef\xbb\xbf").splitlines()
+    for step in range(1, len(text) + 2):
+        assert [x for a in range(0, len(text), step) for x in lakes.chunk_lines(str(tmp_path / "f"), a, min(a + step, len(text)))] == want, step
+
+
+def test_lakes_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """Neither the driver nor Spark's reader lists the files, and files of several chunks give the same lines."""
+    (tmp_path / "a b" / "c").mkdir(parents=True)
+    (tmp_path / "a b" / "c" / "x%.csv").write_bytes("설비 기록\nforce_x,힘\n0,1\n".encode("cp949") * 3)
+    (tmp_path / "a b" / "y.csv").write_text("force_x,é\r\n1,2\r\n3,4")
+    (tmp_path / "_hidden").mkdir()
+    (tmp_path / "_hidden" / "z.csv").write_text("1,2\n")
+    (tmp_path / "n.txt").write_text("1,2\n")
+    row = lambda r: (r["file"], r["line_no"], r["line"], r["encoding"])
+    got = [sorted(map(row, files.read_lines(spark, path, "*.csv", **more).collect())) for path, more in ((str(tmp_path), {}), (f"file:{tmp_path}", {"chunk": 7}))]
+    monkeypatch.setattr(lakes, "local_folder", lambda *a: None)
+    assert got[0] == got[1] == sorted(map(row, files.read_lines(spark, str(tmp_path), "*.csv").collect())) and len(got[0]) == 12
+
+
+def test_a_committed_lake_is_not_listed_by_messages(tmp_path):
+    writer = cut_files.CutFileWriter(str(tmp_path / "lake"), "cut")
+    batch = pa.RecordBatch.from_arrays([pa.array([f"c{k // 50}" for k in range(200)]), pa.array(range(200)), pa.array([0] * 200), pa.array([1.5] * 200)], ["_condition", "_cut", "_part", "force_x"])
+    message = writer.write(iter([batch]))
+    assert len(pickle.dumps(message)) < 1000 and not list((tmp_path / "lake").glob("c*"))
+    writer.commit([message, None])
+    assert len(list((tmp_path / "lake").glob("c*/cut_*.csv"))) == 200 and {p.name for p in (tmp_path / "lake").iterdir()} == {"c0", "c1", "c2", "c3"}
+
+
 @pytest.mark.parametrize("fmt", ["csv", "parquet", "jsonl"])
 def test_record_round_trip(spark, tmp_path, fmt):
     df = spark.createDataFrame([(1, ["a", "b,\"c"], "x"), (2, [], "y")], "id int, tags array<string>, name string")
