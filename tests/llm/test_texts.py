@@ -233,5 +233,11 @@ def test_leaks_take_up_few_texts_and_each_item_once(spark, monkeypatch):
     assert [f.count() for f in kept if "_bag" in f.columns] == [4]
 
 
+def test_removing_leaks_does_not_shuffle_texts(spark):
+    docs, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
+    plan = decontaminate.clean_documents(docs, bench)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_shared_folder_follows_the_session(spark):
     assert shared_folder(spark)
